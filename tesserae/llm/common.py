@@ -65,3 +65,10 @@ def shuffle_parts(spark: SparkSession) -> int:
 def text_or_empty(text: str | Column = "text") -> Column:
     """The text column with null as the empty string."""
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
+
+
+def tokenizer_file(name: str) -> str:
+    """Where the public tokenizer files are installed."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
