@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tesserae.llm import bpe_automaton, sharding
+from tesserae.llm import bpe_automaton, sharding, token_files
 from tesserae.llm.common import table, tokenizer_file
 
 
@@ -18,9 +18,14 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_automaton.encode_digests(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
 
 
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.round_trip(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), end_id=2)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sharding": op2_sharding,
     "op7_bpe": op7_bpe,
+    "op8_token_files": op8_token_files,
 }
 
 SQL: dict[str, str] = {}
