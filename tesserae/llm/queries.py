@@ -6,8 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tesserae.llm import bpe_automaton, sharding, token_files
+from tesserae.llm import bpe_automaton, mixing, sharding, token_files
 from tesserae.llm.common import table, tokenizer_file
+from tesserae.llm.sql import SQL
+
+__all__ = ["QUERIES", "SQL"]
 
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,10 +25,13 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), end_id=2)
 
 
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_report(table(spark, sf_dir, "documents"), max_epochs=2.0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sharding": op2_sharding,
     "op7_bpe": op7_bpe,
     "op8_token_files": op8_token_files,
+    "op10_mixing": op10_mixing,
 }
-
-SQL: dict[str, str] = {}
