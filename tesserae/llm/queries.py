@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tesserae.llm import bpe_automaton, mixing, sharding, token_files
+from tesserae.llm import bpe_automaton, licenses, mixing, sharding, token_files
 from tesserae.llm.common import table, tokenizer_file
 from tesserae.llm.sql import SQL
 
@@ -29,8 +29,13 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(table(spark, sf_dir, "documents"), max_epochs=2.0)
 
 
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sharding": op2_sharding,
+    "op6_licenses": op6_licenses,
     "op7_bpe": op7_bpe,
     "op8_token_files": op8_token_files,
     "op10_mixing": op10_mixing,

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from tesserae.llm import licenses
+
 SHARDING = r"""
 WITH crc_table AS (
   SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n::BIGINT, [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]),
@@ -48,4 +50,4 @@ SELECT doc_id, source, n AS n_tokens, weight, epoch::INT AS epoch,
        substr(md5('7|' || key || '|' || epoch || '|' || block), 1, 16) || substr(inb, 1, 16) AS mix_order FROM d
 """
 
-SQL: dict[str, str] = {"op2_sharding": SHARDING, "op10_mixing": MIXING}
+SQL: dict[str, str] = {"op2_sharding": SHARDING, "op6_licenses": licenses.duckdb_sql(), "op10_mixing": MIXING}
