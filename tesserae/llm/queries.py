@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tesserae.llm import bpe_automaton, licenses, mixing, sharding, token_files
+from tesserae.llm import ann, bpe_automaton, licenses, mixing, sharding, token_files
 from tesserae.llm.common import table, tokenizer_file
 from tesserae.llm.sql import SQL
 
@@ -33,10 +33,15 @@ def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op9_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), k=20, every=20)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sharding": op2_sharding,
     "op6_licenses": op6_licenses,
     "op7_bpe": op7_bpe,
     "op8_token_files": op8_token_files,
+    "op9_ann": op9_ann,
     "op10_mixing": op10_mixing,
 }
