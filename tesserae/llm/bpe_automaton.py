@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Known pieces a worker keeps before it starts anew.
-KNOWN_PIECES = 600_000
+KNOWN_PIECES = 900_000
 
 
 def byte_symbols() -> list[str]:
@@ -126,17 +126,23 @@ class Automaton:
             return [whole]
         last = [-1] * (n + 1)
         come = [0] * (n + 1)
+        longest, get, arcs, size = self.longest, vocab.get, self.arcs, self.n
         for end in range(1, n + 1):
             tail = suffix if end == n else ""
-            for start in range(max(0, end - self.longest), end):
-                before = last[start]
-                if start and before < 0:
+            for start in range(end - longest if end > longest else 0, end):
+                token = get(word[start:end] + tail) if tail else get(word[start:end])
+                if token is None:
                     continue
-                token = vocab.get(word[start:end] + tail)
-                if token is not None and (not start or has_arc(before, token)):
-                    last[end] = token
-                    come[end] = start
-                    break
+                if start:
+                    before = last[start]
+                    if before < 0:
+                        continue
+                    known = arcs.get(before * size + token)
+                    if not (has_arc(before, token) if known is None else known):
+                        continue
+                last[end] = token
+                come[end] = start
+                break
         if last[n] < 0:
             raise ValueError(f"no token sequence for {word!r}")
         out = []
@@ -146,6 +152,18 @@ class Automaton:
         return out[::-1]
 
 
+class Known(dict):
+    """Pieces seen so far; others are worked out when they are asked for."""
+
+    def __init__(self, work) -> None:
+        super().__init__()
+        self.work = work
+
+    def __missing__(self, piece: str) -> tuple[str, str]:
+        value = self[piece] = self.work(piece)
+        return value
+
+
 class WordBpe:
     """A tokenizer file of the kind: composition, lower case, pre-split words, BPE with word ends."""
 
@@ -161,44 +179,61 @@ class WordBpe:
         self.words = regex.compile(split["pattern"]["Regex"])
         self.cuts = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.symbols = byte_symbols()
-        self.known_ids: dict[str, str] = {"": ""}
-        self.known_text: dict[str, str] = {"": ""}
+        self.known = Known(self.digest_piece)
+        self.known_words: dict[str, tuple[str, str]] = {}
 
-    def encode_piece(self, piece: str) -> list[int]:
-        out: list[int] = []
+    def parts(self, piece: str) -> list[str | int]:
+        """The words of a piece in byte symbols, and the ids of special tokens in it."""
+        out: list[str | int] = []
         for part in self.cuts.split(piece) if self.cuts and "<|" in piece else [piece]:
             if part in self.special:
                 out.append(self.special[part])
                 continue
             if not part.isascii():
                 part = unicodedata.normalize("NFC", part)
-            part = "".join(c.lower() for c in part) if "Σ" in part else part.lower()
+            part = "".join([c.lower() for c in part]) if "Σ" in part else part.lower()
+            if part.isalpha() and part.isascii():  # the usual piece is one word of ASCII letters
+                out.append(part)
+                continue
             for word in self.words.findall(part):
-                raw = word if word.isascii() else "".join([self.symbols[b] for b in word.encode()])
-                out.extend(self.automaton.encode_word(raw if raw is not word else "".join([self.symbols[ord(c)] for c in word])))
+                out.append("".join([self.symbols[b] for b in word.encode()]))
         return out
 
+    def digest_piece(self, piece: str) -> tuple[str, str]:
+        found = []
+        for part in self.parts(piece):
+            if isinstance(part, int):
+                found.append((str(part), self.labels[part]))
+                continue
+            known = self.known_words.get(part)
+            if known is None:
+                ids = self.automaton.encode_word(part)
+                known = " ".join(map(str, ids)), self.decode(ids)
+                if len(self.known_words) >= KNOWN_PIECES:
+                    self.known_words.clear()
+                self.known_words[part] = known
+            found.append(known)
+        return found[0] if len(found) == 1 else (" ".join([a for a, _ in found]), " ".join([b for _, b in found]))
+
+    def encode_piece(self, piece: str) -> list[int]:
+        return [int(x) for x in self.digest_piece(piece)[0].split()]
+
     def decode(self, ids: list[int]) -> str:
         """The labels of the arcs, one space between them."""
         return " ".join([self.labels[i] for i in ids])
 
-    def learn(self, pieces: set[str]) -> None:
-        for piece in pieces:
-            ids = self.encode_piece(piece)
-            self.known_ids[piece] = " ".join(map(str, ids))
-            self.known_text[piece] = self.decode(ids)
-
     def digest(self, text: str | None) -> tuple[int, str, str]:
         """Number of tokens, the ids joined by one space, and the decoded text."""
         pieces = (text or "").replace("\n", " ").split(" ")
-        new = {p for p in pieces if p not in self.known_ids}
-        if len(self.known_ids) + len(new) > KNOWN_PIECES and len(self.known_ids) > 1:
-            self.known_ids, self.known_text = {"": ""}, {"": ""}
-            new = set(pieces) - {""}
-        if new:
-            self.learn(new)
-        ids = " ".join(filter(None, map(self.known_ids.__getitem__, pieces)))
-        back = " ".join(filter(None, map(self.known_text.__getitem__, pieces)))
+        if "" in pieces:
+            pieces = [p for p in pieces if p]
+        if len(self.known) > KNOWN_PIECES:
+            self.known.clear()
+        found = list(map(self.known.__getitem__, pieces))
+        ids = " ".join([a for a, _ in found])
+        back = " ".join([b for _, b in found])
+        if "  " in ids or ids[:1] == " " or ids[-1:] == " ":  # pieces without tokens
+            ids, back = " ".join(ids.split()), " ".join(back.split())
         return (ids.count(" ") + 1 if ids else 0), ids, back
 
     def encode(self, text: str | None) -> list[int]:
