@@ -30,6 +30,7 @@ one block; an empty table gives empty files and an empty result.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -48,7 +49,14 @@ MAGIC = b"TSB1"
 #: Ids after which a block is closed.
 BLOCK_IDS = 1 << 20
 #: Known pieces a worker keeps before it starts anew.
-KNOWN_PIECES = 600_000
+KNOWN_PIECES = 1_200_000
+#: The label of a space in byte-level vocabularies.
+SPACE_LABEL = "\u0120"
+#: White space other than space and line feed.
+OTHER_SPACE = re.compile("[" + "".join(chr(c) for c in range(0x3001) if chr(c).isspace() and chr(c) not in " \n") + "]")
+#: Punctuation that may stand behind a word.
+TAIL = ".,;:!?"
+
 
 # For each control byte: the length of its four ranks, and for each of 16 output bytes the place
 # of its data byte (0 and a zero mask where there is none).
@@ -67,7 +75,12 @@ def pack(ranks: np.ndarray) -> tuple[bytes, bytes]:
     groups = np.zeros((-len(ranks) % 4 + len(ranks)) // 4 * 4, np.uint8)
     groups[: len(ranks)] = size
     control = (groups.reshape(-1, 4) << np.array([0, 2, 4, 6], np.uint8)).sum(axis=1).astype(np.uint8)
-    data = ranks.view(np.uint8).reshape(-1, 4)[_BYTE <= size[:, None]]
+    at = np.cumsum(size, dtype=np.int64) + np.arange(len(size)) - size
+    data = np.empty(int(size.sum(dtype=np.int64)) + len(size), np.uint8)
+    data[at] = ranks & 0xFF
+    for byte in (1, 2, 3):
+        wide = np.flatnonzero(size >= byte)
+        data[at[wide] + byte] = ranks[wide] >> (8 * byte) & 0xFF
     return control.tobytes(), data.tobytes()
 
 
@@ -112,9 +125,12 @@ def read_block(block: bytes, id_of: np.ndarray) -> tuple[list[int | None], np.nd
 class PieceEncoder:
     """A byte-level tokenizer of the tokenizers library, asked once for each distinct piece.
 
-    A text is cut before each space whose neighbours are no white space.  The tokenizer's own
-    pattern cuts there too, so its ids of the pieces are its ids of the text.  Texts with a
-    special token or other white space around spaces go to it whole."""
+    A text is cut at each space, where all spaces stand alone between other characters than
+    white space.  The tokenizer's own pattern cuts before each of these spaces too, so its ids
+    of the pieces are its ids of the text.  Pieces are asked for many at a time, joined by
+    spaces again; each starts where an id's label starts with a space.  A word with punctuation
+    behind it is asked for in two, as the pattern cuts there as well.  Texts that hold a special
+    token or other white space go to the tokenizer whole."""
 
     def __init__(self, spec: str) -> None:
         from tokenizers import Tokenizer
@@ -123,40 +139,62 @@ class PieceEncoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.kind = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
+        size = self.tokenizer.get_vocab_size()
+        self.kind = np.dtype("<u2") if size <= 1 << 16 else np.dtype("<u4")
+        self.opens = np.array([(self.tokenizer.id_to_token(i) or "").startswith(SPACE_LABEL) for i in range(size)])
         self.known: dict[str, bytes] = {}
-
-    def raw(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-
-    def pieces(self, text: str) -> list[str] | None:
-        """Pieces of a text; each but the first starts with a space that is left out here."""
-        found = text.split(" ")
-        if any(s in text for s in self.special):
-            return None
-        for p in found:
-            if not p or p[0].isspace() or p[-1].isspace():
-                return None
-        return found
+        self.tails: dict[str, bytes] = {}
+
+    def raw(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind)
+
+    def plain(self, text: str) -> bool:
+        """Whether each space of a text stands alone between other characters than white space."""
+        return not (not text or text[0] == " " or text[-1] == " " or "  " in text or " \n" in text or "\n " in text or OTHER_SPACE.search(text) or any(s in text for s in self.special))
+
+    def learn(self, pieces: set[str]) -> None:
+        """Work out pieces that are not known, each as it stands behind a space."""
+        known, tails = self.known, self.tails
+        cut: list[tuple[str, str]] = []
+        ask: set[str] = set()
+        for p in pieces:
+            word = p.rstrip(TAIL)
+            # Letters up to U+024F and punctuation behind them are two pre-tokens.
+            if word is not p and word.isalpha() and (word.isascii() or max(word) < "\u0250"):
+                cut.append((p, word))
+                if word not in known:
+                    ask.add(word)
+            else:
+                ask.add(p)
+        order = list(ask)
+        for at in range(0, len(order), 4_000):
+            some = order[at : at + 4_000]
+            ids = self.raw(" " + " ".join(some))
+            starts = np.flatnonzero(self.opens[ids])
+            if len(starts) != len(some):
+                raise ValueError("pieces and ids do not match")
+            raw, size = ids.tobytes(), self.kind.itemsize
+            ends = [*(starts[1:] * size).tolist(), len(raw)]
+            known.update(zip(some, [raw[a:b] for a, b in zip((starts * size).tolist(), ends, strict=True)], strict=True))
+        for p, word in cut:
+            tail = p[len(word) :]
+            if tail not in tails:
+                tails[tail] = self.raw(tail).tobytes()
+            known[p] = known[word] + tails[tail]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian bytes."""
-        cut = [self.pieces(t) if t else [] for t in texts]
-        new: set[str] = set()
-        for parts in cut:
-            if parts:
-                new.update(parts[1:])
-        new -= self.known.keys()
-        if len(self.known) + len(new) > KNOWN_PIECES:
+        if len(self.known) > KNOWN_PIECES:
             self.known = {}
-            new = {p for parts in cut if parts for p in parts[1:]}
+        get = self.known.get
+        cut = [t.split(" ") if self.plain(t) else None for t in texts]
+        found = [list(map(get, p[1:])) if p else None for p in cut]
+        new = {w for p, ids in zip(cut, found, strict=True) if ids and None in ids for w, i in zip(p[1:], ids, strict=True) if i is None}
         if new:
-            order = list(new)
-            self.known.update(zip(order, self.raw([f" {p}" for p in order]), strict=True))
-        whole = [parts[0] if parts else t for t, parts in zip(texts, cut, strict=True)]
-        first = self.raw(whole)
-        known = self.known.__getitem__
-        return [a + b"".join(map(known, parts[1:])) if parts else a for a, parts in zip(first, cut, strict=True)]
+            self.learn(new)
+            known = self.known
+            found = [[known[w] if i is None else i for w, i in zip(p[1:], ids, strict=True)] if ids and None in ids else ids for p, ids in zip(cut, found, strict=True)]
+        return [self.raw(p[0]).tobytes() + b"".join(ids) if p else self.raw(t).tobytes() for t, p, ids in zip(texts, cut, found, strict=True)]
 
 
 _READY: dict[int, PieceEncoder] = {}
@@ -200,18 +238,16 @@ def encoded(docs: DataFrame, spec: str, end_id: int, key: str, text: str) -> Dat
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "doc_id long, n long, ids binary")
 
 
-def id_counts(rows: DataFrame, kind: np.dtype) -> DataFrame:
+def id_counts(rows: DataFrame, kind: np.dtype, vocabulary: int) -> DataFrame:
     """token, n over all rows; each task gives one row for each token it has seen."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(0, np.int64)
+        counts = np.zeros(vocabulary, np.int64)
         open_ = zstandard.ZstdDecompressor().decompress
         for batch in batches:
-            for value in batch.column(0):
-                got = np.bincount(np.frombuffer(open_(value.as_py()), kind))
-                if len(got) > len(counts):
-                    counts = np.concatenate([counts, np.zeros(len(got) - len(counts), np.int64)])
-                counts[: len(got)] += got
+            for at in range(0, batch.num_rows, 256):
+                some = [np.frombuffer(open_(v.as_py()), kind) for v in batch.column(0)[at : at + 256]]
+                counts += np.bincount(np.concatenate(some), minlength=vocabulary)
         seen = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int32()), pa.array(counts[seen], pa.int64())], ["token", "n"])
 
@@ -229,7 +265,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
     rows = spark.read.schema("doc_id long, n long, ids binary").parquet(kept)
 
     counts = np.zeros(vocabulary, np.int64)
-    for r in id_counts(rows, kind).collect():  # a row for each token of the vocabulary at most
+    for r in id_counts(rows, kind, vocabulary).collect():  # a row for each token of the vocabulary at most
         counts[r["token"]] = r["n"]
     id_of = np.argsort(-counts, kind="stable").astype(np.int32)
     rank_of = np.empty(vocabulary, np.uint32)
