@@ -1,0 +1,262 @@
+"""Document fingerprints: invertible Bloom lookup sketches of passages.
+
+A text is cut into passages at line ends, sentence ends and, so that short and unbroken texts
+have more than one, after words with some endings and after eight words.  A cut depends only on
+the text just before it, so an edit changes the passages around it and no others.  Each passage
+has a 64-bit digest; the second and later occurrences of a passage get digests of their own.
+
+A sketch has three sub-tables of a power of two of cells.  A cell holds the number of digests
+dealt to it, their exclusive or, and that of their check values.  Two sketches of one size
+subtract cell by cell; what both texts hold cancels out, and peeling (a cell with one digest
+gives it up, and it is taken out of its other cells) recovers the digests that differ.  The first
+try has the size of the larger fingerprint; texts that do not peel empty are tried again with
+four times the cells until they do.  The likeness is the Jaccard index of the digests, from the
+recovered differences.  All steps work on the arrays of many texts at once.
+
+The fingerprint of a text is its sketch with about one cell in a sub-table for 16 passages (two
+at least), as ``i<n>.<cells>``: the number of passages and the cells in base 85.  It depends on
+the text alone.
+
+The next document is found without a global sort in one task: rows are dealt to buckets between
+quantiles of doc_id, the first row of each bucket is also sent to the bucket before, and each
+bucket is read in order with one row of look-ahead.
+
+Defined results: a null text counts as empty, an empty text has no passages; two texts without
+passages are alike (1); null doc_ids come first; rows with the same doc_id follow each other in
+the order of their texts; the only row of a table is its own next; an empty table gives an empty
+result.
+"""
+
+from __future__ import annotations
+
+import base64
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tesserae.llm.common import shuffle_parts, text_or_empty
+
+#: Endings after which a space is a cut, and the most words of a passage.
+ENDS = ("." , "!", "?", ":", "d", "s", "t", "$", "%")
+MOST_WORDS = 8
+#: Odd constants that make the hashes of the three sub-tables, of checks and of occurrences differ.
+SEEDS = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F))
+CHECK = np.uint64(0xFFFFFFFF)
+#: First row id below all others (for null ids).
+LOWEST = -(2**63)
+
+
+def mix(x: np.ndarray, seed: np.uint64) -> np.ndarray:
+    """A 64-bit finaliser: xor-shifts and multiplications."""
+    x = x ^ seed
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def passages(text: str) -> list[str]:
+    for end in ENDS:
+        text = text.replace(end + " ", end + "\n")
+    out = []
+    for p in text.split("\n"):
+        if len(p) < 32:
+            if p:
+                out.append(p)
+            continue
+        words = p.split(" ")
+        out.extend([p] if len(words) <= MOST_WORDS else [" ".join(words[i : i + MOST_WORDS]) for i in range(0, len(words), MOST_WORDS)])
+    return out
+
+
+def digests(texts: list[str]) -> list[np.ndarray]:
+    """The passage digests of each text, occurrences told apart."""
+    one = xxhash.xxh3_64_intdigest
+    each = [np.array([one(p) for p in passages(t)], np.uint64) for t in texts]
+    sizes = np.array([len(x) for x in each], np.int64)
+    every = np.concatenate(each) if each else np.zeros(0, np.uint64)
+    owner = np.repeat(np.arange(len(each)), sizes)
+    order = np.lexsort((every, owner))
+    k, o = every[order], owner[order]
+    new = np.ones(len(k), bool)
+    new[1:] = (k[1:] != k[:-1]) | (o[1:] != o[:-1])
+    first = np.maximum.accumulate(np.where(new, np.arange(len(k)), 0))
+    again = (np.arange(len(k)) - first).astype(np.uint64)
+    every[order] = np.where(again > 0, mix(k + again, SEEDS[4]), k)
+    return np.split(every, np.cumsum(sizes)[:-1]) if each else []
+
+
+class Sketches:
+    """Sketches of several texts, in one array: text ``i`` has ``3 * size[i]`` cells."""
+
+    def __init__(self, size: np.ndarray) -> None:
+        self.size = size.astype(np.int64)
+        self.start = np.cumsum(3 * self.size) - 3 * self.size
+        total = int(3 * self.size.sum())
+        self.count = np.zeros(total, np.int64)
+        self.key = np.zeros(total, np.uint64)
+        self.check = np.zeros(total, np.uint64)
+
+    def add(self, owner: np.ndarray, key: np.ndarray, times: np.ndarray | int) -> None:
+        """Put digests of texts ``owner`` in (or out: counts ``times``)."""
+        check = mix(key, SEEDS[3]) & CHECK
+        last = (self.size[owner] - 1).astype(np.uint64)
+        for j in range(3):
+            cell = self.start[owner] + j * self.size[owner] + (mix(key, SEEDS[j]) & last).astype(np.int64)
+            np.add.at(self.count, cell, times)
+            np.bitwise_xor.at(self.key, cell, key)
+            np.bitwise_xor.at(self.check, cell, check)
+
+    def subtract(self, other: Sketches) -> None:
+        self.count -= other.count
+        self.key ^= other.key
+        self.check ^= other.check
+
+    def peel(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each text: whether its sketch emptied, and the digests recovered with each sign."""
+        n = len(self.size)
+        owner = np.repeat(np.arange(n), 3 * self.size)
+        more, less = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        look = np.arange(len(self.count))
+        while len(look):
+            c, k = self.count[look], self.key[look]
+            pure = look[(np.abs(c) == 1) & ((mix(k, SEEDS[3]) & CHECK) == self.check[look])]
+            if not len(pure):
+                break
+            order = np.lexsort((self.key[pure], owner[pure]))
+            pure = pure[order]
+            keep = np.ones(len(pure), bool)
+            keep[1:] = (self.key[pure[1:]] != self.key[pure[:-1]]) | (owner[pure[1:]] != owner[pure[:-1]])
+            pure = pure[keep]
+            who, key, sign = owner[pure], self.key[pure], self.count[pure]
+            more += np.bincount(who[sign > 0], minlength=n)
+            less += np.bincount(who[sign < 0], minlength=n)
+            self.add(who, key, -sign)
+            last = (self.size[who] - 1).astype(np.uint64)
+            look = np.unique(np.concatenate([self.start[who] + j * self.size[who] + (mix(key, SEEDS[j]) & last).astype(np.int64) for j in range(3)]))
+        left = np.bincount(owner[(self.count != 0) | (self.key != 0) | (self.check != 0)], minlength=n)
+        return left == 0, more, less
+
+
+def own_size(n: np.ndarray | int) -> np.ndarray:
+    """Cells in a sub-table of a fingerprint: a power of two, about a sixteenth of the passages."""
+    return 2 ** np.ceil(np.log2(np.maximum(2, np.asarray(n) / 16))).astype(np.int64)
+
+
+def sketch(texts: list[np.ndarray], size: np.ndarray) -> Sketches:
+    s = Sketches(size)
+    if texts:
+        s.add(np.repeat(np.arange(len(texts)), [len(x) for x in texts]), np.concatenate(texts), 1)
+    return s
+
+
+def written_out(texts: list[np.ndarray]) -> list[str]:
+    """The fingerprint strings of texts given by their digests."""
+    size = own_size(np.array([len(x) for x in texts], np.int64))
+    s = sketch(texts, size)
+    cells = np.empty(len(s.count), np.dtype([("count", "<i4"), ("key", "<u8"), ("check", "<u4")]))
+    cells["count"], cells["key"], cells["check"] = s.count, s.key, s.check
+    raw = cells.tobytes()
+    width = cells.dtype.itemsize
+    return [f"i{len(x)}.{base64.b85encode(raw[a * width : (a + 3 * b) * width]).decode()}" for x, a, b in zip(texts, s.start.tolist(), s.size.tolist(), strict=True)]
+
+
+def likeness(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """The Jaccard index of each pair, from sketches that are enlarged until they peel empty."""
+    na, nb = np.array([len(x) for x in a], np.int64), np.array([len(x) for x in b], np.int64)
+    out = np.ones(len(a))
+    todo = np.flatnonzero(na + nb > 0)
+    size = np.maximum(own_size(na), own_size(nb))
+    while len(todo):
+        s = sketch([a[i] for i in todo], size[todo])
+        s.subtract(sketch([b[i] for i in todo], size[todo]))
+        done, more, less = s.peel()
+        ok = todo[done]
+        both = na[ok] - more[done]
+        out[ok] = both / np.maximum(1, both + more[done] + less[done])
+        todo = todo[~done]
+        size[todo] *= 4
+    return out
+
+
+def edited(text: str, following: str) -> str:
+    """The last quarter of the characters replaced by as many of the following text's first."""
+    k = len(text) // 4
+    return text[: len(text) - k] + following[:k]
+
+
+OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+NAMES = [c.split()[0] for c in OUT.split(", ")]
+
+
+def rows_of(ids: list[int | None], texts: list[str], following: list[str]) -> pa.RecordBatch:
+    """The result rows of texts and the texts that follow them."""
+    changed = [edited(t, f) for t, f in zip(texts, following, strict=True)]
+    n = len(texts)
+    # The text after one row is mostly the next row; digests of equal texts are made once.
+    distinct = list(dict.fromkeys([*texts, *following, *changed]))
+    made = dict(zip(distinct, digests(distinct), strict=True))
+    a, b, c = [made[t] for t in texts], [made[t] for t in changed], [made[t] for t in following]
+    prints = written_out([*a, *b])
+    sha = [hashlib.sha256(t.encode("utf-8", "replace")).hexdigest() for t in changed]
+    return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(t) for t in texts], pa.int64()), pa.array(sha), pa.array(prints[:n]), pa.array(prints[n:]), pa.array(likeness(a, b)), pa.array(likeness(a, c))], NAMES)
+
+
+def with_neighbours(docs: DataFrame, parts: int, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Rows dealt to buckets of ascending ids: bucket, carried (1 for the first row of the next
+    bucket), doc_id, null_id, text; sorted inside partitions that hold whole buckets."""
+    ids = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(LOWEST)).alias("id"))
+    n = 4 * parts
+    got = ids.agg(F.percentile_approx("id", [i / n for i in range(1, n)], 20 * n).alias("q")).collect()[0]["q"] or []
+    bounds = np.unique(np.array(got, np.int64))
+
+    @F.pandas_udf("int")
+    def bucket(x: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(bounds, x.to_numpy(), side="left"))
+
+    firsts = {r["b"]: r["first"] for r in ids.withColumn("b", bucket("id")).groupBy("b").agg(F.min("id").alias("first")).collect()}  # a row a bucket
+    held = sorted(firsts)
+    before = {firsts[b]: held[i - 1] for i, b in enumerate(held)}  # the first bucket's row goes to the last
+    rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(LOWEST)).alias("id"), F.col(key).isNull().alias("null_id"), text_or_empty(F.col(text).cast("string")).alias("text")).withColumn("b", bucket("id"))
+    if not held:
+        return rows.select(F.col("b").alias("bucket"), F.lit(0).alias("carried"), "id", "null_id", "text")
+    to = F.create_map(*[F.lit(x) for pair in before.items() for x in pair])
+    own = F.struct(F.col("b").alias("bucket"), F.lit(0).alias("carried"))
+    extra = F.struct(to[F.col("id")].alias("bucket"), F.lit(1).alias("carried"))
+    dealt = rows.withColumn("d", F.explode(F.when(F.col("id").isin(list(before)), F.array(own, extra)).otherwise(F.array(own))))
+    dealt = dealt.select("d.bucket", "d.carried", "id", "null_id", "text")
+    return dealt.repartition(parts, "bucket").sortWithinPartitions("bucket", "carried", "id", "text")
+
+
+def fingerprint_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", step_chars: int = 2_000_000) -> DataFrame:
+    """One row per row of ``docs``, with the columns of ``OUT``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: tuple[int, int | None, str] | None = None  # bucket, id, text of the row whose next is awaited
+        ids: list[int | None] = []
+        texts: list[str] = []
+        following: list[str] = []
+        chars = 0
+        for batch in batches:
+            for b, carried, i, gone, t in zip(*[batch.column(k) for k in range(5)], strict=True):
+                b, t = b.as_py(), t.as_py()
+                if held is not None and held[0] == b:
+                    ids.append(held[1])
+                    texts.append(held[2])
+                    following.append(t)
+                    chars += len(held[2])
+                    held = None
+                if not carried.as_py():
+                    held = (b, None if gone.as_py() else i.as_py(), t)
+                if len(texts) and chars >= step_chars:
+                    yield rows_of(ids, texts, following)
+                    ids, texts, following, chars = [], [], [], 0
+        if texts:
+            yield rows_of(ids, texts, following)
+
+    return with_neighbours(docs, shuffle_parts(docs.sparkSession), key, text).mapInArrow(run, OUT)

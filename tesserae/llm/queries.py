@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tesserae.llm import ann, bpe_automaton, licenses, mixing, sharding, token_files, toxicity
+from tesserae.llm import ann, bpe_automaton, fingerprints, licenses, mixing, sharding, token_files, toxicity
 from tesserae.llm.common import table, tokenizer_file
 from tesserae.llm.sql import SQL
 
@@ -42,9 +42,14 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint_documents(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sharding": op2_sharding,
     "op4_toxicity": op4_toxicity,
+    "op5_fingerprints": op5_fingerprints,
     "op6_licenses": op6_licenses,
     "op7_bpe": op7_bpe,
     "op8_token_files": op8_token_files,
