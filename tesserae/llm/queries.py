@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tesserae.llm import ann, bpe_automaton, fingerprints, licenses, mixing, sharding, token_files, toxicity
+from tesserae.llm import ann, bpe_automaton, fingerprints, licenses, mixing, pages, sharding, token_files, toxicity
 from tesserae.llm.common import table, tokenizer_file
 from tesserae.llm.sql import SQL
 
@@ -46,8 +46,13 @@ def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_documents(table(spark, sf_dir, "documents"))
 
 
+def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.extract(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sharding": op2_sharding,
+    "op3_html": op3_html,
     "op4_toxicity": op4_toxicity,
     "op5_fingerprints": op5_fingerprints,
     "op6_licenses": op6_licenses,
