@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tesserae.llm import ann, bpe_automaton, fingerprints, licenses, mixing, pages, sharding, token_files, toxicity
+from tesserae.llm import ann, bpe_automaton, fingerprints, jaccard, licenses, mixing, pages, sharding, token_files, toxicity
 from tesserae.llm.common import table, tokenizer_file
 from tesserae.llm.sql import SQL
 
@@ -50,7 +50,12 @@ def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.extract(table(spark, sf_dir, "pages"))
 
 
+def op1_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_classes(table(spark, sf_dir, "documents"), k=3, num=9, den=10)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_jaccard": op1_jaccard,
     "op2_sharding": op2_sharding,
     "op3_html": op3_html,
     "op4_toxicity": op4_toxicity,
