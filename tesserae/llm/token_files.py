@@ -48,15 +48,10 @@ from tesserae.llm.common import drop_path, shared_path, shuffle_parts
 MAGIC = b"TSB1"
 #: Ids after which a block is closed.
 BLOCK_IDS = 1 << 20
-#: Known pieces a worker keeps before it starts anew.
-KNOWN_PIECES = 1_200_000
 #: The label of a space in byte-level vocabularies.
 SPACE_LABEL = "\u0120"
 #: White space other than space and line feed.
 OTHER_SPACE = re.compile("[" + "".join(chr(c) for c in range(0x3001) if chr(c).isspace() and chr(c) not in " \n") + "]")
-#: Punctuation that may stand behind a word.
-TAIL = ".,;:!?"
-
 
 # For each control byte: the length of its four ranks, and for each of 16 output bytes the place
 # of its data byte (0 and a zero mask where there is none).
@@ -64,7 +59,7 @@ _CODES = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3
 LENGTH = (_CODES + 1).sum(axis=1).astype(np.int64)
 _FROM = np.cumsum(_CODES + 1, axis=1) - (_CODES + 1)
 _BYTE = np.arange(4)
-GATHER = np.where(_BYTE <= _CODES[:, :, None], _FROM[:, :, None] + _BYTE, 0).reshape(256, 16).astype(np.int64)
+GATHER = np.where(_BYTE <= _CODES[:, :, None], _FROM[:, :, None] + _BYTE, 0).reshape(256, 16).astype(np.int32)
 MASK = (_BYTE <= _CODES[:, :, None]).reshape(256, 16).astype(np.uint8)
 
 
@@ -75,22 +70,33 @@ def pack(ranks: np.ndarray) -> tuple[bytes, bytes]:
     groups = np.zeros((-len(ranks) % 4 + len(ranks)) // 4 * 4, np.uint8)
     groups[: len(ranks)] = size
     control = (groups.reshape(-1, 4) << np.array([0, 2, 4, 6], np.uint8)).sum(axis=1).astype(np.uint8)
-    at = np.cumsum(size, dtype=np.int64) + np.arange(len(size)) - size
-    data = np.empty(int(size.sum(dtype=np.int64)) + len(size), np.uint8)
-    data[at] = ranks & 0xFF
-    for byte in (1, 2, 3):
+    width = size.astype(np.int32) + 1
+    at = np.cumsum(width) - width
+    data = np.empty(int(width.sum()), np.uint8)
+    data[at] = ranks.astype(np.uint8)  # the lowest byte
+    for byte in range(1, int(size.max(initial=0)) + 1):
         wide = np.flatnonzero(size >= byte)
-        data[at[wide] + byte] = ranks[wide] >> (8 * byte) & 0xFF
+        data[at[wide] + byte] = (ranks[wide] >> np.uint32(8 * byte)).astype(np.uint8)
     return control.tobytes(), data.tobytes()
 
 
 def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
     """The ranks again, by table look-up."""
     groups = np.frombuffer(control, np.uint8)
-    ends = np.cumsum(LENGTH[groups])
     source = np.concatenate([np.frombuffer(data, np.uint8), np.zeros(16, np.uint8)])
-    at = (ends - LENGTH[groups])[:, None] + GATHER[groups]
-    return (source[at] * MASK[groups]).view("<u4").reshape(-1)[:n]
+    out = np.empty((len(groups), 16), np.uint8)
+    done = 0
+    for start in range(0, len(groups), 1 << 14):  # a stretch that stays in the cache
+        some = groups[start : start + (1 << 14)]
+        length = LENGTH[some]
+        ends = np.cumsum(length)
+        at = np.take(GATHER, some, axis=0)
+        at += (ends - length).astype(np.int32)[:, None]
+        part = out[start : start + len(some)]
+        np.take(source[done : done + int(ends[-1]) + 16], at, out=part, mode="clip")
+        part *= np.take(MASK, some, axis=0)
+        done += int(ends[-1])
+    return out.view("<u4").reshape(-1)[:n]
 
 
 def make_block(doc_ids: list[int | None], ids: list[np.ndarray], rank_of: np.ndarray) -> bytes:
@@ -123,14 +129,15 @@ def read_block(block: bytes, id_of: np.ndarray) -> tuple[list[int | None], np.nd
 
 
 class PieceEncoder:
-    """A byte-level tokenizer of the tokenizers library, asked once for each distinct piece.
+    """A byte-level tokenizer of the tokenizers library, asked once for each distinct piece of a
+    batch.
 
     A text is cut at each space, where all spaces stand alone between other characters than
     white space.  The tokenizer's own pattern cuts before each of these spaces too, so its ids
-    of the pieces are its ids of the text.  Pieces are asked for many at a time, joined by
-    spaces again; each starts where an id's label starts with a space.  A word with punctuation
-    behind it is asked for in two, as the pattern cuts there as well.  Texts that hold a special
-    token or other white space go to the tokenizer whole."""
+    of the pieces are its ids of the text.  Distinct pieces are asked for many at a time, joined
+    by spaces again; each starts where an id's label starts with a space.  A text's first piece,
+    which no space precedes, and texts that hold a special token or other white space are asked
+    for as they are."""
 
     def __init__(self, spec: str) -> None:
         from tokenizers import Tokenizer
@@ -142,8 +149,6 @@ class PieceEncoder:
         size = self.tokenizer.get_vocab_size()
         self.kind = np.dtype("<u2") if size <= 1 << 16 else np.dtype("<u4")
         self.opens = np.array([(self.tokenizer.id_to_token(i) or "").startswith(SPACE_LABEL) for i in range(size)])
-        self.known: dict[str, bytes] = {}
-        self.tails: dict[str, bytes] = {}
 
     def raw(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind)
@@ -152,49 +157,48 @@ class PieceEncoder:
         """Whether each space of a text stands alone between other characters than white space."""
         return not (not text or text[0] == " " or text[-1] == " " or "  " in text or " \n" in text or "\n " in text or OTHER_SPACE.search(text) or any(s in text for s in self.special))
 
-    def learn(self, pieces: set[str]) -> None:
-        """Work out pieces that are not known, each as it stands behind a space."""
-        known, tails = self.known, self.tails
-        cut: list[tuple[str, str]] = []
-        ask: set[str] = set()
-        for p in pieces:
-            word = p.rstrip(TAIL)
-            # Letters up to U+024F and punctuation behind them are two pre-tokens.
-            if word is not p and word.isalpha() and (word.isascii() or max(word) < "\u0250"):
-                cut.append((p, word))
-                if word not in known:
-                    ask.add(word)
-            else:
-                ask.add(p)
-        order = list(ask)
-        for at in range(0, len(order), 4_000):
-            some = order[at : at + 4_000]
-            ids = self.raw(" " + " ".join(some))
-            starts = np.flatnonzero(self.opens[ids])
+    def asked(self, pieces: list[str], at_once: int = 4_000) -> tuple[list[np.ndarray], np.ndarray]:
+        """Ids of pieces, each as it stands behind a space: the ids in order, and how many each has."""
+        ids, lengths = [], []
+        for at in range(0, len(pieces), at_once):
+            some = pieces[at : at + at_once]
+            got = self.raw(" " + " ".join(some))
+            starts = np.flatnonzero(self.opens[got])
             if len(starts) != len(some):
                 raise ValueError("pieces and ids do not match")
-            raw, size = ids.tobytes(), self.kind.itemsize
-            ends = [*(starts[1:] * size).tolist(), len(raw)]
-            known.update(zip(some, [raw[a:b] for a, b in zip((starts * size).tolist(), ends, strict=True)], strict=True))
-        for p, word in cut:
-            tail = p[len(word) :]
-            if tail not in tails:
-                tails[tail] = self.raw(tail).tobytes()
-            known[p] = known[word] + tails[tail]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian bytes."""
-        if len(self.known) > KNOWN_PIECES:
-            self.known = {}
-        get = self.known.get
-        cut = [t.split(" ") if self.plain(t) else None for t in texts]
-        found = [list(map(get, p[1:])) if p else None for p in cut]
-        new = {w for p, ids in zip(cut, found, strict=True) if ids and None in ids for w, i in zip(p[1:], ids, strict=True) if i is None}
-        if new:
-            self.learn(new)
-            known = self.known
-            found = [[known[w] if i is None else i for w, i in zip(p[1:], ids, strict=True)] if ids and None in ids else ids for p, ids in zip(cut, found, strict=True)]
-        return [self.raw(p[0]).tobytes() + b"".join(ids) if p else self.raw(t).tobytes() for t, p, ids in zip(texts, cut, found, strict=True)]
+            ids.append(got)
+            lengths.append(np.diff(starts, append=len(got)))
+        return ids, np.concatenate(lengths) if lengths else np.zeros(0, np.int64)
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text."""
+        whole = [i for i, t in enumerate(texts) if not self.plain(t)]
+        out: list[np.ndarray] = [np.zeros(0, self.kind)] * len(texts)
+        for i in whole:
+            out[i] = self.raw(texts[i])
+        cut = sorted(set(range(len(texts))) - set(whole))
+        if not cut:
+            return out
+        split = pa.compute.split_pattern(pa.array([texts[i] for i in cut], pa.large_string()), " ")
+        ends = split.offsets.to_numpy()
+        coded = split.flatten().dictionary_encode()
+        code = coded.indices.to_numpy().astype(np.int64)
+        pieces = coded.dictionary.to_pylist()
+        ids, lengths = self.asked(pieces)
+        # The first piece of each text takes a code of its own behind those of the distinct pieces.
+        first = [self.raw(pieces[c]) for c in code[ends[:-1]]]
+        code[ends[:-1]] = len(pieces) + np.arange(len(cut))
+        pool = np.concatenate([*ids, *first])
+        lengths = np.concatenate([lengths, [len(x) for x in first]]).astype(np.int64)
+        starts = np.cumsum(lengths) - lengths
+        n = lengths[code]
+        to = np.cumsum(n)
+        at = np.repeat((starts[code] - (to - n)).astype(np.int32), n)
+        at += np.arange(int(to[-1]), dtype=np.int32)
+        every = pool[at]
+        for i, x in zip(cut, np.split(every, to[ends[1:-1] - 1]), strict=True):
+            out[i] = x
+        return out
 
 
 _READY: dict[int, PieceEncoder] = {}
@@ -208,13 +212,13 @@ def ready(spec: str) -> PieceEncoder:
     return _READY[key]
 
 
-def chunks(batch: pa.RecordBatch, chars: int = 4_000_000, rows: int = 512) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch of few texts or characters (one text at least)."""
+def chunks(batch: pa.RecordBatch, chars: int = 32_000_000) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch of so many characters (one text at least)."""
     at = 0
     sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
     while at < batch.num_rows:
         to, total = at, 0
-        while to < batch.num_rows and to - at < rows and (to == at or total + sizes[to] <= chars):
+        while to < batch.num_rows and (to == at or total + sizes[to] <= chars):
             total += sizes[to]
             to += 1
         yield batch.slice(at, to - at)
@@ -231,9 +235,9 @@ def encoded(docs: DataFrame, spec: str, end_id: int, key: str, text: str) -> Dat
         squeeze = zstandard.ZstdCompressor(level=1).compress
         for batch in batches:
             for part in chunks(batch):
-                ids = [x + end for x in t.encode([v or "" for v in part.column(1).to_pylist()])]
-                n = [len(x) // t.kind.itemsize for x in ids]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array([squeeze(x) for x in ids], pa.binary())], ["doc_id", "n", "ids"])
+                ids = t.encode([v or "" for v in part.column(1).to_pylist()])
+                n = [len(x) + 1 for x in ids]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array([squeeze(x.tobytes() + end) for x in ids], pa.binary())], ["doc_id", "n", "ids"])
 
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "doc_id long, n long, ids binary")
 
