@@ -10,15 +10,17 @@ found.
    one representative, the smallest doc_id; they are never paired.
 2. Each set gives its prefix rows (token, set, size, position), once a task; tokens that only one
    set holds fall away.
-3. Tokens held by at most ``hot`` sets are joined with themselves under the length filter and the
+3. Rows whose token is too far back to be the first common token of a link fall away.  Tokens
+   still held by at most ``hot`` sets are joined with themselves under the length filter and the
    positional filter (at the first common token, what is left of the shorter set must suffice);
    pairs are made distinct.  Pairs of one set are cut into cells of ``cell`` partners.
 4. Tokens held by more sets are not joined: their sets, ordered by size, are cut into blocks, and
    a cell compares two blocks of one token, unless their sizes rule out any link.
-5. The texts of the sets that some cell needs are read again, and each cell verifies its pairs
-   once: the suffix filter first (counts of tokens in ranges of their hash bound the overlap),
-   then the exact overlap.  A pair that shares several hot tokens is verified in the cells of the
-   first one.  A cell returns the edges of a spanning forest of its links, never all links.
+5. The texts of the sets that some cell needs are read again, and each cell verifies its pairs:
+   length, positional and suffix filter first (counts of tokens in ranges of their hash bound the
+   overlap), then the exact overlap.  A pair that shares several hot tokens is verified in the
+   cell of the first one.  A cell returns the edges of a spanning forest of its links, never all
+   links.
 6. Components of these edges by alternating large and small stars; the tables between rounds are
    written to the shared folder.
 
@@ -41,13 +43,16 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesserae.llm.common import text_or_empty, written
 
 #: Counters of shingle frequencies.
-FREQUENCY_BITS = 16
+FREQUENCY_BITS = 20
+#: Counters in one row between tasks.
+CHUNK = 1 << 14
+NAMES = ["doc_id", "n", "hi", "lo", "chunk", "counts"]
 #: Texts hashed at a time.
 STEP_CHARS = 16_000_000
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -120,8 +125,7 @@ def needed_overlap(a: int | np.ndarray, b: int | np.ndarray, num: int, den: int)
 
 def set_table(docs: DataFrame, k: int, key: str, text: str) -> DataFrame:
     """doc_id, n, hi, lo of every row; and rows of frequency counters (chunk, counts)."""
-    schema = "doc_id long, n long, hi long, lo long, chunk int, counts array<long>"
-    width = 1 << 12
+    schema = "doc_id long, n long, hi long, lo long, chunk int, counts binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << FREQUENCY_BITS, np.int64)
@@ -132,23 +136,32 @@ def set_table(docs: DataFrame, k: int, key: str, text: str) -> DataFrame:
             counts += np.bincount((np.concatenate(sets) >> np.uint64(64 - FREQUENCY_BITS)).astype(np.int64), minlength=len(counts))
             ids = [set_id(s) for s in sets]
             none = pa.nulls(len(sets))
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([a for a, _ in ids], pa.int64()), pa.array([b for _, b in ids], pa.int64()), none.cast(pa.int32()), none.cast(pa.list_(pa.int64()))], ["doc_id", "n", "hi", "lo", "chunk", "counts"])
-        chunks = counts.reshape(-1, width)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([a for a, _ in ids], pa.int64()), pa.array([b for _, b in ids], pa.int64()), none.cast(pa.int32()), none.cast(pa.binary())], NAMES)
+        chunks = counts.astype("<i4").reshape(-1, CHUNK)
         none = pa.nulls(len(chunks)).cast(pa.int64())
-        yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(range(len(chunks)), pa.int32()), pa.array(list(chunks), pa.list_(pa.int64()))], ["doc_id", "n", "hi", "lo", "chunk", "counts"])
+        yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(range(len(chunks)), pa.int32()), pa.array([c.tobytes() for c in chunks], pa.binary())], NAMES)
 
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, schema)
 
 
 def frequencies(rows: DataFrame) -> np.ndarray:
-    """The rank of each counter, the least counted first (a fixed number of counters)."""
-    each = rows.where("chunk is not null").select("chunk", F.posexplode("counts").alias("at", "n"))
-    width = 1 << 12
+    """The rank of each counter, the least counted first.  Tasks add up the chunks dealt to them
+    one by one; a fixed number of counters comes to the driver."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for chunk, raw in zip(batch.column(0), batch.column(1), strict=True):
+                c = chunk.as_py()
+                sums[c] = sums.get(c, 0) + np.frombuffer(raw.as_py(), "<i4").astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], ["chunk", "counts"])
+
+    chunks = rows.where("chunk is not null").select("chunk", "counts").repartition(16, "chunk")
     total = np.zeros(1 << FREQUENCY_BITS, np.int64)
-    for r in each.groupBy("chunk", "at").agg(F.sum("n").alias("n")).toLocalIterator():
-        total[r["chunk"] * width + r["at"]] = r["n"]
-    rank = np.empty(len(total), np.uint64)
-    rank[np.argsort(total, kind="stable")] = np.arange(len(total), dtype=np.uint64)
+    for r in chunks.mapInArrow(add, "chunk int, counts binary").toLocalIterator():
+        total[r["chunk"] * CHUNK : (r["chunk"] + 1) * CHUNK] = np.frombuffer(r["counts"], np.int64)
+    rank = np.empty(len(total), np.uint32)
+    rank[np.argsort(total, kind="stable")] = np.arange(len(total), dtype=np.uint32)
     return rank
 
 
@@ -171,7 +184,7 @@ def prefix_rows(docs: DataFrame, k: int, num: int, den: int, rank: np.ndarray, t
                 seen.add(lo)
                 p = prefix_length(len(s), num, den)
                 # One key: the counter's rank above, the rest of the hash below it.
-                at = order[(s >> np.uint64(64) - down).astype(np.int64)] << np.uint64(64) - down | s & np.uint64((1 << 64 - FREQUENCY_BITS) - 1)
+                at = order[(s >> np.uint64(64) - down).astype(np.int64)].astype(np.uint64) << np.uint64(64) - down | s & np.uint64((1 << 64 - FREQUENCY_BITS) - 1)
                 least = np.sort(np.partition(at, p - 1)[:p]) if p < len(at) else np.sort(at)
                 token.append(least)
                 node.append(lo)
@@ -187,6 +200,17 @@ def prefix_rows(docs: DataFrame, k: int, num: int, den: int, rank: np.ndarray, t
     return docs.select(F.col(text).cast("string").alias("text")).mapInArrow(run, "token long, node long, n int, pos int")
 
 
+def squeezed(s: np.ndarray) -> bytes:
+    """A sorted set of 64-bit hashes by its upper 48 bits, six bytes each."""
+    return (s >> np.uint64(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def unsqueezed(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+    return out.view("<u8").reshape(-1) << np.uint64(16)
+
+
 def range_counts(sets: list[np.ndarray]) -> np.ndarray:
     """Tokens of each set in 64 ranges of the hash."""
     owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
@@ -251,22 +275,24 @@ def forest(edges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(root(x), x) for x in list(up) if root(x) != x]
 
 
-def links_in_cell(rep: list[int], side: np.ndarray, sets: list[np.ndarray], tokens: list[list[int]], token: int | None, same: bool, num: int, den: int) -> list[tuple[int, int]]:
-    """Verified links of a cell.  Without a token: its one set of side 0 against each of side 1.
-    With one: side 0 against side 1 (or side 0 within itself), pairs whose first common hot token
-    it is."""
+def links_in_cell(rep: list[int], side: np.ndarray, sets: list[np.ndarray], same: bool, num: int, den: int, token: int | None = None, pos: np.ndarray | None = None, tokens: list[list[int]] | None = None) -> list[tuple[int, int]]:
+    """Verified links of a cell: sets of side 0 against those of side 1, or among themselves.
+    In a cell of a token, pairs that share an earlier hot token are another cell's, and the
+    positional filter applies."""
     left = np.flatnonzero(side == 0)
     right = left if same else np.flatnonzero(side == 1)
     if not len(left) or not len(right):
         return []
     size = np.array([len(s) for s in sets], np.int64)
-    need = needed_overlap(size[left][:, None], size[right][None, :], num, den)
-    ok = np.minimum(size[left][:, None], size[right][None, :]) >= need
+    a, b = size[left][:, None], size[right][None, :]
+    need = needed_overlap(a, b, num, den)
+    ok = np.minimum(a, b) >= need
     if same:
         ok &= np.arange(len(left))[:, None] < np.arange(len(right))[None, :]
     if token is not None:
+        ok &= 1 + np.minimum(a - pos[left][:, None] - 1, b - pos[right][None, :] - 1) >= need
         before = sorted({t for ts in tokens for t in ts if t < token})
-        if before:
+        if before and ok.any():
             column = {t: i for i, t in enumerate(before)}
             holds = np.zeros((len(sets), len(before)), np.float32)
             for i, ts in enumerate(tokens):
@@ -294,70 +320,91 @@ def links_in_cell(rep: list[int], side: np.ndarray, sets: list[np.ndarray], toke
     return [(min(x, y), max(x, y)) for x, y in ((rep[left[a]], rep[right[b]]) for a, b in zip(i, j, strict=True)) if x != y]
 
 
-def cells_of(prefixes: DataFrame, num: int, den: int, hot: int, cell: int, block: int) -> DataFrame:
-    """node, task: struct(cell, side, same, token) of every set and every cell it is needed in."""
+def can_link(nx: Column, ny: Column, px: Column, py: Column, num: int, den: int) -> Column:
+    """The length filter and the positional filter for a first common token at px and py."""
+    long_enough = F.least(nx, ny) * den >= F.greatest(nx, ny) * num
+    return long_enough & ((1 + F.least(nx - px - 1, ny - py - 1)) * (num + den) >= num * (nx + ny))
+
+
+def held_tokens(prefixes: DataFrame, num: int, den: int) -> DataFrame:
+    """token, node, n, pos, k: rows of tokens that can be the first common token of a link; k
+    sets hold it.
+
+    The shorter set of a link has its first common token within its first
+    ``n - ceil(2t / (1 + t) n) + 1``; so a row further back needs a set of no more than its own
+    size that holds the token so far in front."""
     by_token = Window.partitionBy("token")
-    several = prefixes.withColumn("lo", F.min("node").over(by_token)).withColumn("hi", F.max("node").over(by_token)).where("lo < hi").select("token", "node", "n", "pos").dropDuplicates(["token", "node"])
-    held = written(several.withColumn("k", F.count(F.lit(1)).over(by_token)), "jaccard-held")
+    front = (F.col("n") - F.col("pos")) * (num + den) >= 2 * num * F.col("n")
+    rows = prefixes.withColumn("front", front)
+    seen = rows.select("*", F.min("node").over(by_token).alias("lo"), F.max("node").over(by_token).alias("hi"), F.min(F.when(F.col("front"), F.col("n"))).over(by_token).alias("least"), F.max(F.when(F.col("front"), F.col("n"))).over(by_token).alias("most"))
+    useful = seen.where("lo < hi and least is not null").where(F.col("front") | ((F.col("least") <= F.col("n")) & (F.col("most") * den >= F.col("n") * num)))
+    return useful.select("token", "node", "n", "pos").dropDuplicates(["token", "node"]).withColumn("k", F.count(F.lit(1)).over(by_token)).where("k > 1")
+
+
+def cells_of(prefixes: DataFrame, num: int, den: int, hot: int, cell: int, block: int) -> DataFrame:
+    """node, tasks (struct(c, side, same, token, pos)), tokens: the cells that each set is needed
+    in, and the hot tokens that it holds."""
+    held = written(held_tokens(prefixes, num, den), "jaccard-held")
 
     # Few sets: the join on the token, under the length and the positional filter.
     few = held.where(F.col("k") <= hot)
     a = few.select("token", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("pos").alias("px"))
     b = few.select("token", F.col("node").alias("y"), F.col("n").alias("ny"), F.col("pos").alias("py"))
-    fits = (F.col("x") < F.col("y")) & (F.least("nx", "ny") * den >= F.greatest("nx", "ny") * num) & ((1 + F.least(F.col("nx") - F.col("px") - 1, F.col("ny") - F.col("py") - 1)) * (num + den) >= num * (F.col("nx") + F.col("ny")))
+    fits = (F.col("x") < F.col("y")) & can_link(F.col("nx"), F.col("ny"), F.col("px"), F.col("py"), num, den)
     pairs = a.join(b, "token").where(fits).select("x", "y").distinct()
-    n = Window.partitionBy("x")
-    cut = pairs.withColumn("m", F.count(F.lit(1)).over(n)).withColumn("c", F.concat_ws(".", F.lit("p"), "x", F.pmod(F.xxhash64("y"), F.ceil(F.col("m") / cell))))
-    none = F.lit(None).cast("long")
-    of_pairs = cut.select(F.col("y").alias("node"), "c", F.lit(1).alias("side"), F.lit(False).alias("same"), none.alias("token")).unionByName(cut.select(F.col("x").alias("node"), "c", F.lit(0).alias("side"), F.lit(False).alias("same"), none.alias("token")).distinct())
+    cut = pairs.withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("x"))).withColumn("c", F.concat_ws(".", F.lit("p"), "x", F.pmod(F.xxhash64("y"), F.ceil(F.col("m") / cell))))
+    plain = [F.lit(False).alias("same"), F.lit(None).cast("long").alias("token"), F.lit(0).alias("pos")]
+    ys = cut.select(F.col("y").alias("node"), "c", F.lit(1).alias("side"), *plain)
+    xs = cut.select(F.col("x").alias("node"), "c", F.lit(0).alias("side"), *plain).distinct()
 
     # Many sets: blocks of the token's sets by size, each block against itself and later ones.
     many = held.where(F.col("k") > hot)
     by_size = Window.partitionBy("token").orderBy("n", "node")
-    blocked = many.select("token", "node", "n", F.floor((F.row_number().over(by_size) - 1) / block).cast("int").alias("i"))
+    blocked = many.select("token", "node", "n", "pos", F.floor((F.row_number().over(by_size) - 1) / block).cast("int").alias("i"))
     spans = blocked.groupBy("token", "i").agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    left = spans.select("token", F.col("i").alias("i"), F.col("most").alias("most_i"))
+    left = spans.select("token", "i", F.col("most").alias("most_i"))
     right = spans.select("token", F.col("i").alias("j"), F.col("least").alias("least_j"))
     met = left.join(right, "token").where((F.col("i") <= F.col("j")) & (F.col("most_i") * den >= F.col("least_j") * num)).select("token", "i", "j")
-    name = F.concat_ws(".", F.lit("t"), "token", "i", "j")
-    first = blocked.join(met, ["token", "i"]).select("node", name.alias("c"), F.lit(0).alias("side"), (F.col("i") == F.col("j")).alias("same"), "token")
-    second = blocked.withColumnRenamed("i", "j").join(met.where("i < j"), ["token", "j"]).select("node", name.alias("c"), F.lit(1).alias("side"), F.lit(False).alias("same"), "token")
-    tasks = of_pairs.unionByName(first).unionByName(second)
-    return tasks.groupBy("node").agg(F.collect_list(F.struct("c", "side", "same", "token")).alias("tasks"), F.array_sort(F.collect_set("token")).alias("tokens"))
+    name = F.concat_ws(".", F.lit("t"), "token", "i", "j").alias("c")
+    first = blocked.join(met, ["token", "i"]).select("node", name, F.lit(0).alias("side"), (F.col("i") == F.col("j")).alias("same"), "token", "pos")
+    second = blocked.withColumnRenamed("i", "j").join(met.where("i < j"), ["token", "j"]).select("node", name, F.lit(1).alias("side"), F.lit(False).alias("same"), "token", "pos")
+    tasks = ys.unionByName(xs).unionByName(first).unionByName(second)
+    return tasks.groupBy("node").agg(F.collect_list(F.struct("c", "side", "same", "token", "pos")).alias("tasks"), F.array_sort(F.collect_set("token")).alias("tokens"))
 
 
 def verified_edges(docs: DataFrame, reps: DataFrame, tasks: DataFrame, k: int, num: int, den: int, key: str, text: str) -> DataFrame:
     """a, b: edges of spanning forests of the links in all cells."""
     wanted = written(tasks.join(reps.select(F.col("lo").alias("node"), "rep"), "node").select("rep", "tasks", "tokens"), "jaccard-wanted")
-    texts = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(NO_ID)).alias("rep"), F.col(text).cast("string").alias("text"), F.lit(1).alias("have"))
+    texts = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(NO_ID)).alias("rep"), F.col(text).cast("string").alias("text"))
     got = texts.join(wanted, "rep").select("rep", "text", "tasks", "tokens")
+    names = ["cell", "side", "same", "token", "pos", "rep", "set", "tokens"]
+    types = [pa.string(), pa.int32(), pa.bool_(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.list_(pa.int64())]
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["cell", "side", "same", "token", "rep", "set", "tokens"]
-        types = [pa.string(), pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())]
+        def flush() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+
         for part in steps(batches, 1):
-            sets = shingle_sets(texts_of(part.column(1)), k)
             rows: list[tuple] = []
             held = 0
-            for rep, s, ts, tokens in zip(part.column(0).to_pylist(), sets, part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True):
-                raw = s.tobytes()
+            for rep, s, ts, tokens in zip(part.column(0).to_pylist(), shingle_sets(texts_of(part.column(1)), k), part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True):
+                raw = squeezed(s)
                 for t in ts:
-                    rows.append((t["c"], t["side"], t["same"], t["token"], rep, raw, tokens if t["token"] is not None else []))
+                    rows.append((t["c"], t["side"], t["same"], t["token"], t["pos"], rep, raw, tokens if t["token"] is not None else []))
                     held += len(raw)
                     if held > STEP_CHARS:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+                        yield flush()
                         rows, held = [], 0
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+                yield flush()
 
     def compare(rows: pa.Table) -> pa.Table:
-        sets = [np.frombuffer(x, np.uint64) for x in rows.column("set").to_pylist()]
-        side = rows.column("side").to_numpy()
-        found = links_in_cell(rows.column("rep").to_pylist(), side, sets, rows.column("tokens").to_pylist(), rows.column("token")[0].as_py(), rows.column("same")[0].as_py(), num, den)
+        sets = [unsqueezed(x) for x in rows.column("set").to_pylist()]
+        found = links_in_cell(rows.column("rep").to_pylist(), rows.column("side").to_numpy(), sets, rows.column("same")[0].as_py(), num, den, rows.column("token")[0].as_py(), rows.column("pos").to_numpy(), rows.column("tokens").to_pylist())
         edges = forest(found)
         return pa.table({"a": pa.array([a for a, _ in edges], pa.int64()), "b": pa.array([b for _, b in edges], pa.int64())})
 
-    cells = got.mapInArrow(spread, "cell string, side int, same boolean, token long, rep long, set binary, tokens array<long>")
+    cells = got.mapInArrow(spread, "cell string, side int, same boolean, token long, pos int, rep long, set binary, tokens array<long>")
     return cells.groupBy("cell").applyInArrow(compare, "a long, b long").distinct()
 
 
