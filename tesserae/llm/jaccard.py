@@ -16,12 +16,13 @@ found.
    pairs are made distinct.  Pairs of one set are cut into cells of ``cell`` partners.
 4. Tokens held by more sets are not joined: their sets, ordered by size, are cut into blocks, and
    a cell compares two blocks of one token, unless their sizes rule out any link.
-5. The texts of the sets that some cell needs are read again, and each cell verifies its pairs:
-   length, positional and suffix filter first (counts of tokens in ranges of their hash bound the
-   overlap), then the exact overlap.  A pair that shares several hot tokens is verified in the
-   cell of the first one.  A cell returns the edges of a spanning forest of its links, never all
-   links.
-6. Components of these edges by alternating large and small stars; the tables between rounds are
+5. Cells are first sifted on bitmaps of a bit or two per shingle: length, positional and suffix
+   filter (two sets differ in at least as many shingles as their parity bitmaps in bits).
+   Members without a pair that passes fall away.
+6. The texts of the sets that are left are read again, and each cell verifies its pairs by exact
+   overlap.  A pair that shares several hot tokens is verified in the cell of the first one.  A
+   cell returns the edges of a spanning forest of its links, never all links.
+7. Components of these edges by alternating large and small stars; the tables between rounds are
    written to the shared folder.
 
 No step holds a group of unbounded size, and no count of rows grows with the square of a group:
@@ -38,6 +39,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -52,9 +54,11 @@ from tesserae.llm.common import text_or_empty, written
 FREQUENCY_BITS = 20
 #: Counters in one row between tasks.
 CHUNK = 1 << 14
-NAMES = ["doc_id", "n", "hi", "lo", "chunk", "counts"]
+NAMES = ["doc_id", "n", "hi", "lo", "bits", "chunk", "counts"]
 #: Texts hashed at a time.
-STEP_CHARS = 16_000_000
+STEP_CHARS = 4_000_000
+#: Estimated bytes of a table up to which it is broadcast.
+BROADCAST_BYTES = 64 << 20
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -123,9 +127,52 @@ def needed_overlap(a: int | np.ndarray, b: int | np.ndarray, num: int, den: int)
     return -(-num * (a + b) // (num + den))
 
 
+def parity_bits(n: int) -> int:
+    """Bits of a set's bitmap: a power of two, no fewer than its shingles."""
+    return max(64, 1 << (n - 1).bit_length())
+
+
+def parity_bitmap(s: np.ndarray) -> bytes:
+    """Bit i is the parity of the number of hashes in the i-th of equal ranges."""
+    bits = parity_bits(len(s))
+    at = (s >> np.uint64(65 - bits.bit_length())).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=bits) & 1).astype(np.uint8)).tobytes()
+
+
+def folded(bits: np.ndarray, to: int) -> np.ndarray:
+    """Bitmaps (rows of 0 and 1) of the same sets with fewer, wider ranges."""
+    while bits.shape[1] > to:
+        bits = bits[:, 0::2] ^ bits[:, 1::2]
+    return bits
+
+
+def suffix_filter(ok: np.ndarray, left: np.ndarray, right: np.ndarray, sizes: np.ndarray, maps: list[bytes], num: int, den: int) -> np.ndarray:
+    """Pairs whose overlap can still suffice: two sets differ in at least as many hashes as their
+    parity bitmaps in bits.  Sizes of pairs that passed the length filter are so close that their
+    bitmaps are of one width or of neighbouring ones."""
+    out = np.zeros_like(ok)
+    width = np.array([8 * len(m) for m in maps])
+    for w in np.unique(width):
+        rows, cols = np.flatnonzero((width[left] == w) | (width[left] == 2 * w)), np.flatnonzero((width[right] == w) | (width[right] == 2 * w))
+        if not len(rows) or not len(cols) or not ok[np.ix_(rows, cols)].any():
+            continue
+        mine = np.minimum(width[left[rows]][:, None], width[right[cols]][None, :]) == w
+        a, b = bit_rows([maps[i] for i in left[rows]], w), bit_rows([maps[i] for i in right[cols]], w)
+        differ = a.sum(axis=1)[:, None] + b.sum(axis=1)[None, :] - 2 * (a @ b.T)
+        total = sizes[left[rows]][:, None] + sizes[right[cols]][None, :]
+        enough = (total - differ) // 2 >= needed_overlap(sizes[left[rows]][:, None], sizes[right[cols]][None, :], num, den)
+        out[np.ix_(rows, cols)] |= enough & mine
+    return ok & out
+
+
+def bit_rows(maps: list[bytes], width: int) -> np.ndarray:
+    rows = [folded(np.unpackbits(np.frombuffer(m, np.uint8))[None, :], width) for m in maps]
+    return np.concatenate(rows).astype(np.float32)
+
+
 def set_table(docs: DataFrame, k: int, key: str, text: str) -> DataFrame:
     """doc_id, n, hi, lo of every row; and rows of frequency counters (chunk, counts)."""
-    schema = "doc_id long, n long, hi long, lo long, chunk int, counts binary"
+    schema = "doc_id long, n long, hi long, lo long, bits binary, chunk int, counts binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << FREQUENCY_BITS, np.int64)
@@ -136,10 +183,10 @@ def set_table(docs: DataFrame, k: int, key: str, text: str) -> DataFrame:
             counts += np.bincount((np.concatenate(sets) >> np.uint64(64 - FREQUENCY_BITS)).astype(np.int64), minlength=len(counts))
             ids = [set_id(s) for s in sets]
             none = pa.nulls(len(sets))
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([a for a, _ in ids], pa.int64()), pa.array([b for _, b in ids], pa.int64()), none.cast(pa.int32()), none.cast(pa.binary())], NAMES)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([a for a, _ in ids], pa.int64()), pa.array([b for _, b in ids], pa.int64()), pa.array([parity_bitmap(s) if len(s) else None for s in sets], pa.binary()), none.cast(pa.int32()), pa.nulls(len(sets), pa.binary())], NAMES)
         chunks = counts.astype("<i4").reshape(-1, CHUNK)
         none = pa.nulls(len(chunks)).cast(pa.int64())
-        yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(range(len(chunks)), pa.int32()), pa.array([c.tobytes() for c in chunks], pa.binary())], NAMES)
+        yield pa.RecordBatch.from_arrays([none, none, none, none, pa.nulls(len(chunks), pa.binary()), pa.array(range(len(chunks)), pa.int32()), pa.array([c.tobytes() for c in chunks], pa.binary())], NAMES)
 
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, schema)
 
@@ -211,18 +258,6 @@ def unsqueezed(raw: bytes) -> np.ndarray:
     return out.view("<u8").reshape(-1) << np.uint64(16)
 
 
-def range_counts(sets: list[np.ndarray]) -> np.ndarray:
-    """Tokens of each set in 64 ranges of the hash."""
-    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    every = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-    return np.bincount(owner * 64 + (every >> np.uint64(58)).astype(np.int64), minlength=64 * len(sets)).reshape(-1, 64)
-
-
-def suffix_bound(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """No overlap is larger than the sum of the smaller counts over the ranges."""
-    return np.minimum(a, b).sum(axis=-1)
-
-
 def overlap(a: np.ndarray, b: np.ndarray) -> int:
     """Common values of two sorted arrays without repeats."""
     if len(a) > len(b):
@@ -275,49 +310,65 @@ def forest(edges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(root(x), x) for x in list(up) if root(x) != x]
 
 
-def links_in_cell(rep: list[int], side: np.ndarray, sets: list[np.ndarray], same: bool, num: int, den: int, token: int | None = None, pos: np.ndarray | None = None, tokens: list[list[int]] | None = None) -> list[tuple[int, int]]:
-    """Verified links of a cell: sets of side 0 against those of side 1, or among themselves.
-    In a cell of a token, pairs that share an earlier hot token are another cell's, and the
-    positional filter applies."""
-    left = np.flatnonzero(side == 0)
-    right = left if same else np.flatnonzero(side == 1)
-    if not len(left) or not len(right):
-        return []
-    size = np.array([len(s) for s in sets], np.int64)
-    a, b = size[left][:, None], size[right][None, :]
-    need = needed_overlap(a, b, num, den)
-    ok = np.minimum(a, b) >= need
-    if same:
-        ok &= np.arange(len(left))[:, None] < np.arange(len(right))[None, :]
-    if token is not None:
-        ok &= 1 + np.minimum(a - pos[left][:, None] - 1, b - pos[right][None, :] - 1) >= need
-        before = sorted({t for ts in tokens for t in ts if t < token})
-        if before and ok.any():
-            column = {t: i for i, t in enumerate(before)}
-            holds = np.zeros((len(sets), len(before)), np.float32)
-            for i, ts in enumerate(tokens):
-                for t in ts:
-                    if t < token:
-                        holds[i, column[t]] = 1
-            ok &= holds[left] @ holds[right].T == 0
-    if not ok.any():
-        return []
-    counts = range_counts(sets)
-    i, j = np.nonzero(ok)
-    for start in range(0, len(i), 65536):
-        a, b = i[start : start + 65536], j[start : start + 65536]
-        ok[a, b] = suffix_bound(counts[left[a]], counts[right[b]]) >= need[a, b]
-    i, j = np.nonzero(ok)
-    if len(i) > 4 * (len(left) + len(right)):
-        rows, cols = np.flatnonzero(ok.any(axis=1)), np.flatnonzero(ok.any(axis=0))
-        got = block_overlaps([sets[left[r]] for r in rows], [sets[right[c]] for c in cols])
-        full = np.zeros(ok.shape)
-        full[np.ix_(rows, cols)] = got
-        i, j = np.nonzero(ok & (full >= need))
-    else:
-        true = [overlap(sets[left[a]], sets[right[b]]) >= need[a, b] for a, b in zip(i, j, strict=True)]
-        i, j = i[true], j[true]
-    return [(min(x, y), max(x, y)) for x, y in ((rep[left[a]], rep[right[b]]) for a, b in zip(i, j, strict=True)) if x != y]
+@dataclass
+class Cell:
+    """The members of a cell, whose pairs are those of side 0 with side 1, or among themselves."""
+
+    rep: list[int]
+    side: np.ndarray
+    sizes: np.ndarray
+    same: bool
+    token: int | None
+    pos: np.ndarray
+    tokens: list[list[int]]
+
+    @staticmethod
+    def of(rows: pa.Table) -> Cell:
+        return Cell(rows.column("rep").to_pylist(), rows.column("side").to_numpy(), rows.column("n").to_numpy(), rows.column("same")[0].as_py(), rows.column("token")[0].as_py(), rows.column("pos").to_numpy(), rows.column("tokens").to_pylist())
+
+    def possible(self, num: int, den: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(left, right, pairs that pass the length filter).  In a cell of a token the positional
+        filter applies, and pairs that share an earlier hot token are another cell's."""
+        left = np.flatnonzero(self.side == 0)
+        right = left if self.same else np.flatnonzero(self.side == 1)
+        a, b = self.sizes[left][:, None].astype(np.int64), self.sizes[right][None, :].astype(np.int64)
+        need = needed_overlap(a, b, num, den)
+        ok = np.minimum(a, b) >= need
+        if self.same:
+            ok &= np.arange(len(left))[:, None] < np.arange(len(right))[None, :]
+        if self.token is not None and ok.any():
+            ok &= 1 + np.minimum(a - self.pos[left][:, None] - 1, b - self.pos[right][None, :] - 1) >= need
+            before = sorted({t for ts in self.tokens for t in ts if t < self.token})
+            if before and ok.any():
+                column = {t: i for i, t in enumerate(before)}
+                holds = np.zeros((len(self.rep), len(before)), np.float32)
+                for i, ts in enumerate(self.tokens):
+                    for t in ts:
+                        if t < self.token:
+                            holds[i, column[t]] = 1
+                ok &= holds[left] @ holds[right].T == 0
+        return left, right, ok
+
+    def hopeful(self, maps: list[bytes], num: int, den: int) -> np.ndarray:
+        """Members with a pair that passes the suffix filter too."""
+        left, right, ok = self.possible(num, den)
+        if ok.any():
+            ok = suffix_filter(ok, left, right, self.sizes.astype(np.int64), maps, num, den)
+        return np.unique(np.concatenate([left[ok.any(axis=1)], right[ok.any(axis=0)]]))
+
+    def links(self, sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
+        """The verified links."""
+        left, right, ok = self.possible(num, den)
+        i, j = np.nonzero(ok)
+        need = needed_overlap(self.sizes[left[i]].astype(np.int64), self.sizes[right[j]].astype(np.int64), num, den)
+        if len(i) > 4 * (len(left) + len(right)):
+            rows, cols = np.flatnonzero(ok.any(axis=1)), np.flatnonzero(ok.any(axis=0))
+            full = np.zeros(ok.shape)
+            full[np.ix_(rows, cols)] = block_overlaps([sets[left[r]] for r in rows], [sets[right[c]] for c in cols])
+            true = full[i, j] >= need
+        else:
+            true = np.array([overlap(sets[left[a]], sets[right[b]]) for a, b in zip(i, j, strict=True)]) >= need
+        return [(min(x, y), max(x, y)) for x, y in ((self.rep[left[a]], self.rep[right[b]]) for a, b in zip(i[true], j[true], strict=True)) if x != y]
 
 
 def can_link(nx: Column, ny: Column, px: Column, py: Column, num: int, den: int) -> Column:
@@ -372,13 +423,35 @@ def cells_of(prefixes: DataFrame, num: int, den: int, hot: int, cell: int, block
     return tasks.groupBy("node").agg(F.collect_list(F.struct("c", "side", "same", "token", "pos")).alias("tasks"), F.array_sort(F.collect_set("token")).alias("tokens"))
 
 
+MEMBER = "cell string, side int, same boolean, token long, pos int, rep long, n long, tokens array<long>"
+
+
+def sifted(tasks: DataFrame, reps: DataFrame, num: int, den: int) -> DataFrame:
+    """rep, tasks, tokens: what is left of the cells once the filters have run on bitmaps, which
+    are a small part of the sets."""
+    each = tasks.join(reps.select(F.col("lo").alias("node"), "rep", "n", "bits"), "node").select("rep", "n", "bits", "tokens", F.explode("tasks").alias("t"))
+    none = F.array().cast("array<bigint>")
+    members = each.select(F.col("t.c").alias("cell"), "t.side", "t.same", "t.token", "t.pos", "rep", "n", F.when(F.col("t.token").isNull(), none).otherwise(F.col("tokens")).alias("tokens"), "bits")
+
+    def sift(rows: pa.Table) -> pa.Table:
+        keep = Cell.of(rows).hopeful(rows.column("bits").to_pylist(), num, den)
+        return rows.take(pa.array(keep)).drop_columns(["bits"])
+
+    left = members.groupBy("cell").applyInArrow(sift, MEMBER)
+    task = F.struct("cell", "side", "same", "token", "pos")
+    return left.groupBy("rep").agg(F.collect_list(task).alias("tasks"), F.max_by("tokens", F.size("tokens")).alias("tokens"))
+
+
 def verified_edges(docs: DataFrame, reps: DataFrame, tasks: DataFrame, k: int, num: int, den: int, key: str, text: str) -> DataFrame:
     """a, b: edges of spanning forests of the links in all cells."""
-    wanted = written(tasks.join(reps.select(F.col("lo").alias("node"), "rep"), "node").select("rep", "tasks", "tokens"), "jaccard-wanted")
+    wanted = written(sifted(tasks, reps, num, den), "jaccard-wanted")
     texts = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(NO_ID)).alias("rep"), F.col(text).cast("string").alias("text"))
-    got = texts.join(wanted, "rep").select("rep", "text", "tasks", "tokens")
-    names = ["cell", "side", "same", "token", "pos", "rep", "set", "tokens"]
-    types = [pa.string(), pa.int32(), pa.bool_(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.list_(pa.int64())]
+    # The texts stay where they are while the other side is small; beyond that both are shuffled.
+    load = wanted.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(F.size("tasks")), F.lit(0)).alias("tasks"), F.coalesce(F.sum(F.size("tokens")), F.lit(0)).alias("tokens")).collect()[0]
+    small = 32 * load["rows"] + 96 * load["tasks"] + 8 * load["tokens"] <= BROADCAST_BYTES
+    got = texts.join(F.broadcast(wanted) if small else wanted, "rep").select("rep", "text", "tasks", "tokens")
+    names = ["cell", "side", "same", "token", "pos", "rep", "n", "tokens", "set"]
+    types = [pa.string(), pa.int32(), pa.bool_(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary()]
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush() -> pa.RecordBatch:
@@ -390,7 +463,7 @@ def verified_edges(docs: DataFrame, reps: DataFrame, tasks: DataFrame, k: int, n
             for rep, s, ts, tokens in zip(part.column(0).to_pylist(), shingle_sets(texts_of(part.column(1)), k), part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True):
                 raw = squeezed(s)
                 for t in ts:
-                    rows.append((t["c"], t["side"], t["same"], t["token"], t["pos"], rep, raw, tokens if t["token"] is not None else []))
+                    rows.append((t["cell"], t["side"], t["same"], t["token"], t["pos"], rep, len(s), tokens if t["token"] is not None else [], raw))
                     held += len(raw)
                     if held > STEP_CHARS:
                         yield flush()
@@ -400,11 +473,10 @@ def verified_edges(docs: DataFrame, reps: DataFrame, tasks: DataFrame, k: int, n
 
     def compare(rows: pa.Table) -> pa.Table:
         sets = [unsqueezed(x) for x in rows.column("set").to_pylist()]
-        found = links_in_cell(rows.column("rep").to_pylist(), rows.column("side").to_numpy(), sets, rows.column("same")[0].as_py(), num, den, rows.column("token")[0].as_py(), rows.column("pos").to_numpy(), rows.column("tokens").to_pylist())
-        edges = forest(found)
+        edges = forest(Cell.of(rows).links(sets, num, den))
         return pa.table({"a": pa.array([a for a, _ in edges], pa.int64()), "b": pa.array([b for _, b in edges], pa.int64())})
 
-    cells = got.mapInArrow(spread, "cell string, side int, same boolean, token long, pos int, rep long, set binary, tokens array<long>")
+    cells = got.mapInArrow(spread, f"{MEMBER}, set binary")
     return cells.groupBy("cell").applyInArrow(compare, "a long, b long").distinct()
 
 
@@ -438,9 +510,9 @@ def jaccard_classes(docs: DataFrame, k: int = 3, num: int = 9, den: int = 10, ke
     if not 0 < num <= den or math.gcd(num, den) < 1:
         raise ValueError("the threshold is a fraction in (0, 1]")
     rows = written(set_table(docs, k, key, text), "jaccard-sets")
-    sets = rows.where("chunk is null").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), F.col("doc_id"), "n", "hi", "lo")
+    sets = rows.where("chunk is null").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), F.col("doc_id"), "n", "hi", "lo", "bits")
     some = sets.where("n > 0")
-    reps = written(some.groupBy("hi", "lo").agg(F.min("id").alias("rep")), "jaccard-reps")
+    reps = written(some.groupBy("hi", "lo").agg(F.min("id").alias("rep"), F.any_value("n").alias("n"), F.any_value("bits").alias("bits")), "jaccard-reps")
     prefixes = prefix_rows(docs, k, num, den, frequencies(rows), text)
     tasks = cells_of(prefixes, num, den, hot, cell, block)
     roots = components(verified_edges(docs, reps, tasks, k, num, den, key, text))
