@@ -16,11 +16,11 @@ existing arc.  Decoding emits the labels of the arcs.
 
 Words come from the tokenizer's own rules: special tokens are cut out first, then canonical
 composition, lower case, and the pre-split pattern.  Texts are cut at spaces and line feeds,
-which never stand inside a word, and each distinct piece is encoded once and kept.
+which never stand inside a word, and each distinct piece of a batch is encoded once.
 
 Defined results: a null or empty text has no tokens, and decodes to the empty text; equal texts
-have equal results; very long texts are read whole, and memory holds one batch and a bounded
-number of known pieces; an empty table gives an empty result.
+have equal results; very long texts are read whole, and memory holds one batch at a time; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,13 +30,16 @@ import json
 import unicodedata
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: Known pieces a worker keeps before it starts anew.
-KNOWN_PIECES = 900_000
+#: Bytes of text whose pieces are encoded together.
+STEP_BYTES = 32_000_000
 
 
 def byte_symbols() -> list[str]:
@@ -152,18 +155,6 @@ class Automaton:
         return out[::-1]
 
 
-class Known(dict):
-    """Pieces seen so far; others are worked out when they are asked for."""
-
-    def __init__(self, work) -> None:
-        super().__init__()
-        self.work = work
-
-    def __missing__(self, piece: str) -> tuple[str, str]:
-        value = self[piece] = self.work(piece)
-        return value
-
-
 class WordBpe:
     """A tokenizer file of the kind: composition, lower case, pre-split words, BPE with word ends."""
 
@@ -179,7 +170,6 @@ class WordBpe:
         self.words = regex.compile(split["pattern"]["Regex"])
         self.cuts = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.symbols = byte_symbols()
-        self.known = Known(self.digest_piece)
         self.known_words: dict[str, tuple[str, str]] = {}
 
     def parts(self, piece: str) -> list[str | int]:
@@ -209,8 +199,6 @@ class WordBpe:
             if known is None:
                 ids = self.automaton.encode_word(part)
                 known = " ".join(map(str, ids)), self.decode(ids)
-                if len(self.known_words) >= KNOWN_PIECES:
-                    self.known_words.clear()
                 self.known_words[part] = known
             found.append(known)
         return found[0] if len(found) == 1 else (" ".join([a for a, _ in found]), " ".join([b for _, b in found]))
@@ -222,24 +210,47 @@ class WordBpe:
         """The labels of the arcs, one space between them."""
         return " ".join([self.labels[i] for i in ids])
 
+    def digests(self, texts: list[str]) -> Iterator[tuple[int, str, str]]:
+        """For each text the number of tokens, the ids joined by one space, and the decoded text.
+
+        Distinct pieces of all texts are encoded once; nothing is kept for the next call."""
+        column = pc.replace_substring(pa.array(texts, pa.large_string()), "\n", " ")
+        split = pc.split_pattern(column, " ")
+        ends = split.offsets.to_numpy()
+        coded = split.flatten().dictionary_encode()
+        found = [self.digest_piece(p) if p else ("", "") for p in coded.dictionary.to_pylist()]
+        self.known_words.clear()
+        ids, back = np.empty(len(found), object), np.empty(len(found), object)
+        ids[:], back[:] = [a for a, _ in found], [b for _, b in found]
+        code = coded.indices.to_numpy()
+        some = np.array([bool(a) for a, _ in found], bool)[code]  # pieces without tokens fall away
+        ends = np.concatenate([[0], np.cumsum(some)])[ends - ends[0]]
+        code = code[some]
+        for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+            joined = " ".join(ids[code[a:b]].tolist())
+            yield (joined.count(" ") + 1 if joined else 0), joined, " ".join(back[code[a:b]].tolist())
+
     def digest(self, text: str | None) -> tuple[int, str, str]:
-        """Number of tokens, the ids joined by one space, and the decoded text."""
-        pieces = (text or "").replace("\n", " ").split(" ")
-        if "" in pieces:
-            pieces = [p for p in pieces if p]
-        if len(self.known) > KNOWN_PIECES:
-            self.known.clear()
-        found = list(map(self.known.__getitem__, pieces))
-        ids = " ".join([a for a, _ in found])
-        back = " ".join([b for _, b in found])
-        if "  " in ids or ids[:1] == " " or ids[-1:] == " ":  # pieces without tokens
-            ids, back = " ".join(ids.split()), " ".join(back.split())
-        return (ids.count(" ") + 1 if ids else 0), ids, back
+        return next(self.digests([text or ""]))
 
     def encode(self, text: str | None) -> list[int]:
         return [int(x) for x in self.digest(text)[1].split()]
 
 
+def parts_of(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[pa.RecordBatch]:
+    """Slices of batches with about ``STEP_BYTES`` of text, a row at least."""
+    for batch in batches:
+        size = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
+        at = 0
+        while at < batch.num_rows:
+            to, total = at, 0
+            while to < batch.num_rows and (to == at or total + size[to] <= STEP_BYTES):
+                total += size[to]
+                to += 1
+            yield batch.slice(at, to - at)
+            at = to
+
+
 _READY: dict[str, WordBpe] = {}
 
 
@@ -260,10 +271,9 @@ def encode_digests(docs: DataFrame, tokenizer_path: str, key: str = "doc_id", te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = ready(spec.value)
-        for batch in batches:
+        for batch in parts_of(batches, 1):
             n, ids_sha, back_sha = [], [], []
-            for value in batch.column(1):
-                count, ids, back = t.digest(value.as_py())
+            for count, ids, back in t.digests([v or "" for v in batch.column(1).to_pylist()]):
                 n.append(count)
                 ids_sha.append(hashlib.sha256(ids.encode()).hexdigest())
                 back_sha.append(hashlib.sha256(back.encode()).hexdigest())
@@ -276,13 +286,13 @@ def encode_ids(docs: DataFrame, tokenizer_path: str, text: str = "text", ids: st
     """``docs`` and two columns more: the token ids and the decoded text of each row."""
     spec = docs.sparkSession.sparkContext.broadcast(open(tokenizer_path, encoding="utf-8").read())
     at = docs.columns.index(text)
-    schema = docs.schema.add(ids, "array<int>").add(decoded, "string")
+    schema = T.StructType([*docs.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType())), T.StructField(decoded, T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = ready(spec.value)
-        for batch in batches:
-            found = [t.digest(v.as_py())[1:] for v in batch.column(at)]
-            more = [pa.array([[int(x) for x in i.split()] for i, _ in found], pa.list_(pa.int32())), pa.array([b for _, b in found], pa.string())]
+        for batch in parts_of(batches, at):
+            found = list(t.digests([v or "" for v in batch.column(at).to_pylist()]))
+            more = [pa.array([[int(x) for x in i.split()] for _, i, _ in found], pa.list_(pa.int32())), pa.array([b for _, _, b in found], pa.string())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*batch.schema.names, ids, decoded])
 
     return docs.mapInArrow(run, schema)
