@@ -31,6 +31,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tesserae.llm.common import hash_sample
+
 BIG = 1 << 30
 
 
@@ -191,7 +193,7 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, parts: int = 32, sa
     if not sizes:
         return spark.createDataFrame([], schema)
     rows = rows.where(F.size("v") == sizes[0]["d"])
-    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample_rows).toPandas()
+    sample = hash_sample(rows, sample_rows, "vec_id").toPandas()
     shared = spark.sparkContext.broadcast(fit(np.stack(sample["v"].to_numpy()).astype(np.float64), parts, k, aim))
     hashed = rows.select("vec_id", "v", F.pmod(F.xxhash64(F.col("vec_id"), F.lit(1)), F.lit(BIG)).alias("h"))
 

@@ -124,14 +124,14 @@ def mix(docs: DataFrame, max_epochs: float | None = 2.0, target_entropy: float |
     plan = written(source_plan(totals, max_epochs, target_entropy, budget_tokens), "mix-plan")
     marks = plan.join(end_marks(rows, plan, seed), "key", "left")
     # Written, so that its size is known before the join with the texts is planned.
-    ends = written(marks.select(F.col("key").alias("__key"), F.col("weight").alias("mix_weight"), "epochs", "rest", "mark"), "mix-ends")
-    drawn = mixed.join(ends, "__key")
-    own = F.struct(hashed(F.lit(seed).cast("string"), F.col("__key"), F.col("epochs").cast("string"), F.col("__block")).alias("at"), F.col("__in").alias("in_block"), F.coalesce(F.col(key).cast("long"), F.lit(-(2**63))).alias("doc_id"), F.col("mix_tokens").alias("n_tokens"))
-    more = F.when((F.col("rest") > 0) & (own < F.col("mark")), 1).otherwise(0)
-    epochs = F.when(F.col("epochs") + more > 0, F.sequence(F.lit(0), F.col("epochs") + more - 1)).otherwise(F.array().cast("array<int>"))
+    ends = written(marks.select(F.col("key").alias("__key"), F.col("weight").alias("mix_weight"), F.col("epochs").alias("__epochs"), F.col("rest").alias("__rest"), F.col("mark").alias("__mark")), "mix-ends")
+    drawn = mixed.drop("mix_weight").join(ends, "__key")
+    own = F.struct(hashed(F.lit(seed).cast("string"), F.col("__key"), F.col("__epochs").cast("string"), F.col("__block")).alias("at"), F.col("__in").alias("in_block"), F.coalesce(F.col(key).cast("long"), F.lit(-(2**63))).alias("doc_id"), F.col("mix_tokens").alias("n_tokens"))
+    more = F.when((F.col("__rest") > 0) & (own < F.col("__mark")), 1).otherwise(0)
+    epochs = F.when(F.col("__epochs") + more > 0, F.sequence(F.lit(0), F.col("__epochs") + more - 1)).otherwise(F.array().cast("array<int>"))
     out = drawn.withColumn("mix_epoch", F.explode(epochs))
     place = F.concat(F.substring(hashed(F.lit(seed).cast("string"), F.col("__key"), F.col("mix_epoch").cast("string"), F.col("__block")), 1, 16), F.substring("__in", 1, 16))
-    return out.withColumn("mix_order", place).drop("__key", "__block", "__in", "epochs", "rest", "mark")
+    return out.withColumn("mix_order", place).drop("__key", "__block", "__in", "__epochs", "__rest", "__mark")
 
 
 def mix_report(docs: DataFrame, **options) -> DataFrame:

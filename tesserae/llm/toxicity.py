@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import written
+from tesserae.llm.common import hash_sample, written
 
 WORDS = re.compile(r"[^\W\d_]+")
 #: Letters with digits or symbols between them.
@@ -213,7 +213,7 @@ class Model:
 def training_rows(docs: DataFrame, labels: DataFrame, sample_rows: int, key: str, text: str, label: str) -> DataFrame:
     """text, y of at most ``sample_rows`` labelled rows outside the held-out fifth."""
     ok = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).where(F.crc32(F.col(key).cast("string").cast("binary")) % 5 != 0)
-    picked = ok.groupBy(key).agg(F.max(label).alias("y")).orderBy(F.xxhash64(key), key).limit(sample_rows)
+    picked = hash_sample(ok.groupBy(key).agg(F.max(label).alias("y")), sample_rows, key)
     # At most sample_rows rows of two numbers: small by its own limit.
     return written(docs.select(key, F.col(text).alias("text")).join(F.broadcast(picked), key).select("text", F.col("y").cast("double").alias("y")), "toxicity-rows")
 
