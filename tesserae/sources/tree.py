@@ -60,7 +60,7 @@ class _Reader(DataSourceReader):
         self.suffixes = tuple(x for x in options.get("suffixes", "").split(",") if x)
         self.skipped = tuple(x for x in options.get("skipped", ",".join(sorted(SKIPPED))).split(",") if x)
         self.dots = options.get("dots", "false") == "true"
-        self.paths = [p for p in options.get("paths", "").split("\n") if p]
+        self.paths = [p for p in options.get("only", "").split("\n") if p]
 
     def partitions(self) -> Sequence[InputPartition]:
         rows = []
@@ -126,7 +126,7 @@ def some_files(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     """The given files, as far as they exist."""
     if not paths:
         return spark.createDataFrame([], FILES)
-    return _load(spark, os.path.dirname(paths[0]) or ".", paths="\n".join(paths))
+    return _load(spark, os.path.dirname(paths[0]) or ".", only="\n".join(paths))
 
 
 def is_symbol_source(path: Column) -> Column:
