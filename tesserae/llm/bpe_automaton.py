@@ -38,6 +38,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tesserae.llm.common import tidied
+
+#: Resolved arcs a worker keeps before it starts anew.
+KNOWN_ARCS = 250_000
 #: Bytes of text whose pieces are encoded together.
 STEP_BYTES = 32_000_000
 
@@ -113,7 +117,7 @@ class Automaton:
         key = state_of * self.n + token
         known = self.arcs.get(key)
         if known is None:
-            if len(self.arcs) > 2_000_000:
+            if len(self.arcs) > KNOWN_ARCS:
                 self.arcs.clear()
             known = self.arcs[key] = self._arc(state_of, token)
         return known
@@ -279,7 +283,7 @@ def encode_digests(docs: DataFrame, tokenizer_path: str, key: str = "doc_id", te
                 back_sha.append(hashlib.sha256(back.encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(back_sha, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(tidied(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def encode_ids(docs: DataFrame, tokenizer_path: str, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
@@ -295,4 +299,4 @@ def encode_ids(docs: DataFrame, tokenizer_path: str, text: str = "text", ids: st
             more = [pa.array([[int(x) for x in i.split()] for _, i, _ in found], pa.list_(pa.int32())), pa.array([b for _, _, b in found], pa.string())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*batch.schema.names, ids, decoded])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidied(run), schema)

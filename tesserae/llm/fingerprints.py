@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import shuffle_parts, text_or_empty
+from tesserae.llm.common import shuffle_parts, text_or_empty, tidied
 
 #: Endings after which a space is a cut, and the most words of a passage.
 ENDS = ("." , "!", "?", ":", "d", "s", "t", "$", "%")
@@ -259,4 +259,4 @@ def fingerprint_documents(docs: DataFrame, key: str = "doc_id", text: str = "tex
         if texts:
             yield rows_of(ids, texts, following)
 
-    return with_neighbours(docs, shuffle_parts(docs.sparkSession), key, text).mapInArrow(run, OUT)
+    return with_neighbours(docs, shuffle_parts(docs.sparkSession), key, text).mapInArrow(tidied(run), OUT)

@@ -48,7 +48,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import text_or_empty, written
+from tesserae.llm.common import text_or_empty, tidied, written
 
 #: Counters of shingle frequencies.
 FREQUENCY_BITS = 20
@@ -188,7 +188,7 @@ def set_table(docs: DataFrame, k: int, key: str, text: str) -> DataFrame:
         none = pa.nulls(len(chunks)).cast(pa.int64())
         yield pa.RecordBatch.from_arrays([none, none, none, none, pa.nulls(len(chunks), pa.binary()), pa.array(range(len(chunks)), pa.int32()), pa.array([c.tobytes() for c in chunks], pa.binary())], NAMES)
 
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(tidied(run), schema)
 
 
 def frequencies(rows: DataFrame) -> np.ndarray:
@@ -205,7 +205,7 @@ def frequencies(rows: DataFrame) -> np.ndarray:
 
     chunks = rows.where("chunk is not null").select("chunk", "counts").repartition(16, "chunk")
     total = np.zeros(1 << FREQUENCY_BITS, np.int64)
-    for r in chunks.mapInArrow(add, "chunk int, counts binary").toLocalIterator():
+    for r in chunks.mapInArrow(tidied(add), "chunk int, counts binary").toLocalIterator():
         total[r["chunk"] * CHUNK : (r["chunk"] + 1) * CHUNK] = np.frombuffer(r["counts"], np.int64)
     rank = np.empty(len(total), np.uint32)
     rank[np.argsort(total, kind="stable")] = np.arange(len(total), dtype=np.uint32)
@@ -244,7 +244,7 @@ def prefix_rows(docs: DataFrame, k: int, num: int, den: int, rank: np.ndarray, t
             places = np.arange(len(every)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
             yield pa.RecordBatch.from_arrays([pa.array(every), pa.array(np.repeat(np.array(node, np.int64), sizes)), pa.array(np.repeat(np.array(n, np.int32), sizes)), pa.array(places.astype(np.int32))], ["token", "node", "n", "pos"])
 
-    return docs.select(F.col(text).cast("string").alias("text")).mapInArrow(run, "token long, node long, n int, pos int")
+    return docs.select(F.col(text).cast("string").alias("text")).mapInArrow(tidied(run), "token long, node long, n int, pos int")
 
 
 def squeezed(s: np.ndarray) -> bytes:
@@ -476,7 +476,7 @@ def verified_edges(docs: DataFrame, reps: DataFrame, tasks: DataFrame, k: int, n
         edges = forest(Cell.of(rows).links(sets, num, den))
         return pa.table({"a": pa.array([a for a, _ in edges], pa.int64()), "b": pa.array([b for _, b in edges], pa.int64())})
 
-    cells = got.mapInArrow(spread, f"{MEMBER}, set binary")
+    cells = got.mapInArrow(tidied(spread), f"{MEMBER}, set binary")
     return cells.groupBy("cell").applyInArrow(compare, "a long, b long").distinct()
 
 

@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tesserae.llm.common import drop_path, shared_path, shuffle_parts
+from tesserae.llm.common import drop_path, shared_path, shuffle_parts, tidied
 
 MAGIC = b"TSB1"
 #: Ids after which a block is closed.
@@ -239,7 +239,7 @@ def encoded(docs: DataFrame, spec: str, end_id: int, key: str, text: str) -> Dat
                 n = [len(x) + 1 for x in ids]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array([squeeze(x.tobytes() + end) for x in ids], pa.binary())], ["doc_id", "n", "ids"])
 
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "doc_id long, n long, ids binary")
+    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(tidied(run), "doc_id long, n long, ids binary")
 
 
 def id_counts(rows: DataFrame, kind: np.dtype, vocabulary: int) -> DataFrame:
@@ -255,7 +255,7 @@ def id_counts(rows: DataFrame, kind: np.dtype, vocabulary: int) -> DataFrame:
         seen = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int32()), pa.array(counts[seen], pa.int64())], ["token", "n"])
 
-    return rows.select("ids").mapInArrow(run, "token int, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    return rows.select("ids").mapInArrow(tidied(run), "token int, n long").groupBy("token").agg(F.sum("n").alias("n"))
 
 
 def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 2, key: str = "doc_id", text: str = "text") -> None:
@@ -300,7 +300,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
             yield close()
 
     dealt = rows.select("doc_id", "ids").repartitionByRange(shuffle_parts(spark), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "ids")
-    dealt.mapInArrow(blocks, "part int, seq int, n_docs long, n_ids long, block binary").write.option("compression", "zstd").parquet(f"{path}/blocks")
+    dealt.mapInArrow(tidied(blocks), "part int, seq int, n_docs long, n_ids long, block binary").write.option("compression", "zstd").parquet(f"{path}/blocks")
     drop_path(spark, kept)
 
 
@@ -326,7 +326,7 @@ def read_token_files(spark: SparkSession, path: str, with_ids: bool = False) ->
                     out.append(pa.array([ids[s : s + n].astype(np.int64) for s, n in zip(starts, lengths, strict=True)], pa.list_(pa.int64())))
                 yield pa.RecordBatch.from_arrays(out, schema.names)
 
-    docs = blocks.select("part", "seq", "block").mapInArrow(run, schema)
+    docs = blocks.select("part", "seq", "block").mapInArrow(tidied(run), schema)
     # Parts are as many as the writing job had tasks; blocks are numbered inside their part.
     sizes = blocks.select("part", "seq", "n_ids")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import hash_sample, written
+from tesserae.llm.common import hash_sample, tidied, written
 
 WORDS = re.compile(r"[^\W\d_]+")
 #: Letters with digits or symbols between them.
@@ -240,7 +240,7 @@ def learn_lexicon(rows: DataFrame, toxic_rows: int, share: float, lift: float, m
         names += [e for e in docs[0] if e not in docs[1]]
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([docs[1][e] for e in names], pa.int64()), pa.array([total[1] if e == "" else used[1][e] for e in names], pa.int64()), pa.array([total[0] if e == "" else used[0][e] for e in names], pa.int64())], ["entry", "docs", "toxic", "clean"])
 
-    counted = rows.select("text", "y").mapInArrow(count, "entry string, docs long, toxic long, clean long").groupBy("entry").agg(F.sum("docs").alias("docs"), F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    counted = rows.select("text", "y").mapInArrow(tidied(count), "entry string, docs long, toxic long, clean long").groupBy("entry").agg(F.sum("docs").alias("docs"), F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     counted = written(counted, "toxicity-entries")
     total = counted.where("entry = ''").select("toxic", "clean").collect()
     if not total or not total[0]["toxic"]:
@@ -267,7 +267,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 8000, share: fl
             x = [features(v.as_py(), lexicon) for v in batch.column(0)]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), batch.column(1)], ["x", "y"])
 
-    got = rows.select("text", "y").mapInArrow(dense, "x array<double>, y double").toPandas()  # sample_rows rows of 15 numbers
+    got = rows.select("text", "y").mapInArrow(tidied(dense), "x array<double>, y double").toPandas()  # sample_rows rows of 15 numbers
     x, y = np.stack(got["x"].to_numpy()), (got["y"].to_numpy() > 0.5).astype(float)
     order = np.lexsort((*x.T, y))  # the order of rows must not depend on tasks
     x, y = x[order], y[order]
@@ -291,7 +291,7 @@ def score_documents(docs: DataFrame, model: Model, key: str = "doc_id", text: st
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s, pa.float64()), pa.array((s >= 0.5).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
     held = F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % 5 == 0, F.lit(False))
-    return docs.select(F.col(key).cast("long").alias("doc_id"), held.alias("held_out"), F.col(text).cast("string").alias("text")).mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return docs.select(F.col(key).cast("long").alias("doc_id"), held.alias("held_out"), F.col(text).cast("string").alias("text")).mapInArrow(tidied(run), "doc_id long, held_out boolean, score double, predicted int")
 
 
 def keep_clean(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
@@ -305,4 +305,4 @@ def keep_clean(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             x = np.array([features(v.as_py(), m.lexicon) for v in batch.column(at)]).reshape(-1, len(FEATURES))
             yield batch.filter(pa.array(m.score(x) < 0.5))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidied(run), docs.schema)
