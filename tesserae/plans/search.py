@@ -15,6 +15,7 @@ while ``n`` is that of the plain phrase.  Scores are negative, best first; ties
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 import pandas as pd
@@ -198,62 +199,50 @@ def _truth(node: Node, spots: dict[int, tuple[int, int]], first: int) -> Column:
     return go(node)
 
 
-def idf(n_lines: Column, n: Column) -> Column:
-    value = F.ln((n_lines - n + 0.5) / (n + 0.5))
-    return F.when(value <= 0, LEAST_IDF).otherwise(value)
+def idf(n_lines: int, n: int) -> float:
+    value = math.log((n_lines - n + 0.5) / (n + 0.5))
+    return value if value > 0 else LEAST_IDF
 
 
-def ranked(hits: DataFrame, corpus: DataFrame, node: Node) -> DataFrame:
-    """Matching lines of ``hits`` with their score.  ``corpus`` has one row: n_lines, n_tokens."""
+def ranked(hits: DataFrame, node: Node, corpus: tuple[int, int] | None = None) -> DataFrame:
+    """Matching lines of ``hits`` with their score.
+
+    ``corpus`` is (lines, tokens) of all lines; without it ``hits`` has all lines itself, and they
+    are counted in the same pass as the phrases.  That pass brings one row of counts here."""
     df, condition, gate = evaluated(hits, node)
     every = phrases_of(node)
-    seen = df.agg(*[F.count_if(F.size(f"s{i}") > 0).alias(f"n{i}") for i in range(len(every))])
-    # Two tables of one row each: nothing else is ever on the broadcast side.
-    stats = corpus.join(F.broadcast(seen))
-    matched = df.where(condition).join(F.broadcast(stats))
-    length = F.lit(1 - B) + F.lit(B) * F.col("len") / (F.col("n_tokens") / F.col("n_lines"))
+    counts = [F.count_if(F.size(f"s{i}") > 0) for i in range(len(every))]
+    seen = df.agg(F.count(F.lit(1)), F.coalesce(F.sum("len"), F.lit(0)), *counts).collect()[0]
+    n_lines, n_tokens = corpus or (seen[0], seen[1])
+    length = F.lit(1 - B) + F.lit(B) * F.col("len") / F.lit(max(n_tokens, 1) / max(n_lines, 1))
     score = F.lit(0.0)
     for i in range(len(every)):
         f = F.col(f"f{i}").cast("double")
-        part = idf(F.col("n_lines"), F.col(f"n{i}")) * f * (K1 + 1) / (f + K1 * length)
+        part = F.lit(idf(n_lines, seen[2 + i])) * f * (K1 + 1) / (f + K1 * length)
         score = score - F.when(gate[i], part).otherwise(0.0)
-    return matched.withColumn("score", score)
-
-
-def corpus_of_lines(lines: DataFrame) -> DataFrame:
-    """n_lines, n_tokens in one row."""
-    return lines.agg(F.count(F.lit(1)).alias("n_lines"), F.coalesce(F.sum(F.size(tokens(F.col("content")))), F.lit(0)).alias("n_tokens"))
-
-
-def corpus_of_postings(posts: DataFrame, fts_lines: DataFrame) -> DataFrame:
-    """n_lines, n_tokens in one row from a stored index."""
-    n = fts_lines.agg(F.count(F.lit(1)).alias("n_lines"))
-    return n.join(F.broadcast(posts.agg(F.count(F.lit(1)).alias("n_tokens"))))
+    return df.where(condition).withColumn("score", score)
 
 
 def search_lines(lines: DataFrame, query: str, limit: int | None = None) -> DataFrame:
     """file, line, content, score of the best lines, without an index."""
     node = parse(query)
-    toks = tokenized(lines)
-    corpus = toks.agg(F.count(F.lit(1)).alias("n_lines"), F.coalesce(F.sum(F.size("toks")), F.lit(0)).alias("n_tokens"))
-    best = ranked(hits_of_lines(lines, node), corpus, node)
+    best = ranked(hits_of_lines(lines, node), node)
     return best.select("file", "line", "content", "score").orderBy(F.round("score", 9), "file", "line").limit(limit_of(limit))
 
 
 def all_matches(lines: DataFrame, query: str) -> DataFrame:
     """file, line, score of every matching line."""
     node = parse(query)
-    toks = tokenized(lines)
-    corpus = toks.agg(F.count(F.lit(1)).alias("n_lines"), F.coalesce(F.sum(F.size("toks")), F.lit(0)).alias("n_tokens"))
-    return ranked(hits_of_lines(lines, node), corpus, node).select("file", "line", "score")
+    return ranked(hits_of_lines(lines, node), node).select("file", "line", "score")
 
 
 def search_index(posts: DataFrame, lines: DataFrame, query: str, limit: int | None = None) -> DataFrame:
-    """file, line, content, score of the best lines, from a stored index.  Contents are fetched
-    for the best lines only."""
+    """file, line, content, score of the best lines, from a stored index.  Lines and tokens are
+    counted from the files' footers; contents are fetched for the best lines only."""
     node = parse(query)
-    best = ranked(hits_of_postings(posts, node), corpus_of_postings(posts, lines), node)
+    best = ranked(hits_of_postings(posts, node), node, (lines.count(), posts.count()))
     top = best.select("file", "line", "score").orderBy(F.round("score", 9), "file", "line").limit(limit_of(limit))
+    # At most as many rows as are shown.
     return lines.join(F.broadcast(top), ["file", "line"]).select("file", "line", "content", "score").orderBy(F.round("score", 9), "file", "line")
 
 
