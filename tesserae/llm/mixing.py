@@ -86,12 +86,13 @@ def source_plan(totals: DataFrame, max_epochs: float | None, target_entropy: flo
     shares = everything.where("all > 0").select("all", F.transform("each", lambda t: t / F.col("all")).alias("shares"))
     chosen = shares.select("all", "shares", bisected(F.col("shares"), max_epochs, target_entropy).alias("exponent"))
     scale = chosen.select("all", "exponent", F.aggregate(F.transform("shares", lambda p: F.pow(p, F.col("exponent"))), F.lit(0.0), lambda x, y: x + y).alias("norm"), F.array_max(F.transform("shares", lambda p: F.pow(p, 1.0 - F.col("exponent")))).alias("top"))
-    # The one-row table rides on a constant key; it is an equi-join with a single build row.
-    joined = some.withColumn("one", F.lit(1)).join(scale.withColumn("one", F.lit(1)), "one").drop("one")
-    weighted = joined.withColumn("weight", F.pow(F.col("tokens") / F.col("all"), F.col("exponent")) / F.col("norm"))
-    whole = F.lit(float(budget_tokens)) if budget_tokens is not None else F.col("all") * F.col("top") * F.col("norm")
+    # One row of four numbers, whatever the input.
+    found = scale.collect()
+    total, exponent, norm, top = (float(x) for x in found[0]) if found else (1.0, 0.0, 1.0, 1.0)
+    weighted = some.withColumn("weight", F.pow(F.col("tokens") / F.lit(total), F.lit(exponent)) / F.lit(norm))
+    whole = F.lit(float(budget_tokens)) if budget_tokens is not None else F.lit(total) * F.lit(top) * F.lit(norm)
     budget = weighted.withColumn("budget", F.round(whole * F.col("weight")).cast("long"))
-    planned = budget.select("key", "tokens", "exponent", F.round("weight", 9).alias("weight"), "budget", F.floor(F.col("budget") / F.col("tokens")).cast("int").alias("epochs"), (F.col("budget") % F.col("tokens")).alias("rest"))
+    planned = budget.select("key", "tokens", F.lit(exponent).alias("exponent"), F.round("weight", 9).alias("weight"), "budget", F.floor(F.col("budget") / F.col("tokens")).cast("int").alias("epochs"), (F.col("budget") % F.col("tokens")).alias("rest"))
     none = totals.where("tokens = 0").select("key", "tokens", F.lit(None).cast("double").alias("exponent"), F.lit(0.0).alias("weight"), F.lit(0).cast("long").alias("budget"), F.lit(1).alias("epochs"), F.lit(0).cast("long").alias("rest"))
     return planned.unionByName(none)
 
