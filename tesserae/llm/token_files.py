@@ -36,7 +36,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -50,6 +50,8 @@ MAGIC = b"TSB1"
 BLOCK_IDS = 1 << 20
 #: The label of a space in byte-level vocabularies.
 SPACE_LABEL = "\u0120"
+#: Punctuation that may stand behind a word, and words of letters up to U+024F.
+TAIL, WORD = ".,;:!?", "^[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+$"
 #: White space other than space and line feed.
 OTHER_SPACE = re.compile("[" + "".join(chr(c) for c in range(0x3001) if chr(c).isspace() and chr(c) not in " \n") + "]")
 
@@ -157,47 +159,58 @@ class PieceEncoder:
         """Whether each space of a text stands alone between other characters than white space."""
         return not (not text or text[0] == " " or text[-1] == " " or "  " in text or " \n" in text or "\n " in text or OTHER_SPACE.search(text) or any(s in text for s in self.special))
 
-    def asked(self, pieces: list[str], at_once: int = 4_000) -> tuple[list[np.ndarray], np.ndarray]:
-        """Ids of pieces, each as it stands behind a space: the ids in order, and how many each has."""
-        ids, lengths = [], []
-        for at in range(0, len(pieces), at_once):
-            some = pieces[at : at + at_once]
-            got = self.raw(" " + " ".join(some))
+    def asked(self, words: pa.Array, at_once: int = 4_000) -> tuple[bytes, np.ndarray]:
+        """Ids of pieces, each as it stands behind a space: all ids in order as bytes, and the
+        byte at which each piece starts (and the last ends)."""
+        ids, ends, held = [], [np.zeros(1, np.int64)], 0
+        cuts = pa.array([*range(0, len(words), at_once), len(words)], pa.int32())
+        for joined in pc.binary_join(pa.ListArray.from_arrays(cuts, words.cast(pa.string())), " "):
+            got = self.raw(f" {joined.as_py()}")
             starts = np.flatnonzero(self.opens[got])
-            if len(starts) != len(some):
-                raise ValueError("pieces and ids do not match")
-            ids.append(got)
-            lengths.append(np.diff(starts, append=len(got)))
-        return ids, np.concatenate(lengths) if lengths else np.zeros(0, np.int64)
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """The ids of each text."""
-        whole = [i for i, t in enumerate(texts) if not self.plain(t)]
-        out: list[np.ndarray] = [np.zeros(0, self.kind)] * len(texts)
-        for i in whole:
-            out[i] = self.raw(texts[i])
-        cut = sorted(set(range(len(texts))) - set(whole))
+            ids.append(got.tobytes())
+            ends.append(np.append(starts[1:], len(got)) + held)
+            held += len(got)
+        starts = np.concatenate(ends) * self.kind.itemsize
+        if len(starts) != len(words) + 1:
+            raise ValueError("pieces and ids do not match")
+        return b"".join(ids), starts
+
+    def coded(self, pieces: pa.Array) -> np.ndarray:
+        """The ids of distinct pieces as bytes.  A word with punctuation behind it is the word and
+        the punctuation: the tokenizer's pattern cuts there as well."""
+        bare = pc.utf8_rtrim(pieces, TAIL)
+        cut = pc.and_(pc.match_substring_regex(bare, WORD), pc.not_equal(bare, pieces))
+        words = pc.if_else(cut, bare, pieces).dictionary_encode()
+        raw, starts = self.asked(words.dictionary)
+        own = np.empty(len(words.dictionary), object)
+        own[:] = [raw[x:y] for x, y in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)]
+        out = own[words.indices.to_numpy()]
+        tails: dict[str, bytes] = {}
+        places = np.flatnonzero(cut.to_numpy(zero_copy_only=False))
+        some = pa.array(places)
+        for i, whole, word in zip(places.tolist(), pieces.take(some).to_pylist(), bare.take(some).to_pylist(), strict=True):
+            tail = whole[len(word) :]
+            ids = tails.get(tail)
+            if ids is None:
+                ids = tails[tail] = self.raw(tail).tobytes()
+            out[i] += ids
+        return out
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as little-endian bytes."""
+        plain = [self.plain(t) for t in texts]
+        out = [b"" if p else self.raw(t).tobytes() for t, p in zip(texts, plain, strict=True)]
+        cut = [i for i, p in enumerate(plain) if p]
         if not cut:
             return out
-        split = pa.compute.split_pattern(pa.array([texts[i] for i in cut], pa.large_string()), " ")
+        split = pc.split_pattern(pa.array([texts[i] for i in cut], pa.large_string()), " ")
         ends = split.offsets.to_numpy()
-        coded = split.flatten().dictionary_encode()
-        code = coded.indices.to_numpy().astype(np.int64)
-        pieces = coded.dictionary.to_pylist()
-        ids, lengths = self.asked(pieces)
-        # The first piece of each text takes a code of its own behind those of the distinct pieces.
-        first = [self.raw(pieces[c]) for c in code[ends[:-1]]]
-        code[ends[:-1]] = len(pieces) + np.arange(len(cut))
-        pool = np.concatenate([*ids, *first])
-        lengths = np.concatenate([lengths, [len(x) for x in first]]).astype(np.int64)
-        starts = np.cumsum(lengths) - lengths
-        n = lengths[code]
-        to = np.cumsum(n)
-        at = np.repeat((starts[code] - (to - n)).astype(np.int32), n)
-        at += np.arange(int(to[-1]), dtype=np.int32)
-        every = pool[at]
-        for i, x in zip(cut, np.split(every, to[ends[1:-1] - 1]), strict=True):
-            out[i] = x
+        distinct = split.flatten().dictionary_encode()
+        code, ids = distinct.indices.to_numpy(), self.coded(distinct.dictionary)
+        for i, a, b in zip(cut, ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+            # No space stands before a text's first piece.
+            first = self.raw(texts[i][: len(texts[i]) if b == a + 1 else texts[i].index(" ")])
+            out[i] = first.tobytes() + b"".join(ids[code[a + 1 : b]].tolist())
         return out
 
 
@@ -215,7 +228,7 @@ def ready(spec: str) -> PieceEncoder:
 def chunks(batch: pa.RecordBatch, chars: int = 32_000_000) -> Iterator[pa.RecordBatch]:
     """Slices of a batch of so many characters (one text at least)."""
     at = 0
-    sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
+    sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
     while at < batch.num_rows:
         to, total = at, 0
         while to < batch.num_rows and (to == at or total + sizes[to] <= chars):
@@ -236,8 +249,8 @@ def encoded(docs: DataFrame, spec: str, end_id: int, key: str, text: str) -> Dat
         for batch in batches:
             for part in chunks(batch):
                 ids = t.encode([v or "" for v in part.column(1).to_pylist()])
-                n = [len(x) + 1 for x in ids]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array([squeeze(x.tobytes() + end) for x in ids], pa.binary())], ["doc_id", "n", "ids"])
+                n = [len(x) // t.kind.itemsize + 1 for x in ids]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array([squeeze(x + end) for x in ids], pa.binary())], ["doc_id", "n", "ids"])
 
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(tidied(run), "doc_id long, n long, ids binary")
 
