@@ -225,10 +225,11 @@ def with_neighbours(docs: DataFrame, parts: int, key: str = "doc_id", text: str
     rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(LOWEST)).alias("id"), F.col(key).isNull().alias("null_id"), text_or_empty(F.col(text).cast("string")).alias("text")).withColumn("b", bucket("id"))
     if not held:
         return rows.select(F.col("b").alias("bucket"), F.lit(0).alias("carried"), "id", "null_id", "text")
-    to = F.create_map(*[F.lit(x) for pair in before.items() for x in pair])
+    # A row a bucket: as many as four times the partitions.
+    to = docs.sparkSession.createDataFrame(list(before.items()), "id long, to int")
     own = F.struct(F.col("b").alias("bucket"), F.lit(0).alias("carried"))
-    extra = F.struct(to[F.col("id")].alias("bucket"), F.lit(1).alias("carried"))
-    dealt = rows.withColumn("d", F.explode(F.when(F.col("id").isin(list(before)), F.array(own, extra)).otherwise(F.array(own))))
+    extra = F.struct(F.col("to").alias("bucket"), F.lit(1).alias("carried"))
+    dealt = rows.join(F.broadcast(to), "id", "left").withColumn("d", F.explode(F.when(F.col("to").isNotNull(), F.array(own, extra)).otherwise(F.array(own))))
     dealt = dealt.select("d.bucket", "d.carried", "id", "null_id", "text")
     return dealt.repartition(parts, "bucket").sortWithinPartitions("bucket", "carried", "id", "text")
 
