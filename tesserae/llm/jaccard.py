@@ -48,7 +48,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import text_or_empty, tidied, written
+from tesserae.llm.common import scratch, tidied, written
 
 #: Counters of shingle frequencies.
 FREQUENCY_BITS = 20
@@ -485,10 +485,13 @@ def components(edges: DataFrame) -> DataFrame:
     edges = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct(), "jaccard-edges")
     before = None
     while True:
+        # The least neighbours are written, so that both sides of each join are plain exchanges
+        # and the rows of a node with very many edges can be split among tasks.
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "jaccard-least")
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
-        below = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = written(large, "jaccard-large")
+        below = written(large.groupBy("u").agg(F.min("v").alias("m")), "jaccard-below")
         small = large.join(below, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         edges = written(small, "jaccard-edges")
         # Stars no longer change when every node has one edge, to a node that has none.
@@ -512,11 +515,12 @@ def jaccard_classes(docs: DataFrame, k: int = 3, num: int = 9, den: int = 10, ke
     rows = written(set_table(docs, k, key, text), "jaccard-sets")
     sets = rows.where("chunk is null").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), F.col("doc_id"), "n", "hi", "lo", "bits")
     some = sets.where("n > 0")
-    reps = written(some.groupBy("hi", "lo").agg(F.min("id").alias("rep"), F.any_value("n").alias("n"), F.any_value("bits").alias("bits")), "jaccard-reps")
-    prefixes = prefix_rows(docs, k, num, den, frequencies(rows), text)
-    tasks = cells_of(prefixes, num, den, hot, cell, block)
-    roots = components(verified_edges(docs, reps, tasks, k, num, den, key, text))
-    named = written(reps.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").select("hi", "lo", F.coalesce("root", "rep").alias("root")), "jaccard-roots")
+    with scratch(docs.sparkSession):
+        reps = written(some.groupBy("hi", "lo").agg(F.min("id").alias("rep"), F.any_value("n").alias("n"), F.any_value("bits").alias("bits")), "jaccard-reps")
+        prefixes = prefix_rows(docs, k, num, den, frequencies(rows), text)
+        tasks = cells_of(prefixes, num, den, hot, cell, block)
+        roots = components(verified_edges(docs, reps, tasks, k, num, den, key, text))
+        named = written(reps.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").select("hi", "lo", F.coalesce("root", "rep").alias("root")), "jaccard-roots", keep=True)
     linked = some.join(named, ["hi", "lo"]).select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("root") != NO_ID, F.col("root")).alias("component_id"))
     alone = sets.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return linked.unionByName(alone)

@@ -29,7 +29,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import text_or_empty, written
+from tesserae.llm.common import scratch, text_or_empty, written
 
 #: Words of a text: what stands between spaces and ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -120,12 +120,13 @@ def mix(docs: DataFrame, max_epochs: float | None = 2.0, target_entropy: float |
     if (max_epochs is None) == (target_entropy is None):
         raise ValueError("give a repetition limit or a target entropy")
     mixed = docs.withColumn("__key", source_key(source)).withColumn("__block", block_of(F.col(key), block_digits)).withColumn("__in", hashed(F.lit("in"), F.lit(seed).cast("string"), F.coalesce(F.col(key).cast("string"), F.lit("")))).withColumn("mix_tokens", F.regexp_count(text_or_empty(text), F.lit(WORD)).cast("long"))
-    rows = written(mixed.select(F.col("__key").alias("key"), F.col("__block").alias("block"), F.col("__in").alias("in_block"), F.coalesce(F.col(key).cast("long"), F.lit(-(2**63))).alias("doc_id"), F.col("mix_tokens").alias("n_tokens")), "mix-rows")
-    totals = rows.groupBy("key").agg(F.sum("n_tokens").alias("tokens"))
-    plan = written(source_plan(totals, max_epochs, target_entropy, budget_tokens), "mix-plan")
-    marks = plan.join(end_marks(rows, plan, seed), "key", "left")
-    # Written, so that its size is known before the join with the texts is planned.
-    ends = written(marks.select(F.col("key").alias("__key"), F.col("weight").alias("mix_weight"), F.col("epochs").alias("__epochs"), F.col("rest").alias("__rest"), F.col("mark").alias("__mark")), "mix-ends")
+    with scratch(docs.sparkSession):
+        rows = written(mixed.select(F.col("__key").alias("key"), F.col("__block").alias("block"), F.col("__in").alias("in_block"), F.coalesce(F.col(key).cast("long"), F.lit(-(2**63))).alias("doc_id"), F.col("mix_tokens").alias("n_tokens")), "mix-rows")
+        totals = rows.groupBy("key").agg(F.sum("n_tokens").alias("tokens"))
+        plan = written(source_plan(totals, max_epochs, target_entropy, budget_tokens), "mix-plan")
+        marks = plan.join(end_marks(rows, plan, seed), "key", "left")
+        # Written, so that its size is known before the join with the texts is planned.
+        ends = written(marks.select(F.col("key").alias("__key"), F.col("weight").alias("mix_weight"), F.col("epochs").alias("__epochs"), F.col("rest").alias("__rest"), F.col("mark").alias("__mark")), "mix-ends", keep=True)
     drawn = mixed.drop("mix_weight").join(ends, "__key")
     own = F.struct(hashed(F.lit(seed).cast("string"), F.col("__key"), F.col("__epochs").cast("string"), F.col("__block")).alias("at"), F.col("__in").alias("in_block"), F.coalesce(F.col(key).cast("long"), F.lit(-(2**63))).alias("doc_id"), F.col("mix_tokens").alias("n_tokens"))
     more = F.when((F.col("__rest") > 0) & (own < F.col("__mark")), 1).otherwise(0)

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import hash_sample, tidied, written
+from tesserae.llm.common import hash_sample, scratch, tidied, written
 
 WORDS = re.compile(r"[^\W\d_]+")
 #: Letters with digits or symbols between them.
@@ -253,8 +253,14 @@ def learn_lexicon(rows: DataFrame, toxic_rows: int, share: float, lift: float, m
     return Lexicon({r["entry"]: float(np.log(r["lift"])) for r in picked})
 
 
-def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 8000, share: float = 0.015, lift: float = 8.0, most: int = 400, key: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
-    """Lexicon, trees and calibration from the labelled rows outside the held-out fifth."""
+def train(docs: DataFrame, labels: DataFrame, **options) -> Model:
+    """Lexicon, trees and calibration from the labelled rows outside the held-out fifth; options
+    are those of ``fitted``."""
+    with scratch(docs.sparkSession):
+        return fitted(docs, labels, **options)
+
+
+def fitted(docs: DataFrame, labels: DataFrame, sample_rows: int = 8000, share: float = 0.015, lift: float = 8.0, most: int = 400, key: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
     rows = training_rows(docs, labels, sample_rows, key, text, label)
     stats = rows.agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("y") > 0.5, 1).otherwise(0)).alias("toxic")).collect()[0]
     n, toxic = stats["n"], stats["toxic"] or 0
