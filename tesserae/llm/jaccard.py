@@ -240,7 +240,8 @@ def prefix_rows(docs: DataFrame, k: int, num: int, den: int, rank: np.ndarray, t
             if not token:
                 continue
             sizes = np.array(pos)
-            every = np.concatenate(token).view(np.int64)
+            # The signed order of the tokens is the order of the prefixes: cells rely on it.
+            every = (np.concatenate(token) ^ np.uint64(1 << 63)).view(np.int64)
             places = np.arange(len(every)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
             yield pa.RecordBatch.from_arrays([pa.array(every), pa.array(np.repeat(np.array(node, np.int64), sizes)), pa.array(np.repeat(np.array(n, np.int32), sizes)), pa.array(places.astype(np.int32))], ["token", "node", "n", "pos"])
 

@@ -60,6 +60,32 @@ def test_hot_tokens_and_blocks(spark):
     assert rows(j.jaccard_classes(documents(spark, data), hot=1000)) == want
 
 
+def nested(groups, seed):
+    """Groups of sets of 100 to 105 words, the smaller inside the larger.  By hash a few words are
+    in the first thirty-second of the counters, all others in the upper half."""
+    rng = random.Random(seed)
+    out = []
+    for g in range(groups):
+        words: list[str] = []
+        while len(words) < 105:
+            w = f"n{rng.randrange(10**9)}"
+            at = int(j.shingle_sets([w], 1)[0][0]) >> 44
+            if at < 1 << 15 or at >= 1 << 19:
+                words.append(w)
+        out += [(10 * g + i, " ".join(words[: 100 + i]), "en", "a") for i in (0, 3, 5)]
+    return out
+
+
+def test_hot_tokens_on_both_sides_of_the_middle_rank(spark, monkeypatch):
+    """Any order of tokens gives the same links; this one has tokens in both halves of the ranks."""
+    monkeypatch.setattr(j, "frequencies", lambda rows: np.arange(1 << j.FREQUENCY_BITS, dtype=np.uint32))
+    data = nested(40, 7)
+    prefixes = j.prefix_rows(documents(spark, data), 1, 9, 10, j.frequencies(None), "text").toPandas()
+    for _, one in prefixes.sort_values("pos").groupby("node"):
+        assert one["token"].is_monotonic_increasing
+    assert rows(j.jaccard_classes(documents(spark, data), 1, 9, 10, hot=1)) == by_hand(data, 1, 9, 10)
+
+
 def test_empty(spark):
     assert rows(j.jaccard_classes(documents(spark, []))) == []
 
