@@ -7,7 +7,7 @@ those are joined.  The order only decides how many candidates there are, never w
 found.
 
 1. Each text gives its set's size and 128-bit fingerprint (a map).  Documents with equal sets are
-   one representative, the smallest doc_id; they are never paired.
+   one representative, the smallest (doc_id, hash of the text); they are never paired.
 2. Each set gives its prefix rows (token, set, size, position), once a task; tokens that only one
    set holds fall away.
 3. Rows whose token is too far back to be the first common token of a link fall away.  Tokens
@@ -30,9 +30,10 @@ blocks do the pairs of a large group in memory, one block against another.
 
 Defined results: null and empty texts and texts without words have an empty set, size 0, and are
 linked with nothing; a text with fewer words than a shingle is one shingle, its whole sequence;
-equal texts are linked; rows with the same doc_id count as one document in links (rows are kept);
-a null doc_id is linked like any other and never names a component other than its own unless all
-its members are null; an empty table gives an empty result; texts are read whole.
+equal texts are linked; rows with the same doc_id and text count as one document (rows are kept);
+different texts under one doc_id, or under none, are documents of their own, linked only by what
+they hold; a null doc_id names no component unless all its members are null; an empty table gives
+an empty result; texts are read whole.
 """
 
 from __future__ import annotations
@@ -54,7 +55,7 @@ from tesserae.llm.common import scratch, tidied, written
 FREQUENCY_BITS = 20
 #: Counters in one row between tasks.
 CHUNK = 1 << 14
-NAMES = ["doc_id", "n", "hi", "lo", "bits", "chunk", "counts"]
+NAMES = ["doc_id", "h", "n", "hi", "lo", "bits", "chunk", "counts"]
 #: Texts hashed at a time.
 STEP_CHARS = 4_000_000
 #: Estimated bytes of a table up to which it is broadcast.
@@ -170,9 +171,23 @@ def bit_rows(maps: list[bytes], width: int) -> np.ndarray:
     return np.concatenate(rows).astype(np.float32)
 
 
+def text_hash(text: str) -> Column:
+    return F.xxhash64(F.col(text).cast("string"))
+
+
+def node_of(key: Column, h: Column) -> Column:
+    """What stands for a document in links: its id and the hash of its text, so that texts under
+    one id, or under none, stay apart.  The least node of a component has its least id."""
+    return F.struct(F.coalesce(key.cast("long"), F.lit(NO_ID)).alias("id"), h.alias("h"))
+
+
+def node_list(column: pa.ChunkedArray | pa.Array) -> list[tuple[int, int]]:
+    return [(r["id"], r["h"]) for r in column.to_pylist()]
+
+
 def set_table(docs: DataFrame, k: int, key: str, text: str) -> DataFrame:
-    """doc_id, n, hi, lo of every row; and rows of frequency counters (chunk, counts)."""
-    schema = "doc_id long, n long, hi long, lo long, bits binary, chunk int, counts binary"
+    """doc_id, h (hash of the text), n, hi, lo of every row; and rows of frequency counters (chunk, counts)."""
+    schema = "doc_id long, h long, n long, hi long, lo long, bits binary, chunk int, counts binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << FREQUENCY_BITS, np.int64)
@@ -183,12 +198,12 @@ def set_table(docs: DataFrame, k: int, key: str, text: str) -> DataFrame:
             counts += np.bincount((np.concatenate(sets) >> np.uint64(64 - FREQUENCY_BITS)).astype(np.int64), minlength=len(counts))
             ids = [set_id(s) for s in sets]
             none = pa.nulls(len(sets))
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([a for a, _ in ids], pa.int64()), pa.array([b for _, b in ids], pa.int64()), pa.array([parity_bitmap(s) if len(s) else None for s in sets], pa.binary()), none.cast(pa.int32()), pa.nulls(len(sets), pa.binary())], NAMES)
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array([a for a, _ in ids], pa.int64()), pa.array([b for _, b in ids], pa.int64()), pa.array([parity_bitmap(s) if len(s) else None for s in sets], pa.binary()), none.cast(pa.int32()), pa.nulls(len(sets), pa.binary())], NAMES)
         chunks = counts.astype("<i4").reshape(-1, CHUNK)
         none = pa.nulls(len(chunks)).cast(pa.int64())
-        yield pa.RecordBatch.from_arrays([none, none, none, none, pa.nulls(len(chunks), pa.binary()), pa.array(range(len(chunks)), pa.int32()), pa.array([c.tobytes() for c in chunks], pa.binary())], NAMES)
+        yield pa.RecordBatch.from_arrays([none, none, none, none, none, pa.nulls(len(chunks), pa.binary()), pa.array(range(len(chunks)), pa.int32()), pa.array([c.tobytes() for c in chunks], pa.binary())], NAMES)
 
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(tidied(run), schema)
+    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), text_hash(text).alias("h")).mapInArrow(tidied(run), schema)
 
 
 def frequencies(rows: DataFrame) -> np.ndarray:
@@ -294,11 +309,11 @@ def block_overlaps(a: list[np.ndarray], b: list[np.ndarray], columns: int = 8192
     return out
 
 
-def forest(edges: list[tuple[int, int]]) -> list[tuple[int, int]]:
+def forest(edges: list[tuple]) -> list[tuple]:
     """For each component of some edges, edges from its least node to all others."""
-    up: dict[int, int] = {}
+    up: dict = {}
 
-    def root(x: int) -> int:
+    def root(x):
         while up.setdefault(x, x) != x:
             up[x] = up[up[x]]
             x = up[x]
@@ -315,7 +330,7 @@ def forest(edges: list[tuple[int, int]]) -> list[tuple[int, int]]:
 class Cell:
     """The members of a cell, whose pairs are those of side 0 with side 1, or among themselves."""
 
-    rep: list[int]
+    rep: list[tuple[int, int]]
     side: np.ndarray
     sizes: np.ndarray
     same: bool
@@ -325,7 +340,7 @@ class Cell:
 
     @staticmethod
     def of(rows: pa.Table) -> Cell:
-        return Cell(rows.column("rep").to_pylist(), rows.column("side").to_numpy(), rows.column("n").to_numpy(), rows.column("same")[0].as_py(), rows.column("token")[0].as_py(), rows.column("pos").to_numpy(), rows.column("tokens").to_pylist())
+        return Cell(node_list(rows.column("rep")), rows.column("side").to_numpy(), rows.column("n").to_numpy(), rows.column("same")[0].as_py(), rows.column("token")[0].as_py(), rows.column("pos").to_numpy(), rows.column("tokens").to_pylist())
 
     def possible(self, num: int, den: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(left, right, pairs that pass the length filter).  In a cell of a token the positional
@@ -357,7 +372,7 @@ class Cell:
             ok = suffix_filter(ok, left, right, self.sizes.astype(np.int64), maps, num, den)
         return np.unique(np.concatenate([left[ok.any(axis=1)], right[ok.any(axis=0)]]))
 
-    def links(self, sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
+    def links(self, sets: list[np.ndarray], num: int, den: int) -> list[tuple]:
         """The verified links."""
         left, right, ok = self.possible(num, den)
         i, j = np.nonzero(ok)
@@ -424,7 +439,8 @@ def cells_of(prefixes: DataFrame, num: int, den: int, hot: int, cell: int, block
     return tasks.groupBy("node").agg(F.collect_list(F.struct("c", "side", "same", "token", "pos")).alias("tasks"), F.array_sort(F.collect_set("token")).alias("tokens"))
 
 
-MEMBER = "cell string, side int, same boolean, token long, pos int, rep long, n long, tokens array<long>"
+NODE, ARROW_NODE = "struct<id: long, h: long>", pa.struct([("id", pa.int64()), ("h", pa.int64())])
+MEMBER = f"cell string, side int, same boolean, token long, pos int, rep {NODE}, n long, tokens array<long>"
 
 
 def sifted(tasks: DataFrame, reps: DataFrame, num: int, den: int) -> DataFrame:
@@ -446,13 +462,13 @@ def sifted(tasks: DataFrame, reps: DataFrame, num: int, den: int) -> DataFrame:
 def verified_edges(docs: DataFrame, reps: DataFrame, tasks: DataFrame, k: int, num: int, den: int, key: str, text: str) -> DataFrame:
     """a, b: edges of spanning forests of the links in all cells."""
     wanted = written(sifted(tasks, reps, num, den), "jaccard-wanted")
-    texts = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(NO_ID)).alias("rep"), F.col(text).cast("string").alias("text"))
+    texts = docs.select(node_of(F.col(key), text_hash(text)).alias("rep"), F.col(text).cast("string").alias("text"))
     # The texts stay where they are while the other side is small; beyond that both are shuffled.
     load = wanted.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(F.size("tasks")), F.lit(0)).alias("tasks"), F.coalesce(F.sum(F.size("tokens")), F.lit(0)).alias("tokens")).collect()[0]
-    small = 32 * load["rows"] + 96 * load["tasks"] + 8 * load["tokens"] <= BROADCAST_BYTES
+    small = 64 * load["rows"] + 96 * load["tasks"] + 8 * load["tokens"] <= BROADCAST_BYTES
     got = texts.join(F.broadcast(wanted) if small else wanted, "rep").select("rep", "text", "tasks", "tokens")
     names = ["cell", "side", "same", "token", "pos", "rep", "n", "tokens", "set"]
-    types = [pa.string(), pa.int32(), pa.bool_(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary()]
+    types = [pa.string(), pa.int32(), pa.bool_(), pa.int64(), pa.int32(), ARROW_NODE, pa.int64(), pa.list_(pa.int64()), pa.binary()]
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush() -> pa.RecordBatch:
@@ -475,10 +491,11 @@ def verified_edges(docs: DataFrame, reps: DataFrame, tasks: DataFrame, k: int, n
     def compare(rows: pa.Table) -> pa.Table:
         sets = [unsqueezed(x) for x in rows.column("set").to_pylist()]
         edges = forest(Cell.of(rows).links(sets, num, den))
-        return pa.table({"a": pa.array([a for a, _ in edges], pa.int64()), "b": pa.array([b for _, b in edges], pa.int64())})
+        a, b = [[{"id": e[side][0], "h": e[side][1]} for e in edges] for side in (0, 1)]
+        return pa.table({"a": pa.array(a, ARROW_NODE), "b": pa.array(b, ARROW_NODE)})
 
     cells = got.mapInArrow(tidied(spread), f"{MEMBER}, set binary")
-    return cells.groupBy("cell").applyInArrow(compare, "a long, b long").distinct()
+    return cells.groupBy("cell").applyInArrow(compare, f"a {NODE}, b {NODE}").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -506,29 +523,38 @@ def components(edges: DataFrame) -> DataFrame:
 NO_ID = 2**63 - 1
 
 
-def jaccard_classes(docs: DataFrame, k: int = 3, num: int = 9, den: int = 10, key: str = "doc_id", text: str = "text", hot: int = 32, cell: int = 64, block: int = 256) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_shingles, component_id.
-
-    Documents are linked when ``den * intersection >= num * union`` of their sets of k-word
-    shingles; a component's id is its smallest doc_id."""
+def rooted(docs: DataFrame, k: int, num: int, den: int, key: str, text: str, hot: int, cell: int, block: int) -> DataFrame:
+    """doc_id, n_shingles, node, root of every row: root is the least node of its class."""
     if not 0 < num <= den or math.gcd(num, den) < 1:
         raise ValueError("the threshold is a fraction in (0, 1]")
     rows = written(set_table(docs, k, key, text), "jaccard-sets")
-    sets = rows.where("chunk is null").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), F.col("doc_id"), "n", "hi", "lo", "bits")
+    sets = rows.where("chunk is null").select("doc_id", node_of(F.col("doc_id"), F.col("h")).alias("node"), "n", "hi", "lo", "bits")
     some = sets.where("n > 0")
     with scratch(docs.sparkSession):
-        reps = written(some.groupBy("hi", "lo").agg(F.min("id").alias("rep"), F.any_value("n").alias("n"), F.any_value("bits").alias("bits")), "jaccard-reps")
+        reps = written(some.groupBy("hi", "lo").agg(F.min("node").alias("rep"), F.any_value("n").alias("n"), F.any_value("bits").alias("bits")), "jaccard-reps")
         prefixes = prefix_rows(docs, k, num, den, frequencies(rows), text)
         tasks = cells_of(prefixes, num, den, hot, cell, block)
         roots = components(verified_edges(docs, reps, tasks, k, num, den, key, text))
         named = written(reps.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").select("hi", "lo", F.coalesce("root", "rep").alias("root")), "jaccard-roots", keep=True)
-    linked = some.join(named, ["hi", "lo"]).select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("root") != NO_ID, F.col("root")).alias("component_id"))
-    alone = sets.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    linked = some.join(named, ["hi", "lo"]).select("doc_id", F.col("n").alias("n_shingles"), "node", "root")
+    alone = sets.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), "node", F.col("node").alias("root"))
     return linked.unionByName(alone)
 
 
-def one_of_each(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` whose class of near copies they name: one document of each class."""
-    classes = jaccard_classes(docs, k, num, den, key, text, **options)
-    kept = written(classes.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("__id")).distinct(), "jaccard-kept")
-    return docs.withColumn("__id", F.coalesce(F.col(key).cast("long"), F.lit(NO_ID))).join(kept, "__id", "left_semi").dropDuplicates(["__id"]).drop("__id")
+def jaccard_classes(docs: DataFrame, k: int = 3, num: int = 9, den: int = 10, key: str = "doc_id", text: str = "text", hot: int = 32, cell: int = 64, block: int = 256) -> DataFrame:
+    """One row per row of ``docs``: doc_id, n_shingles, component_id.
+
+    Documents are linked when ``den * intersection >= num * union`` of their sets of k-word
+    shingles; a component's id is its smallest doc_id."""
+    classes = rooted(docs, k, num, den, key, text, hot, cell, block)
+    return classes.select("doc_id", "n_shingles", F.when(F.col("root.id") != NO_ID, F.col("root.id")).alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, key: str = "doc_id", text: str = "text", hot: int = 32, cell: int = 64, block: int = 256) -> DataFrame:
+    """One document of each class of near copies, that of the least doc_id.  Texts without words
+    are in no class: those without an id are all kept, of others one for each id and text."""
+    classes = rooted(docs, k, num, den, key, text, hot, cell, block)
+    kept = written(classes.where(F.col("node") == F.col("root")).select(F.col("node.id").alias("__id"), F.col("node.h").alias("__h")).distinct(), "jaccard-kept")
+    free = F.col(key).isNull() & ~F.coalesce(F.col(text).cast("string").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    rest = docs.where(~free).withColumns({"__id": F.coalesce(F.col(key).cast("long"), F.lit(NO_ID)), "__h": text_hash(text)})
+    return rest.join(kept, ["__id", "__h"], "left_semi").dropDuplicates(["__id", "__h"]).drop("__id", "__h").unionByName(docs.where(free))

@@ -100,6 +100,24 @@ def test_one_of_each(spark):
     assert kept.columns == clashing(documents(spark)).columns
 
 
+def odd_ids():
+    """Different texts without an id, near copies of other documents, and texts of one id."""
+    near = near_copies(6, 60, 1, 8) + near_copies(6, 60, 1, 9)
+    a, b, own, c, d = near[0][1], near[6][1], "a text of its own without any id", "first text under one id", "another that shares its number"
+    unnamed = [(None, t, "en", "a") for t in (a + " x", b + " y", own, own + " but longer by many words than that", "", None, "", " ")]
+    return near + unnamed + [(77, c, "en", "a"), (77, d, "en", "a"), (77, d, "en", "a"), (78, d + " z", "en", "a"), (79, "", "en", "a"), (79, "", "en", "b")]
+
+
+@pytest.mark.parametrize("hot", [1, 32])
+def test_texts_without_an_id_or_of_one_id_stay_apart(spark, hot):
+    data = odd_ids()
+    assert rows(j.jaccard_classes(documents(spark, data), 3, 4, 5, hot=hot)) == by_hand(data, 3, 4, 5)
+    kept = rows(j.one_of_each(documents(spark, data), 3, 4, 5, hot=hot))
+    texts = [t for i, t, *_ in kept if i is None]
+    assert sorted(map(repr, texts)) == sorted(map(repr, [t for i, t, _, _ in data if i is None][2:]))
+    assert sorted((i, t) for i, t, *_ in kept if i is not None) == sorted([(8000, data[0][1]), (9000, data[6][1]), (77, data[-6][1]), (77, data[-5][1]), (78, data[-3][1]), (79, "")])
+
+
 def test_filters_lose_nothing():
     rng = np.random.default_rng(0)
     for _ in range(200):
