@@ -149,10 +149,11 @@ def folded(bits: np.ndarray, to: int) -> np.ndarray:
 
 def suffix_filter(ok: np.ndarray, left: np.ndarray, right: np.ndarray, sizes: np.ndarray, maps: list[bytes], num: int, den: int) -> np.ndarray:
     """Pairs whose overlap can still suffice: two sets differ in at least as many hashes as their
-    parity bitmaps in bits.  Sizes of pairs that passed the length filter are so close that their
-    bitmaps are of one width or of neighbouring ones."""
-    out = np.zeros_like(ok)
+    parity bitmaps in bits.  At thresholds from 1/2 on, pairs that passed the length filter have
+    bitmaps of one width or of neighbouring ones; pairs of other widths pass unfiltered."""
     width = np.array([8 * len(m) for m in maps])
+    wl, wr = width[left][:, None], width[right][None, :]
+    out = (wl > 2 * wr) | (wr > 2 * wl)
     for w in np.unique(width):
         rows, cols = np.flatnonzero((width[left] == w) | (width[left] == 2 * w)), np.flatnonzero((width[right] == w) | (width[right] == 2 * w))
         if not len(rows) or not len(cols) or not ok[np.ix_(rows, cols)].any():

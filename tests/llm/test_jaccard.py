@@ -133,6 +133,13 @@ def test_filters_lose_nothing():
         assert j.block_overlaps([a], [b])[0, 0] == len(np.intersect1d(a, b))
 
 
+def test_suffix_filter_passes_pairs_of_very_different_sizes():
+    a = np.sort(np.random.default_rng(1).integers(0, 2**63, 130).astype(np.uint64))
+    sizes = np.array([60, 130])
+    kept = j.suffix_filter(np.array([[True]]), np.array([0]), np.array([1]), sizes, [j.parity_bitmap(a[:60]), j.parity_bitmap(a)], 2, 5)
+    assert kept[0, 0] and 5 * 60 >= 2 * 130
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 102), (100, 102), (50, 49)]
     got = dict(rows(j.components(spark.createDataFrame(edges, "a long, b long"))))
