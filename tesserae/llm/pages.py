@@ -44,13 +44,17 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 INLINE = frozenset("a abbr b bdi bdo cite code data dfn em font i kbd mark q s samp small span strong sub sup time tt u var del ins label".split())
 #: Parts of class and id names, and roles, that mark boilerplate.
 HINTS = frozenset("ad ads advert adverts advertisement advertising adsense banner promo promotion sponsor sponsored cookie cookies consent gdpr notice alert newsletter subscribe subscription signup popup modal overlay sidebar menu nav navbar navigation breadcrumb breadcrumbs footer header masthead related recommended share sharing social toolbar pagination pager login search".split())
+#: Marks that undo an article or main element too: other hints on it tell of its layout.
+ADVERTS = frozenset("ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion".split())
 COMMENTS = frozenset("comment comments disqus respond replies reply".split())
+#: Elements of a head; any other one opens the body.
+HEAD_TAGS = frozenset("head html title base link meta style script noscript template".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
 NAMES = re.compile(r"\b(class|id|role|hidden|aria-label)\b\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 
 
-def hinted(attributes: str) -> int:
+def hinted(attributes: str, hints: frozenset[str] = HINTS) -> int:
     """0: no mark of boilerplate; 1: a mark; 2: a mark of reader comments."""
     found = 0
     for m in NAMES.finditer(attributes):
@@ -61,7 +65,7 @@ def hinted(attributes: str) -> int:
             found = max(found, 1)
         elif name in ("class", "id"):
             parts = set(re.split(r"[^a-z]+", value))
-            found = max(found, 2 if parts & COMMENTS else int(bool(parts & HINTS)))
+            found = max(found, 2 if parts & COMMENTS else int(bool(parts & hints)))
     return found
 
 
@@ -111,6 +115,10 @@ def lines_of(page: str | None) -> list[tuple[str, int]]:
                     if name == tag:
                         break
             continue
+        if not closing and open_.get("head") and stack[-1][0] == "head" and tag not in HEAD_TAGS:
+            close_line()
+            _, kind, weak = stack.pop()
+            open_["head"] -= 1
         if tag in VOID or attributes.endswith("/"):
             continue
         if tag in RAW_TAGS:
@@ -118,7 +126,7 @@ def lines_of(page: str | None) -> list[tuple[str, int]]:
             at = end.end() if end else len(page)
             continue
         new, new_weak = kind, weak
-        hint = hinted(attributes) if attributes and tag not in ("html", "body") else 0
+        hint = hinted(attributes, ADVERTS if tag in MAIN_TAGS else HINTS) if attributes and tag not in ("html", "body") else 0
         if tag in NO_TEXT or tag in BOILER_TAGS:
             new, new_weak = BOILER, tag in BOILER_TAGS and tag not in ("aside", "dialog")
         elif hint:

@@ -39,6 +39,11 @@ def test_odd_pages(page, text):
     assert p.main_text(p.lines_of(page), []) == text
 
 
+@pytest.mark.parametrize("page, text", [("<main class='site-main with-sidebar'><p>a</p></main>", "a"), ("<article class='post social'>b<div class='share'>x</div></article>", "b"), ("<article class='sponsored'>x</article><article>c</article>", "c"), ("<article class='comment'>x</article><p>d</p>", "d"), ("<html><head><title>T</title><meta charset=utf-8><body><nav>x</nav><article>e</article>", "e"), ("<head><title>T</title><p>f</p>", "f"), ("<head><title>T</title></head><body>g</body>", "g")])
+def test_markup_that_must_not_empty_a_page(page, text):
+    assert p.main_text(p.lines_of(page), []) == text
+
+
 def site(i, body):
     return f"<html><body><div>Site name</div><p>Welcome here</p>{body}<p>All about us</p></body></html>"
 
