@@ -19,8 +19,8 @@ lengths (uint32), the control bytes (a quarter of the number of ids, rounded up;
 of the last group count as 0), the data bytes.
 
 Steps: encode every text once (a map) and keep the ids as compressed binaries in the shared
-folder; count ids over all documents (one row per token and task is shuffled); range-partition
-by doc_id, sort, and pack into blocks.  Reading is a map over blocks; a document's start is its
+folder, with each task's counts of ids in a row beside them; add these counts; range-partition by
+doc_id, sort, and pack into blocks.  Reading is a map over blocks; a document's start is its
 place in its block plus the sums of the blocks and parts before.
 
 Defined results: a null or empty text is the end id alone; null doc_ids come first; rows with
@@ -30,7 +30,7 @@ one block; an empty table gives empty files and an empty result.
 
 from __future__ import annotations
 
-import re
+import json
 import zlib
 from collections.abc import Iterator
 
@@ -50,10 +50,15 @@ MAGIC = b"TSB1"
 BLOCK_IDS = 1 << 20
 #: The label of a space in byte-level vocabularies.
 SPACE_LABEL = "\u0120"
-#: Punctuation that may stand behind a word, and words of letters up to U+024F.
-TAIL, WORD = ".,;:!?", "^[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+$"
-#: White space other than space and line feed.
-OTHER_SPACE = re.compile("[" + "".join(chr(c) for c in range(0x3001) if chr(c).isspace() and chr(c) not in " \n") + "]")
+#: ASCII punctuation that may stand behind a word, and words of letters up to U+024F (behind a line
+#: feed or not).
+TAIL = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
+WORD = "^\\n?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+$"
+#: Texts that are not cut: a space or line feed at an end or next to another, other white space, and
+#: characters of no width, which some patterns take for white space.
+UNCUT = "^[ \\n]|[ \\n]\\z|[ \\n][ \\n]|[\\t\\x0b-\\r\\x1c-\\x1f" + "".join(map(chr, (0x85, 0xA0, 0x1680, 0x180E, 0x2028, 0x2029, 0x202F, 0x205F, 0x2060, 0x3000, 0xFEFF))) + "\u2000-\u200d]"
+#: Words a worker keeps before it starts anew.
+KNOWN_WORDS = 400_000
 
 # For each control byte: the length of its four ranks, and for each of 16 output bytes the place
 # of its data byte (0 and a zero mask where there is none).
@@ -130,16 +135,34 @@ def read_block(block: bytes, id_of: np.ndarray) -> tuple[list[int | None], np.nd
     return docs, lengths, id_of[unpack(block[at : at + groups], block[at + groups :], total)]
 
 
+def gathered(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray, pick: np.ndarray, step: int = 1 << 18) -> np.ndarray:
+    """The stretches ``pick`` of an array, one after another; done in steps that stay in the cache."""
+    out = np.empty(int(lengths[pick].sum()), flat.dtype)
+    done = 0
+    for at in range(0, len(pick), step):
+        some = pick[at : at + step]
+        n = lengths[some]
+        ends = np.cumsum(n)
+        total = int(ends[-1])
+        np.take(flat, np.repeat(starts[some] - (ends - n), n) + np.arange(total), out=out[done : done + total])
+        done += total
+    return out
+
+
 class PieceEncoder:
     """A byte-level tokenizer of the tokenizers library, asked once for each distinct piece of a
-    batch.
+    batch and not again for pieces that earlier batches held more than once.
+
+    A text is cut before each space and line feed, where all of these stand alone between other
+    characters than white space.  The tokenizer's own pattern cuts there too, so its ids of the
+    pieces are its ids of the text; a word with ASCII punctuation behind it is cut once more.  A
+    line feed is put before the text and its id dropped, so that the first piece is like others.
+    Distinct pieces are asked for many at a time, joined by spaces; each starts where an id's
+    label starts with a space.
 
-    A text is cut at each space, where all spaces stand alone between other characters than
-    white space.  The tokenizer's own pattern cuts before each of these spaces too, so its ids
-    of the pieces are its ids of the text.  Distinct pieces are asked for many at a time, joined
-    by spaces again; each starts where an id's label starts with a space.  A text's first piece,
-    which no space precedes, and texts that hold a special token or other white space are asked
-    for as they are."""
+    Texts that hold a special token or other white space are asked for as they are; so is every
+    text if the tokenizer's file states other rules than these (a normaliser, a pre-tokenizer
+    that is not the byte-level one, a space put before texts)."""
 
     def __init__(self, spec: str) -> None:
         from tokenizers import Tokenizer
@@ -151,66 +174,89 @@ class PieceEncoder:
         size = self.tokenizer.get_vocab_size()
         self.kind = np.dtype("<u2") if size <= 1 << 16 else np.dtype("<u4")
         self.opens = np.array([(self.tokenizer.id_to_token(i) or "").startswith(SPACE_LABEL) for i in range(size)])
+        rules = json.loads(spec)
+        split, model = rules.get("pre_tokenizer") or {}, rules.get("model") or {}
+        self.cuttable = rules.get("normalizer") is None and split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space", True) and model.get("type") == "BPE" and not model.get("dropout") and not any(c in s for s in self.special for c in " \n")
+        self.known: dict[str, bytes] = {}
 
     def raw(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind)
 
-    def plain(self, text: str) -> bool:
-        """Whether each space of a text stands alone between other characters than white space."""
-        return not (not text or text[0] == " " or text[-1] == " " or "  " in text or " \n" in text or "\n " in text or OTHER_SPACE.search(text) or any(s in text for s in self.special))
-
-    def asked(self, words: pa.Array, at_once: int = 4_000) -> tuple[bytes, np.ndarray]:
-        """Ids of pieces, each as it stands behind a space: all ids in order as bytes, and the
-        byte at which each piece starts (and the last ends)."""
-        ids, ends, held = [], [np.zeros(1, np.int64)], 0
-        cuts = pa.array([*range(0, len(words), at_once), len(words)], pa.int32())
-        for joined in pc.binary_join(pa.ListArray.from_arrays(cuts, words.cast(pa.string())), " "):
-            got = self.raw(f" {joined.as_py()}")
+    def plain(self, texts: pa.Array) -> np.ndarray:
+        """Which texts may be cut."""
+        if not self.cuttable:
+            return np.zeros(len(texts), bool)
+        out = pc.not_equal(texts, "")
+        for bad in (pc.match_substring_regex(texts, UNCUT), *(pc.match_substring(texts, s) for s in self.special)):
+            out = pc.and_not(out, bad)
+        return out.to_numpy(zero_copy_only=False)
+
+    def asked(self, words: list[str], at_once: int = 4_000) -> list[bytes]:
+        """The ids of pieces, each as it stands behind a space (or a line feed of its own)."""
+        out: list[bytes] = []
+        for at in range(0, len(words), at_once):
+            some = words[at : at + at_once]
+            got = self.raw(" " + " ".join(some))
             starts = np.flatnonzero(self.opens[got])
-            ids.append(got.tobytes())
-            ends.append(np.append(starts[1:], len(got)) + held)
-            held += len(got)
-        starts = np.concatenate(ends) * self.kind.itemsize
-        if len(starts) != len(words) + 1:
-            raise ValueError("pieces and ids do not match")
-        return b"".join(ids), starts
-
-    def coded(self, pieces: pa.Array) -> np.ndarray:
-        """The ids of distinct pieces as bytes.  A word with punctuation behind it is the word and
-        the punctuation: the tokenizer's pattern cuts there as well."""
+            if len(starts) != len(some):  # a label that cannot be told apart
+                out += [self.raw(" " + w)[w[0] == "\n" :].tobytes() for w in some]
+                continue
+            ids, width = got.tobytes(), self.kind.itemsize
+            ends = [*(starts[1:] * width).tolist(), len(ids)]
+            # The space before a line feed was put there by the join.
+            out += [ids[a + width * (w[0] == "\n") : b] for w, a, b in zip(some, (starts * width).tolist(), ends, strict=True)]
+        return out
+
+    def of_words(self, words: list[str], often: np.ndarray) -> list[bytes]:
+        """The ids of distinct words; those that stand ``often`` are kept for later batches."""
+        if len(self.known) > KNOWN_WORDS:
+            self.known.clear()
+        known = self.known
+        out = [known.get(w) for w in words]
+        new = [i for i, v in enumerate(out) if v is None]
+        for i, v, keep in zip(new, self.asked([words[i] for i in new]), often[new].tolist(), strict=True):
+            out[i] = v
+            if keep:
+                known[words[i]] = v
+        return out
+
+    def coded(self, pieces: pa.Array, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of distinct pieces one after another, and how many each has.  A word with
+        punctuation behind it is the word and the punctuation."""
         bare = pc.utf8_rtrim(pieces, TAIL)
         cut = pc.and_(pc.match_substring_regex(bare, WORD), pc.not_equal(bare, pieces))
         words = pc.if_else(cut, bare, pieces).dictionary_encode()
-        raw, starts = self.asked(words.dictionary)
-        own = np.empty(len(words.dictionary), object)
-        own[:] = [raw[x:y] for x, y in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)]
-        out = own[words.indices.to_numpy()]
-        tails: dict[str, bytes] = {}
-        places = np.flatnonzero(cut.to_numpy(zero_copy_only=False))
-        some = pa.array(places)
-        for i, whole, word in zip(places.tolist(), pieces.take(some).to_pylist(), bare.take(some).to_pylist(), strict=True):
-            tail = whole[len(word) :]
-            ids = tails.get(tail)
-            if ids is None:
-                ids = tails[tail] = self.raw(tail).tobytes()
-            out[i] += ids
-        return out
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian bytes."""
-        plain = [self.plain(t) for t in texts]
-        out = [b"" if p else self.raw(t).tobytes() for t, p in zip(texts, plain, strict=True)]
-        cut = [i for i, p in enumerate(plain) if p]
-        if not cut:
+        at = words.indices.to_numpy()
+        first = self.of_words(words.dictionary.to_pylist(), np.bincount(at, times, len(words.dictionary)) > 1)
+        tails = pc.replace_substring_regex(pieces.filter(cut), WORD[:-1], "").dictionary_encode()
+        behind = [self.raw(t).tobytes() for t in tails.dictionary.to_pylist()]
+        each = [*first, b"", *behind]
+        lengths = np.fromiter(map(len, each), np.int64, len(each)) // self.kind.itemsize
+        pick = np.empty((len(pieces), 2), np.int64)
+        pick[:, 0], pick[:, 1] = at, len(first)
+        pick[cut.to_numpy(zero_copy_only=False), 1] = tails.indices.to_numpy() + len(first) + 1
+        flat = gathered(np.frombuffer(b"".join(each), self.kind), np.cumsum(lengths) - lengths, lengths, pick.reshape(-1))
+        return flat, lengths[pick].sum(axis=1)
+
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids of each text."""
+        texts = pc.fill_null(texts, "").cast(pa.large_string())
+        plain = self.plain(texts)
+        out: list[np.ndarray] = [np.zeros(0, self.kind)] * len(texts)
+        for i in np.flatnonzero(~plain).tolist():
+            out[i] = self.raw(texts[i].as_py())
+        if not plain.any():
             return out
-        split = pc.split_pattern(pa.array([texts[i] for i in cut], pa.large_string()), " ")
-        ends = split.offsets.to_numpy()
+        marked = pc.replace_substring(texts.filter(pa.array(plain)), "\n", " \n")
+        line = pa.scalar("\n", pa.large_string())
+        split = pc.split_pattern(pc.binary_join_element_wise(line, marked, pa.scalar("", pa.large_string())), " ")
         distinct = split.flatten().dictionary_encode()
-        code, ids = distinct.indices.to_numpy(), self.coded(distinct.dictionary)
-        for i, a, b in zip(cut, ends[:-1].tolist(), ends[1:].tolist(), strict=True):
-            # No space stands before a text's first piece.
-            first = self.raw(texts[i][: len(texts[i]) if b == a + 1 else texts[i].index(" ")])
-            out[i] = first.tobytes() + b"".join(ids[code[a + 1 : b]].tolist())
+        code = distinct.indices.to_numpy()
+        flat, lengths = self.coded(distinct.dictionary, np.bincount(code, minlength=len(distinct.dictionary)))
+        ids = gathered(flat, np.cumsum(lengths) - lengths, lengths, code)
+        ends = np.concatenate([[0], np.cumsum(lengths[code])])[split.offsets.to_numpy() - split.offsets[0].as_py()]
+        for i, a, b in zip(np.flatnonzero(plain).tolist(), ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+            out[i] = ids[a + 1 : b]
         return out
 
 
@@ -238,37 +284,48 @@ def chunks(batch: pa.RecordBatch, chars: int = 32_000_000) -> Iterator[pa.Record
         at = to
 
 
-def encoded(docs: DataFrame, spec: str, end_id: int, key: str, text: str) -> DataFrame:
-    """doc_id, n, ids: the compressed ids of each row, end id included."""
+ENCODED = "doc_id long, n long, ids binary, counts binary"
+
+
+def encoded(docs: DataFrame, spec: str, end_id: int, vocabulary: int, key: str, text: str) -> DataFrame:
+    """The compressed ids of each row, end id included; and from each task a row of how often it
+    has seen each id (``counts``, of which the other rows have none)."""
     shared = docs.sparkSession.sparkContext.broadcast(spec)
+    names = [c.split()[0] for c in ENCODED.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = ready(shared.value)
         end = np.array([end_id], t.kind).tobytes()
         squeeze = zstandard.ZstdCompressor(level=1).compress
+        counts, rows = np.zeros(vocabulary, np.int64), 0
         for batch in batches:
             for part in chunks(batch):
-                ids = t.encode([v or "" for v in part.column(1).to_pylist()])
-                n = [len(x) // t.kind.itemsize + 1 for x in ids]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array([squeeze(x + end) for x in ids], pa.binary())], ["doc_id", "n", "ids"])
+                ids = t.encode(part.column(1))
+                counts += np.bincount(np.concatenate(ids), minlength=vocabulary)
+                rows += len(ids)
+                n = [len(x) + 1 for x in ids]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array([squeeze(x.tobytes() + end) for x in ids], pa.binary()), pa.nulls(len(ids), pa.binary())], names)
+        counts[end_id] += rows
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([squeeze(counts.tobytes())], pa.binary())], names)
 
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(tidied(run), "doc_id long, n long, ids binary")
+    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(tidied(run), ENCODED)
 
 
-def id_counts(rows: DataFrame, kind: np.dtype, vocabulary: int) -> DataFrame:
-    """token, n over all rows; each task gives one row for each token it has seen."""
+def id_counts(rows: DataFrame, vocabulary: int, tasks: int = 16) -> np.ndarray:
+    """How often each id occurs: ``tasks`` tasks add up the rows of all others, and their sums
+    come to the driver, a number for each id of the vocabulary."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(vocabulary, np.int64)
         open_ = zstandard.ZstdDecompressor().decompress
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                some = [np.frombuffer(open_(v.as_py()), kind) for v in batch.column(0)[at : at + 256]]
-                counts += np.bincount(np.concatenate(some), minlength=vocabulary)
-        seen = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int32()), pa.array(counts[seen], pa.int64())], ["token", "n"])
+            for v in batch.column(0):
+                counts += np.frombuffer(open_(v.as_py()), np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array([counts.tobytes()], pa.binary())], ["counts"])
 
-    return rows.select("ids").mapInArrow(tidied(run), "token int, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    sums = rows.where("counts is not null").select("counts").repartition(tasks).mapInArrow(tidied(add), "counts binary")
+    return sum((np.frombuffer(r["counts"], np.int64) for r in sums.toLocalIterator()), np.zeros(vocabulary, np.int64))
 
 
 def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 2, key: str = "doc_id", text: str = "text") -> None:
@@ -278,12 +335,9 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
     kind = ready(spec).kind
     vocabulary = max(ready(spec).tokenizer.get_vocab_size(), end_id + 1)
     kept = shared_path(spark, "ids")
-    encoded(docs, spec, end_id, key, text).write.option("compression", "uncompressed").parquet(kept)
-    rows = spark.read.schema("doc_id long, n long, ids binary").parquet(kept)
-
-    counts = np.zeros(vocabulary, np.int64)
-    for r in id_counts(rows, kind, vocabulary).collect():  # a row for each token of the vocabulary at most
-        counts[r["token"]] = r["n"]
+    encoded(docs, spec, end_id, vocabulary, key, text).write.option("compression", "uncompressed").parquet(kept)
+    rows = spark.read.schema(ENCODED).parquet(kept)
+    counts = id_counts(rows, vocabulary)
     id_of = np.argsort(-counts, kind="stable").astype(np.int32)
     rank_of = np.empty(vocabulary, np.uint32)
     rank_of[id_of] = np.arange(vocabulary, dtype=np.uint32)
@@ -312,7 +366,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
         if docs_:
             yield close()
 
-    dealt = rows.select("doc_id", "ids").repartitionByRange(shuffle_parts(spark), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "ids")
+    dealt = rows.where("counts is null").select("doc_id", "ids").repartitionByRange(shuffle_parts(spark), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "ids")
     dealt.mapInArrow(tidied(blocks), "part int, seq int, n_docs long, n_ids long, block binary").write.option("compression", "zstd").parquet(f"{path}/blocks")
     drop_path(spark, kept)
 

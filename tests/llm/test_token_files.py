@@ -1,6 +1,8 @@
+import json
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -21,11 +23,44 @@ def test_code_round_trip(values):
     assert f.unpack(control, data, len(values)).tolist() == values
 
 
+SPEC = open(PATH, encoding="utf-8").read()
+ODD = ["a  b", "a \tb", " lead", "trail ", "a\n\nb c\n", "don't you'll a.b,c", "1,234.5 a1 .", "x ab. a1. a). ab.) é! 日本. x² ..", "one", "a\nb's 's\n's", "\n", " ", "\na b", "a b\n", "x\u200by \u200bz", "a\u180eb", "end<|endoftext|>of it", "don''t' it's'. '' word'\nword''s", "a\r\nb c", "Ġ ĠĠ aĠ\nĠb", "\x00 a\x00\nb"]
+
+
+def same_as_library(own, texts):
+    for x, ids in zip(texts, own.encode(pa.array(texts, pa.string())), strict=True):
+        assert ids.tolist() == own.tokenizer.encode(x or "", add_special_tokens=False).ids, x
+
+
 def test_pieces_like_the_library():
-    own = f.PieceEncoder(open(PATH, encoding="utf-8").read())
-    texts = [t or "" for _, t, _, _ in TEXTS] + ["a  b", "a \tb", " lead", "trail ", "a\n\nb c\n", "don't you'll a.b,c", "1,234.5 a1 .", "x ab. a1. a). ab.) é! 日本. x² ..", "one"]
-    for x, ids in zip(texts, own.encode(texts), strict=True):
-        assert np.frombuffer(ids, own.kind).tolist() == own.tokenizer.encode(x, add_special_tokens=False).ids, x
+    own = f.PieceEncoder(SPEC)
+    for _ in range(2):  # the second time from what is kept
+        same_as_library(own, [t or "" for _, t, _, _ in TEXTS] + ODD)
+    same_as_library(own, ["a b", None])
+    assert len(own.encode(pa.array([], pa.string()))) == 0
+
+
+@given(st.lists(st.text(st.sampled_from(list("abA é'sṬ1.,!%-\n  \t\u00a0Ġ中")), max_size=30), max_size=6))
+@settings(max_examples=300, deadline=None)
+def test_any_text_like_the_library(texts):
+    same_as_library(f.ready(SPEC), texts)
+
+
+def test_other_rules_are_not_cut():
+    """A tokenizer with rules of its own gets whole texts."""
+    spec = json.loads(SPEC)
+    for change in ({"normalizer": {"type": "Lowercase"}}, {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True, "trim_offsets": True, "use_regex": True}}, {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}}):
+        own = f.PieceEncoder(json.dumps(spec | change))
+        assert not own.cuttable
+        same_as_library(own, ODD)
+
+
+def test_words_kept_are_bounded(monkeypatch):
+    monkeypatch.setattr(f, "KNOWN_WORDS", 5)
+    own = f.PieceEncoder(SPEC)
+    for k in range(6):
+        same_as_library(own, [" ".join(f"w{chr(97 + k)}{chr(97 + i)} w{chr(97 + k)}{chr(97 + i)}" for i in range(8))])
+        assert len(own.known) <= 5 + 8
 
 
 def test_files_hold_everything(spark):
