@@ -1,28 +1,32 @@
 """Toxicity: gradient-boosted trees over dense features, calibrated by isotonic regression.
 
-The lexicon is learned: whole words and word beginnings that toxic training texts use far more
-often than clean ones, in enough different texts.  A text becomes a dozen rates: lexicon hits by
-word and by weight, the densest window, hits near second-person words, capitals, exclamation and
-question marks, symbols, words with digits or symbols inside letters and hits among them once
-those are read as letters, repeated words, length.  Boosted trees of logistic loss are fitted on
-most of the training rows, and a monotone step function from their margin to the label's rate on
-the rest.
-
-Training rows: labelled rows whose ``crc32(id as text) mod 5`` is not 0, of these the
-``sample_rows`` first by hash (a bound on what the driver fits; 8,000 by default).  Id, language
-and source never enter a feature.  Counting lexicon candidates and features of training rows is
-done by the workers; scoring is a map without shuffle over all whole texts.
+The lexicon is learned: whole words and word beginnings that toxic training texts use ``lift``
+times as often as clean ones, in ``share`` of the toxic texts at least and more often than chance
+would have it (``sure``).  A text becomes a dozen
+rates: lexicon hits by word and by weight, the densest window, hits near second-person words,
+capitals, exclamation and question marks, symbols, words with digits or symbols inside letters
+and hits among them once those are read as letters, repeated words, length.  Boosted trees of
+logistic loss are fitted on most of the sampled training rows, and a monotone step function from
+their margin to the label's rate on the rest, which neither trees nor lexicon have seen.
+
+Training rows: labelled rows whose ``crc32(id as text) mod 5`` is not 0.  The lexicon is counted
+over all of them (but for the calibration's) by the workers: toxic texts first, then the uses of
+their frequent entries in clean texts.  Trees and calibration are fitted on the ``sample_rows``
+ids first by hash (a bound on what the driver fits; 8,000 by default).  Id, language and source
+never enter a feature.  Scoring is a map without shuffle over all whole texts.
 
 Defined results: a null or empty text has all rates 0 and is scored like any other; equal texts
 get equal scores; without labelled rows of both kinds every score is the rate of toxic labels
-(0 without labels); an empty table gives an empty result.
+(0 without labels); of several labels of one id the highest counts; of several texts under one
+labelled id all are counted for the lexicon and the least is sampled; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -43,6 +47,8 @@ SECOND_PERSON = frozenset("you your yours yourself u ur du dich dir dein deine d
 NEAR, WINDOW = 5, 50
 #: Lengths of word beginnings that may enter the lexicon.
 STEMS = (4, 5, 6, 7)
+#: Estimated bytes of labelled ids up to which they are broadcast, and of one id and its label.
+BROADCAST_BYTES, ID_BYTES = 64 << 20, 40
 FEATURES = ("hits", "weighted", "log_hits", "distinct", "window", "second_person", "capitals", "exclaims", "questions", "symbols", "digits", "masked", "masked_hits", "repeats", "log_words")
 
 
@@ -182,16 +188,17 @@ def fit_trees(x: np.ndarray, y: np.ndarray, trees: int = 80, depth: int = 3, rat
 
 
 def isotonic(margin: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pool adjacent violators: block means over sorted margins, as points to interpolate between."""
+    """Pool adjacent violators: block means over sorted margins, as points to interpolate between.
+    The means rise from block to block."""
     order = np.argsort(margin, kind="stable")
     blocks: list[list[float]] = []  # sum of labels, rows, sum of margins
     for s, t in zip(margin[order], y[order], strict=True):
         blocks.append([t, 1.0, s])
-        while len(blocks) > 1 and blocks[-2][0] / blocks[-2][1] >= blocks[-1][0] / blocks[-1][1]:
+        while len(blocks) > 1 and blocks[-2][0] * blocks[-1][1] >= blocks[-1][0] * blocks[-2][1]:
             t2, n2, s2 = blocks.pop()
             blocks[-1] = [blocks[-1][0] + t2, blocks[-1][1] + n2, blocks[-1][2] + s2]
     b = np.array(blocks)
-    return b[:, 2] / b[:, 1], (b[:, 0] + 0.5 * y.mean()) / (b[:, 1] + 0.5)
+    return b[:, 2] / b[:, 1], b[:, 0] / b[:, 1]
 
 
 @dataclass
@@ -210,47 +217,87 @@ class Model:
         return np.clip(0.98 * np.interp(margin, *self.steps) + 0.02 * raw, 0.0, 1.0)
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, sample_rows: int, key: str, text: str, label: str) -> DataFrame:
-    """text, y of at most ``sample_rows`` labelled rows outside the held-out fifth."""
+def labelled(labels: DataFrame, key: str, label: str) -> DataFrame:
+    """key, y of the labelled ids outside the held-out fifth."""
     ok = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).where(F.crc32(F.col(key).cast("string").cast("binary")) % 5 != 0)
-    picked = hash_sample(ok.groupBy(key).agg(F.max(label).alias("y")), sample_rows, key)
-    # At most sample_rows rows of two numbers: small by its own limit.
-    return written(docs.select(key, F.col(text).alias("text")).join(F.broadcast(picked), key).select("text", F.col("y").cast("double").alias("y")), "toxicity-rows")
+    return ok.groupBy(F.col(key).cast("long").alias("id")).agg(F.max(label).cast("double").alias("y"))
 
 
-def learn_lexicon(rows: DataFrame, toxic_rows: int, share: float, lift: float, most: int) -> Lexicon:
-    """Entries that toxic texts use ``lift`` times as often, found in ``share`` of them at least."""
+def texts_of(docs: DataFrame, ids: DataFrame, rows: int, key: str, text: str) -> DataFrame:
+    """id, text and the columns of ``ids`` (``rows`` rows), which goes to the texts while it is small."""
+    small = rows * ID_BYTES <= BROADCAST_BYTES
+    return docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text")).join(F.broadcast(ids) if small else ids, "id")
+
+
+def summed(rows: DataFrame, count: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], names: tuple[str, ...]) -> DataFrame:
+    """Counts by entry that tasks have made, added up."""
+    schema = "entry string, " + ", ".join(f"{n} long" for n in names)
+    return rows.select("text").mapInArrow(tidied(count), schema).groupBy("entry").agg(*[F.sum(n).alias(n) for n in names])
+
+
+def toxic_entries(rows: DataFrame) -> DataFrame:
+    """entry, docs, used over toxic texts; the empty entry counts texts and words."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        used: tuple[Counter, Counter] = (Counter(), Counter())
-        docs: tuple[Counter, Counter] = (Counter(), Counter())
-        total = [0, 0]
+        used, docs = Counter(), Counter()
         for batch in batches:
-            for text, y in zip(batch.column(0), batch.column(1), strict=True):
-                side = int(y.as_py() > 0.5)
+            for text in batch.column(0):
                 words = Counter(WORDS.findall((text.as_py() or "").lower()))
-                total[side] += sum(words.values())
-                seen: Counter = Counter()
+                seen = Counter({"": sum(words.values())})
                 for w, n in words.items():
                     for e in entries_of(w):
                         seen[e] += n
-                used[side].update(seen)
-                docs[side].update(seen.keys())
-        names = ["", *docs[1]]  # an entry that no toxic text of this task holds may still be held by another task's
-        names += [e for e in docs[0] if e not in docs[1]]
-        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([docs[1][e] for e in names], pa.int64()), pa.array([total[1] if e == "" else used[1][e] for e in names], pa.int64()), pa.array([total[0] if e == "" else used[0][e] for e in names], pa.int64())], ["entry", "docs", "toxic", "clean"])
-
-    counted = rows.select("text", "y").mapInArrow(tidied(count), "entry string, docs long, toxic long, clean long").groupBy("entry").agg(F.sum("docs").alias("docs"), F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    counted = written(counted, "toxicity-entries")
-    total = counted.where("entry = ''").select("toxic", "clean").collect()
-    if not total or not total[0]["toxic"]:
+                used.update(seen)
+                docs.update(seen.keys())
+        names = list(used)
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([docs[e] for e in names], pa.int64()), pa.array([used[e] for e in names], pa.int64())], ["entry", "docs", "used"])
+
+    return summed(rows, count, ("docs", "used"))
+
+
+def clean_uses(rows: DataFrame, wanted: frozenset[str]) -> DataFrame:
+    """entry, used over clean texts, for some entries; the empty entry counts words."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        openings = frozenset(e.rstrip("$")[: STEMS[0]] for e in wanted)
+        words: Counter = Counter()
+        total = 0
+        for batch in batches:
+            for text in batch.column(0):
+                found = WORDS.findall((text.as_py() or "").lower())
+                total += len(found)
+                words.update([w for w in found if w[: STEMS[0]] in openings])
+        used: Counter = Counter()
+        for w, n in words.items():
+            for e in entries_of(w):
+                if e in wanted:
+                    used[e] += n
+        names = ["", *used]
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([total, *used.values()], pa.int64())], ["entry", "used"])
+
+    return summed(rows, count, ("used",))
+
+
+def learn_lexicon(toxic: DataFrame, clean: DataFrame, share: float, lift: float, sure: float) -> Lexicon:
+    """Entries that toxic texts use ``lift`` times as often as clean ones, found in ``share`` of
+    the toxic texts at least (and in three), if that is ``sure`` standard deviations more use than
+    entries without a side would have in toxic texts.  What comes to the driver is limited by ``share``: so
+    many entries at most as a toxic text holds on average, divided by ``share``."""
+    counted = written(toxic_entries(toxic), "toxicity-entries")
+    total = counted.where("entry = ''").select("docs", "used").collect()
+    if not total or not total[0]["used"]:
         return Lexicon({})
-    words1, words0 = total[0]["toxic"], max(1, total[0]["clean"])
-    support = max(3, int(share * toxic_rows))
-    rate1, rate0 = F.col("toxic") / words1, (F.col("clean") + 0.5) / words0
-    strong = counted.where(F.col("entry") != "").where(F.col("docs") >= support).withColumn("lift", rate1 / rate0).where(F.col("lift") >= lift)
-    picked = strong.orderBy(F.desc("docs"), "entry").limit(most).collect()  # ``most`` rows at most
-    return Lexicon({r["entry"]: float(np.log(r["lift"])) for r in picked})
+    found = counted.where(F.col("entry") != "").where(F.col("docs") >= max(3, int(share * total[0]["docs"]))).collect()
+    uses = {r["entry"]: r["used"] for r in clean_uses(clean, frozenset(r["entry"] for r in found)).collect()}
+    words1, words0 = total[0]["used"], max(1, uses.get("", 0))
+    weights = {}
+    for r in sorted(found, key=lambda r: r["entry"]):
+        toxic_use, clean_use = r["used"], uses.get(r["entry"], 0)
+        raised = toxic_use / (clean_use + 0.5) * words0 / words1
+        expected = (toxic_use + clean_use) * words1 / (words1 + words0)
+        if raised >= lift and toxic_use - expected >= sure * expected**0.5:
+            weights[r["entry"]] = float(np.log(raised))
+    return Lexicon(weights)
 
 
 def train(docs: DataFrame, labels: DataFrame, **options) -> Model:
@@ -260,29 +307,37 @@ def train(docs: DataFrame, labels: DataFrame, **options) -> Model:
         return fitted(docs, labels, **options)
 
 
-def fitted(docs: DataFrame, labels: DataFrame, sample_rows: int = 8000, share: float = 0.015, lift: float = 8.0, most: int = 400, key: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
-    rows = training_rows(docs, labels, sample_rows, key, text, label)
-    stats = rows.agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("y") > 0.5, 1).otherwise(0)).alias("toxic")).collect()[0]
-    n, toxic = stats["n"], stats["toxic"] or 0
+def fitted(docs: DataFrame, labels: DataFrame, sample_rows: int = 8000, share: float = 0.015, lift: float = 8.0, sure: float = 5.0, key: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
+    """``sample_rows`` labelled ids are taken for the trees and their calibration; the lexicon is
+    counted over all labelled rows but those of the calibration."""
+    ids = written(labelled(labels, key, label), "toxicity-ids")
+    n_ids = ids.count()
+    side = F.when(F.pmod(F.xxhash64(F.col("id"), F.lit(5)), F.lit(10)) < 3, 1).otherwise(0)
+    picked = written(hash_sample(ids, sample_rows, "id").withColumn("apart", side), "toxicity-picked")
+    # One text for an id, the least, so that there are no more rows than ids picked.
+    rows = written(texts_of(docs, picked, sample_rows, key, text).groupBy("id").agg(F.min("text").alias("text"), F.first("y").alias("y"), F.first("apart").alias("apart")), "toxicity-rows")
+    sizes = {(r["apart"], r["y"] > 0.5): r["n"] for r in rows.groupBy("apart", "y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    n, toxic = sum(sizes.values()), sum(k for (_, y), k in sizes.items() if y)
     if not toxic or toxic == n:
         return Model(Lexicon({}), None, None, 0.0 if not n else toxic / n)
-    lexicon = learn_lexicon(rows, toxic, share, lift, most)
+    # Too few rows to hold some apart: the same rows serve both.
+    split = all(sizes.get((a, y), 0) for a in (0, 1) for y in (False, True))
+    counted = ids.join(F.broadcast(picked.where("apart = 1").select("id")), "id", "left_anti") if split else ids
+    every = texts_of(docs, counted, n_ids, key, text)
+    lexicon = learn_lexicon(every.where("y > 0.5"), every.where("y <= 0.5"), share, lift, sure)
 
     def dense(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = [features(v.as_py(), lexicon) for v in batch.column(0)]
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), batch.column(1)], ["x", "y"])
-
-    got = rows.select("text", "y").mapInArrow(tidied(dense), "x array<double>, y double").toPandas()  # sample_rows rows of 15 numbers
-    x, y = np.stack(got["x"].to_numpy()), (got["y"].to_numpy() > 0.5).astype(float)
-    order = np.lexsort((*x.T, y))  # the order of rows must not depend on tasks
-    x, y = x[order], y[order]
-    apart = np.random.default_rng(5).random(len(y)) < 0.3
-    if min(y[~apart].sum(), (1 - y[~apart]).sum(), y[apart].sum(), (1 - y[apart]).sum()) < 1:
-        apart = np.zeros(len(y), bool)
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), batch.column(1), batch.column(2)], ["x", "y", "apart"])
+
+    got = rows.select("text", "y", "apart").mapInArrow(tidied(dense), "x array<double>, y double, apart int").toPandas()  # sample_rows rows of 15 numbers
+    x, y, apart = np.stack(got["x"].to_numpy()), (got["y"].to_numpy() > 0.5).astype(float), got["apart"].to_numpy() == 1
+    order = np.lexsort((*x.T, y, apart))  # the order of rows must not depend on tasks
+    x, y, apart = x[order], y[order], apart[order] if split else np.zeros(len(y), bool)
     trees = fit_trees(x[~apart], y[~apart])
-    side = apart if apart.any() else ~apart
-    return Model(lexicon, trees, isotonic(trees.margin(x[side]), y[side]), float(y.mean()))
+    held = apart if split else ~apart
+    return Model(lexicon, trees, isotonic(trees.margin(x[held]), y[held]), float(y.mean()))
 
 
 def score_documents(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:

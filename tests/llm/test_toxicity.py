@@ -64,9 +64,59 @@ def test_no_labels(spark):
 
 def test_isotonic_is_monotone():
     rng = np.random.default_rng(0)
-    x = rng.normal(size=500)
-    at, value = t.isotonic(x, (rng.random(500) < 1 / (1 + np.exp(-3 * x))).astype(float))
-    assert (np.diff(at) >= 0).all() and (np.diff(value) >= -0.05).all() and value[0] < 0.2 < 0.8 < value[-1]
+    for n in [1, 2, 5, 40] * 40 + [500]:
+        x = rng.normal(size=n).round(1 if n < 500 else 9)
+        at, value = t.isotonic(x, (rng.random(n) < 1 / (1 + np.exp(-3 * x))).astype(float))
+        assert (np.diff(at) >= 0).all() and (np.diff(value) > 0).all()
+    assert value[0] < 0.2 < 0.8 < value[-1]
+
+
+def test_isotonic_is_the_best_rising_fit():
+    """Against the fit by its closed form: the largest of the least means of runs around each row."""
+    rng = np.random.default_rng(1)
+    for _ in range(60):
+        x, y = np.sort(rng.normal(size=12)), rng.integers(0, 2, 12).astype(float)
+        best = [max(min(y[a : b + 1].mean() for b in range(i, 12)) for a in range(i + 1)) for i in range(12)]
+        assert np.allclose(t.isotonic(x, y)[1], np.unique(np.round(best, 12)))
+
+
+def test_trees_against_a_plain_walk():
+    rng = np.random.default_rng(2)
+    x = rng.random((300, 5))
+    trees = t.fit_trees(x, (x[:, 1] + x[:, 3] > 1).astype(float), trees=12)
+    for row, got in zip(x, trees.margin(x), strict=True):
+        total = trees.base
+        for node in trees.roots:
+            while trees.left[node] != node:
+                node = trees.left[node] if row[trees.feature[node]] <= trees.threshold[node] else trees.right[node]
+            total += trees.value[node]
+        assert abs(total - got) < 1e-9
+
+
+def test_lexicon_counts_every_labelled_row(spark):
+    """Toxic words of rows that the trees' sample does not hold are still learned; nothing is cut."""
+    docs, labels = corpus(spark)
+    model = t.train(docs, labels, sample_rows=60)
+    assert {"zounder$", "wretchy$", "vilekin$"} <= set(model.lexicon.weights)
+    many = [(i, " ".join(f"bad{'abcdefgh'[k % 8]}{'abcdefgh'[k // 8 % 8]}{'abcdefgh'[k // 64]}x" for k in range(500)) if i % 4 == 0 else " ".join(["fine words only here"] * 400), "en", "a") for i in range(80)]
+    found = t.train(documents(spark, many), spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(80)], "doc_id long, quality int, toxic int")).lexicon.weights
+    assert sum(e.endswith("$") for e in found) == 500
+
+
+def test_repeated_ids_do_not_outgrow_the_sample(spark):
+    docs = documents(spark, [(i % 10, f"text {i} of many", "en", "a") for i in range(400)])
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(10)] * 3, "doc_id long, quality int, toxic int")
+    model = t.train(docs, labels, sample_rows=8)
+    assert model.trees is not None and 0 <= model.rate <= 1
+
+
+def test_driver_labels(spark, sf):
+    """Held-out labels of the driver's table are ranked well, and clean documents pass."""
+    docs, labels = spark.read.parquet(f"{sf}/../sf0.01/documents.parquet"), spark.read.parquet(f"{sf}/../sf0.01/labels.parquet")
+    got = t.score_documents(docs, t.train(docs, labels)).join(labels, "doc_id").where("held_out").select("score", "predicted", "toxic").toPandas()
+    bad, good = got[got.toxic == 1].score.to_numpy(), got[got.toxic == 0].score.to_numpy()
+    auc = ((bad[:, None] > good[None, :]) + 0.5 * (bad[:, None] == good[None, :])).mean()
+    assert auc > 0.9 and (got.predicted == got.toxic).mean() > 0.9
 
 
 def test_held_out_labels_are_not_read(spark, fitted):
