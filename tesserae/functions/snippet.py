@@ -3,8 +3,10 @@
 The window is chosen among those around each phrase instance and those that start with its
 sentence: a window scores 1000 for each distinct phrase and 1 for each further instance inside,
 and a bonus for starting with the line or with a sentence.  An instance's window is moved back so
-that its instances stand in the middle, as far as the line's ends allow.  Marks of instances that overlap or touch become one; an instance
-that the window cuts is marked as far as it goes.
+that its instances stand in the middle, as far as the line's ends allow (not at all if the last one
+sticks out).  Marks of instances that overlap become one; one
+that starts before the window is left out, one that the window's end cuts is marked as far as it
+goes.
 """
 
 from __future__ import annotations
@@ -102,7 +104,7 @@ def choose(found: list[tuple[int, int, int]], starts: list[int], total: int, siz
     for i, _, _ in found:
         score, first, last = window_score(found, i, size)
         if score > best:
-            best, best_start = score, max(0, min(first - (size - (last - first)) // 2, total - size))
+            best, best_start = score, max(0, min(first - max(0, size - (last - first)) // 2, total - size))
         opening = [s for s in starts if s <= i][-1:]
         if total > size and opening and opening[0] < i:
             score = window_score(found, opening[0], size)[0] + (OPENING if opening[0] == 0 else SENTENCE)
@@ -116,14 +118,13 @@ def snippet(content: str, node: Node, size: int = TOKENS) -> str:
     found = instances([t for t, _, _ in toks], node)
     start = choose(found, sentence_starts(content, toks), len(toks), size)
     stop = min(len(toks), start + size)
-    marks: list[list[int]] = []
+    groups: list[list[int]] = []
     for i, n, _ in found:
-        a, b = max(i, start), min(i + n, stop)
-        if a < b:
-            if marks and a < marks[-1][1]:
-                marks[-1][1] = max(marks[-1][1], b)
-            else:
-                marks.append([a, b])
+        if groups and i < groups[-1][1]:
+            groups[-1][1] = max(groups[-1][1], i + n)
+        else:
+            groups.append([i, i + n])
+    marks = [(a, min(b, stop)) for a, b in groups if start <= a < stop]
     out = [CUT if start > 0 else ""]
     at = toks[start][1] if start > 0 else 0
     for a, b in marks:

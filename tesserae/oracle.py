@@ -75,6 +75,13 @@ SEARCH = {
     "fts_index_nested": ranked(*_NESTED),
 }
 
+_T, _GAP = r"[\p{L}\p{N}\p{Co}]+", r"[^\p{L}\p{N}\p{Co}]+"
+_CUT = f"'^([^\\p{{L}}\\p{{N}}\\p{{Co}}]*)({_T})((?:{_GAP}{_T}){{0,11}})(.*)$', ['before', 'first', 'more', 'rest'], 's'"
+SNIPPETS = f"""WITH {LINES},
+best AS (SELECT file, line FROM ({SEARCH['fts_initial']})),
+m AS (SELECT file, line, regexp_extract(content, {_CUT}) AS m FROM best JOIN lines USING (file, line))
+SELECT file, line, m.before || '>>>' || m.first || '<<<' || m.more || CASE WHEN regexp_matches(m.rest, '{_T}') THEN '...' ELSE m.rest END AS snippet FROM m"""
+
 GO = """
 sup AS (SELECT s_suppkey AS s, s_nationkey AS n, 'n' || s_nationkey || '/s' || s_suppkey || '.go' AS file FROM supplier),
 sp AS (SELECT DISTINCT l_suppkey AS s, l_partkey AS p FROM lineitem),
@@ -98,6 +105,7 @@ plan AS (SELECT coalesce(disk.path, stored.path) AS path, CASE WHEN disk.path IS
 """
 
 SQL: dict[str, str] = SEARCH | {
+    "fts_snippet_opening": SNIPPETS,
     "lines_scan": f"WITH {LINES} SELECT file, line, content FROM lines",
     "files_scan": f"WITH {GO} SELECT file AS path, 'n' || n AS pkg, 9 + c AS lines, (length('package n' || n) + 2 + length('const K' || s || ' = ' || s) + 2 + length('type S' || s || ' struct{{}}') + 2 + length('func (s *S' || s || ') Run() {{') + 1 + coalesce((SELECT sum(length('P' || p) + 4) FROM sp WHERE sp.s = np.s), 0) + length('_ = K' || s) + 2 + 2)::BIGINT AS size FROM np",
     "source_filters": f"WITH {LISTING}, r AS (SELECT regexp_replace(regexp_replace(path, '\\.en$', '.json'), '\\.de$', '_gen.go') AS path, size FROM f) SELECT path, (path LIKE '%.json' AND size <= 51200) AS batch, ((path LIKE '%.json' OR regexp_matches(path, '/[0-4][0-9]*\\.fr$')) AND split_part(path, '/', 1) NOT IN ('src1', 'src2') AND size <= 4096) AS configured FROM r",

@@ -19,12 +19,13 @@ import math
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tesserae.functions.snippet import snippet
 from tesserae.functions.text import tokens
 from tesserae.plans.match import And, Near, Node, Not, Phrase, leaves, parse
+from tesserae.workspace import written
 
 #: The parameters of BM25, the least inverse document frequency, the most results.
 K1, B, LEAST_IDF, MOST = 1.2, 0.75, 1e-6, 50
@@ -65,16 +66,21 @@ def postings(lines: DataFrame) -> DataFrame:
 
 
 def term_stats(lines: DataFrame) -> DataFrame:
-    """term, df (lines), cf (occurrences)."""
-    per_line = postings(lines).groupBy("term", "file", "line").agg(F.count(F.lit(1)).alias("f"))
-    return per_line.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("f").alias("cf"))
+    """term, df (lines), cf (occurrences).  The first of equal terms of a line is marked inside the
+    line, so that one grouping by term does for both counts."""
+    ordered = tokenized(lines).select(F.sort_array("toks").alias("toks"))
+    marked = F.transform("toks", lambda t, i: F.struct(t.alias("term"), F.coalesce(F.get("toks", i - 1) != t, F.lit(True)).cast("int").alias("first")))
+    each = ordered.select(F.inline(marked))
+    return each.groupBy("term").agg(F.sum("first").alias("df"), F.count(F.lit(1)).alias("cf"))
 
 
 def hits_of_lines(lines: DataFrame, node: Node) -> DataFrame:
     """file, line, content, len, hits from the lines themselves."""
     toks = tokenized(lines)
-    hits = F.filter(F.transform("toks", lambda t, i: F.struct(t.alias("term"), i.alias("pos"))), lambda h: wanted(node, h["term"]))
-    return toks.select("file", "line", "content", F.size("toks").alias("len"), hits.alias("hits"))
+    places = F.filter(F.sequence(F.lit(0), F.size("toks") - 1), lambda i: wanted(node, F.get("toks", i)))
+    hits = F.transform(places, lambda i: F.struct(F.get("toks", i).alias("term"), i.alias("pos")))
+    none = F.array().cast("array<struct<term:string,pos:int>>")
+    return toks.select("file", "line", "content", F.size("toks").alias("len"), F.when(F.exists("toks", lambda t: wanted(node, t)), hits).otherwise(none).alias("hits"))
 
 
 def hits_of_postings(posts: DataFrame, node: Node) -> DataFrame:
@@ -100,30 +106,47 @@ def starts_of(p: Phrase, hits: Column) -> Column:
     return F.filter(found, lambda x: x == 0) if p.initial else found
 
 
-def near_instances(leaf: Near, starts: list[Column]) -> list[Column]:
-    """The starts of each phrase of a NEAR that lie in a window with one of every other: from the
-    end of the earliest to the start of the latest there are at most ``distance`` terms."""
-    if len(starts) == 1:
-        return starts
+#: The most places of an array that a window of NEAR can be asked to span.
+WIDEST = 1 << 29
+
+
+def near_counts(df: DataFrame, leaf: Near, columns: list[str], name: str) -> tuple[DataFrame, list[Column]]:
+    """``df`` with helping columns, and how many instances of each phrase of a NEAR lie in a window
+    with one of every other: from the end of the earliest to the start of the latest there are at
+    most ``distance`` terms.
+
+    The instances of all phrases are put in order once.  What a window holds then stands next to
+    its latest instance, at most ``span`` places away, so each instance looks at its vicinity."""
     sizes = [len(p.terms) for p in leaf.phrases]
-    every = F.concat(*starts)
+    span = min(len(sizes) * (leaf.distance + max(sizes) + 1), WIDEST)
+
+    def numbered(i: int, starts: str) -> Column:
+        return F.transform(starts, lambda x: F.struct(x.alias("at"), F.lit(i).alias("p")))
 
-    def reaches(start: Column, size: int, last: Column) -> Column:
-        """Whether an instance lies in the window whose latest start is ``last``."""
-        return (start <= last) & (start + size >= last - leaf.distance)
+    each = [numbered(i, c) for i, c in enumerate(columns)]
+    none = F.array().cast("array<struct<at:int,p:int>>")
+    all_there = reduce(lambda a, b: a & b, [F.size(c) > 0 for c in columns])
+    df = df.withColumn(f"{name}_all", F.when(all_there, F.array_sort(F.concat(*each))).otherwise(none))
 
-    def has_one(j: int, last: Column) -> Column:
-        return F.exists(starts[j], lambda y: reaches(y, sizes[j], last))
+    def closes(x: Column, k: Column) -> Column:
+        """Whether the window whose latest instance is ``x`` has one of every phrase."""
+        behind = F.slice(f"{name}_all", F.greatest(k + 2 - span, F.lit(1)), span + len(sizes))
 
-    def kept(i: int) -> Column:
-        others = [j for j in range(len(starts)) if j != i]
+        def has(j: int) -> Column:
+            return F.exists(behind, lambda y: (y["p"] == j) & (y["at"] <= x["at"]) & (y["at"] + sizes[j] >= x["at"] - leaf.distance))
 
-        def close(x: Column) -> Column:
-            return F.exists(every, lambda last: reduce(lambda p, q: p & q, [has_one(j, last) for j in others], reaches(x, sizes[i], last)))
+        return reduce(lambda a, b: a & b, [has(j) for j in range(len(sizes))])
 
-        return F.filter(starts[i], close)
+    df = df.withColumn(f"{name}_ends", F.transform(f"{name}_all", lambda x, k: F.struct(x["at"].alias("at"), x["p"].alias("p"), closes(x, k).alias("closes"))))
 
-    return [kept(i) for i in range(len(starts))]
+    def counted(i: int) -> Column:
+        def inside(x: Column, k: Column) -> Column:
+            ahead = F.slice(f"{name}_ends", F.greatest(k + 2 - len(sizes), F.lit(1)), span + len(sizes))
+            return (x["p"] == i) & F.exists(ahead, lambda y: y["closes"] & (y["at"] >= x["at"]) & (y["at"] - leaf.distance <= x["at"] + sizes[i]))
+
+        return F.size(F.filter(f"{name}_ends", inside))
+
+    return df, [counted(i) for i in range(len(sizes))]
 
 
 def evaluated(hits: DataFrame, node: Node) -> tuple[DataFrame, Column, dict[int, Column]]:
@@ -138,8 +161,10 @@ def evaluated(hits: DataFrame, node: Node) -> tuple[DataFrame, Column, dict[int,
         own = list(range(at, at + len(leaf.phrases)))
         spots[n] = (own[0], own[-1] + 1)
         at += len(leaf.phrases)
-        starts = [F.col(f"s{i}") for i in own]
-        counts += [F.lit(0).alias(f"f{i}") if leaf.dead else F.size(c).alias(f"f{i}") for i, c in zip(own, near_instances(leaf, starts), strict=True)]
+        found = [F.size(f"s{i}") for i in own]
+        if len(own) > 1 and not leaf.dead:
+            df, found = near_counts(df, leaf, [f"s{i}" for i in own], f"near{n}")
+        counts += [F.lit(0).alias(f"f{i}") if leaf.dead else c.alias(f"f{i}") for i, c in zip(own, found, strict=True)]
     df = df.select("*", *counts)
     gate: dict[int, Column] = {}
     leaf_no = iter(range(len(spots)))
@@ -205,22 +230,26 @@ def idf(n_lines: int, n: int) -> float:
 
 
 def ranked(hits: DataFrame, node: Node, corpus: tuple[int, int] | None = None) -> DataFrame:
-    """Matching lines of ``hits`` with their score.
+    """Matching lines of ``hits`` (file, line, content if there) with their score.
 
-    ``corpus`` is (lines, tokens) of all lines; without it ``hits`` has all lines itself, and they
-    are counted in the same pass as the phrases.  That pass brings one row of counts here."""
+    ``corpus`` is (lines, tokens) of all lines; without it ``hits`` has all lines itself.  One pass
+    counts lines, tokens and phrases and writes what the score of a matching line needs; the counts
+    are a row of numbers, and the score is an expression over the rows written."""
     df, condition, gate = evaluated(hits, node)
-    every = phrases_of(node)
-    counts = [F.count_if(F.size(f"s{i}") > 0) for i in range(len(every))]
-    seen = df.agg(F.count(F.lit(1)), F.coalesce(F.sum("len"), F.lit(0)), *counts).collect()[0]
-    n_lines, n_tokens = corpus or (seen[0], seen[1])
+    every = range(len(phrases_of(node)))
+    seen = Observation()
+    counts = [F.count_if(F.size(f"s{i}") > 0).alias(f"n{i}") for i in every]
+    df = df.observe(seen, F.count(F.lit(1)).alias("lines"), F.sum("len").alias("tokens"), *counts)
+    kept = [c for c in ("file", "line", "content") if c in hits.columns]
+    matches = written(df.where(condition).select(*kept, "len", *[F.when(gate[i], F.col(f"f{i}")).otherwise(0).alias(f"f{i}") for i in every]), "matches")
+    total = seen.get
+    n_lines, n_tokens = corpus or (total.get("lines") or 0, total.get("tokens") or 0)
     length = F.lit(1 - B) + F.lit(B) * F.col("len") / F.lit(max(n_tokens, 1) / max(n_lines, 1))
     score = F.lit(0.0)
-    for i in range(len(every)):
+    for i in every:
         f = F.col(f"f{i}").cast("double")
-        part = F.lit(idf(n_lines, seen[2 + i])) * f * (K1 + 1) / (f + K1 * length)
-        score = score - F.when(gate[i], part).otherwise(0.0)
-    return df.where(condition).withColumn("score", score)
+        score = score - F.lit(idf(n_lines, total.get(f"n{i}") or 0)) * f * (K1 + 1) / (f + K1 * length)
+    return matches.select(*kept, score.alias("score"))
 
 
 def search_lines(lines: DataFrame, query: str, limit: int | None = None) -> DataFrame:

@@ -307,11 +307,19 @@ def fts_index_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def fts_snippet(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Snippets of the best lines; compared with the standard library's search in the tests."""
+    """Snippets of the best lines, windows anywhere; compared with the standard library's search in the tests."""
     best = search.search_lines(doc_lines(spark, sf_dir), SEARCHES["fts_phrase"])
     return search.with_snippets(best, SEARCHES["fts_phrase"]).select("file", "line", "snippet")
 
 
+@query
+def fts_snippet_opening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Snippets of the best lines that start with a term: their windows start with the line, so
+    that SQL can tell them from the text."""
+    best = search.search_lines(doc_lines(spark, sf_dir), SEARCHES["fts_initial"])
+    return search.with_snippets(best, SEARCHES["fts_initial"]).select("file", "line", "snippet")
+
+
 def _fts_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     counts = line_counts(docs, "doc_id", "text")
