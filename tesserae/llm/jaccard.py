@@ -9,24 +9,27 @@ found.
 1. Each text gives its set's size and 128-bit fingerprint (a map).  Documents with equal sets are
    one representative, the smallest (doc_id, hash of the text); they are never paired.
 2. Each set gives its prefix rows (token, set, size, position), once a task; tokens that only one
-   set holds fall away.
-3. Rows whose token is too far back to be the first common token of a link fall away.  Tokens
-   still held by at most ``hot`` sets are joined with themselves under the length filter and the
+   set holds fall away, as do rows too far back to be the first common token of a link.  Rows of
+   tokens whose counter is large are dealt on by a salt before they are counted.
+3. Tokens held by at most ``hot`` sets are joined with themselves under the length filter and the
    positional filter (at the first common token, what is left of the shorter set must suffice);
    pairs are made distinct.  Pairs of one set are cut into cells of ``cell`` partners.
-4. Tokens held by more sets are not joined: their sets, ordered by size, are cut into blocks, and
-   a cell compares two blocks of one token, unless their sizes rule out any link.
-5. Cells are first sifted on bitmaps of a bit or two per shingle: length, positional and suffix
+4. The sets of a token held by more sets meet a few of their like (of about one size: the most
+   central one, and one by hash), not each other.  What these links join is one class.
+5. Sets of such a token outside its largest class then meet the token's other sets, in cells of
+   two blocks of ``block`` sets of about one size; pairs of one class are passed over.
+6. Cells are first sifted on bitmaps of a bit or two per shingle: length, positional and suffix
    filter (two sets differ in at least as many shingles as their parity bitmaps in bits).
    Members without a pair that passes fall away.
-6. The texts of the sets that are left are read again, and each cell verifies its pairs by exact
+7. The texts of the sets that are left are read again, and each cell verifies its pairs by exact
    overlap.  A pair that shares several hot tokens is verified in the cell of the first one.  A
    cell returns the edges of a spanning forest of its links, never all links.
-7. Components of these edges by alternating large and small stars; the tables between rounds are
+8. Components of these edges by alternating large and small stars; the tables between rounds are
    written to the shared folder.
 
-No step holds a group of unbounded size, and no count of rows grows with the square of a group:
-blocks do the pairs of a large group in memory, one block against another.
+No task holds a group of unbounded size.  A group of near copies costs rows in proportion to its
+sets: each meets a few of its like, and only what they leave apart is compared further, at a row
+for each block on the other side.
 
 Defined results: null and empty texts and texts without words have an empty set, size 0, and are
 linked with nothing; a text with fewer words than a shingle is one shingle, its whole sequence;
@@ -56,6 +59,8 @@ FREQUENCY_BITS = 20
 #: Counters in one row between tasks.
 CHUNK = 1 << 14
 NAMES = ["doc_id", "h", "n", "hi", "lo", "bits", "chunk", "counts"]
+#: Rows of a token that one task is to count.
+CROWD = 1 << 16
 #: Texts hashed at a time.
 STEP_CHARS = 4_000_000
 #: Estimated bytes of a table up to which it is broadcast.
@@ -178,12 +183,17 @@ def text_hash(text: str) -> Column:
 
 def node_of(key: Column, h: Column) -> Column:
     """What stands for a document in links: its id and the hash of its text, so that texts under
-    one id, or under none, stay apart.  The least node of a component has its least id."""
-    return F.struct(F.coalesce(key.cast("long"), F.lit(NO_ID)).alias("id"), h.alias("h"))
+    one id, or under none, stay apart.  The least node of a component has its least id; those
+    without an id come last."""
+    return F.struct(key.isNull().alias("none"), F.coalesce(key.cast("long"), F.lit(0)).alias("id"), h.alias("h"))
 
 
-def node_list(column: pa.ChunkedArray | pa.Array) -> list[tuple[int, int]]:
-    return [(r["id"], r["h"]) for r in column.to_pylist()]
+def node_list(column: pa.ChunkedArray | pa.Array) -> list[tuple[bool, int, int]]:
+    return [(r["none"], r["id"], r["h"]) for r in column.to_pylist()]
+
+
+def node_array(nodes: list[tuple[bool, int, int]]) -> pa.Array:
+    return pa.array([dict(zip(("none", "id", "h"), x, strict=True)) for x in nodes], ARROW_NODE)
 
 
 def set_table(docs: DataFrame, k: int, key: str, text: str) -> DataFrame:
@@ -207,9 +217,9 @@ def set_table(docs: DataFrame, k: int, key: str, text: str) -> DataFrame:
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), text_hash(text).alias("h")).mapInArrow(tidied(run), schema)
 
 
-def frequencies(rows: DataFrame) -> np.ndarray:
-    """The rank of each counter, the least counted first.  Tasks add up the chunks dealt to them
-    one by one; a fixed number of counters comes to the driver."""
+def counter_totals(rows: DataFrame) -> np.ndarray:
+    """The counters over all rows.  Tasks add up the chunks dealt to them one by one; a fixed
+    number of counters comes to the driver."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
@@ -223,45 +233,61 @@ def frequencies(rows: DataFrame) -> np.ndarray:
     total = np.zeros(1 << FREQUENCY_BITS, np.int64)
     for r in chunks.mapInArrow(tidied(add), "chunk int, counts binary").toLocalIterator():
         total[r["chunk"] * CHUNK : (r["chunk"] + 1) * CHUNK] = np.frombuffer(r["counts"], np.int64)
+    return total
+
+
+def frequencies(total: np.ndarray) -> np.ndarray:
+    """The rank of each counter, the least counted first."""
     rank = np.empty(len(total), np.uint32)
     rank[np.argsort(total, kind="stable")] = np.arange(len(total), dtype=np.uint32)
     return rank
 
 
-def prefix_rows(docs: DataFrame, k: int, num: int, den: int, rank: np.ndarray, text: str) -> DataFrame:
-    """token, node (half of the set's fingerprint), n, pos of every distinct set of a task."""
-    shared = docs.sparkSession.sparkContext.broadcast(rank)
+def prefix_rows(docs: DataFrame, k: int, num: int, den: int, rank: np.ndarray, text: str, total: np.ndarray | None = None) -> DataFrame:
+    """token, salt, hi, node (the halves of the set's fingerprint), n, pos of every distinct set of
+    a task.  The salt is -1 but for tokens whose counter in ``total`` exceeds a crowd: theirs deals
+    the sets to as many shares as there are crowds."""
+    salts = np.zeros(len(rank), np.uint32) if total is None else (total // CROWD).astype(np.uint32)
+    shared = docs.sparkSession.sparkContext.broadcast((rank, salts))
     down = np.uint64(FREQUENCY_BITS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        order = shared.value
-        seen: set[int] = set()
+        order, shares = shared.value
+        back = np.empty(len(order), np.int64)  # the counter of each rank
+        back[order] = np.arange(len(order))
+        seen: set[tuple[int, int]] = set()
         for part in steps(batches, 0):
-            token, node, n, pos = [], [], [], []
+            token, high, node, n, pos = [], [], [], [], []
             for s in shingle_sets(texts_of(part.column(0)), k):
                 if not len(s):
                     continue
-                _, lo = set_id(s)
-                if lo in seen:
+                hi, lo = set_id(s)
+                if (hi, lo) in seen:
                     continue
-                seen.add(lo)
+                seen.add((hi, lo))
                 p = prefix_length(len(s), num, den)
                 # One key: the counter's rank above, the rest of the hash below it.
                 at = order[(s >> np.uint64(64) - down).astype(np.int64)].astype(np.uint64) << np.uint64(64) - down | s & np.uint64((1 << 64 - FREQUENCY_BITS) - 1)
                 least = np.sort(np.partition(at, p - 1)[:p]) if p < len(at) else np.sort(at)
                 token.append(least)
+                high.append(hi)
                 node.append(lo)
                 n.append(len(s))
                 pos.append(p)
             if not token:
                 continue
             sizes = np.array(pos)
+            keys = np.concatenate(token)
+            places = np.arange(len(keys)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            nodes = np.repeat(np.array(node, np.int64), sizes)
+            share = shares[back[(keys >> np.uint64(64) - down).astype(np.int64)]].astype(np.int64)
+            salt = np.where(share > 0, nodes % np.maximum(share, 1), -1)
             # The signed order of the tokens is the order of the prefixes: cells rely on it.
-            every = (np.concatenate(token) ^ np.uint64(1 << 63)).view(np.int64)
-            places = np.arange(len(every)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            yield pa.RecordBatch.from_arrays([pa.array(every), pa.array(np.repeat(np.array(node, np.int64), sizes)), pa.array(np.repeat(np.array(n, np.int32), sizes)), pa.array(places.astype(np.int32))], ["token", "node", "n", "pos"])
+            signed = (keys ^ np.uint64(1 << 63)).view(np.int64)
+            columns = [signed, salt.astype(np.int32), np.repeat(np.array(high, np.int64), sizes), nodes, np.repeat(np.array(n, np.int32), sizes), places.astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["token", "salt", "hi", "node", "n", "pos"])
 
-    return docs.select(F.col(text).cast("string").alias("text")).mapInArrow(tidied(run), "token long, node long, n int, pos int")
+    return docs.select(F.col(text).cast("string").alias("text")).mapInArrow(tidied(run), "token long, salt int, hi long, node long, n int, pos int")
 
 
 def squeezed(s: np.ndarray) -> bytes:
@@ -329,41 +355,47 @@ def forest(edges: list[tuple]) -> list[tuple]:
 
 @dataclass
 class Cell:
-    """The members of a cell, whose pairs are those of side 0 with side 1, or among themselves."""
+    """The members of a cell, whose pairs are those of side 0 with side 1.  In a cell of a token,
+    ``label`` is the class that each member is known to be in, and ``main`` says whether it is the
+    token's largest; elsewhere each member is its own class."""
 
-    rep: list[tuple[int, int]]
+    rep: list[tuple]
     side: np.ndarray
     sizes: np.ndarray
-    same: bool
     token: int | None
     pos: np.ndarray
     tokens: list[list[int]]
+    label: list[tuple]
+    main: np.ndarray
 
     @staticmethod
     def of(rows: pa.Table) -> Cell:
-        return Cell(node_list(rows.column("rep")), rows.column("side").to_numpy(), rows.column("n").to_numpy(), rows.column("same")[0].as_py(), rows.column("token")[0].as_py(), rows.column("pos").to_numpy(), rows.column("tokens").to_pylist())
+        return Cell(node_list(rows.column("rep")), rows.column("side").to_numpy(), rows.column("n").to_numpy(), rows.column("token")[0].as_py(), rows.column("pos").to_numpy(), rows.column("tokens").to_pylist(), node_list(rows.column("label")), rows.column("main").to_numpy())
 
     def possible(self, num: int, den: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(left, right, pairs that pass the length filter).  In a cell of a token the positional
         filter applies, and pairs that share an earlier hot token are another cell's."""
-        left = np.flatnonzero(self.side == 0)
-        right = left if self.same else np.flatnonzero(self.side == 1)
+        left, right = np.flatnonzero(self.side == 0), np.flatnonzero(self.side == 1)
         a, b = self.sizes[left][:, None].astype(np.int64), self.sizes[right][None, :].astype(np.int64)
         need = needed_overlap(a, b, num, den)
         ok = np.minimum(a, b) >= need
-        if self.same:
-            ok &= np.arange(len(left))[:, None] < np.arange(len(right))[None, :]
-        if self.token is not None and ok.any():
-            ok &= 1 + np.minimum(a - self.pos[left][:, None] - 1, b - self.pos[right][None, :] - 1) >= need
-            before = sorted({t for ts in self.tokens for t in ts if t < self.token})
-            if before and ok.any():
-                column = {t: i for i, t in enumerate(before)}
-                holds = np.zeros((len(self.rep), len(before)), np.float32)
-                for i, ts in enumerate(self.tokens):
-                    for t in ts:
-                        if t < self.token:
-                            holds[i, column[t]] = 1
-                ok &= holds[left] @ holds[right].T == 0
+        if self.token is None or not ok.any():
+            return left, right, ok
+        ok &= 1 + np.minimum(a - self.pos[left][:, None] - 1, b - self.pos[right][None, :] - 1) >= need
+        # Sets outside the largest class stand on both sides: one order of a pair is enough.
+        number = {x: i for i, x in enumerate(sorted(set(self.label)))}
+        label = np.array([number[x] for x in self.label])
+        ok &= label[left][:, None] != label[right][None, :]
+        ok &= self.main[right][None, :] | (label[left][:, None] < label[right][None, :])
+        before = sorted({t for ts in self.tokens for t in ts if t < self.token})
+        if before and ok.any():
+            column = {t: i for i, t in enumerate(before)}
+            holds = np.zeros((len(self.rep), len(before)), np.float32)
+            for i, ts in enumerate(self.tokens):
+                for t in ts:
+                    if t < self.token:
+                        holds[i, column[t]] = 1
+            ok &= holds[left] @ holds[right].T == 0
         return left, right, ok
 
     def hopeful(self, maps: list[bytes], num: int, den: int) -> np.ndarray:
@@ -374,7 +406,7 @@ class Cell:
         return np.unique(np.concatenate([left[ok.any(axis=1)], right[ok.any(axis=0)]]))
 
     def links(self, sets: list[np.ndarray], num: int, den: int) -> list[tuple]:
-        """The verified links."""
+        """The verified links, as pairs of classes."""
         left, right, ok = self.possible(num, den)
         i, j = np.nonzero(ok)
         need = needed_overlap(self.sizes[left[i]].astype(np.int64), self.sizes[right[j]].astype(np.int64), num, den)
@@ -385,7 +417,7 @@ class Cell:
             true = full[i, j] >= need
         else:
             true = np.array([overlap(sets[left[a]], sets[right[b]]) for a, b in zip(i, j, strict=True)]) >= need
-        return [(min(x, y), max(x, y)) for x, y in ((self.rep[left[a]], self.rep[right[b]]) for a, b in zip(i[true], j[true], strict=True)) if x != y]
+        return [(min(x, y), max(x, y)) for x, y in ((self.label[left[a]], self.label[right[b]]) for a, b in zip(i[true], j[true], strict=True)) if x != y]
 
 
 def can_link(nx: Column, ny: Column, px: Column, py: Column, num: int, den: int) -> Column:
@@ -394,82 +426,172 @@ def can_link(nx: Column, ny: Column, px: Column, py: Column, num: int, den: int)
     return long_enough & ((1 + F.least(nx - px - 1, ny - py - 1)) * (num + den) >= num * (nx + ny))
 
 
-def held_tokens(prefixes: DataFrame, num: int, den: int) -> DataFrame:
-    """token, node, n, pos, k: rows of tokens that can be the first common token of a link; k
-    sets hold it.
+def useful(rows: DataFrame, num: int, den: int) -> Column:
+    """Rows that can be the first common token of a link, given ``least`` and ``most``, the sizes of
+    the sets that hold the token in front.
 
     The shorter set of a link has its first common token within its first
     ``n - ceil(2t / (1 + t) n) + 1``; so a row further back needs a set of no more than its own
     size that holds the token so far in front."""
-    by_token = Window.partitionBy("token")
+    return F.col("least").isNotNull() & (F.col("front") | ((F.col("least") <= F.col("n")) & (F.col("most") * den >= F.col("n") * num)))
+
+
+def held_tokens(prefixes: DataFrame, num: int, den: int) -> DataFrame:
+    """token, hi, node, n, pos, k: rows of tokens that can be the first common token of a link; k
+    sets hold it.
+
+    A share of a token's rows is counted by a window; the shares of a crowded token, distinct by
+    then, are counted together by groupings and joins, which hold no token in one task."""
+    share = Window.partitionBy("token", "salt")
     front = (F.col("n") - F.col("pos")) * (num + den) >= 2 * num * F.col("n")
-    rows = prefixes.withColumn("front", front)
-    seen = rows.select("*", F.min("node").over(by_token).alias("lo"), F.max("node").over(by_token).alias("hi"), F.min(F.when(F.col("front"), F.col("n"))).over(by_token).alias("least"), F.max(F.when(F.col("front"), F.col("n"))).over(by_token).alias("most"))
-    useful = seen.where("lo < hi and least is not null").where(F.col("front") | ((F.col("least") <= F.col("n")) & (F.col("most") * den >= F.col("n") * num)))
-    return useful.select("token", "node", "n", "pos").dropDuplicates(["token", "node"]).withColumn("k", F.count(F.lit(1)).over(by_token)).where("k > 1")
+    own_size = F.when(F.col("front"), F.col("n"))
+    several = (F.min("node").over(share) < F.max("node").over(share)) | (F.min("hi").over(share) < F.max("hi").over(share))
+    seen = prefixes.withColumn("front", front).select("*", several.alias("several"), F.min(own_size).over(share).alias("least"), F.max(own_size).over(share).alias("most"))
+    one_each = seen.where((F.col("salt") >= 0) | (F.col("several") & useful(seen, num, den))).dropDuplicates(["token", "salt", "hi", "node"])
+    held = written(one_each.withColumn("k", F.count(F.lit(1)).over(share)).select("token", "salt", "hi", "node", "n", "pos", "front", "k"), "jaccard-held")
+    calm = held.where("salt < 0 and k > 1").select("token", "hi", "node", "n", "pos", "k")
+    crowd = held.where("salt >= 0").drop("k")
+    bounds = crowd.groupBy("token").agg(F.min(own_size).alias("least"), F.max(own_size).alias("most"))
+    some = crowd.join(bounds, "token")
+    some = written(some.where(useful(some, num, den)).select("token", "hi", "node", "n", "pos"), "jaccard-crowds")
+    sizes = some.groupBy("token").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
+    return calm.unionByName(some.join(sizes, "token"))
+
+
+def side_tasks(rows: DataFrame, side: int, c: Column, token: Column | None = None, pos: Column | None = None, main: Column | None = None) -> DataFrame:
+    """hi, node, c, side, token, pos, main: the part of a set in a cell."""
+    none = F.lit(None).cast("long")
+    return rows.select("hi", "node", c.alias("c"), F.lit(side).alias("side"), (none if token is None else token).alias("token"), (F.lit(0) if pos is None else pos).alias("pos"), (F.lit(False) if main is None else main).alias("main"))
+
+
+def of_x(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("hi", F.col("xh")).withColumn("node", F.col("x"))
+
 
+def of_y(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("hi", F.col("yh")).withColumn("node", F.col("y"))
 
-def cells_of(prefixes: DataFrame, num: int, den: int, hot: int, cell: int, block: int) -> DataFrame:
-    """node, tasks (struct(c, side, same, token, pos)), tokens: the cells that each set is needed
-    in, and the hot tokens that it holds."""
-    held = written(held_tokens(prefixes, num, den), "jaccard-held")
 
-    # Few sets: the join on the token, under the length and the positional filter.
+def pair_tasks(pairs: DataFrame, letter: str, cell: int) -> DataFrame:
+    """Cells of pairs (xh, x, yh, y): a set x with at most about ``cell`` partners each."""
+    sizes = pairs.groupBy("xh", "x").agg(F.count(F.lit(1)).alias("m"))
+    cut = pairs.join(sizes, ["xh", "x"]).withColumn("c", F.concat_ws(".", F.lit(letter), "xh", "x", F.pmod(F.xxhash64("yh", "y"), F.ceil(F.col("m") / cell))))
+    return side_tasks(of_x(cut), 0, F.col("c")).distinct().unionByName(side_tasks(of_y(cut), 1, F.col("c")))
+
+
+def few_tasks(held: DataFrame, num: int, den: int, hot: int, cell: int) -> DataFrame:
+    """Cells of tokens that few sets hold: the join on the token, under the length and the
+    positional filter."""
     few = held.where(F.col("k") <= hot)
-    a = few.select("token", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("pos").alias("px"))
-    b = few.select("token", F.col("node").alias("y"), F.col("n").alias("ny"), F.col("pos").alias("py"))
-    fits = (F.col("x") < F.col("y")) & can_link(F.col("nx"), F.col("ny"), F.col("px"), F.col("py"), num, den)
-    pairs = a.join(b, "token").where(fits).select("x", "y").distinct()
-    cut = pairs.withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("x"))).withColumn("c", F.concat_ws(".", F.lit("p"), "x", F.pmod(F.xxhash64("y"), F.ceil(F.col("m") / cell))))
-    plain = [F.lit(False).alias("same"), F.lit(None).cast("long").alias("token"), F.lit(0).alias("pos")]
-    ys = cut.select(F.col("y").alias("node"), "c", F.lit(1).alias("side"), *plain)
-    xs = cut.select(F.col("x").alias("node"), "c", F.lit(0).alias("side"), *plain).distinct()
-
-    # Many sets: blocks of the token's sets by size, each block against itself and later ones.
-    many = held.where(F.col("k") > hot)
-    by_size = Window.partitionBy("token").orderBy("n", "node")
-    blocked = many.select("token", "node", "n", "pos", F.floor((F.row_number().over(by_size) - 1) / block).cast("int").alias("i"))
-    spans = blocked.groupBy("token", "i").agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    left = spans.select("token", "i", F.col("most").alias("most_i"))
-    right = spans.select("token", F.col("i").alias("j"), F.col("least").alias("least_j"))
-    met = left.join(right, "token").where((F.col("i") <= F.col("j")) & (F.col("most_i") * den >= F.col("least_j") * num)).select("token", "i", "j")
-    name = F.concat_ws(".", F.lit("t"), "token", "i", "j").alias("c")
-    first = blocked.join(met, ["token", "i"]).select("node", name, F.lit(0).alias("side"), (F.col("i") == F.col("j")).alias("same"), "token", "pos")
-    second = blocked.withColumnRenamed("i", "j").join(met.where("i < j"), ["token", "j"]).select("node", name, F.lit(1).alias("side"), F.lit(False).alias("same"), "token", "pos")
-    tasks = ys.unionByName(xs).unionByName(first).unionByName(second)
-    return tasks.groupBy("node").agg(F.collect_list(F.struct("c", "side", "same", "token", "pos")).alias("tasks"), F.array_sort(F.collect_set("token")).alias("tokens"))
-
-
-NODE, ARROW_NODE = "struct<id: long, h: long>", pa.struct([("id", pa.int64()), ("h", pa.int64())])
-MEMBER = f"cell string, side int, same boolean, token long, pos int, rep {NODE}, n long, tokens array<long>"
-
-
-def sifted(tasks: DataFrame, reps: DataFrame, num: int, den: int) -> DataFrame:
-    """rep, tasks, tokens: what is left of the cells once the filters have run on bitmaps, which
-    are a small part of the sets."""
-    each = tasks.join(reps.select(F.col("lo").alias("node"), "rep", "n", "bits"), "node").select("rep", "n", "bits", "tokens", F.explode("tasks").alias("t"))
+    a = few.select("token", F.col("hi").alias("xh"), F.col("node").alias("x"), F.col("n").alias("nx"), F.col("pos").alias("px"))
+    b = few.select("token", F.col("hi").alias("yh"), F.col("node").alias("y"), F.col("n").alias("ny"), F.col("pos").alias("py"))
+    less = (F.col("x") < F.col("y")) | ((F.col("x") == F.col("y")) & (F.col("xh") < F.col("yh")))
+    pairs = a.join(b, "token").where(less & can_link(F.col("nx"), F.col("ny"), F.col("px"), F.col("py"), num, den)).select("xh", "x", "yh", "y").distinct()
+    return pair_tasks(pairs, "p", cell)
+
+
+def band(num: int, den: int) -> Column:
+    """Sizes in classes of a little more than the threshold's ratio: linked sets are of one class or
+    of neighbouring ones."""
+    return F.floor(F.log(F.col("n").cast("double")) / (math.log(max(den / num, 1 + 1e-6)) * (1 + 1e-6))).cast("int")
+
+
+def pivot_tasks(many: DataFrame, num: int, den: int, cell: int) -> DataFrame:
+    """Cells in which the sets of hot tokens meet two sets of their band and two of each beside it:
+    the one that holds most hot tokens, behind the fewest others of its own, which is the text that
+    others were copied from if it is there; and one by hash."""
+    central = F.struct(F.col("held").alias("a"), (-F.col("behind")).alias("b"), F.xxhash64("hi", "node").alias("c"), "hi", "node", "n")
+    hashed = F.struct(F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b"), F.xxhash64("hi", "node").alias("c"), "hi", "node", "n")
+    found = F.explode(F.array_distinct(F.transform(F.array(F.max(central), F.min(hashed)), lambda p: F.struct(p["hi"].alias("xh"), p["node"].alias("x"), p["n"].alias("nx")))))
+    pivots = written(many.groupBy("token", "band").agg(found.alias("p")).select("token", "band", "p.*"), "jaccard-pivots")
+    near = F.explode(F.array(*[F.col("band") + d for d in (-1, 0, 1)])).alias("band")
+    members = many.select("token", near, F.col("hi").alias("yh"), F.col("node").alias("y"), F.col("n").alias("ny"))
+    met = members.join(pivots, ["token", "band"]).where(~(F.col("x").eqNullSafe(F.col("y")) & F.col("xh").eqNullSafe(F.col("yh")))).where(F.least("nx", "ny") * den >= F.greatest("nx", "ny") * num)
+    return pair_tasks(met.select("xh", "x", "yh", "y").distinct(), "v", cell)
+
+
+def block_tasks(many: DataFrame, labels: DataFrame, block: int) -> DataFrame:
+    """Cells in which the sets of hot tokens that are not in their token's largest class meet the
+    token's sets of their band and of those beside it, block by block.
+
+    Sets of one first hot token are compared under that one; so the most frequent first token of a
+    token's sets sets those apart (``head``) that need not meet each other here."""
+    known = written(many.join(labels.select("hi", "node", "label"), ["hi", "node"]), "jaccard-labelled")
+    by_class = known.groupBy("token", "label").agg(F.count(F.lit(1)).alias("held")).groupBy("token").agg(F.max(F.struct("held", "label")).alias("top"), F.count(F.lit(1)).alias("classes"))
+    by_first = known.groupBy("token", "first").agg(F.count(F.lit(1)).alias("held")).groupBy("token").agg(F.max(F.struct("held", "first")).alias("lead"))
+    # Tokens of one class have nothing left to compare.
+    tokens = by_class.where("classes > 1").join(by_first, "token").select("token", F.col("top.label").alias("top"), F.col("lead.first").alias("lead"))
+    open_ = known.join(tokens, "token").withColumn("main", F.col("label") == F.col("top")).withColumn("head", (F.col("first") == F.col("lead")) & (F.col("lead") != F.col("token")))
+    open_ = written(open_.select("token", "hi", "node", "pos", "band", "head", "main"), "jaccard-open")
+    at = F.xxhash64("hi", "node")
+    sizes = written(open_.groupBy("token", "band", "head").agg(F.ceil(F.count_if(~F.col("main")) / block).cast("int").alias("lefts"), F.ceil(F.count(F.lit(1)) / block).cast("int").alias("rights")), "jaccard-blocks")
+    other = sizes.select("token", F.col("band").alias("band_2"), F.col("head").alias("head_2"), F.col("lefts").alias("lefts_2"), F.col("rights").alias("rights_2"))
+    # A left block meets every right block of the bands around it, and the other way round.
+    pairs = sizes.join(other, "token").where((F.abs(F.col("band") - F.col("band_2")) <= 1) & ~(F.col("head") & F.col("head_2")))
+    met = open_.join(pairs, ["token", "band", "head"])
+
+    def numbers(n: str) -> Column:
+        return F.explode(F.when(F.col(n) > 0, F.sequence(F.lit(0), F.col(n) - 1)).otherwise(F.array().cast("array<int>")))
+
+    def name(left: Column, right: Column, swapped: bool) -> Column:
+        own, others = ["band", "head"], ["band_2", "head_2"]
+        first, second = (others, own) if swapped else (own, others)
+        return F.concat_ws(".", F.lit("t"), "token", *first, left, *second, right)
+
+    left = met.where(~F.col("main")).withColumn("i", F.pmod(at, F.col("lefts"))).withColumn("j", numbers("rights_2"))
+    right = met.withColumn("j", F.pmod(at, F.col("rights"))).withColumn("i", numbers("lefts_2"))
+    lefts = side_tasks(left, 0, name(F.col("i"), F.col("j"), False), F.col("token"), F.col("pos"), F.col("main"))
+    return lefts.unionByName(side_tasks(right, 1, name(F.col("i"), F.col("j"), True), F.col("token"), F.col("pos"), F.col("main")))
+
+
+NODE, ARROW_NODE = "struct<none: boolean, id: long, h: long>", pa.struct([("none", pa.bool_()), ("id", pa.int64()), ("h", pa.int64())])
+MEMBER = f"cell string, side int, token long, pos int, main boolean, rep {NODE}, n long, tokens array<long>, label {NODE}"
+
+
+def sifted(tasks: DataFrame, labels: DataFrame, num: int, den: int) -> DataFrame:
+    """rep, label, tasks, tokens: what is left of the cells once the filters have run on bitmaps,
+    which are a small part of the sets.  ``tokens`` are the hot tokens that a set is compared under."""
+    task = F.struct(F.col("c").alias("cell"), "side", "token", "pos", "main")
+    each = tasks.groupBy("hi", "node").agg(F.collect_list(task).alias("tasks"), F.array_sort(F.collect_set("token")).alias("tokens"))
+    each = each.join(labels.select("hi", "node", "rep", "n", "bits", "label"), ["hi", "node"]).select("rep", "n", "bits", "tokens", "label", F.explode("tasks").alias("t"))
     none = F.array().cast("array<bigint>")
-    members = each.select(F.col("t.c").alias("cell"), "t.side", "t.same", "t.token", "t.pos", "rep", "n", F.when(F.col("t.token").isNull(), none).otherwise(F.col("tokens")).alias("tokens"), "bits")
+    members = each.select("t.*", "rep", "n", F.when(F.col("t.token").isNull(), none).otherwise(F.col("tokens")).alias("tokens"), "label", "bits")
 
     def sift(rows: pa.Table) -> pa.Table:
         keep = Cell.of(rows).hopeful(rows.column("bits").to_pylist(), num, den)
         return rows.take(pa.array(keep)).drop_columns(["bits"])
 
     left = members.groupBy("cell").applyInArrow(sift, MEMBER)
-    task = F.struct("cell", "side", "same", "token", "pos")
-    return left.groupBy("rep").agg(F.collect_list(task).alias("tasks"), F.max_by("tokens", F.size("tokens")).alias("tokens"))
+    task = F.struct("cell", "side", "token", "pos", "main")
+    return left.groupBy("rep").agg(F.collect_list(task).alias("tasks"), F.max_by("tokens", F.size("tokens")).alias("tokens"), F.min("label").alias("label"))
 
 
-def verified_edges(docs: DataFrame, reps: DataFrame, tasks: DataFrame, k: int, num: int, den: int, key: str, text: str) -> DataFrame:
-    """a, b: edges of spanning forests of the links in all cells."""
-    wanted = written(sifted(tasks, reps, num, den), "jaccard-wanted")
+def texts_once(docs: DataFrame, sets: DataFrame, wanted: DataFrame, small: bool, key: str, text: str) -> DataFrame:
+    """rep, text, label, tasks, tokens: one text for each set wanted.  Rows that repeat an id and
+    its text are made one before anything is made of them."""
     texts = docs.select(node_of(F.col(key), text_hash(text)).alias("rep"), F.col(text).cast("string").alias("text"))
+    names = wanted.select("rep")
+    many = sets.select(F.col("node").alias("rep")).join(F.broadcast(names) if small else names, "rep", "left_semi").groupBy("rep").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("rep")
+    many = written(many, "jaccard-repeated")
+    if many.isEmpty():
+        return texts.join(F.broadcast(wanted) if small else wanted, "rep")
+    def of(names: DataFrame) -> DataFrame:
+        return F.broadcast(names) if small else names
+
+    once = texts.join(of(wanted.join(many, "rep", "left_anti")), "rep")
+    again = texts.join(of(many), "rep", "left_semi").groupBy("rep").agg(F.min("text").alias("text")).join(of(wanted), "rep")
+    return once.unionByName(again)
+
+
+def verified_edges(docs: DataFrame, sets: DataFrame, labels: DataFrame, tasks: DataFrame, k: int, num: int, den: int, key: str, text: str) -> DataFrame:
+    """a, b: edges of spanning forests of the links in all cells, between the classes of ``labels``."""
+    wanted = written(sifted(tasks, labels, num, den), "jaccard-wanted")
     # The texts stay where they are while the other side is small; beyond that both are shuffled.
     load = wanted.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(F.size("tasks")), F.lit(0)).alias("tasks"), F.coalesce(F.sum(F.size("tokens")), F.lit(0)).alias("tokens")).collect()[0]
-    small = 64 * load["rows"] + 96 * load["tasks"] + 8 * load["tokens"] <= BROADCAST_BYTES
-    got = texts.join(F.broadcast(wanted) if small else wanted, "rep").select("rep", "text", "tasks", "tokens")
-    names = ["cell", "side", "same", "token", "pos", "rep", "n", "tokens", "set"]
-    types = [pa.string(), pa.int32(), pa.bool_(), pa.int64(), pa.int32(), ARROW_NODE, pa.int64(), pa.list_(pa.int64()), pa.binary()]
+    small = 96 * load["rows"] + 96 * load["tasks"] + 8 * load["tokens"] <= BROADCAST_BYTES
+    got = texts_once(docs, sets, wanted, small, key, text).select("rep", "text", "tasks", "tokens", "label")
+    names = ["cell", "side", "token", "pos", "main", "rep", "n", "tokens", "label", "set"]
+    types = [pa.string(), pa.int32(), pa.int64(), pa.int32(), pa.bool_(), ARROW_NODE, pa.int64(), pa.list_(pa.int64()), ARROW_NODE, pa.binary()]
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush() -> pa.RecordBatch:
@@ -478,10 +600,10 @@ def verified_edges(docs: DataFrame, reps: DataFrame, tasks: DataFrame, k: int, n
         for part in steps(batches, 1):
             rows: list[tuple] = []
             held = 0
-            for rep, s, ts, tokens in zip(part.column(0).to_pylist(), shingle_sets(texts_of(part.column(1)), k), part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True):
+            for rep, s, ts, tokens, label in zip(part.column(0).to_pylist(), shingle_sets(texts_of(part.column(1)), k), *[part.column(c).to_pylist() for c in (2, 3, 4)], strict=True):
                 raw = squeezed(s)
                 for t in ts:
-                    rows.append((t["cell"], t["side"], t["same"], t["token"], t["pos"], rep, len(s), tokens if t["token"] is not None else [], raw))
+                    rows.append((t["cell"], t["side"], t["token"], t["pos"], t["main"], rep, len(s), tokens if t["token"] is not None else [], label, raw))
                     held += len(raw)
                     if held > STEP_CHARS:
                         yield flush()
@@ -492,8 +614,7 @@ def verified_edges(docs: DataFrame, reps: DataFrame, tasks: DataFrame, k: int, n
     def compare(rows: pa.Table) -> pa.Table:
         sets = [unsqueezed(x) for x in rows.column("set").to_pylist()]
         edges = forest(Cell.of(rows).links(sets, num, den))
-        a, b = [[{"id": e[side][0], "h": e[side][1]} for e in edges] for side in (0, 1)]
-        return pa.table({"a": pa.array(a, ARROW_NODE), "b": pa.array(b, ARROW_NODE)})
+        return pa.table({"a": node_array([a for a, _ in edges]), "b": node_array([b for _, b in edges])})
 
     cells = got.mapInArrow(tidied(spread), f"{MEMBER}, set binary")
     return cells.groupBy("cell").applyInArrow(compare, f"a {NODE}, b {NODE}").distinct()
@@ -520,24 +641,32 @@ def components(edges: DataFrame) -> DataFrame:
         before = state
 
 
-#: Stands for a null doc_id inside the join: above all others, so that it names no component of other ids.
-NO_ID = 2**63 - 1
-
-
 def rooted(docs: DataFrame, k: int, num: int, den: int, key: str, text: str, hot: int, cell: int, block: int) -> DataFrame:
     """doc_id, n_shingles, node, root of every row: root is the least node of its class."""
-    if not 0 < num <= den or math.gcd(num, den) < 1:
+    if not 0 < num <= den:
         raise ValueError("the threshold is a fraction in (0, 1]")
     rows = written(set_table(docs, k, key, text), "jaccard-sets")
     sets = rows.where("chunk is null").select("doc_id", node_of(F.col("doc_id"), F.col("h")).alias("node"), "n", "hi", "lo", "bits")
     some = sets.where("n > 0")
     with scratch(docs.sparkSession):
-        reps = written(some.groupBy("hi", "lo").agg(F.min("node").alias("rep"), F.any_value("n").alias("n"), F.any_value("bits").alias("bits")), "jaccard-reps")
-        prefixes = prefix_rows(docs, k, num, den, frequencies(rows), text)
-        tasks = cells_of(prefixes, num, den, hot, cell, block)
-        roots = components(verified_edges(docs, reps, tasks, k, num, den, key, text))
-        named = written(reps.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").select("hi", "lo", F.coalesce("root", "rep").alias("root")), "jaccard-roots", keep=True)
-    linked = some.join(named, ["hi", "lo"]).select("doc_id", F.col("n").alias("n_shingles"), "node", "root")
+        reps = some.groupBy("hi", "lo").agg(F.min("node").alias("rep"), F.any_value("n").alias("n"), F.any_value("bits").alias("bits"))
+        reps = written(reps.withColumnRenamed("lo", "node").withColumn("label", F.col("rep")), "jaccard-reps")
+        total = counter_totals(rows)
+        held = held_tokens(prefix_rows(docs, k, num, den, frequencies(total), text, total), num, den)
+        many = held.where(F.col("k") > hot).select("token", "hi", "node", "n", "pos", band(num, den).alias("band"))
+        tokens = many.groupBy("hi", "node").agg(F.count(F.lit(1)).alias("held"), F.sum("pos").alias("behind"), F.min("token").alias("first"))
+        many = written(many.join(tokens, ["hi", "node"]), "jaccard-many")
+        tasks = few_tasks(held, num, den, hot, cell).unionByName(pivot_tasks(many, num, den, cell))
+        roots = components(verified_edges(docs, some, reps, tasks, k, num, den, key, text))
+        labels = written(reps.drop("label").join(roots.select(F.col("node").alias("rep"), F.col("root").alias("label")), "rep", "left").withColumn("label", F.coalesce("label", "rep")), "jaccard-labels", keep=True)
+        rest = written(block_tasks(many, labels, block), "jaccard-rest")
+        if rest.isEmpty():
+            named = labels
+        else:
+            above = components(verified_edges(docs, some, labels, rest, k, num, den, key, text))
+            named = labels.join(above.select(F.col("node").alias("label"), "root"), "label", "left").withColumn("label", F.coalesce("root", "label"))
+            named = written(named.select("hi", "node", "label"), "jaccard-roots", keep=True)
+    linked = some.join(named.select("hi", F.col("node").alias("lo"), F.col("label").alias("root")), ["hi", "lo"]).select("doc_id", F.col("n").alias("n_shingles"), "node", "root")
     alone = sets.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), "node", F.col("node").alias("root"))
     return linked.unionByName(alone)
 
@@ -548,14 +677,14 @@ def jaccard_classes(docs: DataFrame, k: int = 3, num: int = 9, den: int = 10, ke
     Documents are linked when ``den * intersection >= num * union`` of their sets of k-word
     shingles; a component's id is its smallest doc_id."""
     classes = rooted(docs, k, num, den, key, text, hot, cell, block)
-    return classes.select("doc_id", "n_shingles", F.when(F.col("root.id") != NO_ID, F.col("root.id")).alias("component_id"))
+    return classes.select("doc_id", "n_shingles", F.when(~F.col("root.none"), F.col("root.id")).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, key: str = "doc_id", text: str = "text", hot: int = 32, cell: int = 64, block: int = 256) -> DataFrame:
     """One document of each class of near copies, that of the least doc_id.  Texts without words
     are in no class: those without an id are all kept, of others one for each id and text."""
     classes = rooted(docs, k, num, den, key, text, hot, cell, block)
-    kept = written(classes.where(F.col("node") == F.col("root")).select(F.col("node.id").alias("__id"), F.col("node.h").alias("__h")).distinct(), "jaccard-kept")
+    kept = written(classes.where(F.col("node") == F.col("root")).select(F.col("node").alias("__node")).distinct(), "jaccard-kept")
     free = F.col(key).isNull() & ~F.coalesce(F.col(text).cast("string").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    rest = docs.where(~free).withColumns({"__id": F.coalesce(F.col(key).cast("long"), F.lit(NO_ID)), "__h": text_hash(text)})
-    return rest.join(kept, ["__id", "__h"], "left_semi").dropDuplicates(["__id", "__h"]).drop("__id", "__h").unionByName(docs.where(free))
+    rest = docs.where(~free).withColumn("__node", node_of(F.col(key), text_hash(text)))
+    return rest.join(kept, "__node", "left_semi").dropDuplicates(["__node"]).drop("__node").unionByName(docs.where(free))

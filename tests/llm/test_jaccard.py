@@ -86,6 +86,53 @@ def test_hot_tokens_on_both_sides_of_the_middle_rank(spark, monkeypatch):
     assert rows(j.jaccard_classes(documents(spark, data), 1, 9, 10, hot=1)) == by_hand(data, 1, 9, 10)
 
 
+def cell_rows(spark, monkeypatch, data):
+    """Rows of all cells of a join, and its result."""
+    seen = []
+    old = j.sifted
+    monkeypatch.setattr(j, "sifted", lambda tasks, *a: seen.append(tasks.count()) or old(tasks, *a))
+    got = rows(j.jaccard_classes(documents(spark, data), hot=8, cell=16, block=32))
+    monkeypatch.undo()
+    return sum(seen), got
+
+
+def test_cells_grow_with_the_rows(spark, monkeypatch):
+    """Twice the near copies, about twice the rows."""
+    data = near_copies(800, 120, 2, 11)
+    small, _ = cell_rows(spark, monkeypatch, data[:400])
+    large, got = cell_rows(spark, monkeypatch, data)
+    assert large < 2.6 * small
+    assert len({c for _, _, c in got}) < 5
+
+
+@pytest.mark.parametrize("crowd", [1, 20])
+def test_crowded_tokens_are_counted_in_shares(spark, monkeypatch, crowd):
+    """Tokens dealt by a salt give the same classes; copies of one text do not crowd a set."""
+    monkeypatch.setattr(j, "CROWD", crowd)
+    data = near_copies(60, 80, 7, 3) + near_copies(40, 40, 4, 4) + TEXTS + [(5000 + i, "a text that many rows hold " * 4, "en", "a") for i in range(50)]
+    assert rows(j.jaccard_classes(documents(spark, data), hot=2, cell=3, block=7)) == by_hand(data, 3, 9, 10)
+
+
+def test_groups_that_share_hot_tokens(spark):
+    """Sets of many sizes and several classes under one token: those outside the largest class
+    still meet all others."""
+    rng = random.Random(3)
+    shared = [f"s{rng.randrange(10**6)}" for _ in range(60)]
+    data = []
+    for g in range(12):
+        own = [f"g{g}x{rng.randrange(10**6)}" for _ in range(3 * g)]
+        for i in range(6):
+            data.append((100 * g + i, " ".join(shared + own[: 3 * g - i % 2] + [f"t{i}"] * (i % 3)), "en", "a"))
+    for num, den in ((9, 10), (4, 5)):
+        assert rows(j.jaccard_classes(documents(spark, data), 2, num, den, hot=2, cell=3, block=4)) == by_hand(data, 2, num, den)
+
+
+def test_an_id_at_the_upper_end(spark):
+    top = 2**63 - 1
+    data = [(top, "one text of some words", "en", "a"), (None, "one text of some words", "en", "a"), (None, "and another one", "en", "a")]
+    assert rows(j.jaccard_classes(documents(spark, data))) == by_hand(data, 3, 9, 10)
+
+
 def test_empty(spark):
     assert rows(j.jaccard_classes(documents(spark, []))) == []
 
