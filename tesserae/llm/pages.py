@@ -7,12 +7,14 @@ role, class or id) or *other*.  Pages are sorted by host and URL path; a page is
 the neighbour of its host whose path shares the longer beginning, the lines of both are aligned
 by their longest common subsequence, and shared lines are deleted.  What an article element
 holds is its page's own, so shared lines are deleted outside of it: in pages without one they
-decide, and lines of pages with one that stand outside are left out.  Pages whose every line is
-shared (copies) are compared with the other neighbour, and keep their lines if that says no more.
+decide, and lines of pages with one that stand outside are left out.  Equal pages that follow each
+other are one page in this; pages whose every line is shared are compared with the other neighbour,
+and keep their lines if that says no more.
 
-Sorting and neighbours need no task that holds a host: rows are dealt to buckets between
-quantiles of (host, path, id), taken from a bounded sample of keys that only decides how evenly
-rows are dealt; the first and last row of each bucket are also sent to the bucket next to it.
+Sorting and neighbours need no task that holds a host: rows are dealt to buckets of about equal
+bytes between quantiles of (host, path, id), taken from a bounded sample of keys that only decides
+how evenly rows are dealt; the first and last row of each bucket are also sent to the bucket next
+to it, and each task is dealt the same number of buckets.
 
 Defined results: a null page is empty, a null URL is the empty path of the empty host; empty
 pages and pages of boilerplate give the empty text; a single page of a host has nothing shared;
@@ -26,6 +28,7 @@ import html
 import re
 from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pandas as pd
 import pyarrow as pa
@@ -233,6 +236,35 @@ def sort_key(host: str, path: str, page_id: int | None) -> str:
     return f"{host}\x01{path}\x01{0 if page_id is None else page_id + (1 << 63):020d}"
 
 
+def edges(keys: DataFrame) -> dict[str, list[int]]:
+    """For keys (k, h: a hash of the page, b: bucket) the buckets that rows are also sent to: each
+    bucket gets the nearest row before it, and the nearest behind it, that differs from its own
+    first, or last, page.  A few rows a bucket come here."""
+    first, last = F.min(F.struct("k", "h")).alias("first"), F.max(F.struct("k", "h")).alias("last")
+    ends = {r["b"]: r for r in keys.groupBy("b").agg(first, last).collect()}
+    if len(ends) < 2:
+        return {}
+    known = keys.sparkSession.createDataFrame([(b, r["first"]["h"], r["last"]["h"]) for b, r in ends.items()], "b int, first_h long, last_h long")
+    turns = keys.join(F.broadcast(known), "b").groupBy("b").agg(F.min(F.when(F.col("h") != F.col("first_h"), F.struct("k", "h"))).alias("next"), F.max(F.when(F.col("h") != F.col("last_h"), F.struct("k", "h"))).alias("before")).collect()
+    inside = {r["b"]: r for r in turns}
+    order = sorted(ends)
+    sent: dict[str, list[int]] = {}
+    for row, end, turn in ((order, "first", "next"), (order[::-1], "last", "before")):
+        # Walking towards the bucket: the nearest row so far, and the nearest that differs from it.
+        near = other = None
+        for b in reversed(row):
+            edge = ends[b]["last" if end == "first" else "first"]
+            found = next((x for x in (near, other) if x is not None and x["h"] != edge["h"]), None)
+            if found is not None:
+                sent.setdefault(found["k"], []).append(b)
+            if inside[b][turn] is not None:
+                other = inside[b][turn]
+            elif near is not None and near["h"] != ends[b][end]["h"]:
+                other = near
+            near = ends[b][end]
+    return sent
+
+
 def extract(pages: DataFrame, key: str = "page_id", url: str = "url", text: str = "html", sample_keys: int = 20_000) -> DataFrame:
     """One row per row of ``pages``: page_id, url, text, n_chars."""
     spark = pages.sparkSession
@@ -242,57 +274,60 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", text: str
     def key_of(u: pd.Series, i: pd.Series) -> pd.Series:
         return pd.Series([sort_key(*host_and_path(a), None if b is None else int(b)) for a, b in zip(u, i, strict=True)], dtype=object)
 
-    keys = pages.select(key_of(F.col(url).cast("string"), F.col(key).cast("long").cast("string")).alias("k"))
-    seen = sorted(r["k"] for r in hash_sample(keys, sample_keys, "k").collect())
+    keys = pages.select(key_of(F.col(url).cast("string"), F.col(key).cast("long").cast("string")).alias("k"), F.coalesce(F.octet_length(F.col(text).cast("string")), F.lit(0)).alias("size"), F.xxhash64(F.col(text).cast("string")).alias("h"))
+    # Buckets of about equal bytes, a few for each task.
+    seen = sorted((r["k"], r["size"] + 64) for r in hash_sample(keys, sample_keys, "k").collect())
     n = min(4 * parts, len(seen))
-    bounds = sorted({seen[i * len(seen) // n] for i in range(1, n)}) if n else []
+    upto = list(accumulate(size for _, size in seen))
+    bounds = sorted({seen[bisect_left(upto, i * upto[-1] / n)][0] for i in range(1, n)}) if n else []
 
     @F.pandas_udf("int")
     def bucket(k: pd.Series) -> pd.Series:
         return pd.Series([bisect_left(bounds, x) for x in k])
 
-    ends = keys.withColumn("b", bucket("k")).groupBy("b").agg(F.min("k").alias("first"), F.max("k").alias("last")).collect()  # a row a bucket
-    ends = sorted(ends, key=lambda r: r["b"])
-    sent: dict[str, list[int]] = {}
-    for left, right in zip(ends, ends[1:], strict=False):
-        sent.setdefault(left["last"], []).append(right["b"])
-        sent.setdefault(right["first"], []).append(left["b"])
-
+    sent = edges(keys.select("k", "h", bucket("k").alias("b")))
     rows = page_rows(pages, key, url, text).withColumn("b", bucket("k"))
-    # Two rows a bucket at most: as many as eight times the partitions.
+    # Two rows a bucket at most: as many as eight times the tasks.
     to = spark.createDataFrame(list(sent.items()), "k string, to array<int>")
     own = F.array(F.struct(F.col("b").alias("bucket"), F.lit(0).alias("carried")))
     more = F.transform("to", lambda b: F.struct(b.alias("bucket"), F.lit(1).alias("carried")))
     rows = rows.join(F.broadcast(to), "k", "left").withColumn("d", F.explode(F.when(F.col("to").isNotNull(), F.concat(own, more)).otherwise(own)))
-    dealt = rows.select("d.bucket", "d.carried", "k", "page_id", "url", "host", "path", "lines", "kinds").repartition(parts, "bucket").sortWithinPartitions("bucket", "k", "carried")
+    dealt = rows.select("d.bucket", "d.carried", "k", "page_id", "url", "host", "path", "lines", "kinds")
+    # Neighbouring buckets go to one task, the same number to each.
+    dealt = dealt.repartitionById(parts, F.floor(F.col("bucket") * parts / (len(bounds) + 1)).cast("int")).sortWithinPartitions("bucket", "k", "carried")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Equal pages that follow each other are a run, compared once with the pages around it.
         before: dict | None = None
         row: dict | None = None
+        same: list[tuple[int | None, str | None]] = []
         out: list[tuple] = []
 
         def settle(after: dict | None) -> None:
-            if row is None or row["carried"]:
+            if row is None or not same:
                 return
             near = [r for r in (after, before) if r is not None and r["bucket"] == row["bucket"] and r["host"] == row["host"]]
             near.sort(key=lambda r: -common(r["path"], row["path"]))
             found = main_text(list(zip(row["lines"], row["kinds"], strict=True)), [r["lines"] for r in near])
-            out.append((row["page_id"], row["url"], found, len(found)))
+            out.extend((i, u, found, len(found)) for i, u in same)
+            same.clear()
 
-        def flush() -> pa.RecordBatch:
-            cols = list(zip(*out, strict=True))
+        def flush(most: int = 1024) -> Iterator[pa.RecordBatch]:
+            for at in range(0, len(out), most):
+                cols = list(zip(*out[at : at + most], strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.string(), pa.int64()), strict=True)], ["page_id", "url", "text", "n_chars"])
             out.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.string(), pa.int64()), strict=True)], ["page_id", "url", "text", "n_chars"])
 
         for whole in batches:
             for start in range(0, whole.num_rows, 1024):
                 for after in whole.slice(start, 1024).to_pylist():
-                    settle(after)
-                    before, row = row, after
-                if out:
-                    yield flush()
+                    if row is None or any(after[c] != row[c] for c in ("bucket", "host", "lines", "kinds")):
+                        settle(after)
+                        before, row = row, after
+                    if not after["carried"]:
+                        same.append((after["page_id"], after["url"]))
+                yield from flush()
         settle(None)
-        if out:
-            yield flush()
+        yield from flush()
 
     return dealt.mapInArrow(tidied(run), "page_id long, url string, text string, n_chars long")

@@ -1,4 +1,7 @@
+import os
 import random
+import re
+from html.parser import HTMLParser
 
 import pytest
 from pyspark.sql import functions as F
@@ -50,10 +53,12 @@ def site(i, body):
 
 def test_shared_lines_go(spark):
     data = [(i, f"http://h.example/a/{i}", site(i, f"<p>Story {i}</p><p>End {i}</p>")) for i in range(40)]
+    data += [(200 + i, f"http://runs.example/{i:02d}", site(0, "<p>Same</p>") if i not in (0, 9) else site(0, f"<p>Other {i}</p>")) for i in range(10)]
     data += [(100, "http://alone.example/x", site(0, "<p>Only</p>")), (101, None, None), (102, "http://copy.example/1", site(1, "<p>C</p>")), (103, "http://copy.example/2", site(1, "<p>C</p>"))]
     got = {r["page_id"]: r for r in p.extract(pages(spark, data)).collect()}
     assert all(got[i]["text"] == f"Story {i} End {i}" for i in range(40))
     assert got[100]["text"] == "Site name Welcome here Only All about us"
+    assert {got[200 + i]["text"] for i in range(1, 9)} == {"Same"} and got[209]["text"] == "Other 9"
     assert got[101]["text"] == "" and got[101]["n_chars"] == 0 and got[101]["url"] is None
     assert got[102]["text"] == got[103]["text"] == "Site name Welcome here C All about us"
 
@@ -64,3 +69,66 @@ def test_rows_columns_and_none(spark):
     got = rows(p.extract(df))
     assert len(got) == 3 and max(r[3] for r in got) == 20000 * 5 - 1
     assert rows(p.extract(pages(spark, []))) == []
+
+
+def by_hand(page):
+    """The article's text by the standard library's parser: another reader than the operator's."""
+    class Reader(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.out, self.inside, self.left_out = [], 0, []
+
+        def handle_starttag(self, tag, attrs):
+            if tag == "article":
+                self.inside += 1
+            marks = set(re.split("[^a-z]+", " ".join(v or "" for k, v in attrs if k in ("class", "id")).lower()))
+            if tag in ("form", "script", "style", "nav", "aside", "header", "footer") or marks & (p.HINTS | p.COMMENTS):
+                self.left_out.append(tag)
+            elif self.left_out and self.left_out[-1] == tag:
+                self.left_out.append(tag)
+            if tag not in p.INLINE:
+                self.out.append(" ")
+
+        def handle_endtag(self, tag):
+            if tag == "article":
+                self.inside -= 1
+            if self.left_out and self.left_out[-1] == tag:
+                self.left_out.pop()
+            if tag not in p.INLINE:
+                self.out.append(" ")
+
+        def handle_data(self, data):
+            if self.inside and not self.left_out:
+                self.out.append(data)
+
+    reader = Reader()
+    reader.feed(page or "")
+    reader.close()
+    return " ".join("".join(reader.out).split())
+
+
+def test_every_page_of_the_driver(spark, sf):
+    for size in ("sf0.001", "sf0.01"):
+        pages_ = spark.read.parquet(f"{sf}/../{size}/pages.parquet")
+        want = {r["page_id"]: by_hand(r["html"]) for r in pages_.collect()}
+        assert {r["page_id"]: r["text"] for r in p.extract(pages_).collect()} == want
+
+
+def test_pages_without_articles_by_hand(spark):
+    """The whole operator against a plain sort, the nearest different pages of a host, and the
+    quadratic table of common subsequences."""
+    rng = random.Random(5)
+    data = []
+    for i in range(160):
+        host, path = rng.choice(["a.example", "b.example", "c.example"]), f"{rng.choice(['x', 'y/z'])}/{rng.randrange(60):03d}"
+        words = [rng.choice(["Menu", "Top", f"w{rng.randrange(30)}", f"w{rng.randrange(30)}"]) for _ in range(rng.randint(1, 7))]
+        data.append((i, f"https://{host}/{path}", "".join(f"<p>{w}</p>" for w in words)))
+    order = sorted((p.sort_key(*p.host_and_path(u), i), *p.host_and_path(u), i, re.findall("<p>(.*?)</p>", h)) for i, u, h in data)
+    got = {r["page_id"]: r["text"] for r in p.extract(pages(spark, data)).collect()}
+    for at, (_, host, path, i, lines) in enumerate(order):
+        ahead = next((r for r in order[at + 1 :] if r[1] != host or r[4] != lines), None)
+        behind = next((r for r in reversed(order[:at]) if r[1] != host or r[4] != lines), None)
+        near = sorted((r for r in (ahead, behind) if r and r[1] == host), key=lambda r: -len(os.path.commonprefix([r[2], path])))
+        sizes = [len(lines) - lcs(lines, r[4]) for r in near]
+        kept = next((n for n in sizes if n), len(lines))
+        assert len(got[i].split()) == kept
