@@ -1,9 +1,11 @@
 """Document fingerprints: invertible Bloom lookup sketches of passages.
 
-A text is cut into passages at line ends, sentence ends and, so that short and unbroken texts
-have more than one, after words with some endings and after eight words.  A cut depends only on
-the text just before it, so an edit changes the passages around it and no others.  Each passage
-has a 64-bit digest; the second and later occurrences of a passage get digests of their own.
+A text is cut into passages at line ends, and inside lines by content, so that texts of one
+paragraph, in any script, have more than one: after every place where a hash of the last ``WINDOW``
+characters falls below a limit, about one in ``MEAN``.  Such a cut depends only on the characters
+just before it, so an edit changes the passages around it and no others.  Where no cut comes for
+``MOST`` characters (a character repeated over and over), one is made by count.  Each passage has a
+64-bit digest; the second and later occurrences of a passage get digests of their own.
 
 A sketch has three sub-tables of a power of two of cells.  A cell holds the number of digests
 dealt to it, their exclusive or, and that of their check values.  Two sketches of one size
@@ -42,11 +44,11 @@ from pyspark.sql import functions as F
 
 from tesserae.llm.common import shuffle_parts, text_or_empty, tidied
 
-#: Endings after which a space is a cut, and the most words of a passage.
-ENDS = ("." , "!", "?", ":", "d", "s", "t", "$", "%")
-MOST_WORDS = 8
+#: Characters that decide on a cut, characters between cuts on average, and the most of a passage.
+WINDOW, MEAN, MOST = 6, 14, 256
 #: Odd constants that make the hashes of the three sub-tables, of checks and of occurrences differ.
 SEEDS = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F))
+FACTORS = tuple(np.uint32(x) for x in (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F, 0x165667B1, 0x2C1B3C6D))
 CHECK = np.uint64(0xFFFFFFFF)
 #: First row id below all others (for null ids).
 LOWEST = -(2**63)
@@ -60,27 +62,45 @@ def mix(x: np.ndarray, seed: np.uint64) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def cuts(texts: list[str]) -> tuple[str, np.ndarray, np.ndarray, np.ndarray]:
+    """All texts in one, the passages' first and last places in it, and how many each text has."""
+    joined = "".join(texts)
+    codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), "<u4")
+    length = np.array([len(t) for t in texts], np.int64)
+    ends = np.cumsum(length)
+    h = np.zeros(len(codes), np.uint32)
+    for k in range(WINDOW):
+        h[k:] += codes[: max(0, len(codes) - k)] * FACTORS[k]
+    h ^= h >> np.uint32(15)
+    h *= FACTORS[0]
+    h ^= h >> np.uint32(13)
+    here = h < np.uint32((1 << 32) // MEAN)
+    for k in range(WINDOW - 1):  # the window would reach into the text before
+        at = ends - length + k
+        here[at[at < ends]] = False
+    here |= codes == 10
+    here[ends[length > 0] - 1] = True
+    last = np.flatnonzero(here) + 1
+    first = np.concatenate([[0], last[:-1]]) if len(last) else last
+    pieces = -(-(last - first) // MOST)
+    if pieces.max(initial=0) > 1:
+        place = np.arange(int(pieces.sum())) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        first, last = np.repeat(first, pieces) + MOST * place, np.repeat(last, pieces)
+        last = np.minimum(last, first + MOST)
+    return joined, first, last, np.bincount(np.searchsorted(ends, first, side="right"), minlength=len(texts))
+
+
 def passages(text: str) -> list[str]:
-    for end in ENDS:
-        text = text.replace(end + " ", end + "\n")
-    out = []
-    for p in text.split("\n"):
-        if len(p) < 32:
-            if p:
-                out.append(p)
-            continue
-        words = p.split(" ")
-        out.extend([p] if len(words) <= MOST_WORDS else [" ".join(words[i : i + MOST_WORDS]) for i in range(0, len(words), MOST_WORDS)])
-    return out
+    joined, first, last, _ = cuts([text])
+    return [joined[a:b] for a, b in zip(first.tolist(), last.tolist(), strict=True)]
 
 
 def digests(texts: list[str]) -> list[np.ndarray]:
     """The passage digests of each text, occurrences told apart."""
     one = xxhash.xxh3_64_intdigest
-    each = [np.array([one(p) for p in passages(t)], np.uint64) for t in texts]
-    sizes = np.array([len(x) for x in each], np.int64)
-    every = np.concatenate(each) if each else np.zeros(0, np.uint64)
-    owner = np.repeat(np.arange(len(each)), sizes)
+    joined, first, last, sizes = cuts(texts)
+    every = np.fromiter((one(joined[a:b]) for a, b in zip(first.tolist(), last.tolist(), strict=True)), np.uint64, len(first))
+    owner = np.repeat(np.arange(len(texts)), sizes)
     order = np.lexsort((every, owner))
     k, o = every[order], owner[order]
     new = np.ones(len(k), bool)
@@ -88,7 +108,7 @@ def digests(texts: list[str]) -> list[np.ndarray]:
     first = np.maximum.accumulate(np.where(new, np.arange(len(k)), 0))
     again = (np.arange(len(k)) - first).astype(np.uint64)
     every[order] = np.where(again > 0, mix(k + again, SEEDS[4]), k)
-    return np.split(every, np.cumsum(sizes)[:-1]) if each else []
+    return np.split(every, np.cumsum(sizes)[:-1]) if texts else []
 
 
 class Sketches:
@@ -138,7 +158,8 @@ class Sketches:
             less += np.bincount(who[sign < 0], minlength=n)
             self.add(who, key, -sign)
             last = (self.size[who] - 1).astype(np.uint64)
-            look = np.unique(np.concatenate([self.start[who] + j * self.size[who] + (mix(key, SEEDS[j]) & last).astype(np.int64) for j in range(3)]))
+            # A cell may be looked at twice: equal digests of one text count once.
+            look = np.concatenate([self.start[who] + j * self.size[who] + (mix(key, SEEDS[j]) & last).astype(np.int64) for j in range(3)])
         left = np.bincount(owner[(self.count != 0) | (self.key != 0) | (self.check != 0)], minlength=n)
         return left == 0, more, less
 
