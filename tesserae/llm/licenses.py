@@ -1,18 +1,21 @@
 """Licence scans with a positional index of rare words.
 
-A template is a run of words with a label and mandatory key phrases inside it.  Its index
-postings are its words with their offsets.  Document frequencies of all template words are
-counted over the whole corpus (one row per template word comes back).  Each template is then
-looked up under its rarest words: every position of such a word, less the word's offset, is a
-start; starts that enough of the rare words agree on are candidates; a candidate stands if every
-mandatory phrase stands at its place.  The score is the largest share of a template's words that
-stand where they should.
-
-The base phrases are templates whose mandatory phrase is the whole phrase and which are looked
-up under the rarest word alone, so none of their places can be missed.
+A template is a run of words with a label and mandatory key phrases inside it: whole texts and
+notices of public licences, and the base phrases, whose key phrase is the whole phrase.  Document
+frequencies of all words of key phrases are counted over the whole corpus (one row per word comes
+back).  The index has postings for the ``RARE`` words of highest inverse document frequency of each
+template's key phrases: word, template, offset.
+
+A file's places of these words are looked up in the index, all templates at once: each place less
+a posting's offset is where the template would start.  Postings are intersected by that relative
+position, by sorting: a start that all of a template's rare words agree on is a candidate, and it
+stands if every word of the key phrases stands at its place.  As each of them must, no place is
+missed, whatever the frequencies.  The score is the largest share of a template's words that stand
+where they should.
 
 Everything is a map over the words of a text, by DataFrame functions only; the one shuffle is
-that of the frequency counts.
+that of the frequency counts.  The cost of a file grows with its places of rare words, not with
+the number of templates.
 
 Defined results: a null or empty text has no words, no places (first and last null), empty
 labels and score 0; repeated rows get equal results; texts are read whole; an empty table gives
@@ -21,12 +24,14 @@ an empty result.
 
 from __future__ import annotations
 
+import json
+import re
 from dataclasses import dataclass, field
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tesserae.llm import license_texts
 from tesserae.llm.common import text_or_empty
 
 #: What stands between words, once A-Z are lower case.
@@ -62,27 +67,27 @@ BASE = (
     template("base-apache", "apache-2", "apache license version 2", base=True),
     template("base-cc", "cc-by-nc", "cc by nc", base=True),
 )
-#: Opening words of public licences and of the usual notices, with key phrases.
-MORE = (
-    template("mit-grant", "mit", "permission is hereby granted free of charge to any person obtaining a copy of this software", "permission is hereby granted free of charge"),
-    template("apache-notice", "apache-2", "licensed under the apache license version 2 0", "the apache license version 2"),
-    template("gpl3-notice", "gpl-3", "licensed under the gnu general public license version 3", "gnu general public license version 3"),
-    template("gpl2-notice", "gpl-2", "licensed under the gnu general public license version 2", "gnu general public license version 2"),
-    template("gpl-later", "gpl", "under the terms of the gnu general public license as published by the free software foundation", "gnu general public license"),
-    template("lgpl-notice", "lgpl", "under the terms of the gnu lesser general public license", "gnu lesser general public license"),
-    template("agpl-notice", "agpl", "under the terms of the gnu affero general public license", "gnu affero general public license"),
-    template("bsd-grant", "bsd", "redistribution and use in source and binary forms with or without modification are permitted", "redistribution and use in source and binary forms"),
-    template("bsd-notice", "bsd", "licensed under the bsd license", "the bsd license"),
-    template("mpl-notice", "mpl-2", "subject to the terms of the mozilla public license version 2 0", "mozilla public license version 2"),
-    template("isc-grant", "isc", "permission to use copy modify and or distribute this software for any purpose", "to use copy modify and or distribute this software"),
-    template("cc-nc-notice", "cc-by-nc", "licensed under cc by nc 4 0", "cc by nc 4 0"),
-    template("cc-sa-notice", "cc-by-sa", "licensed under cc by sa 4 0", "cc by sa 4 0"),
-    template("cc-by-notice", "cc-by", "licensed under cc by 4 0", "cc by 4 0"),
-    template("cc0-notice", "cc0", "creative commons zero v1 0 universal", "creative commons zero"),
-    template("reserved", "all-rights-reserved", "all rights reserved", "all rights reserved"),
-)
-#: Rare words a template is looked up under, and the share of them that must agree on a start.
-RARE, AGREE = 4, 0.5
+#: Rare words of its key phrases that a template is looked up under.
+RARE = 3
+
+
+def words_of(text: str) -> str:
+    """A template's text as words, in the way of ``word_array``."""
+    return " ".join(re.findall(r"[a-z0-9]+", text.lower()))
+
+
+def public_templates() -> tuple[Template, ...]:
+    """Texts of public licences, and notices put together from their names."""
+    out = [template(name, label, words_of(text), *phrases) for name, label, text, phrases in license_texts.TEXTS]
+    for label, name in license_texts.NAMES:
+        out += [template(f"{verb}-{label}-{name.replace(' ', '-')}", label, f"{verb} under the {name}", f"under the {name}") for verb in license_texts.VERBS]
+    for label, letters in license_texts.LETTERS:
+        out += [template(f"{verb}-{label}", label, f"{verb} under cc {letters}", f"cc {letters}") for verb in license_texts.VERBS]
+    out += [template(f"spdx-{name.replace(' ', '-')}", label, f"spdx license identifier {name}", f"license identifier {name}") for label, name in license_texts.IDENTIFIERS]
+    return tuple(out)
+
+
+MORE = public_templates()
 
 
 def word_array(text: str) -> Column:
@@ -98,33 +103,54 @@ def word_array(text: str) -> Column:
 
 def document_frequencies(words: DataFrame, vocabulary: list[str]) -> dict[str, int]:
     """Documents that hold each word of the vocabulary; a row per word comes to the driver."""
-    hit = words.select(F.explode(F.array_intersect(F.array(*map(F.lit, vocabulary)), F.col("words"))).alias("word"))
+    hit = words.select(F.explode(F.array_distinct(F.filter("words", lambda w: w.isin(vocabulary)))).alias("word"))
     return dict.fromkeys(vocabulary, 0) | {r["word"]: r["n"] for r in hit.groupBy("word").agg(F.count(F.lit(1)).alias("n")).collect()}
 
 
 def rare_words(t: Template, df: dict[str, int]) -> list[tuple[int, str]]:
-    """(offset, word) of a template's rarest words, each at its first place."""
-    if t.base:
-        return sorted(((i, w) for i, w in enumerate(t.words)), key=lambda x: (df[x[1]], x[1], x[0]))[:1]
-    first = {w: t.words.index(w) for w in t.words}
-    return [(first[w], w) for w in sorted(first, key=lambda w: (df[w], w))[:RARE]]
+    """(offset, word) of the rarest words of a template's key phrases."""
+    return sorted(t.mandatory(), key=lambda x: (df[x[1]], x[1], x[0]))[:RARE]
+
+
+def constant(value: object, kind: str) -> Column:
+    """A table of the index as one constant."""
+    return F.from_json(F.lit(json.dumps(value)), kind)
+
+
+def found_places(rows: DataFrame, every: list[Template], rare: dict[str, list[tuple[int, str]]]) -> DataFrame:
+    """``rows`` with ``found``: array of struct(t, s) of the templates (by number) that stand in
+    ``words``, each with its start."""
+    postings: dict[str, list[dict[str, int]]] = {}
+    for number, t in enumerate(every):
+        for offset, word in rare[t.name]:
+            postings.setdefault(word, []).append({"t": number, "o": offset})
+    index = constant(postings, "map<string,array<struct<t:int,o:int>>>")
+    need = constant([len(rare[t.name]) for t in every], "array<int>")
+    key_words = constant([[{"o": o, "w": w} for o, w in t.mandatory()] for t in every], "array<array<struct<o:int,w:string>>>")
+
+    def word(i: Column) -> Column:
+        return F.get("words", i)
+
+    def places(n: Column) -> Column:
+        """0 to n - 1."""
+        return F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
 
+    def starts(i: Column) -> Column:
+        return F.transform(F.element_at(index, word(i)), lambda p: F.struct(p["t"].alias("t"), (i - p["o"]).alias("s")))
 
-def needed(t: Template, rare: list[tuple[int, str]]) -> int:
-    return max(1, int(len(rare) * AGREE))
+    def agreed(i: Column) -> Column:
+        """Whether the first of equal starts stands here, and as many as the template has rare words."""
+        own = F.get("starts", i)
+        first = F.coalesce(F.get("starts", i - 1) != own, F.lit(True))
+        return first & F.coalesce(F.get("starts", i + F.element_at(need, own["t"] + 1) - 1) == own, F.lit(False))
 
+    def stands(c: Column) -> Column:
+        return F.coalesce(F.forall(F.element_at(key_words, c["t"] + 1), lambda k: F.coalesce(word(c["s"] + k["o"]) == k["w"], F.lit(False))), F.lit(False))
 
-def places(t: Template, rare: list[tuple[int, str]], words: Column) -> Column:
-    """Array of struct(start, cover) of a template's stands in an array of words."""
-    span = F.sequence(F.lit(0), F.size(words) - 1)
-    is_at = lambda i, w: F.coalesce(F.get(words, i) == F.lit(w), F.lit(False))
-    one = lambda o, w: F.transform(F.filter(span, lambda i: is_at(i, w)), lambda i: i - o)
-    starts = F.concat(*[one(o, w) for o, w in rare]) if len(rare) > 1 else one(*rare[0])
-    need = needed(t, rare)
-    agreed = F.array_distinct(starts) if need == 1 else F.filter(F.array_distinct(starts), lambda s: F.size(F.filter(starts, lambda x: x == s)) >= need)
-    fits = lambda s: reduce(lambda a, b: a & b, [(s + o >= 0) & is_at(s + o, w) for o, w in t.mandatory()])
-    cover = lambda s: reduce(lambda a, b: a + b, [F.when((s + j >= 0) & is_at(s + j, w), 1).otherwise(0) for j, w in enumerate(t.words)]) / float(len(t.words))
-    return F.transform(F.filter(agreed, fits), lambda s: F.struct(s.alias("start"), cover(s).alias("cover")))
+    looked_up = rows.withColumn("hits", F.filter(places(F.size("words")), lambda i: word(i).isin(sorted(postings))))
+    met = looked_up.withColumn("starts", F.array_sort(F.flatten(F.transform("hits", starts)))).drop("hits")
+    candidates = met.withColumn("candidates", F.transform(F.filter(places(F.size("starts")), agreed), lambda i: F.get("starts", i))).drop("starts")
+    return candidates.withColumn("found", F.filter("candidates", stands)).drop("candidates")
 
 
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", base: tuple[Template, ...] = BASE, more: tuple[Template, ...] = MORE) -> DataFrame:
@@ -132,36 +158,33 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", base: tuple[T
     labels, score."""
     every = [*base, *more]
     rows = docs.select(F.col(key).alias("doc_id"), word_array(text).alias("words"))
-    df = document_frequencies(rows, sorted({w for t in every for w in t.words}))
+    df = document_frequencies(rows, sorted({w for t in every for _, w in t.mandatory()}))
     rare = {t.name: rare_words(t, df) for t in every}
-    # The look-up order: highest inverse document frequency first.
-    order = sorted({w for r in rare.values() for _, w in r}, key=lambda w: (df[w], w))
     words = F.col("words")
     lead = F.when(F.get(words, F.lit(0)) == "", 1).otherwise(0)
     tail = F.when(F.element_at(words, -1) == "", 1).otherwise(0)
-    seen = rows.select("doc_id", "words", lead.alias("lead"), F.greatest(F.lit(0), F.size(words) - lead - tail).cast("long").alias("n_words"), F.array_intersect(F.array(*map(F.lit, order)), words).alias("hit"))
+    counted = rows.select("doc_id", "words", lead.alias("lead"), F.greatest(F.lit(0), F.size(words) - lead - tail).cast("long").alias("n_words"))
+    texts, names = constant([list(t.words) for t in every], "array<array<string>>"), constant([t.label for t in every], "array<string>")
 
-    none = F.array().cast("array<struct<start:int,cover:double>>")
+    def cover(c: Column) -> Column:
+        own = F.element_at(texts, c["t"] + 1)
+        return F.size(F.filter(F.transform(own, lambda w, j: F.coalesce(F.get(words, c["s"] + j) == w, F.lit(False))), lambda x: x)) / F.size(own)
 
-    def looked_up(t: Template) -> Column:
-        have = [F.array_contains("hit", w).cast("int") for _, w in rare[t.name]]
-        enough = reduce(lambda a, b: a + b, have) >= needed(t, rare[t.name])
-        return F.when((F.size("hit") > 0) & enough, places(t, rare[t.name], words)).otherwise(none).alias(f"at_{every.index(t)}")
+    def labels(places: Column) -> Column:
+        return F.array_join(F.array_sort(F.array_distinct(F.transform(places, lambda c: F.element_at(names, c["t"] + 1)))), ",")
 
-    found = seen.select("doc_id", "n_words", "lead", *[looked_up(t) for t in every])
-    at = {t.name: F.col(f"at_{i}") for i, t in enumerate(every)}
-    labels = lambda ts: F.array_join(F.array_sort(F.array_distinct(F.filter(F.array(*[F.when(F.size(at[t.name]) > 0, F.lit(t.label)) for t in ts]), lambda x: x.isNotNull()))), ",")
-    starts = F.transform(F.concat(*[at[t.name] for t in base]), lambda x: x["start"] - F.col("lead"))
-    covers = F.transform(F.concat(*[at[t.name] for t in every]), lambda x: x["cover"])
+    found = found_places(counted, every, rare)
+    own = F.filter("found", lambda c: c["t"] < len(base))
+    starts = F.transform(own, lambda c: c["s"] - F.col("lead"))
     return found.select(
         "doc_id",
         "n_words",
         F.size(starts).cast("long").alias("n_base"),
         F.array_min(starts).cast("long").alias("first_word"),
         F.array_max(starts).cast("long").alias("last_word"),
-        labels(base).alias("base_labels"),
-        labels(every).alias("labels"),
-        F.coalesce(F.round(F.array_max(covers), 6), F.lit(0.0)).alias("score"),
+        labels(own).alias("base_labels"),
+        labels(F.col("found")).alias("labels"),
+        F.coalesce(F.round(F.array_max(F.transform("found", cover)), 6), F.lit(0.0)).alias("score"),
     )
 
 
@@ -178,14 +201,13 @@ WITH tw(t, label, base, len, off, word) AS (VALUES {rows}),
 mand(t, off, word) AS (VALUES {mand}),
 d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower({body}), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS words FROM documents),
 w AS (SELECT doc_id, unnest(words) AS word, unnest(range(len(words))) AS i FROM d),
-df AS (SELECT v.word, (SELECT count(DISTINCT doc_id) FROM w WHERE w.word = v.word) AS n FROM (SELECT DISTINCT word FROM tw) v),
-pick AS (SELECT t, label, base, len, min(off) AS off, word, min(n) AS n FROM tw JOIN df USING (word) GROUP BY t, label, base, len, word),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY t ORDER BY n, word, off) AS r FROM pick),
-rare AS (SELECT * FROM ranked WHERE r <= CASE WHEN base = 1 THEN 1 ELSE {RARE} END),
-need AS (SELECT t, greatest(1, floor(count(*) * {AGREE}))::INT AS need FROM rare GROUP BY t),
+df AS (SELECT v.word, (SELECT count(DISTINCT doc_id) FROM w WHERE w.word = v.word) AS n FROM (SELECT DISTINCT word FROM mand) v),
+ranked AS (SELECT t, off, word, row_number() OVER (PARTITION BY t ORDER BY n, word, off) AS r FROM mand JOIN df USING (word)),
+rare AS (SELECT * FROM ranked WHERE r <= {RARE}),
+need AS (SELECT t, count(*) AS need FROM rare GROUP BY t),
 cand AS (SELECT doc_id, t, i - off AS s, count(*) AS votes FROM w JOIN rare USING (word) GROUP BY doc_id, t, i - off),
 ok AS (SELECT c.doc_id, c.t, c.s FROM cand c JOIN need USING (t) JOIN mand m ON m.t = c.t JOIN w ON w.doc_id = c.doc_id AND w.i = c.s + m.off AND w.word = m.word
-       WHERE votes >= need GROUP BY c.doc_id, c.t, c.s HAVING count(*) = (SELECT count(*) FROM mand m2 WHERE m2.t = c.t)),
+       WHERE votes = need GROUP BY c.doc_id, c.t, c.s HAVING count(*) = (SELECT count(*) FROM mand m2 WHERE m2.t = c.t)),
 cover AS (SELECT o.doc_id, o.t, o.s, any_value(tw.label) AS label, any_value(tw.base) AS base, count(*) / any_value(tw.len)::DOUBLE AS cover
           FROM ok o JOIN tw ON tw.t = o.t JOIN w ON w.doc_id = o.doc_id AND w.i = o.s + tw.off AND w.word = tw.word GROUP BY o.doc_id, o.t, o.s),
 agg AS (SELECT doc_id, count(*) FILTER (base = 1) AS n_base, min(s) FILTER (base = 1) AS first_word, max(s) FILTER (base = 1) AS last_word,
