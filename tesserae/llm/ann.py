@@ -1,7 +1,8 @@
 """Approximate nearest neighbours by inner product, with learned partitions.
 
-Fit, on a bounded sample (``sample_rows`` rows by hash order): the exact neighbour graph of the
-sample is cut into ``parts`` equal parts by recursive spectral bisection at the median, and a
+Fit, on a bounded sample (``sample_rows`` rows by hash order at most): the exact neighbour graph of
+the sample is cut into equal parts, as many as give ``part_rows`` rows to each (a sixteenth of the
+sample at most), by recursive spectral bisection at the median, and a
 small network learns the distribution of a vector's neighbours over the parts.  ``probes`` is the
 least number of most probable parts that hold ``aim`` of the neighbours of held-out sample rows
 (neighbours in the sample lie farther away than those among all rows, so the estimate is on the
@@ -183,7 +184,12 @@ def nearest(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, row_id
     return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
 
 
-def search(vectors: DataFrame, k: int = 20, every: int = 20, parts: int = 32, sample_rows: int = 4096, aim: float = 0.96, block_rows: int = 4096, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+def parts_for(rows: int, part_rows: int, most: int) -> int:
+    """A power of two of parts of about ``part_rows`` rows: 32 at least, ``most`` at most."""
+    return max(32, min(most, 1 << max(0, (max(1, rows) // part_rows).bit_length() - 1)))
+
+
+def search(vectors: DataFrame, k: int = 20, every: int = 20, parts: int | None = None, part_rows: int = 1024, sample_rows: int = 16384, aim: float = 0.96, block_rows: int = 4096, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """The k nearest of every row whose id is divisible by ``every``, among all other rows:
     query_id, rank, vec_id, score."""
     spark = vectors.sparkSession
@@ -193,7 +199,9 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, parts: int = 32, sa
     if not sizes:
         return spark.createDataFrame([], schema)
     rows = rows.where(F.size("v") == sizes[0]["d"])
-    sample = hash_sample(rows, sample_rows, "vec_id").toPandas()
+    parts = parts or parts_for(sizes[0]["n"], part_rows, sample_rows // 16)
+    # A few dozen sample rows for each part are enough; never more than sample_rows.
+    sample = hash_sample(rows, min(sample_rows, max(4096, 16 * parts)), "vec_id").toPandas()
     shared = spark.sparkContext.broadcast(fit(np.stack(sample["v"].to_numpy()).astype(np.float64), parts, k, aim))
     hashed = rows.select("vec_id", "v", F.pmod(F.xxhash64(F.col("vec_id"), F.lit(1)), F.lit(BIG)).alias("h"))
 
@@ -219,9 +227,12 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, parts: int = 32, sa
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         router = shared.value
 
-        def out(batch: pa.RecordBatch, pick: np.ndarray, part: np.ndarray, rb: np.ndarray, qb: np.ndarray, asks: bool) -> pa.RecordBatch:
-            some = batch.take(pa.array(pick))
-            return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(rb, pa.int32()), pa.array(qb, pa.int32()), pa.array(np.full(len(pick), asks)), some.column(0), some.column(1)], ["part", "rb", "qb", "asks", "vec_id", "v"])
+        def out(batch: pa.RecordBatch, pick: np.ndarray, part: np.ndarray, rb: np.ndarray, qb: np.ndarray, asks: bool) -> Iterator[pa.RecordBatch]:
+            """Copies of rows, a bounded number at a time."""
+            for at in range(0, len(pick), 4096):
+                own = slice(at, at + 4096)
+                some = batch.take(pa.array(pick[own]))
+                yield pa.RecordBatch.from_arrays([pa.array(part[own], pa.int32()), pa.array(rb[own], pa.int32()), pa.array(qb[own], pa.int32()), pa.array(np.full(some.num_rows, asks)), some.column(0), some.column(1)], ["part", "rb", "qb", "asks", "vec_id", "v"])
 
         for whole in batches:
             for start in range(0, whole.num_rows, 2048):
@@ -233,7 +244,7 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, parts: int = 32, sa
                 times = query_blocks[home]
                 pick = np.repeat(np.arange(len(ids)), times)
                 qb = np.arange(len(pick)) - np.repeat(np.cumsum(times) - times, times)
-                yield out(batch, pick, home[pick], h[pick] % row_blocks[home[pick]], qb, False)
+                yield from out(batch, pick, home[pick], h[pick] % row_blocks[home[pick]], qb, False)
                 asking = np.flatnonzero(ids % every == 0)
                 if len(asking):
                     top = np.argsort(-logits[asking], axis=1, kind="stable")[:, : router.probes]
@@ -241,7 +252,7 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, parts: int = 32, sa
                     times = row_blocks[part]
                     pick, to = np.repeat(who, times), np.repeat(part, times)
                     rb = np.arange(len(pick)) - np.repeat(np.cumsum(times) - times, times)
-                    yield out(batch, pick, to, rb, h[pick] % query_blocks[to], True)
+                    yield from out(batch, pick, to, rb, h[pick] % query_blocks[to], True)
 
     def compare(cell: pa.Table) -> pa.Table:
         asks = cell.column("asks").to_numpy()

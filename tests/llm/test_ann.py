@@ -57,6 +57,22 @@ def test_left_out(spark):
     assert rows(ann.search(spark.createDataFrame([], SCHEMA))) == []
 
 
+@pytest.mark.parametrize("size", ["sf0.01", "sf0.1"])
+def test_recall_on_the_driver_tables(spark, sf, size):
+    df = spark.read.parquet(f"{sf}/../{size}/embeddings.parquet")
+    t = df.toPandas()
+    want = brute(t["vec_id"].to_numpy(), np.stack(t["embedding"].to_numpy()).astype(float), 20, 20)
+    got: dict[int, set[int]] = {q: set() for q in want}
+    for r in ann.search(df).collect():
+        got[r["query_id"]].add(r["vec_id"])
+    hits = [len(got[q] & {v for v, _ in want[q]}) / 20 for q in want]
+    assert np.mean(hits) >= 0.9
+
+
+def test_parts_grow_with_the_rows():
+    assert [ann.parts_for(n, 1024, 1024) for n in (0, 500, 40_000, 70_000, 1_000_000, 10**12)] == [32, 32, 32, 64, 512, 1024]
+
+
 def test_parts_are_balanced():
     rng = np.random.default_rng(2)
     graph = ann.neighbour_graph(rng.normal(size=(400, 8)), 6)
