@@ -54,11 +54,17 @@ def serve(engine: Engine, source: IO[bytes], sink: IO[str], follow: bool = True)
     running = None
     if follow and engine.symbols.current():
         os.makedirs(engine.search.root, exist_ok=True)
-        config = engine.config()
-        events = watch.watch_events(engine.spark, engine.root, config)
-        running = watch.start(events, lambda df: watch.apply_batch(engine.symbols, engine.search, config, df), os.path.join(engine.folder, "watch"))
+        events = watch.watch_events(engine.spark, engine.root, engine.config(), config_path=engine.config_path)
+        # The configuration is read anew for each batch: a pattern added meanwhile counts.
+        running = watch.start(events, lambda df: watch.apply_batch(engine.symbols, engine.search, engine.config(), df), os.path.join(engine.folder, "watch"))
     try:
         while line := source.readline(MOST_BYTES):
+            if len(line) == MOST_BYTES and not line.endswith(b"\n"):
+                # A line that is too long is one unreadable request, not several.
+                while line and not line.endswith(b"\n"):
+                    line = source.readline(MOST_BYTES)
+                print("request too long", file=sys.stderr)
+                continue
             try:
                 request = json.loads(line)
             except ValueError:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tesserae.operators.extract import files_of, idents_of, known_values, references, scan_files, symbols_of
 from tesserae.operators.lookups import files_referencing
+from tesserae.workspace import written
 
 
 def sync_plan(disk: DataFrame, stored: DataFrame, roots: list[str] | None = None) -> DataFrame:
@@ -69,22 +70,55 @@ def dependents(index: Index, changed: DataFrame) -> DataFrame:
     return files_referencing(index.refs, own).select(F.col("file").alias("path")).join(changed.select("path"), "path", "left_anti")
 
 
+@dataclass
+class Delta:
+    """What a change adds: the rows of the changed files, and the value references that other files
+    now have to names in ``turned``, whose kind as a value came, went or changed."""
+
+    symbols: DataFrame
+    refs: DataFrame
+    idents: DataFrame
+    files: DataFrame
+    turned: DataFrame
+
+
+def without_values(refs: DataFrame, names: DataFrame) -> DataFrame:
+    """References but those to values of some names (a column ``name``)."""
+    gone = names.select(F.col("name").alias("gone"))
+    return refs.join(gone, (F.col("sym") == F.col("gone")) & (F.col("kind") != "call"), "left_anti")
+
+
+def delta(index: Index, changed: DataFrame, contents: DataFrame) -> Delta:
+    """The rows that a change adds, by reading what its files and names touch.
+
+    ``changed`` has the paths that changed, were added or removed; ``contents`` the (path, mtime,
+    content) of those that exist now.  Only names that the changed files declare as values, before
+    or after, can turn, so only their references in other files are drawn anew."""
+    scanned = written(scan_files(contents), "scanned-changes")
+    own, mine = symbols_of(scanned), idents_of(scanned)
+    is_value = F.col("kind").isin("var", "const")
+    old = index.symbols.join(changed.select(F.col("path").alias("file")), "file", "left_semi")
+    touched = old.where(is_value).select("name").unionByName(own.where(is_value).select("name")).distinct()
+    now = with_files(index.symbols, changed, own)
+    before = known_values(index.symbols.join(touched, "name", "left_semi"))
+    after = known_values(now.join(touched, "name", "left_semi"))
+    both = before.withColumnRenamed("kind", "was").join(after, "name", "full_outer")
+    turned = written(both.where(~F.col("was").eqNullSafe(F.col("kind"))).select("name"), "turned-names")
+    here = known_values(now.join(mine.select("name").distinct(), "name", "left_semi"))
+    elsewhere = without_files(index.idents.join(turned, "name", "left_semi"), changed).join(after.select("name", F.concat("kind", F.lit("_ref")).alias("kind")), "name")
+    refs = references(scanned, here).unionByName(elsewhere.select(F.col("name").alias("sym"), "kind", "file", "line", "in_symbol", "ordinal"))
+    return Delta(own, refs, mine, files_of(scanned), turned)
+
+
 def apply_changes(index: Index, changed: DataFrame, contents: DataFrame) -> Index:
-    """The index after some files changed, were added or removed.
-
-    ``changed`` has their paths; ``contents`` the (path, mtime, content) of those that exist now.
-    Value references are drawn anew from the identifiers of all files and the values known after
-    the change, so that a value that appears or goes takes its references in other files with it,
-    and the result is that of a full build."""
-    scanned = scan_files(contents)
-    symbols = with_files(index.symbols, changed, symbols_of(scanned))
-    idents = with_files(index.idents, changed, idents_of(scanned))
-    files = with_files(index.files, changed, files_of(scanned))
-    calls = with_files(index.refs.where("kind = 'call'"), changed, references(scanned, known_values(symbols).limit(0)))
-    known = known_values(symbols)
-    names = idents.join(known.select("name", F.concat("kind", F.lit("_ref")).alias("kind")), "name")
-    refs = calls.unionByName(names.select(F.col("name").alias("sym"), "kind", "file", "line", "in_symbol", "ordinal"))
-    return Index(symbols, refs, idents, files)
+    """The index after a change: equal to a full build of all files."""
+    d = delta(index, changed, contents)
+    return Index(
+        with_files(index.symbols, changed, d.symbols),
+        without_values(without_files(index.refs, changed), d.turned).select(index.refs.columns).unionByName(d.refs.select(index.refs.columns)),
+        with_files(index.idents, changed, d.idents),
+        with_files(index.files, changed, d.files),
+    )
 
 
 def last_events(events: DataFrame) -> DataFrame:

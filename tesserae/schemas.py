@@ -25,6 +25,8 @@ META = _schema(("file_count", L), ("indexed_at", T.TimestampType()))
 LINES = _schema(("file", S), ("line", I), ("content", S))
 POSTINGS = _schema(("term", S), ("file", S), ("line", I), ("pos", I), ("n_tokens", I))
 FTS_META = _schema(("path", S), ("mtime", L), ("lines", I))
+GONE_FILES = _schema(("path", S))
+GONE_VALUES = _schema(("name", S))
 EVENTS = _schema(("path", S), ("op", S), ("seq", L))
 #: What one pass over a file yields: symbols, calls and identifiers in one table.
 SCANNED = _schema(("rec", S), ("name", S), ("kind", S), ("pkg", S), ("recv", S), ("file", S), ("line", I), ("end_line", I), ("sig", S), ("in_symbol", S), ("ordinal", I), ("mtime", L))

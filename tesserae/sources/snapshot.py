@@ -1,6 +1,8 @@
-"""Versioned snapshots: a folder of Parquet tables per version, and a pointer to the current one.
+"""Versioned snapshots: folders of Parquet tables, and a pointer to those of the current version.
 
-A version is written whole beside the others; the pointer file is then replaced in one step.  A
+A version is a folder with all rows and a few layers above it, each with the new rows of some files
+and the names of these files, whose rows below it are gone; so the change of a file writes that
+file's rows.  The pointer file is replaced in one step.  A
 reader takes the pointer once per request, so it always sees one version's tables together, and
 picks up a new one without being told.  Tables are laid out for the lookups: symbols by kind and
 name, references once by target and once by caller, postings by term.
@@ -17,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesserae import schemas
-from tesserae.operators.maintenance import Index
+from tesserae.operators.maintenance import Delta, Index, with_files, without_files, without_values
 
 #: Sort columns of each table; row groups then hold ranges of them and can be passed over.
 LAYOUT = {
@@ -30,9 +32,14 @@ LAYOUT = {
     "lines": ["file", "line"],
     "postings": ["term", "file", "line", "pos"],
     "fts_meta": ["path"],
+    "gone_files": [],
+    "gone_values": [],
 }
-SCHEMAS = {"symbols": schemas.SYMBOLS, "refs": schemas.REFS, "refs_by_caller": schemas.REFS, "idents": schemas.IDENTS, "files": schemas.FILE_META, "meta": schemas.META, "lines": schemas.LINES, "postings": schemas.POSTINGS, "fts_meta": schemas.FTS_META}
-KEEP = 2
+#: The column with the path, where it is not ``file``.
+FILE_COLUMN = {"fts_meta": "path"}
+SCHEMAS = {"symbols": schemas.SYMBOLS, "refs": schemas.REFS, "refs_by_caller": schemas.REFS, "idents": schemas.IDENTS, "files": schemas.FILE_META, "meta": schemas.META, "lines": schemas.LINES, "postings": schemas.POSTINGS, "fts_meta": schemas.FTS_META, "gone_files": schemas.GONE_FILES, "gone_values": schemas.GONE_VALUES}
+#: Layers of a version before they are written anew as one.
+LAYERS = 8
 
 
 class NoIndex(Exception):
@@ -50,47 +57,98 @@ class Store:
     def pointer(self) -> str:
         return os.path.join(self.root, "CURRENT")
 
-    def current(self) -> str | None:
+    def layers(self) -> list[str]:
+        """The folders of the current version: a whole one, and what changed since."""
         try:
             with open(self.pointer, encoding="utf-8") as f:
-                return os.path.join(self.root, json.load(f)["version"])
+                return [os.path.join(self.root, x) for x in json.load(f)["layers"]]
         except FileNotFoundError:
-            return None
+            return []
+
+    def current(self) -> str | None:
+        """The folder written last."""
+        return next(reversed(self.layers()), None)
+
+    def _layer(self, path: str, table: str) -> DataFrame:
+        return self.spark.read.schema(SCHEMAS[table]).parquet(os.path.join(path, table))
 
     def read(self, table: str) -> DataFrame:
-        at = self.current()
-        if at is None:
+        """A table of the current version.  Filters reach the files of every layer."""
+        layers = self.layers()
+        if not layers:
             raise NoIndex(f"no index in {self.root}")
-        return self.spark.read.schema(SCHEMAS[table]).parquet(os.path.join(at, table))
+        if table == "meta":
+            return self._layer(layers[-1], table)
+        df = self._layer(layers[0], table)
+        for path in layers[1:]:
+            df = without_files(df, self._layer(path, "gone_files"), FILE_COLUMN.get(table, "file"))
+            if table in ("refs", "refs_by_caller"):
+                df = without_values(df, self._layer(path, "gone_values"))
+            df = df.select(SCHEMAS[table].names).unionByName(self._layer(path, table))
+        return df
 
     def read_or_empty(self, table: str) -> DataFrame:
-        return self.read(table) if self.current() else self.spark.createDataFrame([], SCHEMAS[table])
+        return self.read(table) if self.layers() else self.spark.createDataFrame([], SCHEMAS[table])
 
-    def write(self, tables: dict[str, DataFrame]) -> str:
-        """Write a new version and make it the current one; old versions but the last go."""
-        version = f"v{time.time_ns():020d}"
-        path = os.path.join(self.root, version)
-        for name, df in tables.items():
-            keys = LAYOUT[name]
-            out = df.select(SCHEMAS[name].names)
+    def _tables(self, tables: dict[str, DataFrame]) -> str:
+        name = f"v{time.time_ns():020d}"
+        for table, df in tables.items():
+            keys = LAYOUT[table]
+            out = df.select(SCHEMAS[table].names)
             if keys:
                 out = out.repartitionByRange(*keys[:2]).sortWithinPartitions(*keys)
-            out.write.mode("overwrite").parquet(os.path.join(path, name))
+            out.write.mode("overwrite").parquet(os.path.join(self.root, name, table))
+        return name
+
+    def _point(self, layers: list[str]) -> None:
+        """Make some layers the current version; those of the one before stay for its readers."""
+        before = [os.path.basename(x) for x in self.layers()]
         draft = f"{self.pointer}.{os.getpid()}.new"
         with open(draft, "w", encoding="utf-8") as f:
-            json.dump({"version": version}, f)
+            json.dump({"layers": layers}, f)
         os.replace(draft, self.pointer)
-        old = sorted(d for d in os.listdir(self.root) if d.startswith("v") and d < version)
-        for d in old[: max(0, len(old) - KEEP + 1)]:
-            shutil.rmtree(os.path.join(self.root, d), ignore_errors=True)
+        for d in os.listdir(self.root):
+            if d.startswith("v") and d not in layers and d not in before:
+                shutil.rmtree(os.path.join(self.root, d), ignore_errors=True)
+
+    def write(self, tables: dict[str, DataFrame]) -> str:
+        """Write a new version whole and make it the current one."""
+        version = self._tables(tables)
+        self._point([version])
         return version
 
+    def append(self, tables: dict[str, DataFrame], gone: DataFrame, turned: DataFrame | None = None) -> str:
+        """Add a layer: the new rows of files in ``gone`` (a column ``path``), whose old rows go, and
+        new value references of names in ``turned``.  The other layers stay as they are, until
+        there are ``LAYERS`` of them and all are written anew as one."""
+        layers = [os.path.basename(x) for x in self.layers()]
+        if not layers:
+            return self.write(tables)
+        none = self.spark.createDataFrame([], SCHEMAS["gone_values"])
+        version = self._tables(tables | {"gone_files": gone.select("path").distinct(), "gone_values": none if turned is None else turned})
+        self._point([*layers, version])
+        if len(layers) + 1 >= LAYERS:
+            version = self.write({t: self.read(t) for t in tables})
+        return version
+
+
+def _meta(files: DataFrame) -> DataFrame:
+    return files.agg(F.count(F.lit(1)).alias("file_count"), F.current_timestamp().alias("indexed_at"))
+
+
+def _symbol_tables(index: Index | Delta, meta: DataFrame) -> dict[str, DataFrame]:
+    return {"symbols": index.symbols, "refs": index.refs, "refs_by_caller": index.refs.where("in_symbol != ''"), "idents": index.idents, "files": index.files, "meta": meta}
+
 
 def write_index(store: Store, index: Index) -> str:
-    """Write symbol tables; the number of files and the time are those of this snapshot."""
-    meta = index.files.agg(F.count(F.lit(1)).alias("file_count"), F.current_timestamp().alias("indexed_at"))
-    callers = index.refs.where("in_symbol != ''")
-    return store.write({"symbols": index.symbols, "refs": index.refs, "refs_by_caller": callers, "idents": index.idents, "files": index.files, "meta": meta})
+    """Write symbol tables whole; the number of files and the time are those of this snapshot."""
+    return store.write(_symbol_tables(index, _meta(index.files)))
+
+
+def write_delta(store: Store, changed: DataFrame, change: Delta) -> str:
+    """Add the rows of a change to the current snapshot."""
+    files = with_files(store.read("files"), changed, change.files)
+    return store.append(_symbol_tables(change, _meta(files)), changed, change.turned)
 
 
 def read_index(store: Store) -> Index:

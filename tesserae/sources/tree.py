@@ -10,6 +10,7 @@ from __future__ import annotations
 import os
 from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -129,6 +130,34 @@ def some_files(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     return _load(spark, os.path.dirname(paths[0]) or ".", only="\n".join(paths))
 
 
+def contents_of(listed: DataFrame) -> DataFrame:
+    """path, mtime, size, content of listed files (path, mtime) that can still be read; tasks open
+    these files alone."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, held = [], 0
+            for path, mtime in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                try:
+                    with open(path, "rb") as f:
+                        data = f.read()
+                except OSError:
+                    continue
+                rows.append((path, mtime, len(data), data))
+                held += len(data)
+                if held > PARTITION_BYTES:
+                    yield _contents(rows)
+                    rows, held = [], 0
+            if rows:
+                yield _contents(rows)
+
+    return listed.select("path", "mtime").mapInArrow(run, FILES)
+
+
+def _contents(rows: list[tuple[str, int, int, bytes]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.int64(), pa.int64(), pa.binary()), strict=True)], FILES.names)
+
+
 def is_symbol_source(path: Column) -> Column:
     """Files the symbol index takes: the suffix counts with its case."""
     return path.endswith(".go")

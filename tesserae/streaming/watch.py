@@ -2,8 +2,8 @@
 
 ``watch_events`` is a streaming source over a folder: each trigger lists the watched files and
 compares them with the listing of the trigger before, so new folders need no subscription.  Events
-of one micro-batch are debounced to the last one of each path, and ``foreachBatch`` writes a new
-snapshot of both indexes.
+of one micro-batch are debounced to the last one of each path, and ``foreachBatch`` adds a layer
+with the changed files' rows to both indexes.
 """
 
 from __future__ import annotations
@@ -18,13 +18,14 @@ from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
 from pyspark.sql.streaming import StreamingQuery
 
 from tesserae.config import Config
-from tesserae.functions.globs import any_match
-from tesserae.operators.maintenance import apply_changes, last_events, with_files
+from tesserae.functions.globs import any_match, matches
+from tesserae.operators.maintenance import delta, last_events
 from tesserae.plans.search import postings
 from tesserae.schemas import EVENTS
 from tesserae.sources.lines import line_counts, lines
-from tesserae.sources.snapshot import Store, read_index, write_index
+from tesserae.sources.snapshot import Store, read_index, write_delta
 from tesserae.sources.tree import normal, some_files, walk
+from tesserae.workspace import written
 
 #: Milliseconds between two looks at the tree.
 TICK_MS = 500
@@ -42,12 +43,19 @@ def relevant(events: DataFrame, config: Config) -> DataFrame:
 
 
 class _WatchReader(SimpleDataSourceStreamReader):
-    """Offsets hold the listing, so that a restarted query sees what changed while it was down."""
+    """Offsets hold the listing and the patterns, so that a restarted query sees what changed while
+    it was down, and a batch that is read again is the same."""
 
     def __init__(self, options: dict) -> None:
         self.root = options["path"]
         self.skipped = tuple(x for x in options.get("skipped", "").split(",") if x)
         self.first = options.get("start", "now")
+        self.fixed = json.loads(options.get("include", "[]"))
+        self.config = options.get("config", "")
+
+    def include(self) -> list[str]:
+        """The patterns at this moment."""
+        return Config.load(self.config).fts.include if self.config else self.fixed
 
     def listing(self) -> dict[str, int]:
         out = {}
@@ -59,26 +67,24 @@ class _WatchReader(SimpleDataSourceStreamReader):
         return out
 
     def initialOffset(self) -> dict:
-        return {"seq": 0, "files": json.dumps(self.listing() if self.first == "now" else {})}
+        return {"seq": 0, "files": json.dumps(self.listing() if self.first == "now" else {}), "include": json.dumps(self.include())}
 
-    def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
-        was, now = json.loads(start["files"]), self.listing()
-        rows, seq = [], int(start["seq"])
+    def events(self, start: dict, now: dict[str, int], include: list[str]) -> Iterator[tuple]:
+        """The changes since an offset, of Go files and of files that the patterns name."""
+        was, seq = json.loads(start["files"]), int(start["seq"])
         for p in sorted(was.keys() | now.keys()):
             op = "create" if p not in was else "remove" if p not in now else "write" if was[p] != now[p] else ""
-            if op:
+            if op and (p.endswith(".go") or any(matches(x, os.path.basename(p)) for x in include)):
                 seq += 1
-                rows.append((p, op, seq))
-        return iter(rows), {"seq": seq, "files": json.dumps(now)}
+                yield p, op, seq
+
+    def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
+        now, include = self.listing(), self.include()
+        rows = list(self.events(start, now, include))
+        return iter(rows), {"seq": int(start["seq"]) + len(rows), "files": json.dumps(now), "include": json.dumps(include)}
 
     def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
-        was, now = json.loads(start["files"]), json.loads(end["files"])
-        seq = int(start["seq"])
-        for p in sorted(was.keys() | now.keys()):
-            op = "create" if p not in was else "remove" if p not in now else "write" if was[p] != now[p] else ""
-            if op:
-                seq += 1
-                yield p, op, seq
+        return self.events(start, json.loads(end["files"]), json.loads(end["include"]))
 
     def commit(self, end: dict) -> None:
         pass
@@ -96,18 +102,20 @@ class WatchTree(DataSource):
         return _WatchReader(dict(self.options))
 
 
-def watch_events(spark: SparkSession, root: str, config: Config, start: str = "now") -> DataFrame:
-    """path, op, seq of the changes under ``root``; ``start='empty'`` reports all files first."""
+def watch_events(spark: SparkSession, root: str, config: Config, start: str = "now", config_path: str = "") -> DataFrame:
+    """path, op, seq of the changes under ``root``; ``start='empty'`` reports all files first.  With
+    ``config_path`` the patterns are those of that file at each look, so that one added while the
+    stream runs counts."""
     spark.dataSource.register(WatchTree)
-    raw = spark.readStream.format("watch_tree").option("skipped", ",".join(config.fts.exclude_dirs)).option("start", start).load(root)
-    return relevant(raw, config)
+    options = {"skipped": ",".join(config.fts.exclude_dirs), "start": start, "include": json.dumps(config.fts.include), "config": config_path}
+    return spark.readStream.format("watch_tree").options(**options).load(root)
 
 
 def apply_batch(symbols: Store, search: Store, config: Config, events: DataFrame) -> None:
     """One micro-batch of events into new snapshots: the symbol index for Go files, the line
-    search for files the configuration names."""
+    search for files the configuration names at this moment."""
     spark = events.sparkSession
-    ops = last_events(events)
+    ops = last_events(relevant(events, config))
     rows = ops.collect()  # the files that changed within one tick
     if not rows:
         return
@@ -117,22 +125,18 @@ def apply_batch(symbols: Store, search: Store, config: Config, events: DataFrame
     contents = some_files(spark, there)
     go = paths.where(F.col("path").endswith(".go"))
     if any(r["path"].endswith(".go") for r in rows):
-        write_index(symbols, apply_changes(read_index(symbols), go, contents.where(F.col("path").endswith(".go"))))
+        write_delta(symbols, go, delta(read_index(symbols), go, contents.where(F.col("path").endswith(".go"))))
     named = [r["path"] for r in rows if config.matches_fts(r["path"])]
     if named:
         write_search(search, spark.createDataFrame([(p,) for p in named], "path string"), contents.where(F.col("path").isin(named) & (F.col("size") <= config.fts.max_file_size_kb * 1024)))
 
 
 def write_search(search: Store, changed: DataFrame, contents: DataFrame) -> None:
-    """A new search snapshot with the lines of ``changed`` replaced by those of ``contents``."""
-    text = contents.withColumn("text", F.col("content").cast("string"))
+    """Replace the lines of ``changed`` by those of ``contents``: a layer with these files' rows."""
+    text = written(contents.withColumn("text", F.col("content").cast("string")).select("path", "mtime", "text"), "changed-texts")
     new = lines(text, "path", "text")
-    meta = line_counts(text, "path", "text").withColumnRenamed("file", "path").join(contents.select("path", "mtime"), "path")
-    search.write({
-        "lines": with_files(search.read_or_empty("lines"), changed, new),
-        "postings": with_files(search.read_or_empty("postings"), changed, postings(new)),
-        "fts_meta": with_files(search.read_or_empty("fts_meta"), changed, meta, "path"),
-    })
+    meta = line_counts(text, "path", "text").withColumnRenamed("file", "path").join(text.select("path", "mtime"), "path")
+    search.append({"lines": new, "postings": postings(new), "fts_meta": meta}, changed)
 
 
 def start(events: DataFrame, apply: Callable[[DataFrame], None], checkpoint: str, tick_ms: int = TICK_MS) -> StreamingQuery:

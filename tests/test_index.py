@@ -10,7 +10,7 @@ from tesserae.functions.globs import any_match, matches
 from tesserae.operators import aggregates, extract, lookups
 from tesserae.operators import maintenance as m
 from tesserae.schemas import FILES
-from tesserae.sources import tree
+from tesserae.sources import snapshot, tree
 from tesserae.sources.snapshot import NoIndex, Store, read_index, write_index
 
 
@@ -140,6 +140,25 @@ def test_snapshots(spark, tmp_path):
     assert "EqualTo(name,F3)" in plan
 
 
+def test_layers_equal_a_full_build(spark, tmp_path, monkeypatch):
+    """Changes written as layers, until they are written anew as one, read like a full build."""
+    monkeypatch.setattr(snapshot, "LAYERS", 3)
+    store = Store(spark, str(tmp_path))
+    state = {"a.go": BODIES[0], "b.go": BODIES[2], "c.go": "package c\nfunc H() { F(V, W) }\n"}
+    write_index(store, m.build(sources(spark, state)))
+    for path, body in [("a.go", BODIES[1]), ("b.go", None), ("d.go", "package d\nvar W = V\n"), ("a.go", "package a\n"), ("a.go", BODIES[0])]:
+        state = {p: t for p, t in (state | {path: body}).items() if t is not None}
+        changed_ = spark.createDataFrame([(path,)], "path string")
+        d = m.delta(read_index(store), changed_, sources(spark, {path: body}) if body else sources(spark, state).limit(0))
+        assert {r["file"] for r in d.symbols.collect()} <= {path} >= {r["file"] for r in d.idents.collect()}
+        snapshot.write_delta(store, changed_, d)
+        assert tables(read_index(store)) == tables(m.build(sources(spark, state)))
+        assert store.read("meta").collect()[0]["file_count"] == len(state)
+        callers = sorted(tuple(r) for r in store.read("refs_by_caller").collect())
+        assert callers == sorted(tuple(r) for r in store.read("refs").where("in_symbol != ''").collect())
+        assert len(store.layers()) < 3
+
+
 def test_tree(spark, tmp_path):
     for p in ("a.go", ".dot.go", "_u.go", "B.GO", "x_gen.go", "x.pb.go", "x_test.go", "c.yaml", "big.json", ".hid/h.go", "_und/u.go", "vendor/v.go", "testdata/t.go", "sub/deep/d.go", "n.txt"):
         os.makedirs(os.path.dirname(tmp_path / p), exist_ok=True)

@@ -111,6 +111,48 @@ def test_watching(engine, tmp_path):
     assert [r["line"] for r in engine.full_text("fresh").collect()] == [2]
 
 
+def test_a_pattern_added_while_watching(engine, tmp_path):
+    engine.rebuild()
+    engine.sync_search()
+    engine.config().save(engine.config_path)
+    events = watch.watch_events(engine.spark, str(tmp_path), engine.config(), config_path=engine.config_path)
+    q = watch.start(events, lambda df: watch.apply_batch(engine.symbols, engine.search, engine.config(), df), str(tmp_path / ".tesserae" / "watch"))
+    try:
+        q.processAllAvailable()
+        engine.call("update_config", {"addFTSPattern": "*.md"})
+        time.sleep(1.0)
+        (tmp_path / "note.md").write_text("freshly noted\n")
+        deadline = time.time() + 60
+        while time.time() < deadline and not engine.full_text("noted").collect():
+            time.sleep(0.5)
+    finally:
+        q.stop()
+    assert [r["line"] for r in engine.full_text("noted").collect()] == [1]
+
+
+def test_a_long_line_is_one_bad_request(engine, monkeypatch, capsys):
+    monkeypatch.setattr(cli, "MOST_BYTES", 64)
+    ping = json.dumps({"id": 1, "method": "ping"})
+    sink = io.StringIO()
+    cli.serve(engine, io.BytesIO(f"{' ' * 200}{ping}\n{ping}\n{'x' * 63}\n{'y' * 64}\n{ping}\n".encode()), sink, follow=False)
+    assert [json.loads(x)["id"] for x in sink.getvalue().splitlines()] == [1, 1]
+    assert capsys.readouterr().err.count("request too long") == 2
+
+
+def test_only_changed_files_are_read_and_written(engine, tmp_path, monkeypatch):
+    for i in range(5):
+        (tmp_path / f"x{i}.go").write_text(f"package x\n// line of {i}\n")
+    assert engine.sync_search() == (7, 0, 0)
+    os.utime(tmp_path / "x1.go", (1, 1))
+    os.chmod(tmp_path / "x1.go", 0o644)
+    assert engine.sync_search() == (1, 6, 0)
+    top = engine.search.current()
+    layer = lambda t: engine.spark.read.parquet(f"{top}/{t}")
+    assert {r["file"] for r in layer("lines").collect()} == {f"{tmp_path}/x1.go"} == {r["file"] for r in layer("postings").collect()}
+    assert layer("gone_files").count() == 1 and engine.search.read("fts_meta").count() == 7
+    assert [r["file"] for r in engine.full_text('"of 1"').collect()] == [f"{tmp_path}/x1.go"]
+
+
 def test_debounce(spark):
     e = spark.createDataFrame([("a", "create", 1, 10), ("a", "write", 2, 499), ("a", "remove", 3, 500), ("b", "write", 4, 20)], "path string, op string, seq long, ms long")
     assert sorted(tuple(r) for r in watch.debounced(e).collect()) == [(0, "a", "write"), (0, "b", "write"), (1, "a", "remove")]
