@@ -27,12 +27,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
-    Only where the session names none (tests, local mode) a temporary folder is taken."""
+    Where the session names none a temporary folder is taken, in local mode only."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
         return found.rstrip("/")
     have = spark.sparkContext._jsc.sc().getCheckpointDir()
     if have.isEmpty():
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tesserae-"))
         have = spark.sparkContext._jsc.sc().getCheckpointDir()
     return have.get().rstrip("/")
