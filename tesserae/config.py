@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 
 from tesserae.functions.globs import matches
 
+#: The default patterns, folders and size, and the keys of the file.
 FOLDER = ".tesserae"
 PATH = f"{FOLDER}/config.json"
 

@@ -95,6 +95,22 @@ refs AS (
   UNION ALL SELECT 'K' || s, 'const_ref', file, 8 + c, 'S' || s || '.Run' FROM np)
 """
 
+SHAPES = """
+k AS (SELECT s_suppkey::VARCHAR AS k, s_nationkey % 4 AS pad, 'shapes/f' || s_suppkey || '.go' AS file FROM supplier),
+sym(name, kind, recv, line, end_line, sig) AS (VALUES
+  ('A@', 'const', '', 6, 6, 'const A@ = 1'), ('B@', 'const', '', 7, 7, 'const B@ = 2, 3'),
+  ('V@', 'var', '', 10, 10, 'var V@ int'), ('W@', 'var', '', 13, 13, 'var W@ = A@'),
+  ('I@', 'interface', '', 17, 19, ''), ('M@', 'type', '', 21, 21, ''), ('G@', 'struct', '', 24, 24, ''),
+  ('F@', 'func', '', 26, 32, 'func F@(a int, b string) (int, error)'), ('H@', 'func', '', 34, 34, 'func H@(n int)'),
+  ('Get', 'method', '', 36, 36, 'func Get() T'), ('Set', 'method', 'G@[T]', 38, 38, 'func (G@[T]) Set(x T)'),
+  ('Run', 'method', 'M@', 40, 44, 'func (M@) Run()')),
+ref(sym, kind, line, in_symbol) AS (VALUES
+  ('Println', 'call', 27, 'F@'), ('H@', 'call', 28, 'F@'), ('f', 'call', 29, 'F@'), ('len', 'call', 31, 'F@'),
+  ('A@', 'const_ref', 27, 'F@'), ('W@', 'var_ref', 28, 'F@'), ('V@', 'var_ref', 30, 'F@'), ('B@', 'const_ref', 30, 'F@'),
+  ('F@', 'call', 38, 'G@[T].Set'), ('F@', 'call', 38, 'G@[T].Set'), ('V@', 'var_ref', 38, 'G@[T].Set'),
+  ('H@', 'call', 42, 'M@.Run'), ('A@', 'const_ref', 42, 'M@.Run'))
+"""
+
 LISTING = "f AS (SELECT source || '/' || doc_id || '.' || lang AS path, strlen(coalesce(text, ''))::BIGINT AS size, n_chars AS mtime FROM documents)"
 META = r"meta AS (SELECT cut.file AS path, len(ls) AS lines, n_chars AS mtime FROM cut JOIN documents ON doc_id::VARCHAR = cut.file)"
 MANIFESTS = """
@@ -115,6 +131,8 @@ SQL: dict[str, str] = SEARCH | {
     "sym_list_kind": f"WITH {GO} SELECT * FROM symbols WHERE kind = 'struct'",
     "sym_find": f"WITH {GO} SELECT * FROM symbols WHERE name = 'Run'",
     "sym_search": f"WITH {GO} SELECT * FROM symbols WHERE kind = 'const' AND contains(lower(name), 'k1')",
+    "shape_symbols": f"WITH {SHAPES} SELECT replace(name, '@', k) AS name, kind, 'shapes' AS pkg, replace(recv, '@', k) AS recv, file, (line + pad)::INT AS line, (end_line + pad)::INT AS end_line, replace(sig, '@', k) AS sig FROM sym, k",
+    "shape_refs": f"WITH {SHAPES} SELECT replace(sym, '@', k) AS sym, kind, file, (line + pad)::INT AS line, replace(in_symbol, '@', k) AS in_symbol FROM ref, k",
     "refs_all": f"WITH {GO} SELECT * FROM refs",
     "ref_usages": f"WITH {GO} SELECT * FROM refs WHERE sym = 'P10'",
     "ref_calls_from": f"WITH {GO} SELECT * FROM refs WHERE in_symbol = 'S3.Run'",

@@ -1,4 +1,7 @@
-"""Results as text: one column per kind of listing, by format functions of the JVM."""
+"""Results as text: one column per kind of listing, by format functions of the JVM.
+
+Fixed values: the layouts of these texts, which readers of them rely on.
+"""
 
 from __future__ import annotations
 

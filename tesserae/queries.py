@@ -60,6 +60,61 @@ def go_files(spark: SparkSession, sf_dir: str, method: str = "Run") -> DataFrame
     return sup.select(go_path(F.col("s_nationkey"), F.col("s_suppkey")).alias("path"), F.lit(0).cast("long").alias("mtime"), F.octet_length(text).cast("long").alias("size"), text.alias("content"), F.col("s_nationkey").alias("nation"))
 
 
+#: A file with the declarations and bodies that the generated corpus above lacks; @ is its number.
+SHAPES = """package shapes
+
+import "fmt"
+
+const (
+	A@ = 1
+	B@, C@ = 2, 3
+)
+
+var V@ int
+
+var (
+	W@ = A@
+)
+
+type (
+	I@ interface {
+		Do() error
+	}
+	L@ = string
+	M@ map[string]int
+)
+
+type G@[T any] struct{ x T }
+
+func F@(a int, b string) (int, error) {
+	fmt.Println(A@, "B@") // V@
+	f := func() { H@(W@) }
+	f()
+	V@ = B@
+	return len(b), nil
+}
+
+func H@(n int) {}
+
+func (g G@[T]) Get() T { return g.x }
+
+func (p *G@[T]) Set(x T) { p.x = x; F@(C@, "s"); pkg.F@(V@) }
+
+func (m M@) Run() {
+	for range m {
+		go H@(A@)
+	}
+}
+"""
+
+
+def shape_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """path, mtime, content: a file of all shapes for each supplier, behind up to three comments."""
+    k = F.col("s_suppkey").cast("string")
+    text = F.concat(F.repeat(F.lit("// note\n"), (F.col("s_nationkey") % 4).cast("int")), F.replace(F.lit(SHAPES), F.lit("@"), k))
+    return table(spark, sf_dir, "supplier").select(F.concat(F.lit("shapes/f"), k, F.lit(".go")).alias("path"), F.lit(0).cast("long").alias("mtime"), text.cast("binary").alias("content"))
+
+
 _KEPT: dict[tuple[str, str], DataFrame] = {}
 
 
@@ -187,10 +242,24 @@ def merged_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.merged_values(known, known.where(F.col("name").rlike("[147]$")).select("name", F.lit("var").alias("kind")))
 
 
+@query
+def shape_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Symbols of files with functions, groups, interfaces, aliases, generic types and methods on
+    values and pointers."""
+    return extract.index_files(shape_files(spark, sf_dir))[0].select(*SYMBOL)
+
+
+@query
+def shape_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """References in the same files: selector calls, calls of literals and builtins, value references
+    in closures and methods."""
+    return extract.index_files(shape_files(spark, sf_dir))[1].select(*REF)
+
+
 @query
 def file_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    first = table(spark, sf_dir, "supplier").agg(F.min_by(go_path(F.col("s_nationkey"), F.col("s_suppkey")), "s_suppkey").alias("file"))
-    return symbols(spark, sf_dir).join(first, "file", "left_semi").select("name").distinct()
+    first = table(spark, sf_dir, "supplier").agg(F.min_by(go_path(F.col("s_nationkey"), F.col("s_suppkey")), "s_suppkey")).collect()[0][0]
+    return lookups.file_symbol_names(symbols(spark, sf_dir), first)
 
 
 @query

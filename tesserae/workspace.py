@@ -10,12 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; only where it is unset a temporary folder is taken."""
+    """spark.checkpoint.dir; where it is unset a temporary folder is taken in local mode only."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
         return found.rstrip("/")
     have = spark.sparkContext._jsc.sc().getCheckpointDir()
     if have.isEmpty():
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tesserae-"))
         have = spark.sparkContext._jsc.sc().getCheckpointDir()
     return have.get().rstrip("/")
