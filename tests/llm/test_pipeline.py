@@ -3,6 +3,7 @@ import hashlib
 import pytest
 
 from tesserae.llm.common import tokenizer_file
+from tests.llm.helpers import TEXTS, clashing, documents, rows
 from tests.llm.test_jaccard import near_copies
 from tests.llm.test_toxicity import corpus
 
@@ -35,3 +36,37 @@ def test_stages(spark, tmp_path):
         assert r["n_tokens"] == len(want) and r["ids_sha256"] == hashlib.sha256(" ".join(map(str, want)).encode()).hexdigest()
     again = sorted(tuple(r) for r in pipeline.run(spark, str(tmp_path)).collect())
     assert again == sorted(tuple(r) for r in docs.collect())
+
+
+@pytest.fixture
+def odd(spark, tmp_path):
+    """A folder whose documents hold every odd case, and labels of both kinds."""
+    docs, labels = corpus(spark, 120)
+    moved = docs.withColumn("doc_id", docs.doc_id + 1000)
+    moved.unionByName(documents(spark)).write.parquet(f"{tmp_path}/documents.parquet")
+    labels.withColumn("doc_id", labels.doc_id + 1000).write.parquet(f"{tmp_path}/labels.parquet")
+    return str(tmp_path)
+
+
+def test_odd_rows_in_every_stage(spark, odd):
+    docs = spark.read.parquet(f"{odd}/documents.parquet")
+    want = {}
+    for name, stage in pipeline.STAGES:
+        plain, more = rows(stage(spark, docs, odd)), rows(stage(spark, clashing(docs), odd))
+        assert plain == more, name
+        want[name] = plain
+    ids = lambda name: sorted(repr(r[0]) for r in want[name] if r[0] is None or r[0] < 1000)
+    assert ids("toxicity") == sorted(repr(i) for i, *_ in TEXTS)
+    # 1, 2, 3 and 14 are near copies, as are 8 and 9; the row 12 stands twice.
+    assert ids("near_copies") == sorted(map(repr, [1, 4, 5, 6, 7, 8, 10, 11, 12, None]))
+    assert set(ids("mixing")) == set(map(repr, [i for i, *_ in TEXTS]))
+    assert sum(r[0] == 12 for r in want["mixing"]) >= 2 and {r[1] for r in want["bpe"] if r[0] in (4, 5, 10)} == {0}
+    assert len(want["bpe"]) == docs.count()
+
+
+def test_empty_tables_in_every_stage(spark, odd, tmp_path):
+    docs = documents(spark, [])
+    for _, stage in pipeline.STAGES:
+        assert rows(stage(spark, docs, odd)) == []
+    spark.read.parquet(f"{odd}/labels.parquet").limit(0).write.parquet(f"{tmp_path}/none/labels.parquet")
+    assert len(rows(pipeline.STAGES[0][1](spark, documents(spark), f"{tmp_path}/none"))) == len(TEXTS)
