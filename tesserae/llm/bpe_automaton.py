@@ -16,11 +16,11 @@ existing arc.  Decoding emits the labels of the arcs.
 
 Words come from the tokenizer's own rules: special tokens are cut out first, then canonical
 composition, lower case, and the pre-split pattern.  Texts are cut at spaces and line feeds,
-which never stand inside a word, and each distinct piece of a batch is encoded once.
+which never stand inside a word; each distinct piece of a few megabytes is encoded once, and pieces
+that stand there more than once are kept, up to a bound, for the texts that follow.
 
 Defined results: a null or empty text has no tokens, and decodes to the empty text; equal texts
-have equal results; very long texts are read whole, and memory holds one batch at a time; an
-empty table gives an empty result.
+have equal results; very long texts are read whole; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -42,8 +42,8 @@ from tesserae.llm.common import tidied
 
 #: Resolved arcs a worker keeps before it starts anew.
 KNOWN_ARCS = 250_000
-#: Bytes of text whose pieces are encoded together.
-STEP_BYTES = 32_000_000
+#: Bytes of text whose pieces are encoded together, and pieces a worker keeps before it starts anew.
+STEP_BYTES, KNOWN_PIECES = 12_000_000, 150_000
 
 
 def byte_symbols() -> list[str]:
@@ -175,6 +175,7 @@ class WordBpe:
         self.cuts = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.symbols = byte_symbols()
         self.known_words: dict[str, tuple[str, str]] = {}
+        self.known_pieces: dict[str, tuple[str, str]] = {}
 
     def parts(self, piece: str) -> list[str | int]:
         """The words of a piece in byte symbols, and the ids of special tokens in it."""
@@ -214,19 +215,31 @@ class WordBpe:
         """The labels of the arcs, one space between them."""
         return " ".join([self.labels[i] for i in ids])
 
-    def digests(self, texts: list[str]) -> Iterator[tuple[int, str, str]]:
-        """For each text the number of tokens, the ids joined by one space, and the decoded text.
+    def of_pieces(self, pieces: list[str], often: np.ndarray) -> list[tuple[str, str]]:
+        """The digests of distinct pieces; those that stand ``often`` are kept for later calls."""
+        if len(self.known_pieces) > KNOWN_PIECES:
+            self.known_pieces.clear()
+        known = self.known_pieces
+        out = [known.get(p) for p in pieces]
+        for i, keep in [(i, often[i]) for i, v in enumerate(out) if v is None]:
+            out[i] = self.digest_piece(pieces[i]) if pieces[i] else ("", "")
+            if keep:
+                known[pieces[i]] = out[i]
+        self.known_words.clear()
+        return out
 
-        Distinct pieces of all texts are encoded once; nothing is kept for the next call."""
-        column = pc.replace_substring(pa.array(texts, pa.large_string()), "\n", " ")
+    def digests(self, texts: pa.Array | list[str]) -> Iterator[tuple[int, str, str]]:
+        """For each text the number of tokens, the ids joined by one space, and the decoded text."""
+        column = pa.array(texts, pa.large_string()) if isinstance(texts, list) else texts.cast(pa.large_string())
+        column = pc.replace_substring(pc.fill_null(column, ""), "\n", " ")
         split = pc.split_pattern(column, " ")
         ends = split.offsets.to_numpy()
         coded = split.flatten().dictionary_encode()
-        found = [self.digest_piece(p) if p else ("", "") for p in coded.dictionary.to_pylist()]
-        self.known_words.clear()
+        del column, split
+        code = coded.indices.to_numpy()
+        found = self.of_pieces(coded.dictionary.to_pylist(), np.bincount(code, minlength=len(coded.dictionary)) > 1)
         ids, back = np.empty(len(found), object), np.empty(len(found), object)
         ids[:], back[:] = [a for a, _ in found], [b for _, b in found]
-        code = coded.indices.to_numpy()
         some = np.array([bool(a) for a, _ in found], bool)[code]  # pieces without tokens fall away
         ends = np.concatenate([[0], np.cumsum(some)])[ends - ends[0]]
         code = code[some]
@@ -235,7 +248,7 @@ class WordBpe:
             yield (joined.count(" ") + 1 if joined else 0), joined, " ".join(back[code[a:b]].tolist())
 
     def digest(self, text: str | None) -> tuple[int, str, str]:
-        return next(self.digests([text or ""]))
+        return next(self.digests(pa.array([text], pa.string())))
 
     def encode(self, text: str | None) -> list[int]:
         return [int(x) for x in self.digest(text)[1].split()]
@@ -277,7 +290,7 @@ def encode_digests(docs: DataFrame, tokenizer_path: str, key: str = "doc_id", te
         t = ready(spec.value)
         for batch in parts_of(batches, 1):
             n, ids_sha, back_sha = [], [], []
-            for count, ids, back in t.digests([v or "" for v in batch.column(1).to_pylist()]):
+            for count, ids, back in t.digests(batch.column(1)):
                 n.append(count)
                 ids_sha.append(hashlib.sha256(ids.encode()).hexdigest())
                 back_sha.append(hashlib.sha256(back.encode()).hexdigest())
@@ -295,7 +308,7 @@ def encode_ids(docs: DataFrame, tokenizer_path: str, text: str = "text", ids: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = ready(spec.value)
         for batch in parts_of(batches, at):
-            found = list(t.digests([v or "" for v in batch.column(at).to_pylist()]))
+            found = list(t.digests(batch.column(at)))
             more = [pa.array([[int(x) for x in i.split()] for _, i, _ in found], pa.list_(pa.int32())), pa.array([b for _, _, b in found], pa.string())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*batch.schema.names, ids, decoded])
 
