@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tesserae.llm import ann, bpe_automaton, fingerprints, jaccard, licenses, mixing, pages, sharding, token_files, toxicity
+from tesserae.llm import ann, bpe_automaton, fingerprints, jaccard, licenses, minhash, mixing, pages, sharding, threshold_search, token_files, toxicity
 from tesserae.llm.common import table, tokenizer_file
 from tesserae.llm.sql import SQL
 
@@ -54,6 +54,14 @@ def op1_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_classes(table(spark, sf_dir, "documents"), k=3, num=9, den=10)
 
 
+def op11_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.minhash_classes(table(spark, sf_dir, "documents"), k=2, num=4, den=5)
+
+
+def op12_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return threshold_search.ranked_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=50)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_jaccard": op1_jaccard,
     "op2_sharding": op2_sharding,
@@ -65,4 +73,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_files": op8_token_files,
     "op9_ann": op9_ann,
     "op10_mixing": op10_mixing,
+    "op11_minhash": op11_minhash,
+    "op12_search": op12_search,
 }

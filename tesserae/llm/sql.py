@@ -50,4 +50,18 @@ SELECT doc_id, source, n AS n_tokens, weight, epoch::INT AS epoch,
        substr(md5('7|' || key || '|' || epoch || '|' || block), 1, 16) || substr(inb, 1, 16) AS mix_order FROM d
 """
 
-SQL: dict[str, str] = {"op2_sharding": SHARDING, "op6_licenses": licenses.duckdb_sql(), "op10_mixing": MIXING}
+SEARCH = r"""
+WITH words AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w
+               FROM documents WHERE text IS NOT NULL),
+d AS (SELECT row_number() OVER () AS r, doc_id, w, len(w)::BIGINT AS n FROM words WHERE len(w) > 0),
+q AS (SELECT DISTINCT item_id, text, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+tf AS (SELECT r, any_value(doc_id) AS doc_id, any_value(n) AS n, term, count(*)::BIGINT AS tf FROM (SELECT r, doc_id, n, unnest(w) AS term FROM d) GROUP BY r, term),
+s AS (SELECT count(*)::BIGINT AS big_n, sum(n)::BIGINT AS big_l FROM d),
+w AS (SELECT term, floor(1000 * ln((2 * any_value(big_n) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS weight FROM tf, s GROUP BY term),
+p AS (SELECT r, doc_id, term, weight * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * big_n) // big_l))) AS impact FROM tf JOIN w USING (term), s),
+t AS (SELECT item_id, text, r, any_value(doc_id) AS doc_id, sum(impact)::BIGINT AS score FROM q JOIN p USING (term) GROUP BY item_id, text, r),
+o AS (SELECT *, row_number() OVER (PARTITION BY item_id, text ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM t WHERE score > 0)
+SELECT item_id, rank::INT AS rank, doc_id, score FROM o WHERE rank <= 50
+"""
+
+SQL: dict[str, str] = {"op2_sharding": SHARDING, "op6_licenses": licenses.duckdb_sql(), "op10_mixing": MIXING, "op12_search": SEARCH}
