@@ -65,13 +65,17 @@ def postings(lines: DataFrame) -> DataFrame:
     return toks.select("file", "line", F.size("toks").alias("n_tokens"), F.posexplode("toks").alias("pos", "term")).select("term", "file", "line", "pos", "n_tokens")
 
 
-def term_stats(lines: DataFrame) -> DataFrame:
-    """term, df (lines), cf (occurrences).  The first of equal terms of a line is marked inside the
-    line, so that one grouping by term does for both counts."""
-    ordered = tokenized(lines).select(F.sort_array("toks").alias("toks"))
+def marked_tokens(lines: DataFrame) -> DataFrame:
+    """file, line, term, first: every token, and 1 for one of equal terms of a line, 0 for others, so
+    that one grouping by term does for counts of lines and of occurrences."""
+    ordered = tokenized(lines).select("file", "line", F.sort_array("toks").alias("toks"))
     marked = F.transform("toks", lambda t, i: F.struct(t.alias("term"), F.coalesce(F.get("toks", i - 1) != t, F.lit(True)).cast("int").alias("first")))
-    each = ordered.select(F.inline(marked))
-    return each.groupBy("term").agg(F.sum("first").alias("df"), F.count(F.lit(1)).alias("cf"))
+    return ordered.select("file", "line", F.inline(marked))
+
+
+def term_stats(lines: DataFrame) -> DataFrame:
+    """term, df (lines), cf (occurrences)."""
+    return marked_tokens(lines).groupBy("term").agg(F.sum("first").alias("df"), F.count(F.lit(1)).alias("cf"))
 
 
 def hits_of_lines(lines: DataFrame, node: Node) -> DataFrame:
