@@ -9,7 +9,8 @@ the same result and leaves no rows of searches that were dropped or no longer ma
 
 Output: search, source (the table), rank (0 without a limit), file, line, content, score (6 places).
 Files are named by the columns of ``keys`` joined by a slash; rows that lack a key are left out; null
-texts and blank lines have no lines.  Two searches of one name, and a table or match text that cannot
+texts and blank lines have no lines.  ``work`` holds the kept lines of the last run; one run at a
+time may use it.  Two searches of one name, and a table or match text that cannot
 be read, are errors before anything is written.
 
     python -m jobs.saved_searches --input FOLDER --output FOLDER --work FOLDER
@@ -18,7 +19,6 @@ be read, are errors before anything is written.
 from __future__ import annotations
 
 import logging
-import uuid
 from functools import reduce
 from typing import Any
 
@@ -29,6 +29,7 @@ from jobs.options import options
 from tesserae.plans.match import Node, Or, parse
 from tesserae.plans.search import hits_of_lines, limit_of, ranked
 from tesserae.sources.lines import lines
+from tesserae.workspace import scratch
 
 LOG = logging.getLogger("jobs.saved_searches")
 #: The columns that name a file of each table.
@@ -75,14 +76,14 @@ def run(spark: SparkSession, input: str, output: str, work: str, searches: list[
         raise ValueError(f"no keys for {', '.join(sorted(unknown))}")
     nodes = {s["name"]: parse(s["query"]) for s in searches}
     parts: list[DataFrame] = []
-    here = f"{work}/saved-searches-{uuid.uuid4().hex}"
-    for table in sorted({s["table"] for s in searches}):
-        own = [s for s in searches if s["table"] == table]
-        hits, corpus = kept_lines(text_lines(spark, f"{input}/{table}.parquet", keys[table]), [nodes[s["name"]] for s in own], f"{here}/{table}")
-        LOG.info("%s: read %d lines of %d terms for %d searches", table, *corpus, len(own))
-        parts += [found(hits, corpus, s, nodes[s["name"]]) for s in own]
-    empty = spark.createDataFrame([], SCHEMA)
-    reduce(DataFrame.unionByName, parts, empty).write.mode("overwrite").partitionBy("search").parquet(output)
+    with scratch(spark):
+        for table in sorted({s["table"] for s in searches}):
+            own = [s for s in searches if s["table"] == table]
+            hits, corpus = kept_lines(text_lines(spark, f"{input}/{table}.parquet", keys[table]), [nodes[s["name"]] for s in own], f"{work}/{table}")
+            LOG.info("%s: read %d lines of %d terms for %d searches", table, *corpus, len(own))
+            parts += [found(hits, corpus, s, nodes[s["name"]]) for s in own]
+        empty = spark.createDataFrame([], SCHEMA)
+        reduce(DataFrame.unionByName, parts, empty).write.mode("overwrite").partitionBy("search").parquet(output)
     rows = results(spark, output).count()
     LOG.info("wrote %d rows of %d searches to %s", rows, len(searches), output)
     return rows

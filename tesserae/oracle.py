@@ -74,6 +74,7 @@ SEARCH = {
     "fts_index_term": ranked({"p": _P("p", ["that"])}, "p IS NOT NULL"),
     "fts_index_nested": ranked(*_NESTED),
 }
+SEARCH |= {f"fts_index_{x}": SEARCH[f"fts_{x}"] for x in ("and", "or", "not")}
 
 _T, _GAP = r"[\p{L}\p{N}\p{Co}]+", r"[^\p{L}\p{N}\p{Co}]+"
 _CUT = f"'^([^\\p{{L}}\\p{{N}}\\p{{Co}}]*)({_T})((?:{_GAP}{_T}){{0,11}})(.*)$', ['before', 'first', 'more', 'rest'], 's'"
@@ -149,6 +150,8 @@ SQL: dict[str, str] = SEARCH | {
     "contributions": f"WITH {GO} SELECT file, 3::BIGINT AS n_names, (c + 1)::BIGINT AS n_targets, 1::BIGINT AS n_callers FROM np",
     "index_counts": f"WITH {GO} SELECT (SELECT count(*) FROM symbols) AS n_symbols, (SELECT count(*) FROM refs) AS n_refs, (SELECT count(*) FROM sup) AS n_files",
     "term_stats": f"WITH {TOKENS} SELECT term, count(DISTINCT (file, line)) AS df, count(*) AS cf FROM t GROUP BY term",
+    "index_term_counts": f"WITH {TOKENS} SELECT term, count(DISTINCT (file, line)) AS df FROM t GROUP BY term",
+    "block_best": f"WITH {TOKENS}, k AS (SELECT term, file, line, count(*) AS tf FROM t GROUP BY ALL) SELECT term, count(*) AS df, max(tf) AS bound_tf, max(tf) AS tf FROM k GROUP BY term",
     "line_lengths": f"WITH {TOKENS} SELECT file, line, len::INT AS n_tokens FROM l",
     "fts_stats": f"WITH {LINES}, {META} SELECT count(*) AS files, coalesce(sum(lines), 0)::BIGINT AS lines FROM meta",
     "fts_last_indexed": f"WITH {LINES}, {META} SELECT strftime(make_timestamp(max(mtime) * 1000000), '%Y-%m-%d %H:%M:%S') AS last_indexed FROM meta",

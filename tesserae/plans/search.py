@@ -1,9 +1,10 @@
 """Ranked line search: match trees over lines, as DataFrame plans.
 
 A plan has two steps that both sources of hits share.  *Hits*: for each line, the array of
-(term, position) of its tokens that some phrase of the query can use.  They come from the postings
-of a stored index (a filter on ``term`` that reaches the sorted Parquet files, then one grouping
-by line), or from the lines themselves (an array filter, no shuffle).  *Ranking*: phrase
+(term, position) of its tokens that some phrase of the query can use.  They come from the posting
+blocks of a stored index (a filter on ``term`` that reaches the sorted Parquet files, then one
+grouping by line; searches for single terms leave out blocks that hold no line good enough), or from
+the lines themselves (an array filter, no shuffle).  *Ranking*: phrase
 instances are counted inside the array, the boolean tree is an expression over these counts, and
 BM25 (Robertson and Zaragoza; k1 = 1.2, b = 0.75) adds up the phrases of branches that hold.
 
@@ -19,13 +20,16 @@ import math
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation, Row
 from pyspark.sql import functions as F
 
 from tesserae.functions.snippet import snippet
 from tesserae.functions.text import tokens
+from tesserae.plans.blocks import Layered, block_bounds, block_postings, single_terms
 from tesserae.plans.match import And, Near, Node, Not, Phrase, leaves, parse
-from tesserae.workspace import written
+from tesserae.workspace import scratch, written
+
+Tables = dict[str, DataFrame]
 
 #: The parameters of BM25, the least inverse document frequency, the most results.
 K1, B, LEAST_IDF, MOST = 1.2, 0.75, 1e-6, 50
@@ -59,12 +63,6 @@ def tokenized(lines: DataFrame) -> DataFrame:
     return lines.select("file", "line", "content", tokens(F.col("content")).alias("toks"))
 
 
-def postings(lines: DataFrame) -> DataFrame:
-    """term, file, line, pos, n_tokens of every token."""
-    toks = tokenized(lines)
-    return toks.select("file", "line", F.size("toks").alias("n_tokens"), F.posexplode("toks").alias("pos", "term")).select("term", "file", "line", "pos", "n_tokens")
-
-
 def marked_tokens(lines: DataFrame) -> DataFrame:
     """file, line, term, first: every token, and 1 for one of equal terms of a line, 0 for others, so
     that one grouping by term does for counts of lines and of occurrences."""
@@ -233,50 +231,144 @@ def idf(n_lines: int, n: int) -> float:
     return value if value > 0 else LEAST_IDF
 
 
-def ranked(hits: DataFrame, node: Node, corpus: tuple[int, int] | None = None) -> DataFrame:
+def gain(n_lines: int, n_tokens: int, n: int, f: Column, length: Column) -> Column:
+    """What ``f`` instances of a phrase that ``n`` lines hold add to the score of a line."""
+    f = f.cast("double")
+    return F.lit(idf(n_lines, n)) * f * (K1 + 1) / (f + K1 * (F.lit(1 - B) + F.lit(B) * length / F.lit(max(n_tokens, 1) / max(n_lines, 1))))
+
+
+def ranked(hits: DataFrame, node: Node, corpus: tuple[int, int] | None = None, counts: list[int] | None = None) -> DataFrame:
     """Matching lines of ``hits`` (file, line, content if there) with their score.
 
-    ``corpus`` is (lines, tokens) of all lines; without it ``hits`` has all lines itself.  One pass
-    counts lines, tokens and phrases and writes what the score of a matching line needs; the counts
-    are a row of numbers, and the score is an expression over the rows written."""
+    ``corpus`` is (lines, tokens) of all lines; without it ``hits`` has all lines itself.  ``counts``
+    are the numbers of lines that hold each phrase.  Where they are not known, one pass counts lines,
+    tokens and phrases and writes what the score of a matching line needs; the counts are a row of
+    numbers, and the score is an expression over the rows written."""
     df, condition, gate = evaluated(hits, node)
     every = range(len(phrases_of(node)))
-    seen = Observation()
-    counts = [F.count_if(F.size(f"s{i}") > 0).alias(f"n{i}") for i in every]
-    df = df.observe(seen, F.count(F.lit(1)).alias("lines"), F.sum("len").alias("tokens"), *counts)
     kept = [c for c in ("file", "line", "content") if c in hits.columns]
-    matches = written(df.where(condition).select(*kept, "len", *[F.when(gate[i], F.col(f"f{i}")).otherwise(0).alias(f"f{i}") for i in every]), "matches")
-    total = seen.get
-    n_lines, n_tokens = corpus or (total.get("lines") or 0, total.get("tokens") or 0)
-    length = F.lit(1 - B) + F.lit(B) * F.col("len") / F.lit(max(n_tokens, 1) / max(n_lines, 1))
+    columns = [*kept, "len", *[F.when(gate[i], F.col(f"f{i}")).otherwise(0).alias(f"f{i}") for i in every]]
+    if corpus is None or counts is None:
+        seen = Observation()
+        held = [F.count_if(F.size(f"s{i}") > 0).alias(f"n{i}") for i in every]
+        df = df.observe(seen, F.count(F.lit(1)).alias("lines"), F.sum("len").alias("tokens"), *held)
+        matches = written(df.where(condition).select(*columns), "matches")
+        total = seen.get
+        corpus = corpus or (total.get("lines") or 0, total.get("tokens") or 0)
+        counts = [total.get(f"n{i}") or 0 for i in every]
+    else:
+        matches = df.where(condition).select(*columns)
     score = F.lit(0.0)
     for i in every:
-        f = F.col(f"f{i}").cast("double")
-        score = score - F.lit(idf(n_lines, total.get(f"n{i}") or 0)) * f * (K1 + 1) / (f + K1 * length)
+        score = score - gain(*corpus, counts[i], F.col(f"f{i}"), F.col("len"))
     return matches.select(*kept, score.alias("score"))
 
 
+def in_order(df: DataFrame) -> DataFrame:
+    return df.orderBy(F.round("score", 9), "file", "line")
+
+
+def best_rows(matches: DataFrame, limit: int) -> list[Row]:
+    """(file, line, score) of the best lines: as many rows as are shown."""
+    return in_order(matches.select("file", "line", "score")).limit(limit).collect()
+
+
+#: Files by name up to which a filter on the files goes before the lines are cut.
+NAMED = 1000
+
+
+def shown(lines: DataFrame, best: list[Row]) -> DataFrame:
+    """file, line, content, score: contents of some lines, whose files alone are looked into."""
+    top = lines.sparkSession.createDataFrame([tuple(r) for r in best], "file string, line int, score double")
+    files = sorted({r["file"] for r in best})
+    some = lines.where(F.col("file").isin(files)) if len(files) <= NAMED else lines
+    return in_order(some.join(F.broadcast(top), ["file", "line"]).select("file", "line", "content", "score"))
+
+
 def search_lines(lines: DataFrame, query: str, limit: int | None = None) -> DataFrame:
     """file, line, content, score of the best lines, without an index."""
     node = parse(query)
-    best = ranked(hits_of_lines(lines, node), node)
-    return best.select("file", "line", "content", "score").orderBy(F.round("score", 9), "file", "line").limit(limit_of(limit))
+    with scratch(lines.sparkSession):
+        best = best_rows(ranked(hits_of_lines(lines, node).drop("content"), node), limit_of(limit))
+    return shown(lines, best)
 
 
 def all_matches(lines: DataFrame, query: str) -> DataFrame:
     """file, line, score of every matching line."""
     node = parse(query)
-    return ranked(hits_of_lines(lines, node), node).select("file", "line", "score")
+    return ranked(hits_of_lines(lines, node).drop("content"), node)
+
+
+def line_statistics(new: DataFrame, old: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(lines, tokens) in one row, and (term, df): of some lines, or what they are more than others."""
+    signed = new.withColumn("sign", F.lit(1)) if old is None else new.withColumn("sign", F.lit(1)).unionByName(old.withColumn("sign", F.lit(-1)))
+    toks = signed.select("sign", tokens(F.col("content")).alias("toks"))
+    zero = F.lit(0).cast("long")
+    corpus = toks.agg(F.coalesce(F.sum("sign"), zero).alias("lines"), F.coalesce(F.sum(F.col("sign") * F.size("toks")), zero).alias("tokens"))
+    each = toks.select("sign", F.explode(F.array_distinct("toks")).alias("term"))
+    return corpus, each.groupBy("term").agg(F.sum("sign").alias("df")).where("df != 0")
+
+
+def line_index(lines: DataFrame) -> Tables:
+    """The tables of an index of lines: blocks, corpus, term_counts."""
+    corpus, counts = line_statistics(lines)
+    return {"blocks": block_postings(tokenized(lines), lines.count()), "corpus": corpus, "term_counts": counts}
+
+
+#: Blocks whose numbers go into a filter; more are joined.
+PICKED = 2000
+
+
+def best_by_blocks(index: Layered, node: Node, terms: list[str], corpus: tuple[int, int], limit: int) -> tuple[list[Row], int]:
+    """The best lines of a search for single terms, and how many blocks were unpacked."""
+    distinct = sorted(set(terms))
+    known = {r["term"]: r["df"] for r in index.term_counts.where(F.col("term").isin(distinct)).collect()}
+    counts = [known.get(t, 0) for t in terms]
+    gains = {t: gain(*corpus, known.get(t, 0), F.col("x.tf"), F.col("x.len")) for t in distinct}
+    bounds = written(block_bounds(index, node, distinct, gains), "block-bounds")
+
+    def lines_of(posts: DataFrame) -> DataFrame:
+        return ranked(hits_of_postings(posts, node), node, corpus, counts)
+
+    first = bounds.orderBy(F.col("bound").desc(), "layer", "block").limit(2 * limit).collect()
+    if not first:
+        return [], 0
+    best = best_rows(lines_of(index.chosen(distinct, _by_layer(first))), limit)
+    if len(first) < 2 * limit:
+        return best, len(first)
+    # A bound is the same sum in another order of its terms: a hair of rounding is allowed for.
+    reach = -best[-1]["score"] - 1e-8 if len(best) == limit else 0.0
+    done = F.array(*[F.struct(F.lit(r["layer"]).alias("layer"), F.lit(r["block"]).alias("block")) for r in first])
+    rest = bounds.where((F.col("bound") >= reach) & ~F.array_contains(done, F.struct("layer", "block")))
+    n = rest.count()
+    if not n:
+        return best, len(first)
+    posts = index.chosen(distinct, _by_layer(rest.collect())) if n <= PICKED else index.joined(distinct, rest)
+    more = best_rows(lines_of(posts), limit)
+    return sorted([*best, *more], key=lambda r: (round(r["score"], 9), r["file"], r["line"]))[:limit], len(first) + n
+
+
+def _by_layer(rows: list[Row]) -> dict[int, list[int]]:
+    out: dict[int, list[int]] = {}
+    for r in rows:
+        out.setdefault(r["layer"], []).append(r["block"])
+    return out
 
 
-def search_index(posts: DataFrame, lines: DataFrame, query: str, limit: int | None = None) -> DataFrame:
-    """file, line, content, score of the best lines, from a stored index.  Lines and tokens are
-    counted from the files' footers; contents are fetched for the best lines only."""
-    node = parse(query)
-    best = ranked(hits_of_postings(posts, node), node, (lines.count(), posts.count()))
-    top = best.select("file", "line", "score").orderBy(F.round("score", 9), "file", "line").limit(limit_of(limit))
-    # At most as many rows as are shown.
-    return lines.join(F.broadcast(top), ["file", "line"]).select("file", "line", "content", "score").orderBy(F.round("score", 9), "file", "line")
+def search_index(index: Layered, query: str, limit: int | None = None) -> DataFrame:
+    """file, line, content, score of the best lines, from a stored index.  Numbers of lines, tokens and
+    documents per term are read, not counted; contents are fetched for the best lines only, and what
+    is written on the way is gone when this returns."""
+    node, k = parse(query), limit_of(limit)
+    total = index.corpus.collect()[0]
+    corpus = (total["lines"], total["tokens"])
+    terms = single_terms(node)
+    with scratch(index.lines.sparkSession):
+        if terms:
+            best, _ = best_by_blocks(index, node, terms, corpus, k)
+        else:
+            best = best_rows(ranked(hits_of_postings(index.postings(), node), node, corpus), k)
+    return shown(index.lines, best)
 
 
 def with_snippets(results: DataFrame, query: str) -> DataFrame:

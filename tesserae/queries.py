@@ -16,7 +16,9 @@ from pyspark.sql import functions as F
 from tesserae.functions.globs import any_match
 from tesserae.operators import aggregates, extract, lookups, maintenance
 from tesserae.plans import render, search
+from tesserae.plans.blocks import Layered
 from tesserae.sources.lines import line_counts, lines
+from tesserae.sources.snapshot import LAYOUT
 from tesserae.sources.tree import is_configured, is_search_source, oversize
 from tesserae.streaming.watch import debounced
 from tesserae.workspace import written
@@ -356,22 +358,59 @@ def fts_all_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown(search.all_matches(doc_lines(spark, sf_dir), '(to AND the) OR "of the"'))
 
 
-def _stored(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def _stored(spark: SparkSession, sf_dir: str) -> Layered:
+    """The line index of the documents as one layer."""
     ls = kept(spark, sf_dir, "lines", lambda: doc_lines(spark, sf_dir))
-    return kept(spark, sf_dir, "postings", lambda: search.postings(ls).repartitionByRange("term").sortWithinPartitions("term", "file", "line", "pos")), ls
+    make: dict[str, DataFrame] = {}
+
+    def table_of(name: str) -> DataFrame:
+        make.update(make or search.line_index(ls))
+        keys = LAYOUT[name]
+        return make[name].repartitionByRange(*keys).sortWithinPartitions(*keys) if keys else make[name]
+
+    blocks, corpus, counts = (kept(spark, sf_dir, name, lambda name=name: table_of(name)) for name in ("blocks", "corpus", "term_counts"))
+    return Layered([(blocks, None)], ls, corpus, counts)
 
 
 @query
 def fts_index_term(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same search from stored postings, which the filter on the term reaches."""
-    posts, ls = _stored(spark, sf_dir)
-    return _shown(search.search_index(posts, ls, SEARCHES["fts_term"]))
+    """The same search from stored posting blocks, of which those that can hold a best line are unpacked."""
+    return _shown(search.search_index(_stored(spark, sf_dir), SEARCHES["fts_term"]))
 
 
 @query
 def fts_index_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
-    posts, ls = _stored(spark, sf_dir)
-    return _shown(search.search_index(posts, ls, SEARCHES["fts_nested"]))
+    return _shown(search.search_index(_stored(spark, sf_dir), SEARCHES["fts_nested"]))
+
+
+@query
+def fts_index_and(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both of two terms, by the bounds of posting blocks."""
+    return _shown(search.search_index(_stored(spark, sf_dir), SEARCHES["fts_and"]))
+
+
+@query
+def fts_index_or(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _shown(search.search_index(_stored(spark, sf_dir), SEARCHES["fts_or"]))
+
+
+@query
+def fts_index_not(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _shown(search.search_index(_stored(spark, sf_dir), SEARCHES["fts_not"]))
+
+
+@query
+def index_term_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents per term as the index keeps them: what a search reads instead of counting."""
+    return _stored(spark, sf_dir).term_counts
+
+
+@query
+def block_best(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each term the number of its lines and the largest tf over all its blocks, of their bounds
+    and of their hits."""
+    blocks = _stored(spark, sf_dir).layers[0][0]
+    return blocks.groupBy("term").agg(F.sum(F.size("hits")).alias("df"), F.max(F.array_max("best.tf")).cast("long").alias("bound_tf"), F.max(F.array_max(F.transform("hits", lambda h: F.size(h["at"])))).cast("long").alias("tf"))
 
 
 @query

@@ -23,7 +23,13 @@ IDENTS = _schema(("name", S), ("file", S), ("line", I), ("in_symbol", S), ("ordi
 FILE_META = _schema(("file", S), ("mtime", L))
 META = _schema(("file_count", L), ("indexed_at", T.TimestampType()))
 LINES = _schema(("file", S), ("line", I), ("content", S))
-POSTINGS = _schema(("term", S), ("file", S), ("line", I), ("pos", I), ("n_tokens", I))
+#: A term's occurrences in a block of lines, and the (tf, len) pairs of lines that no other line of the block betters.
+BLOCKS = _schema(
+    ("term", S), ("block", L), ("best", T.ArrayType(T.StructType([T.StructField("tf", I), T.StructField("len", I)]))),
+    ("hits", T.ArrayType(T.StructType([T.StructField("file", S), T.StructField("line", I), T.StructField("len", I), T.StructField("at", T.ArrayType(I))]))),
+)
+TERM_COUNTS = _schema(("term", S), ("df", L))
+CORPUS = _schema(("lines", L), ("tokens", L))
 FTS_META = _schema(("path", S), ("mtime", L), ("lines", I))
 GONE_FILES = _schema(("path", S))
 GONE_VALUES = _schema(("name", S))

@@ -20,12 +20,13 @@ from pyspark.sql.streaming import StreamingQuery
 from tesserae.config import Config
 from tesserae.functions.globs import any_match, matches
 from tesserae.operators.maintenance import delta, last_events
-from tesserae.plans.search import postings
+from tesserae.plans.blocks import block_postings
+from tesserae.plans.search import line_index, line_statistics, tokenized
 from tesserae.schemas import EVENTS
 from tesserae.sources.lines import line_counts, lines
-from tesserae.sources.snapshot import Store, read_index, write_delta
+from tesserae.sources.snapshot import Conflict, Store, View, read_index, write_delta
 from tesserae.sources.tree import normal, some_files, walk
-from tesserae.workspace import written
+from tesserae.workspace import scratch, written
 
 #: Milliseconds between two looks at the tree.
 TICK_MS = 500
@@ -122,21 +123,50 @@ def apply_batch(symbols: Store, search: Store, config: Config, events: DataFrame
     gone = {r["path"] for r in rows if r["op"] in ("remove", "rename")}
     there = [r["path"] for r in rows if r["path"] not in gone]
     paths = spark.createDataFrame([(r["path"],) for r in rows], "path string")
-    contents = some_files(spark, there)
-    go = paths.where(F.col("path").endswith(".go"))
-    if any(r["path"].endswith(".go") for r in rows):
-        write_delta(symbols, go, delta(read_index(symbols), go, contents.where(F.col("path").endswith(".go"))))
-    named = [r["path"] for r in rows if config.matches_fts(r["path"])]
-    if named:
-        write_search(search, spark.createDataFrame([(p,) for p in named], "path string"), contents.where(F.col("path").isin(named) & (F.col("size") <= config.fts.max_file_size_kb * 1024)))
+    with scratch(spark):
+        contents = some_files(spark, there)
+        if any(r["path"].endswith(".go") for r in rows):
+            write_symbols(symbols, paths.where(F.col("path").endswith(".go")), contents.where(F.col("path").endswith(".go")))
+        named = [r["path"] for r in rows if config.matches_fts(r["path"])]
+        if named:
+            write_search(search, spark.createDataFrame([(p,) for p in named], "path string"), contents.where(F.col("path").isin(named) & (F.col("size") <= config.fts.max_file_size_kb * 1024)))
+
+
+#: Tries of a change that another writer was faster than.
+TRIES = 10
+
+
+def write_symbols(symbols: Store, changed: DataFrame, contents: DataFrame) -> None:
+    """Add a change to the symbol index.  What a change adds depends on the index below it, so it is
+    worked out again where another writer changed that meanwhile."""
+    for left in reversed(range(TRIES)):
+        base = symbols.now()
+        try:
+            write_delta(symbols, changed, delta(read_index(base), changed, contents), base)
+            return
+        except Conflict:
+            if not left:
+                raise
 
 
 def write_search(search: Store, changed: DataFrame, contents: DataFrame) -> None:
-    """Replace the lines of ``changed`` by those of ``contents``: a layer with these files' rows."""
-    text = written(contents.withColumn("text", F.col("content").cast("string")).select("path", "mtime", "text"), "changed-texts")
-    new = lines(text, "path", "text")
-    meta = line_counts(text, "path", "text").withColumnRenamed("file", "path").join(text.select("path", "mtime"), "path")
-    search.append({"lines": new, "postings": postings(new), "fts_meta": meta}, changed)
+    """Replace the lines of ``changed`` by those of ``contents``: a layer with these files' rows, and
+    by how much they change the numbers of lines, tokens and documents per term."""
+    with scratch(contents.sparkSession):
+        text = written(contents.withColumn("text", F.col("content").cast("string")).select("path", "mtime", "text"), "changed-texts")
+        new = lines(text, "path", "text")
+        meta = line_counts(text, "path", "text").withColumnRenamed("file", "path").join(text.select("path", "mtime"), "path")
+
+        def statistics(base: View) -> dict[str, DataFrame]:
+            old = base.read_or_empty("lines").join(changed.select(F.col("path").alias("file")), "file", "left_semi")
+            corpus, counts = line_statistics(new, old)
+            return {"corpus": corpus, "term_counts": counts}
+
+        def whole(view: View) -> dict[str, DataFrame]:
+            ls = view.read("lines")
+            return {"lines": ls, "fts_meta": view.read("fts_meta")} | line_index(ls)
+
+        search.append({"lines": new, "blocks": block_postings(tokenized(new), new.count()), "fts_meta": meta}, changed, based=statistics, whole=whole)
 
 
 def start(events: DataFrame, apply: Callable[[DataFrame], None], checkpoint: str, tick_ms: int = TICK_MS) -> StreamingQuery:

@@ -5,6 +5,9 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,10 +34,32 @@ def _drop(spark: SparkSession, path: str) -> None:
         pass
 
 
+#: Tables of the scopes that are open in this context.
+_SCOPES: ContextVar[tuple[list[str], ...]] = ContextVar("scopes", default=())
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables written inside are dropped at the end: for one request, or one batch of a stream."""
+    paths: list[str] = []
+    token = _SCOPES.set((*_SCOPES.get(), paths))
+    try:
+        yield
+    finally:
+        _SCOPES.reset(token)
+        for path in paths:
+            _drop(spark, path)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Write a table and read it again; it is dropped when the driver ends."""
+    """Write a table and read it again; it is dropped when the ``scratch`` around ends, or without one
+    when the driver ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tesserae-{name}-{uuid.uuid4().hex}"
-    atexit.register(_drop, spark, path)
+    scopes = _SCOPES.get()
+    if scopes:
+        scopes[-1].append(path)
+    else:
+        atexit.register(_drop, spark, path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

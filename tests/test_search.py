@@ -1,4 +1,5 @@
 import math
+import os
 import sqlite3
 
 import pytest
@@ -6,9 +7,11 @@ from pyspark.sql import functions as F
 
 from tesserae.functions.snippet import snippet
 from tesserae.functions.text import terms_of, tokens
-from tesserae.plans import search
+from tesserae.plans import blocks, search
+from tesserae.plans.blocks import Layered
 from tesserae.plans.match import QuerySyntaxError, parse
 from tesserae.sources.lines import lines
+from tesserae.workspace import scratch, shared_dir
 
 EXTRA = ["func parse_config(path string) error {", "// TODO: parse config not found", "GetUser getUserName GETX", "Café naïve Straße", "a b c d e f g h i j k l m n o p q r needle s t u v w x y z needle end", "x²y don't ½ Ł"]
 QUERIES = ["that", "parse_config", '"not found"', "get*", "cafe", "needle", "the of", '"of the"', 'to OR "of the"', "that NOT the", "NEAR(the of, 1)", "NEAR(the of in)", "NEAR(\"of the\" in, 3)", "NEAR(the the of, 2)", "NEAR(th* \"of the\" to, 40)", "^the", "th*", '"of th"*', '(to AND the) OR "of the"', "in + the", "the the", "content:that", "file:that OR with", "(that OR with) NOT (the AND of)", '"" OR that', "missingword"]
@@ -52,19 +55,75 @@ def test_errors_like_the_standard_library(corpus, query):
     assert ours.value.friendly.startswith("invalid search query") == ("fts5" in str(theirs.value))
 
 
-@pytest.mark.parametrize("query", ["that", '(to AND the) OR "of the"', "th*"])
-def test_index_and_scan_agree(corpus, query):
-    found, _ = corpus
-    posts = search.postings(found).cache()
-    a = [(r["file"], r["line"], round(r["score"], 9)) for r in search.search_index(posts, found, query, 20).collect()]
-    b = [(r["file"], r["line"], round(r["score"], 9)) for r in search.search_lines(found, query, 20).collect()]
-    assert a == b and len(a) == 20
+def indexed(found):
+    tables = {k: v.cache() for k, v in search.line_index(found).items()}
+    return Layered([(tables["blocks"], None)], found, tables["corpus"], tables["term_counts"])
+
+
+@pytest.fixture(scope="module")
+def index(corpus):
+    """Blocks of few lines, so that small limits leave most of them out."""
+    patch = pytest.MonkeyPatch()
+    patch.setattr(blocks, "BLOCK_LINES", 16)
+    patch.setattr(blocks, "STRETCH", 4)
+    made = indexed(corpus[0])
+    made.layers[0][0].count()
+    patch.undo()
+    return made
+
+
+def rows_of(df):
+    return [(r["file"], r["line"], round(r["score"], 9)) for r in df.collect()]
+
+
+@pytest.mark.parametrize("query", ["that", "that OR with", "the AND of", "the of in", "that NOT the", "(to AND the) OR that", "(to AND the) OR (of NOT in)", "the OR the", "missingword OR that", "missingword", "missingword AND that", '(to AND the) OR "of the"', "th*", "^the", "NEAR(the of, 1)", "file:that OR with"])
+@pytest.mark.parametrize("limit", [1, 4, 20, 1000])
+def test_index_and_scan_agree(corpus, index, query, limit):
+    assert rows_of(search.search_index(index, query, limit)) == rows_of(search.search_lines(corpus[0], query, limit))
+
+
+@pytest.mark.parametrize("picked", [0, 2000])
+def test_blocks_that_cannot_matter_are_left_out(index, monkeypatch, picked):
+    """Counted: a search for two terms unpacks under a fifth of the blocks of the common one, whether
+    the blocks after the first are named or joined."""
+    monkeypatch.setattr(search, "PICKED", picked)
+    total = index.corpus.collect()[0]
+    rows = index.layers[0][0]
+    for query in ("the OR needle", "the AND of", "the"):
+        node = parse(query)
+        with scratch(rows.sparkSession):
+            best, read = search.best_by_blocks(index, node, blocks.single_terms(node), (total["lines"], total["tokens"]), 3)
+        assert len(best) == 3 and read < rows.where("term = 'the'").count() / (5 if query != "the AND of" else 1)
+
+
+def test_bounds_are_reached(index):
+    """The (tf, len) pairs of a block are those of its lines that no other line betters."""
+    for r in index.layers[0][0].where("term in ('the', 'that', 'needle', 'of')").collect():
+        lines_ = {(len(h["at"]), h["len"]) for h in r["hits"]}
+        want = {(f, n) for f, n in lines_ if not any((g >= f and m <= n and (g, m) != (f, n)) for g, m in lines_)}
+        assert {tuple(x) for x in r["best"]} == want
+
+
+def test_a_long_file_is_many_blocks(spark):
+    one = spark.range(20_000).selectExpr("'f' AS file", "cast(id AS int) AS line", "concat('same ', id) AS content")
+    sizes = [len(r["hits"]) for r in search.line_index(one)["blocks"].where("term = 'same'").collect()]
+    assert sum(sizes) == 20_000 and max(sizes) < 8 * blocks.BLOCK_LINES
+
+
+def test_searches_leave_no_tables(spark, corpus, index):
+    """The shared folder holds no more after twenty searches than before."""
+    at = shared_dir(spark).removeprefix("file:")
+    before = set(os.listdir(at))
+    for query in ("that", "the AND of", '"of the"', "th*", "NEAR(the of)") * 2:
+        search.search_index(index, query, 5).collect()
+        search.search_lines(corpus[0], query, 5).collect()
+    assert set(os.listdir(at)) == before
 
 
 def test_empty_table(spark):
     none = spark.createDataFrame([], "file string, line int, content string")
     assert search.search_lines(none, "NEAR(a b) OR c").collect() == []
-    assert search.search_index(search.postings(none), none, "c").collect() == []
+    assert search.search_index(indexed(none), "c").collect() == search.search_index(indexed(none), '"c d"').collect() == []
     assert search.term_stats(none).collect() == []
 
 
@@ -98,7 +157,7 @@ def test_snippets(content, query, shown):
 
 def test_plan_reads_one_term(spark, corpus, tmp_path):
     found, _ = corpus
-    search.postings(found).repartitionByRange(4, "term").sortWithinPartitions("term").write.parquet(f"{tmp_path}/p")
-    hits = search.hits_of_postings(spark.read.parquet(f"{tmp_path}/p"), parse("that"))
+    search.line_index(found)["blocks"].repartitionByRange(4, "term", "block").sortWithinPartitions("term", "block").write.parquet(f"{tmp_path}/p")
+    hits = search.hits_of_postings(blocks.postings_of(spark.read.parquet(f"{tmp_path}/p")), parse("that"))
     plan = hits._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(term), EqualTo(term,that)]" in plan

@@ -148,7 +148,7 @@ def test_only_changed_files_are_read_and_written(engine, tmp_path, monkeypatch):
     assert engine.sync_search() == (1, 6, 0)
     top = engine.search.current()
     layer = lambda t: engine.spark.read.parquet(f"{top}/{t}")
-    assert {r["file"] for r in layer("lines").collect()} == {f"{tmp_path}/x1.go"} == {r["file"] for r in layer("postings").collect()}
+    assert {r["file"] for r in layer("lines").collect()} == {f"{tmp_path}/x1.go"} == {h["file"] for r in layer("blocks").collect() for h in r["hits"]}
     assert layer("gone_files").count() == 1 and engine.search.read("fts_meta").count() == 7
     assert [r["file"] for r in engine.full_text('"of 1"').collect()] == [f"{tmp_path}/x1.go"]
 
