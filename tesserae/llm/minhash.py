@@ -21,7 +21,7 @@ the empty bins of a small set are as independent as those of a large one.
    joined already; none is lost to the shape of the stars.
 
 A link of Jaccard index s is missed only where no band agrees: ``(1 - s ** width) ** bands``, which
-is 3e-7 at s = 0.8 for the widths taken here (64 bands of 7) and falls fast above it.
+is 7e-8 at s = 0.8 for the widths taken here (54 bands of 6) and falls fast above it.
 The shuffles carry bucket keys of distinct sets, bitmaps of candidates and sets of those left.
 
 Defined results: null and empty texts and texts without words have an empty set, size 0, and are
@@ -45,7 +45,7 @@ from tesserae.llm import jaccard
 from tesserae.llm.common import scratch, tidied, written
 
 #: Bands of a signature and bins of a band.
-BANDS, WIDTH = 64, 7
+BANDS, WIDTH = 54, 6
 #: Partners of a hub in one cell, and sets of one block of a bucket of several classes.
 CELL, BLOCK = 64, 256
 MIX, STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
