@@ -53,10 +53,9 @@ def serve(engine: Engine, source: IO[bytes], sink: IO[str], follow: bool = True)
     """Answer requests line by line; lines that are no JSON are passed over."""
     running = None
     if follow and engine.symbols.current():
-        os.makedirs(engine.search.root, exist_ok=True)
-        events = watch.watch_events(engine.spark, engine.root, engine.config(), config_path=engine.config_path)
+        looks = watch.Watch(engine.spark, engine.root, engine.config(), os.path.join(engine.folder, "listings"), config_path=engine.config_path)
         # The configuration is read anew for each batch: a pattern added meanwhile counts.
-        running = watch.start(events, lambda df: watch.apply_batch(engine.symbols, engine.search, engine.config(), df), os.path.join(engine.folder, "watch"))
+        running = watch.start(looks, lambda df: watch.apply_batch(engine.symbols, engine.search, engine.config(), df), os.path.join(engine.folder, "watch"))
     try:
         while line := source.readline(MOST_BYTES):
             if len(line) == MOST_BYTES and not line.endswith(b"\n"):

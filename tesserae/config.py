@@ -23,13 +23,15 @@ class FtsConfig:
 @dataclass
 class Config:
     fts: FtsConfig = field(default_factory=FtsConfig)
+    #: Patterns of the symbol index; nothing reads them, but a file that has them keeps them.
+    index_include: list[str] | None = None
 
     @staticmethod
     def from_json(text: str) -> Config:
         """A present file is taken as it is: keys it lacks are empty, not defaults."""
         raw = json.loads(text)
-        fts = raw.get("fts") or {}
-        return Config(FtsConfig(list(fts.get("include") or []), list(fts.get("excludeDirs") or []), int(fts.get("maxFileSizeKB") or 0)))
+        fts, index = raw.get("fts") or {}, raw.get("index")
+        return Config(FtsConfig(list(fts.get("include") or []), list(fts.get("excludeDirs") or []), int(fts.get("maxFileSizeKB") or 0)), None if index is None else list(index.get("include") or []))
 
     @staticmethod
     def load(path: str = PATH) -> Config:
@@ -40,7 +42,8 @@ class Config:
             return Config.from_json(f.read())
 
     def to_json(self) -> str:
-        return json.dumps({"fts": {"include": self.fts.include, "excludeDirs": self.fts.exclude_dirs, "maxFileSizeKB": self.fts.max_file_size_kb}}, indent=2)
+        out = {"fts": {"include": self.fts.include, "excludeDirs": self.fts.exclude_dirs, "maxFileSizeKB": self.fts.max_file_size_kb}}
+        return json.dumps(out if self.index_include is None else out | {"index": {"include": self.index_include}}, indent=2)
 
     def save(self, path: str = PATH) -> None:
         with open(path, "w", encoding="utf-8") as f:

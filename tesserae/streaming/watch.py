@@ -1,31 +1,30 @@
 """File changes as a stream.
 
-``watch_events`` is a streaming source over a folder: each trigger lists the watched files and
-compares them with the listing of the trigger before, so new folders need no subscription.  Events
-of one micro-batch are debounced to the last one of each path, and ``foreachBatch`` adds a layer
-with the changed files' rows to both indexes.
+A stream of ticks (its offsets are numbers) looks at the tree: each tick lists the watched files by
+tasks into a table of its own number and compares it with the table of the tick before, by a join.
+So new folders need no subscription, offsets do not grow with the tree, and a tick that is run again
+after a failure finds its listing and patterns and sees the same changes.  The events of a tick go to
+``foreachBatch``, which adds a layer with the changed files' rows to both indexes.
 """
 
 from __future__ import annotations
 
 import json
-import os
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
 from pyspark.sql.streaming import StreamingQuery
 
-from tesserae.config import Config
-from tesserae.functions.globs import any_match, matches
+from tesserae.config import Config, FtsConfig
+from tesserae.functions.globs import any_match
 from tesserae.operators.maintenance import delta, last_events
 from tesserae.plans.blocks import block_postings
 from tesserae.plans.search import line_index, line_statistics, tokenized
-from tesserae.schemas import EVENTS
+from tesserae.sources.folder import Folder
 from tesserae.sources.lines import line_counts, lines
 from tesserae.sources.snapshot import Conflict, Store, View, read_index, write_delta
-from tesserae.sources.tree import normal, some_files, walk
+from tesserae.sources.tree import some_files, tree_entries
 from tesserae.workspace import scratch, written
 
 #: Milliseconds between two looks at the tree.
@@ -43,73 +42,66 @@ def relevant(events: DataFrame, config: Config) -> DataFrame:
     return events.where(F.col("path").endswith(".go") | any_match(F.col("path"), config.fts.include))
 
 
-class _WatchReader(SimpleDataSourceStreamReader):
-    """Offsets hold the listing and the patterns, so that a restarted query sees what changed while
-    it was down, and a batch that is read again is the same."""
+#: Listings that stay behind the newest.
+KEPT = 2
 
-    def __init__(self, options: dict) -> None:
-        self.root = options["path"]
-        self.skipped = tuple(x for x in options.get("skipped", "").split(",") if x)
-        self.first = options.get("start", "now")
-        self.fixed = json.loads(options.get("include", "[]"))
-        self.config = options.get("config", "")
 
-    def include(self) -> list[str]:
-        """The patterns at this moment."""
-        return Config.load(self.config).fts.include if self.config else self.fixed
+def changes(before: DataFrame, now: DataFrame, number: int) -> DataFrame:
+    """path, op, seq: what two listings (path, mtime_ns) tell apart."""
+    both = before.select("path", F.col("mtime_ns").alias("was")).join(now.select("path", F.col("mtime_ns").alias("is")), "path", "full_outer")
+    op = F.when(F.col("was").isNull(), "create").when(F.col("is").isNull(), "remove").when(F.col("was") != F.col("is"), "write")
+    return both.select("path", op.alias("op"), F.lit(number).cast("long").alias("seq")).where("op is not null")
 
-    def listing(self) -> dict[str, int]:
-        out = {}
-        for p in walk(self.root, self.skipped, dots=True):
-            try:
-                out[normal(p)] = os.stat(p).st_mtime_ns
-            except OSError:
-                continue
-        return out
 
-    def initialOffset(self) -> dict:
-        return {"seq": 0, "files": json.dumps(self.listing() if self.first == "now" else {}), "include": json.dumps(self.include())}
+class Watch:
+    """Looks at a tree: the listings of its ticks lie in ``folder``."""
 
-    def events(self, start: dict, now: dict[str, int], include: list[str]) -> Iterator[tuple]:
-        """The changes since an offset, of Go files and of files that the patterns name."""
-        was, seq = json.loads(start["files"]), int(start["seq"])
-        for p in sorted(was.keys() | now.keys()):
-            op = "create" if p not in was else "remove" if p not in now else "write" if was[p] != now[p] else ""
-            if op and (p.endswith(".go") or any(matches(x, os.path.basename(p)) for x in include)):
-                seq += 1
-                yield p, op, seq
+    def __init__(self, spark: SparkSession, root: str, config: Config, folder: str, first: str = "now", config_path: str = "") -> None:
+        self.spark, self.root, self.config, self.path, self.first, self.config_path = spark, root, config, folder, first, config_path
+        self.folder = Folder(spark, folder)
 
-    def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
-        now, include = self.listing(), self.include()
-        rows = list(self.events(start, now, include))
-        return iter(rows), {"seq": int(start["seq"]) + len(rows), "files": json.dumps(now), "include": json.dumps(include)}
+    def include(self, number: int) -> list[str]:
+        """The patterns of a tick: those of the configuration when it first ran."""
+        now = Config.load(self.config_path) if self.config_path else self.config
+        self.folder.create(f"{number}.json", json.dumps(now.fts.include))
+        return json.loads(self.folder.read(f"{number}.json") or "[]")
 
-    def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
-        return self.events(start, json.loads(end["files"]), json.loads(end["include"]))
+    def listing(self, number: int) -> DataFrame:
+        """The listing of a tick, made once."""
+        path = f"{self.path}/{number}"
+        if "_SUCCESS" not in self.folder.names(str(number)):
+            found = tree_entries(self.spark, self.root, self.config.fts.exclude_dirs, dots=True)
+            found.select("path", "mtime_ns").write.mode("overwrite").parquet(path)
+        return self.spark.read.schema("path string, mtime_ns long").parquet(path)
 
-    def commit(self, end: dict) -> None:
-        pass
+    def numbers(self) -> list[int]:
+        return sorted(int(n) for n in self.folder.names() if n.isdigit())
 
+    def events(self, number: int) -> DataFrame:
+        """path, op, seq of the changes since the last tick before this one, of Go files and of files
+        that the patterns name.  The first tick reports nothing, or with ``first='empty'`` all files."""
+        include = self.include(number)
+        now = self.listing(number)
+        earlier = [n for n in self.numbers() if n < number]
+        before = self.listing(earlier[-1]) if earlier else now.limit(0) if self.first == "empty" else now
+        return relevant(changes(before, now, number), Config(FtsConfig(include, [], 0)))
 
-class WatchTree(DataSource):
-    @classmethod
-    def name(cls) -> str:
-        return "watch_tree"
+    def tick(self, number: int, apply: Callable[[DataFrame], None]) -> None:
+        """Apply the changes of a tick; older listings go afterwards."""
+        with scratch(self.spark):
+            events = written(self.events(number), "watch-events")
+            if not events.isEmpty():
+                apply(events)
+        for n in self.numbers():
+            if n < number - KEPT:
+                self.folder.delete(str(n))
+                self.folder.delete(f"{n}.json")
 
-    def schema(self):
-        return EVENTS
 
-    def simpleStreamReader(self, schema) -> SimpleDataSourceStreamReader:
-        return _WatchReader(dict(self.options))
-
-
-def watch_events(spark: SparkSession, root: str, config: Config, start: str = "now", config_path: str = "") -> DataFrame:
-    """path, op, seq of the changes under ``root``; ``start='empty'`` reports all files first.  With
-    ``config_path`` the patterns are those of that file at each look, so that one added while the
-    stream runs counts."""
-    spark.dataSource.register(WatchTree)
-    options = {"skipped": ",".join(config.fts.exclude_dirs), "start": start, "include": json.dumps(config.fts.include), "config": config_path}
-    return spark.readStream.format("watch_tree").options(**options).load(root)
+def start(watch: Watch, apply: Callable[[DataFrame], None], checkpoint: str, tick_ms: int = TICK_MS) -> StreamingQuery:
+    """Run ``apply`` on the changes of each tick that has any."""
+    ticks = watch.spark.readStream.format("rate-micro-batch").option("rowsPerBatch", 1).load()
+    return ticks.writeStream.foreachBatch(lambda _, n: watch.tick(n, apply)).option("checkpointLocation", checkpoint).trigger(processingTime=f"{tick_ms} milliseconds").start()
 
 
 def apply_batch(symbols: Store, search: Store, config: Config, events: DataFrame) -> None:
@@ -167,10 +159,3 @@ def write_search(search: Store, changed: DataFrame, contents: DataFrame) -> None
             return {"lines": ls, "fts_meta": view.read("fts_meta")} | line_index(ls)
 
         search.append({"lines": new, "blocks": block_postings(tokenized(new), new.count()), "fts_meta": meta}, changed, based=statistics, whole=whole)
-
-
-def start(events: DataFrame, apply: Callable[[DataFrame], None], checkpoint: str, tick_ms: int = TICK_MS) -> StreamingQuery:
-    """Run ``apply`` on each micro-batch."""
-    return events.writeStream.foreachBatch(lambda df, _: apply(df)).option("checkpointLocation", checkpoint).trigger(processingTime=f"{tick_ms} milliseconds").start()
-
-

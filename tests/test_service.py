@@ -6,7 +6,9 @@ import time
 import pytest
 
 from tesserae import api, cli
+from tesserae.config import Config
 from tesserae.streaming import watch
+from tesserae.workspace import shared_dir
 
 
 @pytest.fixture
@@ -42,11 +44,11 @@ def test_tools(engine, tmp_path):
 def test_update_config(engine, tmp_path):
     (tmp_path / "big.md").write_text("x" * 60 * 1024)
     said = engine.call("update_config", {"addFTSPattern": "*.md"})
-    assert "exceed 50KB" in said and "big.md (60.0KB)" in said and "Added FTS pattern: *.md" in said
-    assert "Pattern already exists" in engine.call("update_config", {"addFTSPattern": "*.md"})
-    assert "Refusing" in engine.call("update_config", {"addFTSPattern": "*"})
-    assert "Removed FTS pattern" in engine.call("update_config", {"removeFTSPattern": "*.md"}) and "Pattern not found" in engine.call("update_config", {"removeFTSPattern": "*.md"})
-    assert "very large" in engine.call("update_config", {"maxFileSizeKB": 501}) and json.loads(engine.call("get_config", {}))["fts"]["maxFileSizeKB"] == 501
+    assert "limit of 50KB" in said and "big.md (60.0KB)" in said and "*.md is a search pattern now" in said
+    assert "pattern already" in engine.call("update_config", {"addFTSPattern": "*.md"})
+    assert "Refused" in engine.call("update_config", {"addFTSPattern": "*"})
+    assert "no search pattern any more" in engine.call("update_config", {"removeFTSPattern": "*.md"}) and "was no search pattern" in engine.call("update_config", {"removeFTSPattern": "*.md"})
+    assert "by hand" in engine.call("update_config", {"maxFileSizeKB": 501}) and json.loads(engine.call("get_config", {}))["fts"]["maxFileSizeKB"] == 501
 
 
 def test_json_rpc(engine):
@@ -82,6 +84,12 @@ def test_init(tmp_path, monkeypatch, capsys):
     capsys.readouterr()
 
 
+def wait_for(there, seconds=90):
+    end = time.time() + seconds
+    while time.time() < end and not there():
+        time.sleep(0.3)
+
+
 def test_watching(engine, tmp_path):
     engine.rebuild()
     engine.sync_search()
@@ -92,18 +100,18 @@ def test_watching(engine, tmp_path):
         seen.extend(r["path"] for r in events.collect())
         watch.apply_batch(engine.symbols, engine.search, config, events)
 
-    q = watch.start(watch.watch_events(engine.spark, str(tmp_path), config), apply, str(tmp_path / ".tesserae" / "watch"))
+    looks = watch.Watch(engine.spark, str(tmp_path), config, str(tmp_path / ".tesserae" / "listings"))
+    q = watch.start(looks, apply, str(tmp_path / ".tesserae" / "watch"))
     try:
-        q.processAllAvailable()
-        time.sleep(1.0)
+        wait_for(lambda: len(looks.numbers()) > 1)
         os.makedirs(tmp_path / "sub")
         (tmp_path / "sub" / "c.go").write_text("package c\nfunc Fresh() { Help(1) }\n")
         (tmp_path / "note.txt").write_text("ignored")
         os.remove(tmp_path / "b.go")
-        deadline = time.time() + 60
-        while time.time() < deadline and not (len(engine.find_symbol("Fresh").collect()) and not engine.find_symbol("Help").collect()):
-            time.sleep(0.5)
-        q.processAllAvailable()
+        wait_for(lambda: len(engine.find_symbol("Fresh").collect()) and not engine.find_symbol("Help").collect() and engine.full_text("fresh").collect())
+        # Offsets are numbers, whatever the tree holds; few listings stay.
+        assert len(str(q.lastProgress["sources"][0]["endOffset"])) < 80
+        assert len(looks.numbers()) <= watch.KEPT + 2
     finally:
         q.stop()
     assert sorted(os.path.basename(p) for p in seen) == ["b.go", "c.go"]
@@ -115,16 +123,15 @@ def test_a_pattern_added_while_watching(engine, tmp_path):
     engine.rebuild()
     engine.sync_search()
     engine.config().save(engine.config_path)
-    events = watch.watch_events(engine.spark, str(tmp_path), engine.config(), config_path=engine.config_path)
-    q = watch.start(events, lambda df: watch.apply_batch(engine.symbols, engine.search, engine.config(), df), str(tmp_path / ".tesserae" / "watch"))
+    looks = watch.Watch(engine.spark, str(tmp_path), engine.config(), str(tmp_path / ".tesserae" / "listings"), config_path=engine.config_path)
+    q = watch.start(looks, lambda df: watch.apply_batch(engine.symbols, engine.search, engine.config(), df), str(tmp_path / ".tesserae" / "watch"))
     try:
-        q.processAllAvailable()
+        wait_for(lambda: looks.numbers())
         engine.call("update_config", {"addFTSPattern": "*.md"})
-        time.sleep(1.0)
+        at = looks.numbers()[-1]
+        wait_for(lambda: looks.numbers()[-1] > at + 1)
         (tmp_path / "note.md").write_text("freshly noted\n")
-        deadline = time.time() + 60
-        while time.time() < deadline and not engine.full_text("noted").collect():
-            time.sleep(0.5)
+        wait_for(lambda: engine.full_text("noted").collect())
     finally:
         q.stop()
     assert [r["line"] for r in engine.full_text("noted").collect()] == [1]
@@ -153,6 +160,55 @@ def test_only_changed_files_are_read_and_written(engine, tmp_path, monkeypatch):
     assert [r["file"] for r in engine.full_text('"of 1"').collect()] == [f"{tmp_path}/x1.go"]
 
 
+def test_a_tick_run_again_sees_the_same(spark, tmp_path):
+    """Listing and patterns of a tick are made once; the events of ticks are those of a walk."""
+    root = tmp_path / "tree"
+    (root / "sub").mkdir(parents=True)
+    (root / "a.go").write_text("a")
+    (root / "x.md").write_text("x")
+    config = Config()
+    looks = watch.Watch(spark, str(root), config, str(tmp_path / "listings"), first="empty")
+    get = lambda n: sorted((os.path.basename(r["path"]), r["op"]) for r in looks.events(n).collect())
+    assert get(0) == [("a.go", "create")]
+    (root / "sub" / "b.go").write_text("b")
+    os.remove(root / "a.go")
+    (root / "x.md").write_text("changed")
+    assert get(1) == [("a.go", "remove"), ("b.go", "create")]
+    (root / "c.go").write_text("c")
+    config.fts.include.append("*.md")
+    assert get(1) == [("a.go", "remove"), ("b.go", "create")]
+    again = watch.Watch(spark, str(root), config, str(tmp_path / "listings"))
+    os.utime(root / "x.md", ns=(1, 1))
+    assert sorted((os.path.basename(r["path"]), r["op"]) for r in again.events(2).collect()) == [("c.go", "create"), ("x.md", "write")]
+    seen = []
+    for n in range(3, 9):
+        again.tick(n, lambda df: seen.append(df.count()))
+    assert seen == [] and again.numbers() == [6, 7, 8]
+
+
+def test_the_index_section_survives_a_save(engine):
+    with open(engine.config_path, "w") as f:
+        json.dump({"fts": {"include": ["*.go"]}, "index": {"include": ["pkg/*"]}}, f)
+    engine.call("update_config", {"maxFileSizeKB": 70})
+    with open(engine.config_path) as f:
+        assert json.load(f)["index"] == {"include": ["pkg/*"]}
+
+
+def test_requests_and_ticks_leave_no_tables(engine, tmp_path):
+    """Twenty requests and five changes: the shared folder holds what it held."""
+    engine.rebuild()
+    engine.sync_search()
+    at = shared_dir(engine.spark).removeprefix("file:")
+    before = set(os.listdir(at))
+    for i in range(5):
+        (tmp_path / "a.go").write_text(f"package a\n\nfunc Run{i}() {{}}\n// not found {i}\n")
+        events = engine.spark.createDataFrame([(str(tmp_path / "a.go"), "write", i)], "path string, op string, seq long")
+        watch.apply_batch(engine.symbols, engine.search, engine.config(), events)
+        for query in ("run*", '"not found"', "package OR found", f"{i}"):
+            assert "a.go" in engine.call("full_text_search", {"query": query})
+    assert set(os.listdir(at)) == before
+
+
 def test_debounce(spark):
     e = spark.createDataFrame([("a", "create", 1, 10), ("a", "write", 2, 499), ("a", "remove", 3, 500), ("b", "write", 4, 20)], "path string, op string, seq long, ms long")
     assert sorted(tuple(r) for r in watch.debounced(e).collect()) == [(0, "a", "write"), (0, "b", "write"), (1, "a", "remove")]
