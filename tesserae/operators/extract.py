@@ -21,13 +21,18 @@ _NAMES = SCANNED.names
 _KINDS = {"ordinal": pa.int32(), "line": pa.int32(), "end_line": pa.int32(), "mtime": pa.int64()}
 
 
+#: Characters of a reason that are kept.
+REASON = 300
+
+
 def scanned_rows(path: str, mtime: int, content: bytes) -> list[tuple]:
-    """The rows of one file; a file that cannot be scanned yields its ``file`` row alone."""
-    rows = [("file", "", "", "", "", path, 0, 0, "", "", 0, mtime)]
+    """The rows of one file; a file that cannot be scanned yields one row of kind ``error`` with the
+    reason, and none that would count it as indexed."""
     try:
         found = scan(content)
-    except Exception:  # one odd file must not stop an index
-        return rows
+    except Exception as e:  # one odd file must not stop an index: it is set apart, and counted
+        return [("error", f"{type(e).__name__}: {e}"[:REASON], "", "", "", path, 0, 0, "", "", 0, mtime)]
+    rows = [("file", "", "", "", "", path, 0, 0, "", "", 0, mtime)]
     for i, s in enumerate(found.symbols):
         rows.append(("symbol", s.name, s.kind, found.package, s.recv, path, s.line, s.end_line, s.sig, "", i, mtime))
     for i, u in enumerate(found.uses):
@@ -37,7 +42,7 @@ def scanned_rows(path: str, mtime: int, content: bytes) -> list[tuple]:
 
 def scan_files(files: DataFrame) -> DataFrame:
     """``files`` (path, mtime, content) to the tagged table of ``SCANNED``: rows of kind file,
-    symbol, call and ident."""
+    symbol, call, ident and error."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -70,6 +75,11 @@ def files_of(scanned: DataFrame) -> DataFrame:
     return scanned.where("rec = 'file'").select("file", "mtime")
 
 
+def errors_of(scanned: DataFrame) -> DataFrame:
+    """file, mtime, error of the files that could not be scanned."""
+    return scanned.where("rec = 'error'").select("file", "mtime", F.col("name").alias("error"))
+
+
 def known_values(symbols: DataFrame) -> DataFrame:
     """name, kind of all variables and constants of all packages; of several declarations of a
     name the last in file order counts."""

@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.operators.extract import files_of, idents_of, known_values, references, scan_files, symbols_of
+from tesserae.operators.extract import errors_of, files_of, idents_of, known_values, references, scan_files, symbols_of
 from tesserae.operators.lookups import files_referencing
 from tesserae.workspace import written
 
@@ -49,19 +49,20 @@ def with_files(df: DataFrame, paths: DataFrame, new: DataFrame, column: str = "f
 
 @dataclass
 class Index:
-    """The symbol tables of one snapshot."""
+    """The symbol tables of one snapshot; ``errors`` are the files set apart, which are in no other."""
 
     symbols: DataFrame
     refs: DataFrame
     idents: DataFrame
     files: DataFrame
+    errors: DataFrame
 
 
 def build(files: DataFrame) -> Index:
     """A full index of (path, mtime, content)."""
     scanned = scan_files(files)
     symbols = symbols_of(scanned)
-    return Index(symbols, references(scanned, known_values(symbols)), idents_of(scanned), files_of(scanned))
+    return Index(symbols, references(scanned, known_values(symbols)), idents_of(scanned), files_of(scanned), errors_of(scanned))
 
 
 def dependents(index: Index, changed: DataFrame) -> DataFrame:
@@ -80,6 +81,7 @@ class Delta:
     idents: DataFrame
     files: DataFrame
     turned: DataFrame
+    errors: DataFrame
 
 
 def without_values(refs: DataFrame, names: DataFrame) -> DataFrame:
@@ -107,7 +109,7 @@ def delta(index: Index, changed: DataFrame, contents: DataFrame) -> Delta:
     here = known_values(now.join(mine.select("name").distinct(), "name", "left_semi"))
     elsewhere = without_files(index.idents.join(turned, "name", "left_semi"), changed).join(after.select("name", F.concat("kind", F.lit("_ref")).alias("kind")), "name")
     refs = references(scanned, here).unionByName(elsewhere.select(F.col("name").alias("sym"), "kind", "file", "line", "in_symbol", "ordinal"))
-    return Delta(own, refs, mine, files_of(scanned), turned)
+    return Delta(own, refs, mine, files_of(scanned), turned, errors_of(scanned))
 
 
 def apply_changes(index: Index, changed: DataFrame, contents: DataFrame) -> Index:
@@ -118,6 +120,7 @@ def apply_changes(index: Index, changed: DataFrame, contents: DataFrame) -> Inde
         without_values(without_files(index.refs, changed), d.turned).select(index.refs.columns).unionByName(d.refs.select(index.refs.columns)),
         with_files(index.idents, changed, d.idents),
         with_files(index.files, changed, d.files),
+        with_files(index.errors, changed, d.errors),
     )
 
 

@@ -142,7 +142,7 @@ def refs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def index(spark: SparkSession, sf_dir: str) -> maintenance.Index:
     s = scanned(spark, sf_dir)
-    return maintenance.Index(symbols(spark, sf_dir), refs(spark, sf_dir), extract.idents_of(s), extract.files_of(s))
+    return maintenance.Index(symbols(spark, sf_dir), refs(spark, sf_dir), extract.idents_of(s), extract.files_of(s), extract.errors_of(s))
 
 
 def doc_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -505,7 +505,7 @@ def cascade_dependents(spark: SparkSession, sf_dir: str) -> DataFrame:
     each part's function stands in a file of its own."""
     parts = table(spark, sf_dir, "part").select(F.concat(F.lit("P"), F.col("p_partkey").cast("string")).alias("name"), F.lit("func").alias("kind"), F.lit("parts").alias("pkg"), F.lit("").alias("recv"), F.concat(F.lit("parts/"), "p_brand", F.lit(".go")).alias("file"), F.col("p_size").alias("line"), F.col("p_size").alias("end_line"), F.lit("").alias("sig"), F.lit(0).alias("ordinal"))
     i = index(spark, sf_dir)
-    whole = maintenance.Index(i.symbols.unionByName(parts), i.refs, i.idents, i.files)
+    whole = maintenance.Index(i.symbols.unionByName(parts), i.refs, i.idents, i.files, i.errors)
     return maintenance.dependents(whole, parts.where("pkg = 'parts' and file like '%1.go'").select(F.col("file").alias("path")).distinct())
 
 

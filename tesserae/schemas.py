@@ -21,6 +21,7 @@ SYMBOLS = _schema(("name", S), ("kind", S), ("pkg", S), ("recv", S), ("file", S)
 REFS = _schema(("sym", S), ("kind", S), ("file", S), ("line", I), ("in_symbol", S), ("ordinal", I))
 IDENTS = _schema(("name", S), ("file", S), ("line", I), ("in_symbol", S), ("ordinal", I))
 FILE_META = _schema(("file", S), ("mtime", L))
+ERRORS = _schema(("file", S), ("mtime", L), ("error", S))
 META = _schema(("file_count", L), ("indexed_at", T.TimestampType()))
 LINES = _schema(("file", S), ("line", I), ("content", S))
 #: A term's occurrences in a block of lines, and the (tf, len) pairs of lines that no other line of the block betters.
@@ -34,5 +35,5 @@ FTS_META = _schema(("path", S), ("mtime", L), ("lines", I))
 GONE_FILES = _schema(("path", S))
 GONE_VALUES = _schema(("name", S))
 EVENTS = _schema(("path", S), ("op", S), ("seq", L))
-#: What one pass over a file yields: symbols, calls and identifiers in one table.
+#: What one pass over a file yields: symbols, calls and identifiers, or an error, in one table.
 SCANNED = _schema(("rec", S), ("name", S), ("kind", S), ("pkg", S), ("recv", S), ("file", S), ("line", I), ("end_line", I), ("sig", S), ("in_symbol", S), ("ordinal", I), ("mtime", L))

@@ -39,6 +39,7 @@ LAYOUT = {
     "refs_by_caller": ["in_symbol", "file", "ordinal"],
     "idents": ["name", "file", "ordinal"],
     "files": ["file"],
+    "errors": ["file"],
     "meta": [],
     "lines": ["file", "line"],
     "blocks": ["term", "block"],
@@ -52,7 +53,7 @@ LAYOUT = {
 FILE_COLUMN = {"fts_meta": "path"}
 #: Tables of numbers whose rows add up over the layers, by these columns; a layer has differences.
 SUMMED = {"corpus": [], "term_counts": ["term"]}
-SCHEMAS = {"symbols": schemas.SYMBOLS, "refs": schemas.REFS, "refs_by_caller": schemas.REFS, "idents": schemas.IDENTS, "files": schemas.FILE_META, "meta": schemas.META, "lines": schemas.LINES, "blocks": schemas.BLOCKS, "term_counts": schemas.TERM_COUNTS, "corpus": schemas.CORPUS, "fts_meta": schemas.FTS_META, "gone_files": schemas.GONE_FILES, "gone_values": schemas.GONE_VALUES}
+SCHEMAS = {"symbols": schemas.SYMBOLS, "refs": schemas.REFS, "refs_by_caller": schemas.REFS, "idents": schemas.IDENTS, "files": schemas.FILE_META, "errors": schemas.ERRORS, "meta": schemas.META, "lines": schemas.LINES, "blocks": schemas.BLOCKS, "term_counts": schemas.TERM_COUNTS, "corpus": schemas.CORPUS, "fts_meta": schemas.FTS_META, "gone_files": schemas.GONE_FILES, "gone_values": schemas.GONE_VALUES}
 #: Layers of a version before they are written anew as one.
 LAYERS = 8
 #: Seconds for which a replaced version can still be read, and after which a folder without a version is nobody's.
@@ -250,7 +251,7 @@ def _meta(files: DataFrame) -> DataFrame:
 
 
 def _symbol_tables(index: Index | Delta, meta: DataFrame) -> Tables:
-    return {"symbols": index.symbols, "refs": index.refs, "refs_by_caller": index.refs.where("in_symbol != ''"), "idents": index.idents, "files": index.files, "meta": meta}
+    return {"symbols": index.symbols, "refs": index.refs, "refs_by_caller": index.refs.where("in_symbol != ''"), "idents": index.idents, "files": index.files, "errors": index.errors, "meta": meta}
 
 
 def write_index(store: Store, index: Index, base: View | None = None) -> View:
@@ -282,4 +283,4 @@ def read_lines(store: Store | View) -> Layered:
 def read_index(store: Store | View) -> Index:
     """The symbol tables of one version."""
     view = store.now() if isinstance(store, Store) else store
-    return Index(view.read("symbols"), view.read("refs"), view.read("idents"), view.read("files"))
+    return Index(view.read("symbols"), view.read("refs"), view.read("idents"), view.read("files"), view.read("errors"))

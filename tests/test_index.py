@@ -5,6 +5,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from tesserae.api import Engine
 from tesserae.config import Config
 from tesserae.functions.globs import any_match, matches
 from tesserae.operators import aggregates, extract, lookups
@@ -160,6 +161,24 @@ def test_layers_equal_a_full_build(spark, tmp_path, monkeypatch):
         assert len(store.layers()) < 3
 
 
+def test_a_file_that_cannot_be_scanned_is_set_apart(spark, tmp_path):
+    """It is counted as an error, not as indexed, until a change can be scanned."""
+    odd = spark.createDataFrame([("a.go", 1, 9, bytearray(b"package a\nfunc A() {}\n")), ("odd.go", 2, 0, None)], "path string, mtime long, size long, content binary")
+    store = Store(spark, str(tmp_path))
+    write_index(store, m.build(odd))
+    assert [(r["file"], r["mtime"]) for r in store.read("errors").collect()] == [("odd.go", 2)] and store.read("errors").collect()[0]["error"]
+    assert [r["file"] for r in store.read("files").collect()] == ["a.go"] and store.read("meta").collect()[0]["file_count"] == 1
+    plan = m.sync_plan(odd.select("path", "mtime"), store.read("files").withColumnRenamed("file", "path"))
+    assert tuple(m.sync_counts(plan).collect()[0]) == (1, 1, 0)
+    again = spark.createDataFrame([("odd.go",)], "path string")
+    snapshot.write_delta(store, again, m.delta(read_index(store), again, sources(spark, {"odd.go": "package a\nfunc B() {}\n"})))
+    assert store.read("errors").count() == 0 and names(store.read("symbols")) == ["A", "B"] and store.read("meta").collect()[0]["file_count"] == 2
+    engine = Engine(spark, str(tmp_path), str(tmp_path))
+    engine.symbols = store
+    write_index(store, m.build(odd))
+    assert engine.stats()["failed"] == 1 and "failed:  1 (odd.go)" in engine.call("get_stats", {})
+
+
 def test_tree(spark, tmp_path):
     for p in ("a.go", ".dot.go", "_u.go", "B.GO", "x_gen.go", "x.pb.go", "x_test.go", "c.yaml", "big.json", ".hid/h.go", "_und/u.go", "vendor/v.go", "testdata/t.go", "sub/deep/d.go", "n.txt"):
         os.makedirs(os.path.dirname(tmp_path / p), exist_ok=True)
