@@ -132,6 +132,8 @@ SQL: dict[str, str] = SEARCH | {
     "sym_list_kind": f"WITH {GO} SELECT * FROM symbols WHERE kind = 'struct'",
     "sym_find": f"WITH {GO} SELECT * FROM symbols WHERE name = 'Run'",
     "sym_search": f"WITH {GO} SELECT * FROM symbols WHERE kind = 'const' AND contains(lower(name), 'k1')",
+    "sym_search_grams": f"WITH {GO} SELECT * FROM symbols WHERE contains(lower(name), 'k1')",
+    "name_grams": f"WITH {GO}, n AS (SELECT DISTINCT name FROM symbols), g AS (SELECT DISTINCT name, substr(lower(name), i::INT, k::INT) AS gram FROM n, range(1, 4) a(k), range(1, 64) b(i) WHERE i + k - 1 <= length(name)) SELECT gram, count(*) AS n_names FROM g GROUP BY gram",
     "shape_symbols": f"WITH {SHAPES} SELECT replace(name, '@', k) AS name, kind, 'shapes' AS pkg, replace(recv, '@', k) AS recv, file, (line + pad)::INT AS line, (end_line + pad)::INT AS end_line, replace(sig, '@', k) AS sig FROM sym, k",
     "shape_refs": f"WITH {SHAPES} SELECT replace(sym, '@', k) AS sym, kind, file, (line + pad)::INT AS line, replace(in_symbol, '@', k) AS in_symbol FROM ref, k",
     "refs_all": f"WITH {GO} SELECT * FROM refs",

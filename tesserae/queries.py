@@ -212,6 +212,22 @@ def sym_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookups.search_symbols(symbols(spark, sf_dir), "k1", "const").select(*SYMBOL)
 
 
+def _grams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kept(spark, sf_dir, "name-grams", lambda: lookups.name_grams(symbols(spark, sf_dir)).repartitionByRange("gram", "name").sortWithinPartitions("gram", "name"))
+
+
+@query
+def sym_search_grams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Symbols whose name contains a pattern of two characters, by the grams of the names."""
+    return lookups.search_symbols_by_grams(symbols(spark, sf_dir), _grams(spark, sf_dir), "K1").select(*SYMBOL)
+
+
+@query
+def name_grams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Number of names with each substring of up to three characters."""
+    return _grams(spark, sf_dir).groupBy("gram").agg(F.count(F.lit(1)).alias("n_names"))
+
+
 @query
 def refs_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return refs(spark, sf_dir).select(*REF)

@@ -18,6 +18,7 @@ S, I, L = T.StringType(), T.IntegerType(), T.LongType()  # noqa: E741
 FILES = _schema(("path", S), ("mtime", L), ("size", L), ("content", T.BinaryType()))
 LISTING = _schema(("path", S), ("mtime", L), ("size", L))
 SYMBOLS = _schema(("name", S), ("kind", S), ("pkg", S), ("recv", S), ("file", S), ("line", I), ("end_line", I), ("sig", S), ("ordinal", I))
+NAME_GRAMS = _schema(("gram", S), ("name", S))
 REFS = _schema(("sym", S), ("kind", S), ("file", S), ("line", I), ("in_symbol", S), ("ordinal", I))
 IDENTS = _schema(("name", S), ("file", S), ("line", I), ("in_symbol", S), ("ordinal", I))
 FILE_META = _schema(("file", S), ("mtime", L))

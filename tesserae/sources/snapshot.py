@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesserae import schemas
+from tesserae.operators.lookups import name_grams
 from tesserae.operators.maintenance import Delta, Index, with_files, without_files, without_values
 from tesserae.plans.blocks import Layered
 from tesserae.sources.folder import Folder
@@ -35,6 +36,7 @@ from tesserae.sources.folder import Folder
 #: Sort columns of each table; row groups then hold ranges of them and can be passed over.
 LAYOUT = {
     "symbols": ["name", "file", "ordinal"],
+    "name_grams": ["gram", "name"],
     "refs": ["sym", "file", "ordinal"],
     "refs_by_caller": ["in_symbol", "file", "ordinal"],
     "idents": ["name", "file", "ordinal"],
@@ -53,7 +55,9 @@ LAYOUT = {
 FILE_COLUMN = {"fts_meta": "path"}
 #: Tables of numbers whose rows add up over the layers, by these columns; a layer has differences.
 SUMMED = {"corpus": [], "term_counts": ["term"]}
-SCHEMAS = {"symbols": schemas.SYMBOLS, "refs": schemas.REFS, "refs_by_caller": schemas.REFS, "idents": schemas.IDENTS, "files": schemas.FILE_META, "errors": schemas.ERRORS, "meta": schemas.META, "lines": schemas.LINES, "blocks": schemas.BLOCKS, "term_counts": schemas.TERM_COUNTS, "corpus": schemas.CORPUS, "fts_meta": schemas.FTS_META, "gone_files": schemas.GONE_FILES, "gone_values": schemas.GONE_VALUES}
+#: Tables that may have rows too many: layers only add to them.
+ADDED = {"name_grams"}
+SCHEMAS = {"symbols": schemas.SYMBOLS, "name_grams": schemas.NAME_GRAMS, "refs": schemas.REFS, "refs_by_caller": schemas.REFS, "idents": schemas.IDENTS, "files": schemas.FILE_META, "errors": schemas.ERRORS, "meta": schemas.META, "lines": schemas.LINES, "blocks": schemas.BLOCKS, "term_counts": schemas.TERM_COUNTS, "corpus": schemas.CORPUS, "fts_meta": schemas.FTS_META, "gone_files": schemas.GONE_FILES, "gone_values": schemas.GONE_VALUES}
 #: Layers of a version before they are written anew as one.
 LAYERS = 8
 #: Seconds for which a replaced version can still be read, and after which a folder without a version is nobody's.
@@ -103,6 +107,10 @@ class View:
                 df = df.unionByName(self.layer(path, table))
             numbers = [c for c in df.columns if c not in SUMMED[table]]
             return df if len(layers) == 1 else df.groupBy(*SUMMED[table]).agg(*[F.sum(c).alias(c) for c in numbers])
+        if table in ADDED:
+            for path in layers[1:]:
+                df = df.unionByName(self.layer(path, table))
+            return df if len(layers) == 1 else df.distinct()
         for path in layers[1:]:
             df = without_files(df, self.layer(path, "gone_files"), FILE_COLUMN.get(table, "file"))
             if table in ("refs", "refs_by_caller"):
@@ -251,7 +259,7 @@ def _meta(files: DataFrame) -> DataFrame:
 
 
 def _symbol_tables(index: Index | Delta, meta: DataFrame) -> Tables:
-    return {"symbols": index.symbols, "refs": index.refs, "refs_by_caller": index.refs.where("in_symbol != ''"), "idents": index.idents, "files": index.files, "errors": index.errors, "meta": meta}
+    return {"symbols": index.symbols, "name_grams": name_grams(index.symbols), "refs": index.refs, "refs_by_caller": index.refs.where("in_symbol != ''"), "idents": index.idents, "files": index.files, "errors": index.errors, "meta": meta}
 
 
 def write_index(store: Store, index: Index, base: View | None = None) -> View:

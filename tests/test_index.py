@@ -109,6 +109,22 @@ def test_lookups(spark):
     assert [r["name"] for r in lookups.list_symbols(s, "all").collect()] == ["100%_sure", "GetUser", "Zed", "getX"]
 
 
+def test_search_by_grams(spark, tmp_path, monkeypatch):
+    """Patterns of one, two, three and more characters find what a scan of all names finds."""
+    words = ["GetUser", "getUserName", "user", "U", "us", "Größe", "aaaa", "abcabcabd", "x_1%", "Get", "Serge", "", "ÜBER"]
+    s = spark.createDataFrame([(w, ("func", "type")[i % 2], f"f{i}", 0) for i, w in enumerate(words * 2)], "name string, kind string, file string, ordinal int")
+    grams = lookups.name_grams(s).unionByName(spark.createDataFrame([("use", "user of old"), ("r o", "user of old"), ("ser", "user of old")], "gram string, name string")).cache()
+    for listed in (1000, 0):
+        monkeypatch.setattr(lookups, "LISTED", listed)
+        for pattern in ("", "u", "US", "ser", "user", "GETUSER", "aaaa", "aaaaa", "abcabd", "ße", "%", "über", "none", "a longer pattern than all the names"):
+            for kind in ("", "type"):
+                got, want = (sorted(tuple(r) for r in df.collect()) for df in (lookups.search_symbols_by_grams(s, grams, pattern, kind), lookups.search_symbols(s, pattern, kind)))
+                assert got == want, (pattern, kind)
+    grams.repartitionByRange(3, "gram", "name").sortWithinPartitions("gram", "name").write.parquet(f"{tmp_path}/g")
+    plan = lookups.names_containing(spark.read.parquet(f"{tmp_path}/g"), "GetUserName")._jdf.queryExecution().executedPlan().toString()
+    assert "In(gram, [" in plan.split("PushedFilters")[1]
+
+
 def test_known_values_last_wins(spark):
     s = extract.symbols_of(extract.scan_files(sources(spark, {"b.go": "package b\nconst X = 1\n", "a.go": "package a\nvar X = 1\n"})))
     assert [tuple(r) for r in extract.known_values(s).collect()] == [("X", "const")]
