@@ -22,12 +22,13 @@ edits.  Where it says that they do not peel empty (texts with little in common),
 sketched again with four times the cells, until they do.
 
 The next document is found without a global sort in one task: rows are dealt to buckets between
-quantiles of doc_id, the first row of each bucket is also sent to the bucket before, and each
-bucket is read in order with one row of look-ahead.
+quantiles of doc_id (an id of very many rows to several, by a hash of the text), the first row of
+each bucket is also sent to the bucket before, and each bucket is read in order with one row of
+look-ahead.
 
 Defined results: a null text counts as empty, an empty text has no paragraphs; two texts without
 paragraphs are alike (1); null doc_ids come first; rows with the same doc_id follow each other in
-the order of their texts; the only row of a table is its own next; an empty table gives an empty
+the order of a hash of their texts; the only row of a table is its own next; an empty table gives an empty
 result.
 """
 
@@ -269,30 +270,40 @@ def rows_of(ids: list[int | None], texts: list[str], following: list[str]) -> pa
 
 
 def with_neighbours(docs: DataFrame, parts: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows dealt to buckets of ascending ids: bucket, carried (1 for the first row of the next
-    bucket), doc_id, null_id, text; sorted inside partitions that hold whole buckets."""
-    ids = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(LOWEST)).alias("id"))
+    """Rows dealt to buckets of ascending (id, hash of the text): bucket, carried (1 for the first row
+    of the next bucket), id, null_id, text; sorted inside partitions that hold whole buckets.
+
+    Buckets lie between quantiles of the ids; an id that is several quantiles gets as many buckets of
+    its own, by ranges of the hash."""
+    given = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(LOWEST)).alias("id"), F.col(key).isNull().alias("null_id"), text_or_empty(F.col(text).cast("string")).alias("text")).withColumn("h", F.xxhash64("text"))
     n = 4 * parts
-    got = ids.agg(F.percentile_approx("id", [i / n for i in range(1, n)], 20 * n).alias("q")).collect()[0]["q"] or []
-    bounds = np.unique(np.array(got, np.int64))
+    got = given.agg(F.percentile_approx("id", [i / n for i in range(1, n)], 20 * n).alias("q")).collect()[0]["q"] or []
+    bounds, times = np.unique(np.array(got, np.int64), return_counts=True)
+    width = np.where(times > 1, 1 + times, 1)
+    offset = np.concatenate([[0], np.cumsum(width)])
 
     @F.pandas_udf("int")
-    def bucket(x: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(bounds, x.to_numpy(), side="left"))
-
-    firsts = {r["b"]: r["first"] for r in ids.withColumn("b", bucket("id")).groupBy("b").agg(F.min("id").alias("first")).collect()}  # a row a bucket
-    held = sorted(firsts)
-    before = {firsts[b]: held[i - 1] for i, b in enumerate(held)}  # the first bucket's row goes to the last
-    rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(LOWEST)).alias("id"), F.col(key).isNull().alias("null_id"), text_or_empty(F.col(text).cast("string")).alias("text")).withColumn("b", bucket("id"))
-    if not held:
-        return rows.select(F.col("b").alias("bucket"), F.lit(0).alias("carried"), "id", "null_id", "text")
-    # A row a bucket: as many as four times the partitions.
-    to = docs.sparkSession.createDataFrame(list(before.items()), "id long, to int")
-    own = F.struct(F.col("b").alias("bucket"), F.lit(0).alias("carried"))
-    extra = F.struct(F.col("to").alias("bucket"), F.lit(1).alias("carried"))
-    dealt = rows.join(F.broadcast(to), "id", "left").withColumn("d", F.explode(F.when(F.col("to").isNotNull(), F.array(own, extra)).otherwise(F.array(own))))
-    dealt = dealt.select("d.bucket", "d.carried", "id", "null_id", "text")
-    return dealt.repartition(parts, "bucket").sortWithinPartitions("bucket", "carried", "id", "text")
+    def bucket(x: pd.Series, h: pd.Series) -> pd.Series:
+        ids = x.to_numpy()
+        i = np.searchsorted(bounds, ids, side="left")
+        if not len(bounds):
+            return pd.Series(offset[i].astype(np.int32))
+        at = np.minimum(i, len(bounds) - 1)
+        shares = np.where((bounds[at] == ids) & (i < len(bounds)) & (times[at] > 1), times[at], 0).astype(np.uint64)
+        place = (h.to_numpy().astype(np.uint64) ^ np.uint64(1 << 63)) >> np.uint64(32)
+        return pd.Series((offset[i] + np.where(shares > 0, 1 + (place * shares >> np.uint64(32)).astype(np.int64), 0)).astype(np.int32))
+
+    rows = given.withColumn("b", bucket("id", "h"))
+    own = rows.select(F.col("b").alias("bucket"), F.lit(0).alias("carried"), "id", "h", "null_id", "text")
+    firsts = sorted((r["b"], r["first"]["id"], r["first"]["h"]) for r in rows.groupBy("b").agg(F.min(F.struct("id", "h")).alias("first")).collect())  # a row a bucket
+    if not firsts:
+        return own.drop("h")
+    # The first row of each bucket goes to the one before, that of the first to the last: a row a
+    # bucket, and of rows equal in id and text one.
+    to = docs.sparkSession.createDataFrame([(i, h, firsts[k - 1][0]) for k, (_, i, h) in enumerate(firsts)], "id long, h long, to int")
+    first = rows.join(F.broadcast(to), ["id", "h"]).groupBy("to", "id", "h").agg(F.min("null_id").alias("null_id"), F.min("text").alias("text"))
+    dealt = own.unionByName(first.select(F.col("to").alias("bucket"), F.lit(1).alias("carried"), "id", "h", "null_id", "text"))
+    return dealt.repartition(parts, "bucket").sortWithinPartitions("bucket", "carried", "id", "h", "text").drop("h")
 
 
 def fingerprint_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", step_chars: int = 2_000_000) -> DataFrame:
