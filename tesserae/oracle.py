@@ -83,6 +83,28 @@ best AS (SELECT file, line FROM ({SEARCH['fts_initial']})),
 m AS (SELECT file, line, regexp_extract(content, {_CUT}) AS m FROM best JOIN lines USING (file, line))
 SELECT file, line, m.before || '>>>' || m.first || '<<<' || m.more || CASE WHEN regexp_matches(m.rest, '{_T}') THEN '...' ELSE m.rest END AS snippet FROM m"""
 
+#: Snippets of lines that hold a phrase of two words, windows anywhere: the window of twelve tokens with
+#: most instances (1000 for the first), put around them or at the start of their sentence.
+WINDOWS = f"""WITH {LINES},
+best AS (SELECT file, line FROM ({SEARCH['fts_phrase']})),
+tk AS (SELECT file, line, regexp_extract_all(content, '{_T}') AS tk, regexp_split_to_array(content, '{_T}') AS gp FROM best JOIN lines USING (file, line)),
+ts AS (SELECT *, len(tk) AS n, list_transform(tk, lambda x: strip_accents(lower(x))) AS ts FROM tk),
+fd AS (SELECT *, list_filter(range(n - 1), lambda i: ts[i + 1] = 'of' AND ts[i + 2] = 'the') AS found, list_filter(range(n), lambda k: k = 0 OR regexp_matches(gp[k + 1], '[.:][ \\t\\n\\r]+$')) AS opens FROM ts),
+each_i AS (SELECT file, line, n, found, unnest(found) AS i, opens FROM fd),
+own AS (SELECT *, list_filter(found, lambda j: j >= i AND j < i + 12) AS held, list_max(list_filter(opens, lambda k: k <= i)) AS s FROM each_i),
+cand AS (
+  SELECT file, line, i, 0 AS which, 1000 + len(held) - 1 AS score, greatest(0, least(i - greatest(0, 12 - (list_max(held) + 2 - i)) // 2, n - 12)) AS start FROM own
+  UNION ALL
+  SELECT file, line, i, 1, CASE WHEN len(within) > 0 THEN 1000 + len(within) - 1 ELSE 0 END + CASE WHEN s = 0 THEN 120 ELSE 100 END, s
+  FROM (SELECT *, list_filter(found, lambda j: j >= s AND j < s + 12) AS within FROM own) WHERE n > 12 AND s < i),
+won AS (SELECT file, line, first(start ORDER BY score DESC, i, which) AS start FROM cand GROUP BY file, line),
+piece AS (SELECT *, least(n, start + 12) AS stop FROM fd JOIN won USING (file, line))
+SELECT file, line, CASE WHEN start > 0 THEN '...' ELSE gp[1] END || list_aggregate(list_transform(range(start, stop), lambda k:
+         CASE WHEN list_contains(found, k) THEN '>>>' ELSE '' END || tk[k + 1]
+         || CASE WHEN (k > start AND list_contains(found, k - 1)) OR (k = stop - 1 AND list_contains(found, k)) THEN '<<<' ELSE '' END
+         || CASE WHEN k < stop - 1 THEN gp[k + 2] ELSE '' END), 'string_agg', '')
+       || CASE WHEN stop < n THEN '...' ELSE gp[n + 1] END AS snippet FROM piece"""
+
 GO = """
 sup AS (SELECT s_suppkey AS s, s_nationkey AS n, 'n' || s_nationkey || '/s' || s_suppkey || '.go' AS file FROM supplier),
 sp AS (SELECT DISTINCT l_suppkey AS s, l_partkey AS p FROM lineitem),
@@ -122,6 +144,7 @@ plan AS (SELECT coalesce(disk.path, stored.path) AS path, CASE WHEN disk.path IS
 """
 
 SQL: dict[str, str] = SEARCH | {
+    "fts_snippet": WINDOWS,
     "fts_snippet_opening": SNIPPETS,
     "lines_scan": f"WITH {LINES} SELECT file, line, content FROM lines",
     "files_scan": f"WITH {GO} SELECT file AS path, 'n' || n AS pkg, 9 + c AS lines, (length('package n' || n) + 2 + length('const K' || s || ' = ' || s) + 2 + length('type S' || s || ' struct{{}}') + 2 + length('func (s *S' || s || ') Run() {{') + 1 + coalesce((SELECT sum(length('P' || p) + 4) FROM sp WHERE sp.s = np.s), 0) + length('_ = K' || s) + 2 + 2)::BIGINT AS size FROM np",
