@@ -37,6 +37,17 @@ def debounced(events: DataFrame, tick_ms: int = TICK_MS) -> DataFrame:
     return ticks.groupBy("tick", "path").agg(F.max_by("op", "seq").alias("op"))
 
 
+def debounced_stream(events: DataFrame, tick_ms: int = TICK_MS, lateness_ms: int = 10 * TICK_MS) -> DataFrame:
+    """tick, path, op: the same over a stream of path, op, seq, ms, each row once.
+
+    A tick is told when events ``lateness_ms`` younger than its end have come; until then late events
+    count, in whatever order, and repeated ones make no difference.  Later ones are dropped, so the
+    state holds the ticks of that span alone."""
+    timed = events.withColumn("at", F.timestamp_millis("ms")).withWatermark("at", f"{lateness_ms} milliseconds")
+    ticks = timed.groupBy(F.window("at", f"{tick_ms} milliseconds").alias("w"), "path").agg(F.max_by("op", "seq").alias("op"))
+    return ticks.select(F.floor(F.unix_millis("w.start") / tick_ms).cast("long").alias("tick"), "path", "op")
+
+
 def relevant(events: DataFrame, config: Config) -> DataFrame:
     """Events of Go files and of files that the configuration names."""
     return events.where(F.col("path").endswith(".go") | any_match(F.col("path"), config.fts.include))

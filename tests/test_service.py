@@ -1,6 +1,7 @@
 import io
 import json
 import os
+import random
 import time
 
 import pytest
@@ -212,3 +213,27 @@ def test_requests_and_ticks_leave_no_tables(engine, tmp_path):
 def test_debounce(spark):
     e = spark.createDataFrame([("a", "create", 1, 10), ("a", "write", 2, 499), ("a", "remove", 3, 500), ("b", "write", 4, 20)], "path string, op string, seq long, ms long")
     assert sorted(tuple(r) for r in watch.debounced(e).collect()) == [(0, "a", "write"), (0, "b", "write"), (1, "a", "remove")]
+
+
+def test_debounce_in_a_stream(spark, tmp_path):
+    """Events that come late, twice and out of order: each tick of a path is told once, as a batch over
+    all events tells it; what comes after its span is dropped."""
+    rng = random.Random(4)
+    rows = [(f"p{rng.randrange(5)}", rng.choice(["create", "write", "remove"]), i, 100 * i + rng.randrange(1500)) for i in range(240)]
+    rows += rng.sample(rows, 40)
+    rng.shuffle(rows)
+    rows.sort(key=lambda r: r[3] // 4000)  # late by four seconds at most
+    schema = "path string, op string, seq long, ms long"
+    source, sink = f"{tmp_path}/in", f"{tmp_path}/out"
+
+    def run(part):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(source)
+        stream = watch.debounced_stream(spark.readStream.schema(schema).parquet(source))
+        stream.writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start(sink).awaitTermination()
+
+    for part in (rows[:90], rows[90:200], rows[200:]):
+        run(part)
+    run([("end", "write", 1000, 200_000)])
+    run([("p0", "create", 1001, 5)])  # far too late
+    got = sorted(tuple(r) for r in spark.read.parquet(sink).collect())
+    assert got == sorted(tuple(r) for r in watch.debounced(spark.createDataFrame(rows, schema)).collect()) and len(got) > 50
