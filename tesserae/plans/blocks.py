@@ -46,33 +46,42 @@ def postings_of(blocks: DataFrame) -> DataFrame:
     return blocks.select("term", F.inline("hits")).select("term", "file", "line", F.col("len").alias("n_tokens"), F.explode("at").alias("pos"))
 
 
+def still_there(rows: DataFrame, gone: DataFrame | None, column: str = "file") -> DataFrame:
+    """Rows of files that no later layer replaced: ``rows`` have the number of their ``layer``, ``gone``
+    the ``last`` layer that replaced a ``path``."""
+    if gone is None:
+        return rows.drop("layer")
+    last = gone.withColumnRenamed("path", column)
+    return rows.join(last, column, "left").where(F.col("last").isNull() | (F.col("layer") >= F.col("last"))).drop("last")
+
+
 @dataclass(frozen=True)
 class Layered:
-    """The blocks of each layer of an index, with the files whose rows are gone from it (a column
-    ``path``), the lines, and numbers of lines, tokens and documents per term of all layers."""
+    """The blocks of each layer of an index, the files that later layers replaced (path, and the number
+    of the ``last`` layer that did), the lines, and numbers of lines, tokens and documents per term of
+    all layers."""
 
-    layers: list[tuple[DataFrame, DataFrame | None]]
+    layers: list[DataFrame]
+    gone: DataFrame | None
     lines: DataFrame
     corpus: DataFrame
     term_counts: DataFrame
 
     def postings(self) -> DataFrame:
         """term, file, line, pos, n_tokens of what is there now."""
-        return reduce(DataFrame.unionByName, [self._of(blocks, gone) for blocks, gone in self.layers])
+        return self._unpacked(dict(enumerate(self.layers)))
 
-    def _of(self, blocks: DataFrame, gone: DataFrame | None) -> DataFrame:
-        rows = postings_of(blocks)
-        return rows if gone is None else rows.join(gone.select(F.col("path").alias("file")), "file", "left_anti").select(*rows.columns)
+    def _unpacked(self, blocks: dict[int, DataFrame]) -> DataFrame:
+        parts = [postings_of(b).withColumn("layer", F.lit(i)) for i, b in blocks.items()]
+        return still_there(reduce(DataFrame.unionByName, parts), self.gone).select("term", "file", "line", "n_tokens", "pos")
 
     def chosen(self, terms: list[str], pick: dict[int, list[int]]) -> DataFrame:
         """The postings of some terms in some blocks of each layer."""
-        parts = [self._of(blocks.where(F.col("term").isin(terms) & F.col("block").isin(pick[i])), gone) for i, (blocks, gone) in enumerate(self.layers) if pick.get(i)]
-        return reduce(DataFrame.unionByName, parts)
+        return self._unpacked({i: self.layers[i].where(F.col("term").isin(terms) & F.col("block").isin(ids)) for i, ids in pick.items()})
 
     def joined(self, terms: list[str], picked: DataFrame) -> DataFrame:
         """The same for many blocks (layer, block)."""
-        parts = [self._of(blocks.where(F.col("term").isin(terms)).join(picked.where(F.col("layer") == i).select("block"), "block", "left_semi"), gone) for i, (blocks, gone) in enumerate(self.layers)]
-        return reduce(DataFrame.unionByName, parts)
+        return self._unpacked({i: b.where(F.col("term").isin(terms)).join(picked.where(F.col("layer") == i).select("block"), "block", "left_semi") for i, b in enumerate(self.layers)})
 
 
 def single_terms(node: Node) -> list[str] | None:
@@ -89,7 +98,7 @@ def single_terms(node: Node) -> list[str] | None:
 def block_bounds(index: Layered, node: Node, terms: list[str], gain: dict[str, Column]) -> DataFrame:
     """layer, block, bound: the most that a line of the block can score, for blocks that can hold a
     match.  ``gain`` is what a (tf, len) pair ``x`` of each term adds."""
-    meta = [blocks.where(F.col("term").isin(terms)).select(F.lit(i).alias("layer"), "block", "term", F.explode("best").alias("x")) for i, (blocks, _) in enumerate(index.layers)]
+    meta = [blocks.where(F.col("term").isin(terms)).select(F.lit(i).alias("layer"), "block", "term", F.explode("best").alias("x")) for i, blocks in enumerate(index.layers)]
     rows = reduce(DataFrame.unionByName, meta)
     tops = [F.max(F.when(F.col("term") == t, gain[t])).alias(f"b{i}") for i, t in enumerate(terms)]
     per_block = rows.groupBy("layer", "block").agg(*tops)

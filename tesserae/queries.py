@@ -385,7 +385,7 @@ def _stored(spark: SparkSession, sf_dir: str) -> Layered:
         return make[name].repartitionByRange(*keys).sortWithinPartitions(*keys) if keys else make[name]
 
     blocks, corpus, counts = (kept(spark, sf_dir, name, lambda name=name: table_of(name)) for name in ("blocks", "corpus", "term_counts"))
-    return Layered([(blocks, None)], ls, corpus, counts)
+    return Layered([blocks], None, ls, corpus, counts)
 
 
 @query
@@ -425,7 +425,7 @@ def index_term_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def block_best(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each term the number of its lines and the largest tf over all its blocks, of their bounds
     and of their hits."""
-    blocks = _stored(spark, sf_dir).layers[0][0]
+    blocks = _stored(spark, sf_dir).layers[0]
     return blocks.groupBy("term").agg(F.sum(F.size("hits")).alias("df"), F.max(F.array_max("best.tf")).cast("long").alias("bound_tf"), F.max(F.array_max(F.transform("hits", lambda h: F.size(h["at"])))).cast("long").alias("tf"))
 
 

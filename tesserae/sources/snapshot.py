@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 
 from tesserae import schemas
 from tesserae.operators.lookups import name_grams
-from tesserae.operators.maintenance import Delta, Index, with_files, without_files, without_values
-from tesserae.plans.blocks import Layered
+from tesserae.operators.maintenance import Delta, Index, with_files
+from tesserae.plans.blocks import Layered, still_there
 from tesserae.sources.folder import Folder
 
 #: Sort columns of each table; row groups then hold ranges of them and can be passed over.
@@ -80,7 +80,8 @@ class Conflict(Exception):
 
 @dataclass(frozen=True)
 class View:
-    """One version: the folders of its layers, the whole one first."""
+    """One version: the folders of its layers, the whole one first.  What later layers took away is one
+    small table, joined once, however many layers there are."""
 
     spark: SparkSession
     root: str
@@ -111,12 +112,23 @@ class View:
             for path in layers[1:]:
                 df = df.unionByName(self.layer(path, table))
             return df if len(layers) == 1 else df.distinct()
-        for path in layers[1:]:
-            df = without_files(df, self.layer(path, "gone_files"), FILE_COLUMN.get(table, "file"))
-            if table in ("refs", "refs_by_caller"):
-                df = without_values(df, self.layer(path, "gone_values"))
-            df = df.select(SCHEMAS[table].names).unionByName(self.layer(path, table))
-        return df
+        if len(layers) == 1:
+            return df
+        every = self.tagged(table)
+        rows = still_there(every, self.gone("gone_files", "path"), FILE_COLUMN.get(table, "file"))
+        if table in ("refs", "refs_by_caller"):
+            values = self.gone("gone_values", "name")
+            rows = rows.join(values.withColumnRenamed("name", "sym"), "sym", "left").where((F.col("kind") == "call") | F.col("last").isNull() | (F.col("layer") >= F.col("last")))
+        return rows.select(SCHEMAS[table].names)
+
+    def tagged(self, table: str) -> DataFrame:
+        """The rows of all layers, with the number of their ``layer``."""
+        return reduce(DataFrame.unionByName, [self.layer(path, table).withColumn("layer", F.lit(i)) for i, path in enumerate(self.layers())])
+
+    def gone(self, table: str, key: str) -> DataFrame:
+        """What layers took away, and the ``last`` layer that did: rows below that one count no more."""
+        above = [self.layer(path, table).withColumn("i", F.lit(i)) for i, path in enumerate(self.layers()) if i]
+        return reduce(DataFrame.unionByName, above).groupBy(key).agg(F.max("i").alias("last"))
 
     def read_or_empty(self, table: str) -> DataFrame:
         return self.read(table) if self.names else self.spark.createDataFrame([], SCHEMAS[table])
@@ -279,13 +291,9 @@ def read_lines(store: Store | View) -> Layered:
     """The line index of one version."""
     view = store.now() if isinstance(store, Store) else store
     layers = view.layers()
-    blocks = []
-    for i, path in enumerate(layers):
-        above = [view.layer(x, "gone_files") for x in layers[i + 1 :]]
-        blocks.append((view.layer(path, "blocks"), reduce(DataFrame.unionByName, above) if above else None))
-    if not blocks:
+    if not layers:
         raise NoIndex(f"no index in {view.root}")
-    return Layered(blocks, view.read("lines"), view.read("corpus"), view.read("term_counts"))
+    return Layered([view.layer(x, "blocks") for x in layers], view.gone("gone_files", "path") if len(layers) > 1 else None, view.read("lines"), view.read("corpus"), view.read("term_counts"))
 
 
 def read_index(store: Store | View) -> Index:

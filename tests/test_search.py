@@ -57,7 +57,7 @@ def test_errors_like_the_standard_library(corpus, query):
 
 def indexed(found):
     tables = {k: v.cache() for k, v in search.line_index(found).items()}
-    return Layered([(tables["blocks"], None)], found, tables["corpus"], tables["term_counts"])
+    return Layered([tables["blocks"]], None, found, tables["corpus"], tables["term_counts"])
 
 
 @pytest.fixture(scope="module")
@@ -67,7 +67,7 @@ def index(corpus):
     patch.setattr(blocks, "BLOCK_LINES", 16)
     patch.setattr(blocks, "STRETCH", 4)
     made = indexed(corpus[0])
-    made.layers[0][0].count()
+    made.layers[0].count()
     patch.undo()
     return made
 
@@ -88,7 +88,7 @@ def test_blocks_that_cannot_matter_are_left_out(index, monkeypatch, picked):
     the blocks after the first are named or joined."""
     monkeypatch.setattr(search, "PICKED", picked)
     total = index.corpus.collect()[0]
-    rows = index.layers[0][0]
+    rows = index.layers[0]
     for query in ("the OR needle", "the AND of", "the"):
         node = parse(query)
         with scratch(rows.sparkSession):
@@ -98,7 +98,7 @@ def test_blocks_that_cannot_matter_are_left_out(index, monkeypatch, picked):
 
 def test_bounds_are_reached(index):
     """The (tf, len) pairs of a block are those of its lines that no other line betters."""
-    for r in index.layers[0][0].where("term in ('the', 'that', 'needle', 'of')").collect():
+    for r in index.layers[0].where("term in ('the', 'that', 'needle', 'of')").collect():
         lines_ = {(len(h["at"]), h["len"]) for h in r["hits"]}
         want = {(f, n) for f, n in lines_ if not any((g >= f and m <= n and (g, m) != (f, n)) for g, m in lines_)}
         assert {tuple(x) for x in r["best"]} == want

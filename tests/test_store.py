@@ -212,6 +212,22 @@ def test_statistics_equal_a_count_after_edits(spark, tmp_path, monkeypatch):
         assert got == want, query
 
 
+def test_a_lookup_on_many_layers_is_one_join(spark, tmp_path):
+    """Whatever the number of layers, what they took away is joined once, and filters reach each of them."""
+    store = Store(spark, str(tmp_path))
+    write_index(store, m.build(sources(spark, {f"f{i}.go": f"package a\nfunc F{i}() {{}}\n" for i in range(3)})))
+    for i in range(6):
+        write_symbols(store, paths(spark, [f"f{i % 3}.go"]), sources(spark, {f"f{i % 3}.go": f"package a\nfunc G{i}() {{ F1() }}\n"}))
+    view = store.now()
+    assert len(view.names) == 7 and names(view.read("symbols")) == ["G3", "G4", "G5"]
+    plan = view.read("symbols").where("name = 'G3'")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 1
+    physical = view.read("symbols").where("name = 'G3'")._jdf.queryExecution().executedPlan().toString()
+    assert physical.count("EqualTo(name,G3)") >= 7
+    assert view.read("refs").where("sym = 'F1'")._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 2
+    assert sorted(r["in_symbol"] for r in view.read("refs").where("sym = 'F1'").collect()) == ["G3", "G4", "G5"]
+
+
 def test_log_holds_names_only(spark, tmp_path):
     store = Store(spark, str(tmp_path))
     put(spark, store, {"a": "one\n"})
