@@ -169,6 +169,14 @@ def test_command_lines(spark, sf, tmp_path):
 
 def test_registered_jobs_keep_the_session(spark, sf):
     before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.sources.partitionOverwriteMode")}
+    duckdb = pytest.importorskip("duckdb")
+    con = duckdb.connect()
+    for t in ("documents", "conversations"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     for name, job in registered.QUERIES.items():
-        assert job(spark, sf).count() > 0, name
+        df = job(spark, sf)
+        columns = sorted(df.columns)
+        got = sorted(repr(tuple(r)) for r in df.select(columns).collect())
+        want = con.execute(f"SELECT {', '.join(columns)} FROM ({registered.SQL[name]})").fetchall()
+        assert got == sorted(map(repr, want)) and got, name
     assert before == {k: spark.conf.get(k) for k in before}

@@ -160,4 +160,4 @@ def test_plan_reads_one_term(spark, corpus, tmp_path):
     search.line_index(found)["blocks"].repartitionByRange(4, "term", "block").sortWithinPartitions("term", "block").write.parquet(f"{tmp_path}/p")
     hits = search.hits_of_postings(blocks.postings_of(spark.read.parquet(f"{tmp_path}/p")), parse("that"))
     plan = hits._jdf.queryExecution().executedPlan().toString()
-    assert "PushedFilters: [IsNotNull(term), EqualTo(term,that)]" in plan
+    assert "EqualTo(term,that)" in plan.split("PushedFilters: [")[1].split("]")[0]
