@@ -11,6 +11,12 @@ safe side); where no number does, all parts are probed.
 Every row is indexed: it belongs to its most probable part.  A query goes to its ``probes`` most
 probable parts and is compared with every row there, in double precision.
 
+Where the sample can tell no more parts apart and a part has far more than ``part_rows`` rows, a part
+is parted again in the same way: a task fits its own graph and classifier on a bounded sample
+(``node_rows``) of the part's rows, and rows and queries of the part are routed once more.  Levels
+are added until parts have about ``part_rows`` rows, so what a query is compared with and how often
+a row is copied do not grow with the table; each level moves every row once.
+
 Work is dealt in cells (part, candidate block, query block).  Parts are cut into blocks by a hash
 of the row, by their counted sizes, so that no cell holds more than about ``block_rows``
 candidates and ``block_rows`` queries, however large a part or a group of copies is.  A cell
@@ -24,6 +30,8 @@ gives an empty result.
 
 from __future__ import annotations
 
+import math
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -32,10 +40,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import hash_sample
+from tesserae.llm.common import hash_sample, written
 
 BIG = 1 << 30
 
+#: Neighbours of a sample row for which the probes of a further level are chosen, at least.
+LEAST_NEAR = 4
+
 
 @dataclass
 class Router:
@@ -97,8 +108,9 @@ def balanced_parts(graph: np.ndarray, parts: int, rng: np.random.Generator) -> n
     return out
 
 
-def fit(x: np.ndarray, parts: int, k: int, aim: float, hidden: int = 128, epochs: int = 40, seed: int = 3) -> Router:
-    """Partition a sample and train the classifier on it."""
+def fit(x: np.ndarray, parts: int, k: int, aim: float, hidden: int = 128, epochs: int = 40, seed: int = 3, near: int | None = None) -> Router:
+    """Partition a sample and train the classifier on it.  The number of probes is chosen for the
+    ``near`` nearest in the sample (default ``k``)."""
     rng = np.random.default_rng(seed)
     while parts > 1 and len(x) < 16 * parts:
         parts //= 2
@@ -137,7 +149,8 @@ def fit(x: np.ndarray, parts: int, k: int, aim: float, hidden: int = 128, epochs
     logits = router.logits(x)
     place = np.argsort(np.argsort(-logits, axis=1, kind="stable"), axis=1, kind="stable")
     home = logits.argmax(axis=1)
-    rank = place[np.arange(n)[:, None], home[graph]][held]  # how far down its list a query must go for each neighbour
+    sought = graph if near is None or near >= graph.shape[1] else neighbour_graph(x, near)
+    rank = place[np.arange(n)[:, None], home[sought]][held]  # how far down its list a query must go for each neighbour
     for probes in range(1, parts + 1):
         if (rank < probes).mean() >= aim:
             router.probes = probes
@@ -189,7 +202,117 @@ def parts_for(rows: int, part_rows: int, most: int) -> int:
     return max(32, min(most, 1 << max(0, (max(1, rows) // part_rows).bit_length() - 1)))
 
 
-def search(vectors: DataFrame, k: int = 20, every: int = 20, parts: int | None = None, part_rows: int = 1024, sample_rows: int = 16384, aim: float = 0.96, block_rows: int = 4096, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+def levels_below(rows: int, parts: int, part_rows: int, most: int) -> list[int]:
+    """Into how many parts each further level cuts a part: powers of two, ``most`` at most."""
+    out: list[int] = []
+    while rows > 2 * parts * part_rows:
+        out.append(min(most, 1 << ((rows // (parts * part_rows)).bit_length() - 1)))
+        parts *= out[-1]
+    return out
+
+
+def targets(router: Router | None, base: np.ndarray, v: np.ndarray, asks: np.ndarray) -> pa.Array:
+    """Where rows go, as lists: a candidate to its most probable part, a query to several."""
+    if router is None:
+        return pa.array([[int(b)] for b in base], pa.list_(pa.int64()))
+    logits = router.logits(v)
+    top = np.argsort(-logits, axis=1, kind="stable")[:, : router.probes]
+    home = logits.argmax(axis=1)
+    return pa.array([base[i] + top[i] if asks[i] else base[i : i + 1] + home[i] for i in range(len(base))], pa.list_(pa.int64()))
+
+
+def first_level(rows: DataFrame, router: Router, every: int) -> DataFrame:
+    """part, asks, vec_id, v: each row as a candidate, and as a query in the parts it is routed to."""
+    kind = rows.schema["v"].dataType.simpleString()
+    both = F.when(F.col("vec_id") % every == 0, F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))
+    shared = rows.sparkSession.sparkContext.broadcast(router)
+
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                asks = batch.column(0).to_numpy(zero_copy_only=False)
+                to = targets(shared.value, np.zeros(len(asks), np.int64), matrix(batch.column(2)), asks)
+                yield pa.RecordBatch.from_arrays([to, *batch.columns], ["to", *batch.schema.names])
+
+    routed = rows.select(F.explode(both).alias("asks"), "vec_id", "v").mapInArrow(route, f"to array<long>, asks boolean, vec_id long, v {kind}")
+    return written(routed.select(F.explode("to").alias("part"), "asks", "vec_id", "v"), "ann-level")
+
+
+def part_sizes(placed: DataFrame) -> DataFrame:
+    """part, rows, queries: one row a part."""
+    return written(placed.groupBy("part").agg(F.count_if(~F.col("asks")).alias("rows"), F.count_if("asks").alias("queries")), "ann-sizes")
+
+
+def next_level(placed: DataFrame, parts: int, k: int, aim: float, node_rows: int, block_rows: int) -> DataFrame:
+    """``placed`` with every part cut into ``parts`` by a classifier of its own.
+
+    Classifiers are fitted by tasks on ``node_rows`` rows of a part at most, the first by hash, and
+    travel to the blocks of their part.  A part whose every row hashes past the sample stays whole."""
+    kind = placed.schema["v"].dataType.simpleString()
+    sizes = part_sizes(placed)
+    mixed = F.xxhash64("vec_id", "v")
+    at = F.pmod(mixed, F.lit(BIG))
+    near = placed.where(~F.col("asks")).join(sizes, "part").where(at < F.lit(1.25 * node_rows * BIG) / F.col("rows"))
+    first = Window.partitionBy("part").orderBy("at", "vec_id")
+    sample = near.select("part", "rows", "vec_id", "v", at.alias("at")).withColumn("place", F.row_number().over(first)).where(F.col("place") <= node_rows)
+
+    def train(group: pa.Table) -> pa.Table:
+        # Of the k nearest of all rows, the sample holds its share: the rest of its nearest lie farther off.
+        share = group.num_rows / group.column("rows")[0].as_py()
+        router = fit(matrix(group.column("v")), parts, k, aim, near=max(LEAST_NEAR, math.ceil(k * share)))
+        return pa.table({"part": group.column("part").slice(0, 1).cast(pa.int64()), "router": pa.array([pickle.dumps(router)], pa.binary())})
+
+    routers = written(sample.select("part", "rows", "v").groupBy("part").applyInArrow(train, "part long, router binary"), "ann-routers")
+    cells = F.ceil((F.col("rows") + F.col("queries")) / block_rows)
+    dealt = placed.join(sizes, "part").select("part", F.pmod(mixed, cells).alias("cell"), "asks", "vec_id", "v")
+    theirs = routers.join(sizes, "part").select("part", F.explode(F.sequence(F.lit(0).cast("long"), cells - 1)).alias("cell"), "router")
+
+    def route(cell: pa.Table, found: pa.Table) -> pa.Table:
+        asks, v = cell.column("asks").to_numpy(), cell.column("v")
+        router = pickle.loads(found.column("router")[0].as_py()) if found.num_rows else None
+        base = cell.column("part").to_numpy() * parts
+        to = targets(router, base, matrix(v), asks) if cell.num_rows else pa.array([], pa.list_(pa.int64()))
+        return pa.table({"to": to, "asks": cell.column("asks"), "vec_id": cell.column("vec_id"), "v": v})
+
+    routed = dealt.groupBy("part", "cell").cogroup(theirs.groupBy("part", "cell")).applyInArrow(route, f"to array<long>, asks boolean, vec_id long, v {kind}")
+    return written(routed.select(F.explode("to").alias("part"), "asks", "vec_id", "v"), "ann-level")
+
+
+def cells_of(placed: DataFrame, block_rows: int) -> DataFrame:
+    """part, rb, qb, asks, vec_id, v: each block of a part's candidates beside each of its queries."""
+    sizes = part_sizes(placed).where("queries > 0 and rows > 0")
+    blocks = [F.ceil(F.col(c) / block_rows) for c in ("rows", "queries")]
+    own = F.pmod(F.xxhash64("vec_id", "v", F.lit(1)), F.when(F.col("asks"), blocks[1]).otherwise(blocks[0]))
+    others = F.explode(F.sequence(F.lit(0).cast("long"), F.when(F.col("asks"), blocks[0]).otherwise(blocks[1]) - 1))
+    each = placed.join(sizes, "part").select("part", "asks", "vec_id", "v", own.alias("own"), others.alias("other"))
+    rb, qb = F.when(F.col("asks"), F.col("other")).otherwise(F.col("own")), F.when(F.col("asks"), F.col("own")).otherwise(F.col("other"))
+    return each.select("part", rb.alias("rb"), qb.alias("qb"), "asks", "vec_id", "v")
+
+
+def dealt_by_levels(rows: DataFrame, router: Router, below: list[int], k: int, every: int, aim: float, node_rows: int, block_rows: int) -> DataFrame:
+    """The cells of a table that is parted more than once."""
+    placed = first_level(rows, router, every)
+    for parts in below:
+        placed = next_level(placed, parts, k, aim, node_rows, block_rows)
+    return cells_of(placed, block_rows)
+
+
+def compared(dealt: DataFrame, k: int) -> DataFrame:
+    """query_id, rank, vec_id, score: the nearest of each cell, and of these the nearest of all."""
+
+    def compare(cell: pa.Table) -> pa.Table:
+        asks = cell.column("asks").to_numpy()
+        ids, v = cell.column("vec_id").to_numpy(), matrix(cell.column("v"))
+        q, r, s = nearest(v[asks], ids[asks], v[~asks], ids[~asks], k)
+        return pa.table({"query_id": pa.array(q, pa.int64()), "vec_id": pa.array(r, pa.int64()), "score": pa.array(s, pa.float64())})
+
+    found = dealt.groupBy("part", "rb", "qb").applyInArrow(compare, "query_id long, vec_id long, score double")
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    ranked = found.withColumn("rank", F.row_number().over(best).cast("int")).where(F.col("rank") <= k)
+    return ranked.select("query_id", "rank", "vec_id", "score")
+
+
+def search(vectors: DataFrame, k: int = 20, every: int = 20, parts: int | None = None, part_rows: int = 1024, sample_rows: int = 16384, aim: float = 0.96, block_rows: int = 4096, node_rows: int = 4096, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """The k nearest of every row whose id is divisible by ``every``, among all other rows:
     query_id, rank, vec_id, score."""
     spark = vectors.sparkSession
@@ -202,7 +325,12 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, parts: int | None =
     parts = parts or parts_for(sizes[0]["n"], part_rows, sample_rows // 16)
     # A few dozen sample rows for each part are enough; never more than sample_rows.
     sample = hash_sample(rows, min(sample_rows, max(4096, 16 * parts)), "vec_id").toPandas()
-    shared = spark.sparkContext.broadcast(fit(np.stack(sample["v"].to_numpy()).astype(np.float64), parts, k, aim))
+    below = levels_below(sizes[0]["n"], parts, part_rows, node_rows // 16)
+    aim = aim ** (1 / (1 + len(below)))  # what one level misses, the next cannot find
+    router = fit(np.stack(sample["v"].to_numpy()).astype(np.float64), parts, k, aim)
+    if below:
+        return compared(dealt_by_levels(rows, router, below, k, every, aim, node_rows, block_rows), k)
+    shared = spark.sparkContext.broadcast(router)
     hashed = rows.select("vec_id", "v", F.pmod(F.xxhash64(F.col("vec_id"), F.lit(1)), F.lit(BIG)).alias("h"))
 
     def homes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -254,15 +382,6 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, parts: int | None =
                     rb = np.arange(len(pick)) - np.repeat(np.cumsum(times) - times, times)
                     yield from out(batch, pick, to, rb, h[pick] % query_blocks[to], True)
 
-    def compare(cell: pa.Table) -> pa.Table:
-        asks = cell.column("asks").to_numpy()
-        ids, v = cell.column("vec_id").to_numpy(), matrix(cell.column("v"))
-        q, r, s = nearest(v[asks], ids[asks], v[~asks], ids[~asks], k)
-        return pa.table({"query_id": pa.array(q, pa.int64()), "vec_id": pa.array(r, pa.int64()), "score": pa.array(s, pa.float64())})
-
     kind = rows.schema["v"].dataType.simpleString()
     dealt = hashed.mapInArrow(deal, f"part int, rb int, qb int, asks boolean, vec_id long, v {kind}")
-    found = dealt.groupBy("part", "rb", "qb").applyInArrow(compare, "query_id long, vec_id long, score double")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    ranked = found.withColumn("rank", F.row_number().over(best).cast("int")).where(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "vec_id", "score")
+    return compared(dealt, k)

@@ -73,6 +73,67 @@ def test_parts_grow_with_the_rows():
     assert [ann.parts_for(n, 1024, 1024) for n in (0, 500, 40_000, 70_000, 1_000_000, 10**12)] == [32, 32, 32, 64, 512, 1024]
 
 
+def test_levels_are_added_until_parts_are_small():
+    assert [ann.levels_below(n, 1024, 1024, 256) for n in (10, 2_000_000, 2_200_000, 10**9, 10**12)] == [[], [], [2], [256, 2], [256, 256, 8]]
+
+
+def clustered(n, dim=16):
+    """Rows around centres that are as many as the rows need: about 40 a centre."""
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(n // 40, dim))
+    return (centres[rng.integers(0, len(centres), n)] + 0.25 * rng.normal(size=(n, dim))).astype(np.float32).astype(float)
+
+
+def unit_rows(n):
+    x = clustered(n)
+    return (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32).astype(float)
+
+
+DEEP = {"parts": 8, "part_rows": 64, "sample_rows": 1024, "node_rows": 256, "block_rows": 256}
+
+
+@pytest.mark.parametrize("n", [3000, 24000])
+def test_recall_of_parted_parts(spark, n):
+    """One level below, and two; equal scores are as good as each other."""
+    x, ids = unit_rows(n), np.arange(n)
+    assert len(ann.levels_below(n, 8, 64, 16)) == (1 if n == 3000 else 2)
+    got, want = search(spark, ids, x, k=10, every=100, **DEEP), brute(ids, x, 10, 100)
+    assert got.keys() == want.keys() and all(len(v) == 10 for v in got.values())
+    assert np.mean([len({v for v, _ in got[q]} & {v for v, _ in want[q]}) / 10 for q in want]) >= 0.9
+
+
+def surface(n, dim=16, inner=3):
+    """Directions that vary in ``inner`` ways only, however many there are."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(n, inner)) @ np.linalg.qr(rng.normal(size=(dim, inner)))[0].T
+    return (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32).astype(float)
+
+
+def test_work_of_a_query_does_not_grow(spark):
+    """Comparisons and copies for each query, over 24,000 rows and four times as many: both are parted
+    twice more.  One level alone would compare four times as much."""
+    met, copies = [], []
+    for n in (24000, 96000):
+        x = surface(n)
+        df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, v array<float>")
+        below = ann.levels_below(n, 8, 64, 16)
+        assert len(below) == 2
+        cells = ann.dealt_by_levels(df, ann.fit(x[:1024], 8, 10, 0.98), below, 10, 100, 0.98, 256, 256)
+        sizes = cells.groupBy("part", "rb", "qb").agg(F.count_if("asks").alias("a"), F.count_if(~F.col("asks")).alias("r")).agg(F.sum(F.col("a") * F.col("r")), F.sum(F.col("a") + F.col("r"))).first()
+        met.append(sizes[0] / (n / 100))
+        copies.append(sizes[1] / (n / 100))
+    assert met[1] < 1.5 * met[0] and copies[1] < 1.5 * copies[0], (met, copies)
+
+
+def test_many_copies_in_a_parted_part(spark):
+    """A third of the rows are one vector: cells stay bounded, ties go to the smaller id."""
+    x, ids = unit_rows(3000), np.arange(3000)
+    x[:1000] = x[0]
+    got, want = search(spark, ids, x, k=5, every=500, **DEEP), brute(ids, x, 5, 500)
+    assert [v for v, _ in got[0]] == [1, 2, 3, 4, 5] == [v for v, _ in want[0]]
+    assert [v for v, _ in got[500]] == [0, 1, 2, 3, 4]
+
+
 def test_parts_are_balanced():
     rng = np.random.default_rng(2)
     graph = ann.neighbour_graph(rng.normal(size=(400, 8)), 6)
