@@ -5,9 +5,12 @@ a shard of weight ``w`` bids ``-ln(u) / w`` and the smallest bid takes the row.
 independent exponentials, so a shard wins with probability ``w / sum(w)``, and a new shard
 changes only the rows on which it bids lowest: no row moves between old shards.
 
-Everything is a map over key columns, but for the slot numbers: rows are dealt to
-``16 ** slot_digits`` hash buckets within a shard, numbered inside their bucket, and shifted by
-the sizes of the buckets before it, so that no task has to sort a whole shard.
+Everything is a map over key columns, but for the slot numbers.  Rows are dealt to
+``16 ** slot_digits`` hash buckets within a shard, and inside their bucket to runs of one key and
+size; rows are numbered inside their run, and shifted by the runs and buckets before it.  So no
+task sorts a whole shard, nor all rows of a key that many rows have: a bucket is sorted by its runs
+alone, and a run is the rows of one key whose texts are equally long.  Equal rows are one row with
+a count until they get their slots.
 
 Defined results: a null key counts as the key ``""``; a null text has size ``overhead`` and the
 CRC of no bytes (0); rows with the same key go to the same shard and get slots of their own;
@@ -56,16 +59,25 @@ def slot_bucket(key: str, slot_digits: int) -> Column:
     return F.substring(F.md5(F.concat(F.lit("slot|"), F.coalesce(F.col(key).cast("string"), F.lit(""))).cast("binary")), 1, slot_digits)
 
 
-def with_slots(df: DataFrame, keys_only: DataFrame, key: str, ties: Sequence[str], slot_digits: int = 2) -> DataFrame:
-    """``df`` (with ``shard``) and a gapless ``slot`` from 0 in each shard, ordered by
-    (bucket, key, ties).  ``keys_only`` holds the same rows with only key and shard: bucket sizes
-    are counted from it, so that counting never reads texts."""
+def with_slots(counted: DataFrame, keys_only: DataFrame, key: str, length: str, ties: Sequence[str], slot_digits: int = 2) -> DataFrame:
+    """Rows of ``counted`` (with ``shard``; ``__n`` says how many equal rows each stands for), each as
+    often as it counts, and a gapless ``slot`` from 0 in each shard, ordered by (bucket, key, length,
+    ties).  ``keys_only`` holds all rows with only key and shard: bucket sizes are counted from it, so
+    that counting never reads texts."""
     sizes = keys_only.withColumn("__bucket", slot_bucket(key, slot_digits)).groupBy("shard", "__bucket").agg(F.count(F.lit(1)).alias("__n"))
-    before = Window.partitionBy("shard").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("shard", "__bucket", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
-    inside = Window.partitionBy("shard", "__bucket").orderBy(F.col(key).asc_nulls_first(), *ties)
-    numbered = df.withColumn("__bucket", slot_bucket(key, slot_digits)).withColumn("__at", F.row_number().over(inside) - 1)
-    return numbered.join(starts, ["shard", "__bucket"]).withColumn("slot", (F.col("__start") + F.col("__at")).cast("long")).drop("__bucket", "__at", "__start")
+    whole = Window.partitionBy("shard").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    buckets = sizes.select("shard", "__bucket", F.coalesce(F.sum("__n").over(whole), F.lit(0)).alias("__start"))
+    dealt = counted.withColumn("__bucket", slot_bucket(key, slot_digits))
+    runs = dealt.groupBy("shard", "__bucket", F.col(key).alias("__key"), F.col(length).alias("__length")).agg(F.sum("__n").alias("__of_run"))
+    earlier = Window.partitionBy("shard", "__bucket").orderBy(F.col("__key").asc_nulls_first(), "__length").rowsBetween(Window.unboundedPreceding, -1)
+    runs = runs.withColumn("__before", F.coalesce(F.sum("__of_run").over(earlier), F.lit(0))).join(buckets, ["shard", "__bucket"])
+    runs = runs.select(F.col("shard").alias("__s"), F.col("__bucket").alias("__b"), "__key", "__length", (F.col("__start") + F.col("__before")).alias("__from"))
+    inside = Window.partitionBy("shard", "__bucket", key, length).orderBy(*ties).rowsBetween(Window.unboundedPreceding, -1)
+    numbered = dealt.withColumn("__at", F.coalesce(F.sum("__n").over(inside), F.lit(0)))
+    same = (F.col("shard") == F.col("__s")) & (F.col("__bucket") == F.col("__b")) & F.col(key).eqNullSafe(F.col("__key")) & (F.col(length) == F.col("__length"))
+    first = (F.col("__from") + F.col("__at")).cast("long")
+    placed = numbered.join(runs, same).withColumn("__first", first).withColumn("slot", F.explode(F.sequence("__first", F.col("__first") + F.col("__n") - 1)))
+    return placed.drop("__bucket", "__at", "__first", "__n", "__s", "__b", "__key", "__length", "__from")
 
 
 def shard_documents(docs: DataFrame, n_shards: int = 40, weights: Sequence[float] | None = None, key: str = "doc_id", text: str = "text", overhead: int = 16, slot_digits: int = 2) -> DataFrame:
@@ -77,8 +89,9 @@ def shard_documents(docs: DataFrame, n_shards: int = 40, weights: Sequence[float
         raise ValueError("one weight for each shard")
     more = sum(weights) / n_shards
     body = F.coalesce(F.col(text), F.lit("")).cast("binary")
-    rows = docs.select(F.col(key).alias("doc_id"), (F.octet_length(body) + overhead).cast("long").alias("size"), F.crc32(body).cast("long").alias("text_crc32"), F.lit("key").alias("law"))
+    rows = docs.select(F.col(key).alias("doc_id"), (F.octet_length(body) + overhead).cast("long").alias("size"), F.crc32(body).cast("long").alias("text_crc32"))
     keys = docs.select(F.col(key).alias("doc_id"))
-    placed = rendezvous(rows, "doc_id", weights, grown_by=more)
-    slots = with_slots(placed, rendezvous(keys, "doc_id", weights), "doc_id", ["size", "text_crc32"], slot_digits)
+    counted = rows.groupBy("doc_id", "size", "text_crc32").agg(F.count(F.lit(1)).alias("__n"))
+    placed = rendezvous(counted.withColumn("law", F.lit("key")), "doc_id", weights, grown_by=more)
+    slots = with_slots(placed, rendezvous(keys, "doc_id", weights), "doc_id", "size", ["text_crc32"], slot_digits)
     return slots.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")

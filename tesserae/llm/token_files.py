@@ -20,11 +20,11 @@ of the last group count as 0), the data bytes.
 
 Steps: encode every text once (a map) and keep the ids as compressed binaries in the shared
 folder, with each task's counts of ids in a row beside them; add these counts; range-partition by
-doc_id, sort, and pack into blocks.  Reading is a map over blocks; a document's start is its
+doc_id and a hash of the ids, sort, and pack into blocks.  Reading is a map over blocks; a document's start is its
 place in its block plus the sums of the blocks and parts before.
 
 Defined results: a null or empty text is the end id alone; null doc_ids come first; rows with
-the same doc_id stand next to each other in the order of their ids; a text of any length lies in
+the same doc_id stand next to each other in the order of a hash of their ids; a text of any length lies in
 one block; an empty table gives empty files and an empty result.
 """
 
@@ -366,7 +366,8 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
         if docs_:
             yield close()
 
-    dealt = rows.where("counts is null").select("doc_id", "ids").repartitionByRange(shuffle_parts(spark), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "ids")
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("ids")]  # an id of very many rows is several ranges
+    dealt = rows.where("counts is null").select("doc_id", "ids").repartitionByRange(shuffle_parts(spark), *order).sortWithinPartitions(*order, "ids")
     dealt.mapInArrow(tidied(blocks), "part int, seq int, n_docs long, n_ids long, block binary").write.option("compression", "zstd").parquet(f"{path}/blocks")
     drop_path(spark, kept)
 

@@ -20,6 +20,20 @@ def test_rows_sizes_slots(spark):
     assert all(r[6] in (r[4], 5) for r in out), "a new shard takes rows only into itself"
 
 
+def test_one_key_of_many_rows(spark):
+    """Slots of null keys and of one id follow (size, checksum), equal rows stand together, and the runs
+    that a task sorts are small."""
+    texts = [(None if i % 2 else 7, "x" * (i % 97) + str(i % 600), "en", "a") for i in range(4000)]
+    out = rows(sharding.shard_documents(documents(spark, texts), 5))
+    assert Counter(r[:3] for r in out) == Counter((i, len(t.encode()) + 16, zlib.crc32(t.encode())) for i, t, _, _ in texts)
+    for key in (None, 7):
+        own = sorted((r for r in out if r[0] == key), key=lambda r: r[5])
+        assert len({r[4] for r in own}) == 1 and [r[1:3] for r in own] == sorted(r[1:3] for r in own)
+    for shard in {r[4] for r in out}:
+        assert sorted(r[5] for r in out if r[4] == shard) == list(range(sum(r[4] == shard for r in out)))
+    assert max(Counter((r[0], r[1]) for r in set(r[:3] for r in out)).values()) < 100
+
+
 def test_extra_columns_and_empty(spark):
     assert rows(sharding.shard_documents(clashing(documents(spark)), 5)) == rows(sharding.shard_documents(documents(spark), 5))
     assert rows(sharding.shard_documents(documents(spark, []), 5)) == []

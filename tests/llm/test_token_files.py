@@ -83,3 +83,14 @@ def test_many_blocks_and_empty(spark, monkeypatch):
     got = sorted(rows(f.round_trip(documents(spark), PATH)), key=lambda r: r[1])
     assert [r[1] for r in got] == [sum(x[2] for x in got[:k]) for k in range(len(got))]
     assert rows(f.round_trip(documents(spark, []), PATH)) == []
+
+
+def test_one_id_of_many_rows_is_several_parts(spark, tmp_path):
+    texts = [(None if i % 2 else 7, f"text {i} of many", "en", "a") for i in range(2000)]
+    path = f"{tmp_path}/tokens"
+    f.write_token_files(documents(spark, texts), path, PATH)
+    parts = {r["part"]: r["n"] for r in spark.read.parquet(f"{path}/blocks").groupBy("part").agg({"n_docs": "sum"}).withColumnRenamed("sum(n_docs)", "n").collect()}
+    assert sum(parts.values()) == 2000 and max(parts.values()) < 1000
+    got = sorted(f.read_token_files(spark, path).collect(), key=lambda r: r["start"])
+    assert [r["doc_id"] for r in got] == [None] * 1000 + [7] * 1000
+    assert all(a["start"] + a["n_tokens"] == b["start"] for a, b in zip(got, got[1:]))
