@@ -15,12 +15,13 @@ Where the sample can tell no more parts apart and a part has far more than ``par
 is parted again in the same way: a task fits its own graph and classifier on a bounded sample
 (``node_rows``) of the part's rows, and rows and queries of the part are routed once more.  Levels
 are added until parts have about ``part_rows`` rows, so what a query is compared with and how often
-a row is copied grow with the number of levels, not with the table, where a sample shows the neighbourhoods;
-without such structure most parts are probed at every level.  Each level moves every row once.
+a row is copied grow with the number of levels, not with the table, where a sample shows the
+neighbourhoods; without such structure most parts are probed at every level.  Each level moves every row once.
 
 Work is dealt in cells (part, candidate block, query block).  Parts are cut into blocks by a hash
 of the row, by their counted sizes, so that no cell holds more than about ``block_rows``
-candidates and ``block_rows`` queries, however large a part or a group of copies is.  A cell
+candidates and ``block_rows`` queries, however large a part or a group of equal vectors is; rows of
+one vec_id (on further levels: of one vec_id and vector) are expected to be few, and share a block.  A cell
 returns its nearest for each query; a last grouping by query merges them.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components take no
