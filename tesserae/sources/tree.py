@@ -190,10 +190,10 @@ def is_configured(path: Column, size: Column, include: list[str], exclude_dirs:
 
 
 def oversize(files: DataFrame, pattern: str, max_kb: int, exclude_dirs: list[str]) -> DataFrame:
-    """path, shown: files of a pattern that are larger than allowed, as ``path (12.3KB)``; a folder
-    is left out if it is the file's own parent."""
+    """path, shown: files of a pattern that are larger than allowed, as ``path (12.3KB)``, halves to the
+    even digit as C and Go print them; a folder is left out if it is the file's own parent."""
     parent = F.element_at(F.split(F.concat(F.lit("./"), F.col("path")), "/"), -2)
     big = files.where(any_match(F.col("path"), [pattern]) & (F.col("size") > max_kb * 1024))
     if exclude_dirs:
         big = big.where(~parent.isin(*exclude_dirs))
-    return big.select("path", F.format_string("%s (%.1fKB)", "path", F.col("size") / F.lit(1024.0)).alias("shown"))
+    return big.select("path", F.format_string("%s (%.1fKB)", "path", F.bround(F.col("size") / F.lit(1024.0), 1)).alias("shown"))

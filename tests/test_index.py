@@ -210,6 +210,13 @@ def test_tree(spark, tmp_path):
     assert rel(tree.some_files(spark, [f"{root}/a.go", f"{root}/none.go"])) == ["a.go"]
 
 
+def test_oversize_halves_to_even(spark):
+    sizes = [2304, 2816, 3328, 2355, 2356, 1 << 40]
+    big = spark.createDataFrame([(f"a/{n}.en", n) for n in sizes], "path string, size long")
+    want = [f"a/{n}.en ({n / 1024:.1f}KB)" for n in sizes]
+    assert want[:2] == ["a/2304.en (2.2KB)", "a/2816.en (2.8KB)"] and [r["shown"] for r in tree.oversize(big, "*.en", 2, []).collect()] == want
+
+
 @pytest.mark.parametrize("pattern, name, yes", [("*.go", "a.go", True), ("*.go", "a.gox", False), ("?.go", "ab.go", False), ("[a-c]x", "bx", True), ("[^a-c]x", "bx", False), ("a\\*", "a*", True), ("[", "[", False), ("*.GO", "a.go", False), ("a[]]", "a]", False), ("*", ".x", True)])
 def test_globs(spark, pattern, name, yes):
     assert matches(pattern, name) == yes
