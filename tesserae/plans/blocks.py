@@ -23,22 +23,40 @@ from tesserae.plans.match import And, Near, Node, Not, Or, leaves
 
 #: Lines of a block on average, and neighbouring lines of a file that stay in one.
 BLOCK_LINES, STRETCH = 128, 32
+#: Tokens whose postings one task groups or sorts, about.
+PART_TOKENS = 250_000
 
 
-def block_postings(toks: DataFrame, n_lines: int) -> DataFrame:
-    """term, block, best, hits from (file, line, toks) of ``n_lines`` lines.  Lines are dealt out by
-    block once; both groupings keep that partitioning."""
+def parts_of(n_tokens: int) -> int:
+    """Partitions in which the postings of ``n_tokens`` tokens are grouped and sorted: a task holds
+    about ``PART_TOKENS`` of them, however many there are."""
+    return max(1, -(-n_tokens // PART_TOKENS))
+
+
+def opening(toks: str) -> Column:
+    """(term, i) of each distinct term of a line, ``i`` where it first stands in ``toks``, a column of
+    (term, at) in order."""
+    opens = F.filter(F.transform(toks, lambda t, i: F.struct(F.coalesce(F.get(toks, i - 1)["term"] != t["term"], F.lit(True)).alias("new"), i.alias("i"), t["term"].alias("term"))), lambda x: x["new"])
+    return F.transform(opens, lambda x: F.struct(x["term"].alias("term"), x["i"].alias("i")))
+
+
+def block_postings(toks: DataFrame, n_lines: int, n_tokens: int | None = None) -> DataFrame:
+    """term, block, best, hits from (file, line, toks) of ``n_lines`` lines of ``n_tokens`` tokens.
+    Lines are dealt out by block once, to tasks of a bounded number of tokens where that number is
+    given; the grouping keeps that partitioning.  A line's places are grouped inside its array."""
     blocks = max(1, -(-n_lines // BLOCK_LINES))
     block = F.pmod(F.xxhash64("file", F.floor(F.col("line") / STRETCH)), F.lit(blocks)).alias("block")
-    dealt = toks.select(block, "file", "line", "toks").repartition("block")
-    each = dealt.select("block", "file", "line", F.size("toks").alias("len"), F.posexplode("toks").alias("at", "term"))
-    of_line = each.groupBy("block", "term", "file", "line", "len").agg(F.array_sort(F.collect_list("at")).alias("at"))
-    hit = F.struct("file", "line", "len", "at")
-    rows = of_line.groupBy("block", "term").agg(F.array_sort(F.collect_list(hit)).alias("hits"), F.array_sort(F.collect_set(F.struct(F.col("len"), (-F.size("at")).alias("less")))).alias("pairs"))
+    rows = toks.select(block, "file", "line", "toks")
+    dealt = rows.repartition("block") if n_tokens is None else rows.repartition(parts_of(n_tokens), "block")
+    ordered = dealt.select("block", "file", "line", F.sort_array(F.transform("toks", lambda t, i: F.struct(t.alias("term"), i.alias("at")))).alias("toks"))
+    opened = ordered.select("block", "file", "line", F.col("toks.at").alias("places"), opening("toks").alias("opens"))
+    each = opened.select("block", "file", "line", F.size("places").alias("len"), F.inline(F.transform("opens", lambda x, k: F.struct(x["term"].alias("term"), F.slice("places", x["i"] + 1, F.coalesce(F.get("opens", k + 1)["i"], F.size("places")) - x["i"]).alias("at")))))
+    hits = each.groupBy("block", "term").agg(F.sort_array(F.collect_list(F.struct("file", "line", "len", "at"))).alias("hits"))
     # By length, then highest tf first: a pair counts if its tf is above that of all shorter lines.
+    pairs = hits.select("block", "term", "hits", F.sort_array(F.transform("hits", lambda h: F.struct(h["len"].alias("len"), (-F.size(h["at"])).alias("less")))).alias("pairs"))
     none = F.array().cast("array<struct<tf:int,len:int>>")
     best = F.aggregate("pairs", none, lambda kept, p: F.when((F.size(kept) > 0) & (F.element_at(kept, -1)["tf"] >= -p["less"]), kept).otherwise(F.concat(kept, F.array(F.struct((-p["less"]).alias("tf"), p["len"].alias("len"))))))
-    return rows.select("term", "block", best.alias("best"), "hits")
+    return pairs.select("term", "block", best.alias("best"), "hits")
 
 
 def postings_of(blocks: DataFrame) -> DataFrame:

@@ -312,7 +312,8 @@ def line_statistics(new: DataFrame, old: DataFrame | None = None) -> tuple[DataF
 def line_index(lines: DataFrame) -> Tables:
     """The tables of an index of lines: blocks, corpus, term_counts."""
     corpus, counts = line_statistics(lines)
-    return {"blocks": block_postings(tokenized(lines), lines.count()), "corpus": corpus, "term_counts": counts}
+    n = corpus.collect()[0]
+    return {"blocks": block_postings(tokenized(lines), n["lines"], n["tokens"]), "corpus": corpus, "term_counts": counts}
 
 
 #: Blocks whose numbers go into a filter; more are joined.

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tesserae.functions.snippet import snippet
 from tesserae.functions.text import terms_of, tokens
 from tesserae.plans import blocks, search
-from tesserae.plans.blocks import Layered
+from tesserae.plans.blocks import Layered, block_postings
 from tesserae.plans.match import QuerySyntaxError, parse
 from tesserae.sources.lines import lines
 from tesserae.workspace import scratch, shared_dir
@@ -110,6 +110,23 @@ def test_a_long_file_is_many_blocks(spark):
     assert sum(sizes) == 20_000 and max(sizes) < 8 * blocks.BLOCK_LINES
 
 
+def test_blocks_are_made_by_bounded_tasks(spark, sf, monkeypatch):
+    found = lines(spark.read.parquet(f"{sf}/documents.parquet").limit(20), "doc_id", "text")
+    whole = sorted(map(tuple, search.line_index(found)["blocks"].collect()))
+    n = search.line_statistics(found)[0].collect()[0]["tokens"]
+    monkeypatch.setattr("tesserae.plans.blocks.PART_TOKENS", n // 10)
+    blocks = search.line_index(found)["blocks"]
+    # More tokens are more tasks, whatever the session's number of shuffle partitions.
+    assert blocks.rdd.getNumPartitions() >= 10 and sorted(map(tuple, blocks.collect())) == whole
+
+
+def test_block_places(spark):
+    toks = spark.createDataFrame([("a", 1, ["x", "y", "x"]), ("a", 2, []), ("b", 1, ["x"])], "file string, line int, toks array<string>")
+    rows = {r["term"]: r for r in block_postings(toks, 3).collect()}
+    assert [tuple(h) for h in rows["x"]["hits"]] == [("a", 1, 3, [0, 2]), ("b", 1, 1, [0])] and [tuple(h) for h in rows["y"]["hits"]] == [("a", 1, 3, [1])]
+    assert [tuple(b) for b in rows["x"]["best"]] == [(1, 1), (2, 3)] and set(rows) == {"x", "y"}
+
+
 def test_searches_leave_no_tables(spark, corpus, index):
     """The shared folder holds no more after twenty searches than before."""
     at = shared_dir(spark).removeprefix("file:")
