@@ -43,7 +43,7 @@ from tesserae.llm.common import tidied
 #: Resolved arcs a worker keeps before it starts anew.
 KNOWN_ARCS = 250_000
 #: Bytes of text whose pieces are encoded together, and pieces a worker keeps before it starts anew.
-STEP_BYTES, KNOWN_PIECES = 12_000_000, 150_000
+STEP_BYTES, KNOWN_PIECES = 9_000_000, 150_000
 
 
 def byte_symbols() -> list[str]:

@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import pyarrow as pa
 import pytest
 
 from tesserae.llm import bpe_automaton as b
@@ -55,3 +56,9 @@ def test_query(spark, library):
 def test_ids_keep_columns(spark, own):
     out = b.encode_ids(clashing(documents(spark)), PATH).select("doc_id", "text", "score", "ids").collect()
     assert all(r["ids"] == own.encode(r["text"]) and r["score"] == "x" for r in out)
+
+
+def test_steps_are_small():
+    """What a worker holds grows with the text of a step: five megabytes and five more are two steps."""
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2, 3]), pa.array(["a" * 5_000_000] * 3)], ["doc_id", "text"])
+    assert [x.num_rows for x in b.parts_of(iter([batch]), 1)] == [1, 1, 1]
