@@ -17,7 +17,8 @@ found.
 4. The sets of a token held by more sets meet a few of their like (of about one size: the most
    central one, and one by hash), not each other.  What these links join is one class.
 5. Sets of such a token outside its largest class then meet the token's other sets, in cells of
-   two blocks of ``block`` sets of about one size; pairs of one class are passed over.
+   two blocks of ``block`` sets of about one size; pairs of one class are passed over.  Tokens with
+   one largest class are put together where that makes fewer pairs.
 6. Cells are first sifted on bitmaps of a bit or two per shingle: length, positional and suffix
    filter (two sets differ in at least as many shingles as their parity bitmaps in bits).
    Members without a pair that passes fall away.
@@ -510,14 +511,39 @@ def pivot_tasks(many: DataFrame, num: int, den: int, cell: int) -> DataFrame:
     return pair_tasks(met.select("xh", "x", "yh", "y").distinct(), "v", cell)
 
 
+def pooled(known: DataFrame, by_class: DataFrame) -> DataFrame:
+    """token, hi, node, pos, band, first, label: ``known`` with the tokens put together whose largest
+    class is the same, where their sets make fewer pairs as one pool than token by token.
+
+    The sets of a large group share many tokens.  Compared under each of these, a set outside the
+    largest class would meet the same others again and again.  A pool has every pair of its tokens,
+    each once; no position is left in it, nor a first token."""
+    of_token = by_class.where("classes > 1").select("token", F.col("top.label").alias("top"), "k", (F.col("k") - F.col("top.held")).alias("own"))
+    one_by_one = of_token.groupBy("top").agg(F.sum(F.col("own") * F.col("k")).alias("pairs"), F.count(F.lit(1)).alias("tokens")).where("tokens > 1")
+    each = known.select("token", "hi", "node", "label").join(of_token.select("token", "top"), "token").dropDuplicates(["top", "hi", "node"])
+    at_once = each.groupBy("top").agg(F.count(F.lit(1)).alias("all"), F.count_if(F.col("label") != F.col("top")).alias("own"))
+    chosen = one_by_one.join(at_once, "top").where(F.col("own") * F.col("all") < F.col("pairs")).select("top", F.xxhash64(F.lit("pool"), "top").alias("pool"))
+    pools = written(of_token.join(chosen, "top").select("token", "pool"), "jaccard-pools")
+    columns = ["token", "hi", "node", "pos", "band", "first", "label"]
+    members = known.join(pools, "token").withColumn("token", F.col("pool")).withColumn("first", F.col("pool")).withColumn("pos", F.lit(0))
+    return known.join(pools, "token", "left_anti").select(*columns).unionByName(members.select(*columns).dropDuplicates(["token", "hi", "node"]))
+
+
 def block_tasks(many: DataFrame, labels: DataFrame, block: int) -> DataFrame:
     """Cells in which the sets of hot tokens that are not in their token's largest class meet the
-    token's sets of their band and of those beside it, block by block.
+    token's sets of their band and of those beside it, block by block; tokens that mostly have the
+    same sets are one first.
 
     Sets of one first hot token are compared under that one; so the most frequent first token of a
     token's sets sets those apart (``head``) that need not meet each other here."""
     known = written(many.join(labels.select("hi", "node", "label"), ["hi", "node"]), "jaccard-labelled")
-    by_class = known.groupBy("token", "label").agg(F.count(F.lit(1)).alias("held")).groupBy("token").agg(F.max(F.struct("held", "label")).alias("top"), F.count(F.lit(1)).alias("classes"))
+
+    def classes_of(rows: DataFrame) -> DataFrame:
+        held = rows.groupBy("token", "label").agg(F.count(F.lit(1)).alias("held"))
+        return held.groupBy("token").agg(F.max(F.struct("held", "label")).alias("top"), F.sum("held").alias("k"), F.count(F.lit(1)).alias("classes"))
+
+    known = written(pooled(known, written(classes_of(known), "jaccard-classes")), "jaccard-pooled")
+    by_class = classes_of(known)
     by_first = known.groupBy("token", "first").agg(F.count(F.lit(1)).alias("held")).groupBy("token").agg(F.max(F.struct("held", "first")).alias("lead"))
     # Tokens of one class have nothing left to compare.
     tokens = by_class.where("classes > 1").join(by_first, "token").select("token", F.col("top.label").alias("top"), F.col("lead.first").alias("lead"))

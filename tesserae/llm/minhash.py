@@ -17,7 +17,8 @@ the empty bins of a small set are as independent as those of a large one.
    Confirmed edges are joined to classes by alternating stars.
 4. A star says nothing about two members that are not hubs.  In buckets that still hold several
    classes, members outside the bucket's largest class meet the others in blocks, under the same
-   filters; pairs of one class are passed over.  So a pair that shares a bucket is compared or
+   filters; pairs of one class are passed over.  The buckets of a large group mostly have the same
+   members: they are put together first, so that these meet once, not once a bucket.  So a pair that shares a bucket is compared or
    joined already; none is lost to the shape of the stars.
 
 A link of Jaccard index s is missed only where no band agrees: ``(1 - s ** width) ** bands``, which

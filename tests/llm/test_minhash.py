@@ -3,6 +3,7 @@ import random
 import numpy as np
 import pytest
 
+from tesserae.llm import jaccard
 from tesserae.llm import minhash as m
 from tests.llm.helpers import TEXTS, clashing, documents, rows
 from tests.llm.test_jaccard import by_hand, near_copies
@@ -85,3 +86,26 @@ def test_bad_parameters(spark):
         m.minhash_classes(documents(spark, []), num=6, den=5)
     with pytest.raises(ValueError):
         m.minhash_classes(documents(spark, []), bands=0)
+
+
+def test_buckets_of_one_group_meet_once(spark):
+    """Members outside the largest class meet the others of a group once, not in each of its buckets; every
+    pair of a bucket but those of one class still stands in some cell."""
+    n_sets, n_buckets = 60, 20
+    # Each bucket lacks a set; 100 and 101 are in a bucket of their own with the last member.
+    buckets = [(t, 0, x, 100, 0, 7, n_sets, n_buckets, 2 if x == 1 else 1) for t in range(1, n_buckets + 1) for x in range(n_sets) if x != t] + [(500, 0, x, 100, 0, 7, 3, 1, 1 if x < 100 else 500) for x in (n_sets - 1, 100, 101)]
+    many = spark.createDataFrame(buckets, "token long, hi long, node long, n int, pos int, band int, k long, held long, first long")
+    label = {x: 0 if x < 50 else x for x in [*range(n_sets), 100, 101]}
+    labels = spark.createDataFrame([(0, x, (False, c, 0)) for x, c in label.items()], f"hi long, node long, label {jaccard.NODE}")
+    cells: dict[str, tuple[list, list]] = {}
+    tasks = jaccard.block_tasks(many, labels, block=16).collect()
+    for r in tasks:
+        cells.setdefault(r["c"], ([], []))[r["side"]].append(r["node"])
+    met = {frozenset((x, y)) for left, right in cells.values() for x in left for y in right if x != y}
+    members: dict[int, list] = {}
+    for r in buckets:
+        members.setdefault(r[0], []).append(r[2])
+    wanted = {frozenset((x, y)) for own in members.values() for x in own for y in own if label[x] != label[y]}
+    assert wanted <= met
+    # One left block, four right blocks: 10 members in four cells, 60 in one, and the small bucket.
+    assert len(tasks) <= 10 * 4 + 60 + 10
