@@ -11,13 +11,15 @@ state if the arc ``u`` did when the merge came; thus arcs are resolved through t
 halves, and resolved arcs are kept in a transition table.
 
 A correct sequence without its last token is the correct sequence of a shorter prefix.  So a
-word is encoded from left to right: each prefix holds the one token that ends there by an
-existing arc.  Decoding emits the labels of the arcs.
+prefix is reached by one path of arcs at most, and a place from which the end was not reached is
+never looked at again: a word is walked from left to right, longest arc first, with steps back.
+Decoding emits the labels of the arcs.
 
 Words come from the tokenizer's own rules: special tokens are cut out first, then canonical
 composition, lower case, and the pre-split pattern.  Texts are cut at spaces and line feeds,
 which never stand inside a word; each distinct piece of a few megabytes is encoded once, and pieces
-that stand there more than once are kept, up to a bound, for the texts that follow.
+that stand there more than once are kept, up to a bound, for the texts that follow.  Of these and of
+the transition table a worker keeps a small part between tasks, as idle workers count too.
 
 Defined results: a null or empty text has no tokens, and decodes to the empty text; equal texts
 have equal results; very long texts are read whole; an empty table gives an empty result.
@@ -40,10 +42,19 @@ from pyspark.sql import types as T
 
 from tesserae.llm.common import tidied
 
-#: Resolved arcs a worker keeps before it starts anew.
-KNOWN_ARCS = 250_000
-#: Bytes of text whose pieces are encoded together, and pieces a worker keeps before it starts anew.
-STEP_BYTES, KNOWN_PIECES = 9_000_000, 150_000
+#: Resolved arcs and pieces a worker keeps before it goes back to the first it met, which are the
+#: frequent ones, and how many of these stay between tasks.
+KNOWN_ARCS, KNOWN_PIECES, STAYING = 150_000, 100_000, 40_000
+#: Letters by which the length of tokens is bounded.
+LETTERS = 4
+#: Bytes of text whose pieces are encoded together.
+STEP_BYTES = 5_000_000
+
+
+def first_met(known: dict, n: int) -> None:
+    """Leave the ``n`` oldest entries in a dictionary."""
+    for key in list(known)[n:]:
+        del known[key]
 
 
 def byte_symbols() -> list[str]:
@@ -87,7 +98,11 @@ class Automaton:
             self.left[uv], self.right[uv], self.born[uv] = u, v, when
             self.cut[u][v] = when
         self.arcs.clear()
-        self.longest = max((len(x) for x in vocab), default=0)
+        self.longest: dict[str, int] = {}  # the length of the longest token, by its first letters
+        for label in vocab:
+            bare = label.removesuffix(suffix) if suffix else label
+            if len(bare) >= LETTERS:
+                self.longest[bare[:LETTERS]] = max(len(bare), self.longest.get(bare[:LETTERS], 0))
 
     def _cut_at(self, state_of: int, token: int) -> int | None:
         """When the state after a token lost its arc for another token; None: it never did."""
@@ -118,7 +133,7 @@ class Automaton:
         known = self.arcs.get(key)
         if known is None:
             if len(self.arcs) > KNOWN_ARCS:
-                self.arcs.clear()
+                first_met(self.arcs, STAYING)
             known = self.arcs[key] = self._arc(state_of, token)
         return known
 
@@ -131,32 +146,38 @@ class Automaton:
         whole = vocab.get(word + suffix)
         if whole is not None and (self.born[whole] >= 0 or n == 1):
             return [whole]
-        last = [-1] * (n + 1)
-        come = [0] * (n + 1)
         longest, get, arcs, size = self.longest, vocab.get, self.arcs, self.n
-        for end in range(1, n + 1):
-            tail = suffix if end == n else ""
-            for start in range(end - longest if end > longest else 0, end):
-                token = get(word[start:end] + tail) if tail else get(word[start:end])
-                if token is None:
-                    continue
-                if start:
-                    before = last[start]
-                    if before < 0:
-                        continue
-                    known = arcs.get(before * size + token)
-                    if not (has_arc(before, token) if known is None else known):
-                        continue
-                last[end] = token
-                come[end] = start
-                break
-        if last[n] < 0:
-            raise ValueError(f"no token sequence for {word!r}")
-        out = []
-        while n:
-            out.append(last[n])
-            n = come[n]
-        return out[::-1]
+        out: list[int] = []  # the tokens up to ``start``, and where each begins
+        begins: list[int] = []
+        dead: set[int] = set()  # places that do not lead to the end
+        start, before = 0, -1
+        end = min(longest.get(word[:LETTERS], LETTERS - 1), n)
+        while start < n:
+            while end > start:
+                if end not in dead:
+                    token = get(word[start:] + suffix) if end == n else get(word[start:end])
+                    if token is not None:
+                        if before < 0:
+                            break
+                        known = arcs.get(before * size + token)
+                        if has_arc(before, token) if known is None else known:
+                            break
+                end -= 1
+            else:
+                if not out:
+                    raise ValueError(f"no token sequence for {word!r}")
+                dead.add(start)
+                out.pop()
+                end, start = start - 1, begins.pop()
+                before = out[-1] if out else -1
+                continue
+            out.append(token)
+            begins.append(start)
+            start, before = end, token
+            end = start + longest.get(word[start : start + LETTERS], LETTERS - 1)
+            if end > n:
+                end = n
+        return out
 
 
 class WordBpe:
@@ -218,7 +239,7 @@ class WordBpe:
     def of_pieces(self, pieces: list[str], often: np.ndarray) -> list[tuple[str, str]]:
         """The digests of distinct pieces; those that stand ``often`` are kept for later calls."""
         if len(self.known_pieces) > KNOWN_PIECES:
-            self.known_pieces.clear()
+            first_met(self.known_pieces, STAYING)
         known = self.known_pieces
         out = [known.get(p) for p in pieces]
         for i, keep in [(i, often[i]) for i, v in enumerate(out) if v is None]:
@@ -228,6 +249,13 @@ class WordBpe:
         self.known_words.clear()
         return out
 
+    def settle(self) -> None:
+        """Give up most of what was learned; for the end of a task."""
+        first_met(self.known_pieces, STAYING)
+        first_met(self.automaton.arcs, STAYING)
+        # A dictionary shrinks when it is copied.
+        self.known_pieces, self.automaton.arcs = dict(self.known_pieces), dict(self.automaton.arcs)
+
     def digests(self, texts: pa.Array | list[str]) -> Iterator[tuple[int, str, str]]:
         """For each text the number of tokens, the ids joined by one space, and the decoded text."""
         column = pa.array(texts, pa.large_string()) if isinstance(texts, list) else texts.cast(pa.large_string())
@@ -295,6 +323,7 @@ def encode_digests(docs: DataFrame, tokenizer_path: str, key: str = "doc_id", te
                 ids_sha.append(hashlib.sha256(ids.encode()).hexdigest())
                 back_sha.append(hashlib.sha256(back.encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(back_sha, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        t.settle()
 
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(tidied(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
@@ -311,5 +340,6 @@ def encode_ids(docs: DataFrame, tokenizer_path: str, text: str = "text", ids: st
             found = list(t.digests(batch.column(at)))
             more = [pa.array([[int(x) for x in i.split()] for _, i, _ in found], pa.list_(pa.int32())), pa.array([b for _, _, b in found], pa.string())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*batch.schema.names, ids, decoded])
+        t.settle()
 
     return docs.mapInArrow(tidied(run), schema)

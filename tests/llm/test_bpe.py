@@ -62,3 +62,27 @@ def test_steps_are_small():
     """What a worker holds grows with the text of a step: five megabytes and five more are two steps."""
     batch = pa.RecordBatch.from_arrays([pa.array([1, 2, 3]), pa.array(["a" * 5_000_000] * 3)], ["doc_id", "text"])
     assert [x.num_rows for x in b.parts_of(iter([batch]), 1)] == [1, 1, 1]
+
+
+def test_a_task_leaves_little_behind(own, monkeypatch):
+    """Workers live on between tasks and several of one executor may be idle: what they keep is bounded,
+    and what was met first, the frequent pieces, is what stays."""
+    monkeypatch.setattr(b, "STAYING", 5)
+    words = [f"word{i}" for i in range(50)]
+    text = " ".join(words * 2)
+    before = list(own.digests([text]))
+    assert len(own.known_pieces) >= 50
+    own.settle()
+    assert len(own.known_pieces) == 5 and len(own.automaton.arcs) <= 5
+    assert list(own.digests([text])) == before
+
+
+def test_steps_back_from_long_tokens():
+    """The longest token at a place need not be the one BPE takes: the walk goes back and takes another way."""
+    vocab = {x: i for i, x in enumerate(["a", "b", "c", "d", "bc", "ab", "cd", "bcd", "abc"])}
+    m = b.Automaton(vocab, [("b", "c"), ("a", "b"), ("c", "d"), ("bc", "d"), ("a", "bc")])
+    assert m.encode_word("abcd") == [vocab["a"], vocab["bcd"]]
+    assert m.encode_word("abcabcd") == [vocab["abc"], vocab["a"], vocab["bcd"]]
+    assert m.encode_word("abd") == [vocab["ab"], vocab["d"]]
+    with pytest.raises(ValueError, match="no token sequence"):
+        m.encode_word("ab?")
