@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from jobs.options import options
 from tesserae.plans.match import Node, Or, parse
 from tesserae.plans.search import hits_of_lines, limit_of, ranked
-from tesserae.sources.lines import lines
+from tesserae.sources.lines import dealt, lines
 from tesserae.workspace import scratch
 
 LOG = logging.getLogger("jobs.saved_searches")
@@ -41,7 +41,8 @@ def text_lines(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
     """file, line, content of a table's texts."""
     rows = spark.read.parquet(path)
     name = F.concat_ws("/", *[F.col(k).cast("string") for k in keys])
-    return lines(rows.where(reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])).select(name.alias("file"), F.col("text").cast("string").alias("text")), "file", "text")
+    given = dealt(rows.select(*keys, F.col("text").cast("string").alias("text")))
+    return lines(given.where(reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])).select(name.alias("file"), "text"), "file", "text")
 
 
 def kept_lines(ls: DataFrame, nodes: list[Node], path: str) -> tuple[DataFrame, tuple[int, int]]:
@@ -49,6 +50,8 @@ def kept_lines(ls: DataFrame, nodes: list[Node], path: str) -> tuple[DataFrame,
     number of lines and of terms of all."""
     seen = Observation()
     each = hits_of_lines(ls, nodes[0] if len(nodes) == 1 else Or(tuple(nodes)))
+    # The number of a kept line tells lines of one name apart.
+    each = each.withColumn("number", F.monotonically_increasing_id())
     each.observe(seen, F.count(F.lit(1)).alias("lines"), F.sum("len").alias("terms")).where(F.size("hits") > 0).write.mode("overwrite").parquet(path)
     counts = seen.get
     return ls.sparkSession.read.schema(each.schema).parquet(path), (counts.get("lines") or 0, counts.get("terms") or 0)
@@ -56,13 +59,15 @@ def kept_lines(ls: DataFrame, nodes: list[Node], path: str) -> tuple[DataFrame,
 
 def found(hits: DataFrame, corpus: tuple[int, int], search: dict[str, Any], node: Node) -> DataFrame:
     """What one search finds, in the columns of the output."""
-    scored = ranked(hits, node, corpus).select("file", "line", "content", "score")
     order = [F.round("score", 9), F.col("file"), F.col("line")]
     if search["limit"]:
-        # A limited search has few rows; their order is that of one small window.
-        numbered = scored.orderBy(*order).limit(limit_of(search["limit"])).withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(*order)))
+        # A limited search has few rows; their order is that of one small window.  Its matches carry
+        # the numbers of lines, and contents are fetched for the best.
+        scored = ranked(hits.withColumn("content", F.col("number")), node, corpus).select("file", "line", F.col("content").alias("number"), "score")
+        best = scored.orderBy(*order).limit(limit_of(search["limit"])).withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(*order)))
+        numbered = hits.select("number", "content").join(F.broadcast(best), "number")
     else:
-        numbered = scored.withColumn("rank", F.lit(0))
+        numbered = ranked(hits, node, corpus).select("file", "line", "content", "score").withColumn("rank", F.lit(0))
     return numbered.select(F.lit(search["table"]).alias("source"), "rank", "file", "line", "content", F.round("score", 6).alias("score"), F.lit(search["name"]).alias("search"))
 
 

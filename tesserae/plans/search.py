@@ -76,13 +76,21 @@ def term_stats(lines: DataFrame) -> DataFrame:
     return marked_tokens(lines).groupBy("term").agg(F.sum("first").alias("df"), F.count(F.lit(1)).alias("cf"))
 
 
+def holds_wanted(node: Node, toks: str) -> Column:
+    """Whether some of a line's terms can take part in a phrase of the tree."""
+    if any(p.prefix for p in phrases_of(node)):
+        return F.exists(toks, lambda t: wanted(node, t))
+    whole = sorted({t for p in phrases_of(node) for t in p.terms})
+    return F.arrays_overlap(toks, F.array(*map(F.lit, whole))) if whole else F.lit(False)
+
+
 def hits_of_lines(lines: DataFrame, node: Node) -> DataFrame:
     """file, line, content, len, hits from the lines themselves."""
     toks = tokenized(lines)
     places = F.filter(F.sequence(F.lit(0), F.size("toks") - 1), lambda i: wanted(node, F.get("toks", i)))
     hits = F.transform(places, lambda i: F.struct(F.get("toks", i).alias("term"), i.alias("pos")))
     none = F.array().cast("array<struct<term:string,pos:int>>")
-    return toks.select("file", "line", "content", F.size("toks").alias("len"), F.when(F.exists("toks", lambda t: wanted(node, t)), hits).otherwise(none).alias("hits"))
+    return toks.select("file", "line", "content", F.size("toks").alias("len"), F.when(holds_wanted(node, "toks"), hits).otherwise(none).alias("hits"))
 
 
 def hits_of_postings(posts: DataFrame, node: Node) -> DataFrame:

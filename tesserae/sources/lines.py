@@ -19,7 +19,18 @@ def lines(df: DataFrame, file: str | Column, text: str | Column) -> DataFrame:
     file = F.col(file) if isinstance(file, str) else file
     text = F.col(text) if isinstance(text, str) else text
     each = df.select(file.cast("string").alias("file"), F.posexplode(line_array(F.coalesce(text.cast("string"), F.lit("")))).alias("at", "raw"))
-    return each.select("file", (F.col("at") + 1).alias("line"), F.regexp_replace("raw", "\r$", "").alias("content")).where(~is_blank(F.col("content")))
+    return each.select("file", (F.col("at") + 1).alias("line"), F.when(F.contains("raw", F.lit("\r")), F.regexp_replace("raw", "\r$", "")).otherwise(F.col("raw")).alias("content")).where(~is_blank(F.col("content")))
+
+
+#: Texts of one task.
+TEXTS = 1000
+
+
+def dealt(rows: DataFrame, text: str = "text") -> DataFrame:
+    """``rows`` in tasks of about ``TEXTS`` rows, however few row groups their files have.  Rows of one id
+    are dealt on by their texts.  The count reads footers."""
+    n = -(-rows.count() // TEXTS)
+    return rows.repartition(n, *[c for c in rows.columns if c != text], F.xxhash64(text)) if n > 1 else rows
 
 
 def line_counts(df: DataFrame, file: str, text: str) -> DataFrame:

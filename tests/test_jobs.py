@@ -5,6 +5,7 @@ import subprocess
 import sys
 
 import pytest
+from pyspark.sql import functions as F
 
 from jobs import registered, saved_searches, term_index
 from tesserae.plans.match import QuerySyntaxError
@@ -180,3 +181,14 @@ def test_registered_jobs_keep_the_session(spark, sf):
         want = con.execute(f"SELECT {', '.join(columns)} FROM ({registered.SQL[name]})").fetchall()
         assert got == sorted(map(repr, want)) and got, name
     assert before == {k: spark.conf.get(k) for k in before}
+
+
+def test_texts_are_dealt_to_tasks(spark, tmp_path, monkeypatch):
+    """A file of one row group is one task's; its texts are dealt on, those of one id too."""
+    from tesserae.sources import lines
+
+    monkeypatch.setattr(lines, "TEXTS", 10)
+    texts(spark, [(7, f"text {i}", "en") for i in range(100)], f"{tmp_path}/documents.parquet")
+    cut = saved_searches.text_lines(spark, f"{tmp_path}/documents.parquet", ["doc_id"])
+    own = [r["count"] for r in cut.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(own) == 100 and len(own) > 5 and max(own) < 40
