@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from jobs.options import options
 from tesserae.functions.text import tokens
 from tesserae.plans.search import marked_tokens
-from tesserae.sources.lines import line_array, lines
+from tesserae.sources.lines import dealt, line_array, lines
 
 LOG = logging.getLogger("jobs.term_index")
 TERMS = "batch long, part int, term string, doc_id string, tf long, n_lines long, first_line int"
@@ -56,7 +56,7 @@ def write_batch(rows: DataFrame, batch: int, output: str, parts: int) -> None:
     """Index one batch and replace its partition of both tables; documents come last, so that
     ``current`` sees a batch when it is whole."""
     given = rows.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    docs, mark = given.where("doc_id is not null"), F.lit(batch).cast("long").alias("batch")
+    docs, mark = dealt(given).where("doc_id is not null"), F.lit(batch).cast("long").alias("batch")
     placed = terms_of(docs, parts).select(mark, "*").repartitionByRange("part", "term", "doc_id").sortWithinPartitions("part", "term", "doc_id")
     for name, of_batch, by in (("terms", placed, ["batch", "part"]), ("documents", sizes_of(docs).select(mark, "*"), ["batch"])):
         of_batch.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(f"{output}/{name}")
