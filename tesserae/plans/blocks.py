@@ -6,6 +6,10 @@ A row has the occurrences, and the (tf, len) pairs of its lines that no other li
 so the largest score that a term can have in a block is known for any collection statistics without
 looking at the occurrences.
 
+What is shuffled is the text of the lines, once.  The task that cuts the lines of some blocks into
+terms also writes the rows of these blocks, by term: a file is a segment of its own, of which a search
+reads the pages of its terms.
+
 A search for single terms reads these pairs first.  The blocks with the highest bounds are scored;
 the k-th best score found is a threshold, and of the other blocks only those whose bound reaches it
 are unpacked.  Searches with phrases, prefixes or NEAR unpack all blocks of their terms.
@@ -19,6 +23,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tesserae.functions.text import tokens
 from tesserae.plans.match import And, Near, Node, Not, Or, leaves
 
 #: Lines of a block on average, and neighbouring lines of a file that stay in one.
@@ -40,15 +45,17 @@ def opening(toks: str) -> Column:
     return F.transform(opens, lambda x: F.struct(x["term"].alias("term"), x["i"].alias("i")))
 
 
-def block_postings(toks: DataFrame, n_lines: int, n_tokens: int | None = None) -> DataFrame:
-    """term, block, best, hits from (file, line, toks) of ``n_lines`` lines of ``n_tokens`` tokens.
-    Lines are dealt out by block once, to tasks of a bounded number of tokens where that number is
-    given; the grouping keeps that partitioning.  A line's places are grouped inside its array."""
+def block_postings(lines: DataFrame, n_lines: int, n_tokens: int | None = None) -> DataFrame:
+    """term, block, best, hits from (file, line, content) or (file, line, toks) of ``n_lines`` lines of
+    ``n_tokens`` tokens.  Lines are dealt out by block once, as text where they are given so, to tasks
+    of a bounded number of tokens where that number is given; the grouping keeps that partitioning.
+    A line's places are grouped inside its array."""
     blocks = max(1, -(-n_lines // BLOCK_LINES))
     block = F.pmod(F.xxhash64("file", F.floor(F.col("line") / STRETCH)), F.lit(blocks)).alias("block")
-    rows = toks.select(block, "file", "line", "toks")
+    rows = lines.select(block, "file", "line", "toks" if "toks" in lines.columns else "content")
     dealt = rows.repartition("block") if n_tokens is None else rows.repartition(parts_of(n_tokens), "block")
-    ordered = dealt.select("block", "file", "line", F.sort_array(F.transform("toks", lambda t, i: F.struct(t.alias("term"), i.alias("at")))).alias("toks"))
+    toks = F.col("toks") if "toks" in lines.columns else tokens(F.col("content"))
+    ordered = dealt.select("block", "file", "line", F.sort_array(F.transform(toks, lambda t, i: F.struct(t.alias("term"), i.alias("at")))).alias("toks"))
     opened = ordered.select("block", "file", "line", F.col("toks.at").alias("places"), opening("toks").alias("opens"))
     each = opened.select("block", "file", "line", F.size("places").alias("len"), F.inline(F.transform("opens", lambda x, k: F.struct(x["term"].alias("term"), F.slice("places", x["i"] + 1, F.coalesce(F.get("opens", k + 1)["i"], F.size("places")) - x["i"]).alias("at")))))
     hits = each.groupBy("block", "term").agg(F.sort_array(F.collect_list(F.struct("file", "line", "len", "at"))).alias("hits"))

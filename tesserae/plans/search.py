@@ -321,7 +321,7 @@ def line_index(lines: DataFrame) -> Tables:
     """The tables of an index of lines: blocks, corpus, term_counts."""
     corpus, counts = line_statistics(lines)
     n = corpus.collect()[0]
-    return {"blocks": block_postings(tokenized(lines), n["lines"], n["tokens"]), "corpus": corpus, "term_counts": counts}
+    return {"blocks": block_postings(lines, n["lines"], n["tokens"]), "corpus": corpus, "term_counts": counts}
 
 
 #: Blocks whose numbers go into a filter; more are joined.

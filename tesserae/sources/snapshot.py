@@ -11,7 +11,7 @@ writer is told (``Conflict``) and starts over.
 A reader takes a version once (``now``) and reads all tables of it.  Folders stay for ``retention``
 after the last version that names them was replaced; folders that no version names may be those of a
 writer at work and stay for ``ABANDONED``.  Tables are laid out for the lookups: symbols by kind and
-name, references once by target and once by caller, posting blocks by term.
+name, references once by target and once by caller, posting blocks by term in segments of some blocks each.
 """
 
 from __future__ import annotations
@@ -51,6 +51,10 @@ LAYOUT = {
     "gone_files": [],
     "gone_values": [],
 }
+#: Tables of which each task keeps the rows that it made and sorts them by itself.
+SEGMENTED = {"blocks"}
+#: How tables are written: a term of a segment is then in few pages, and others are passed over.
+OPTIONS = {"blocks": {"parquet.page.row.count.limit": "1000", "compression": "zstd"}}
 #: The column with the path, where it is not ``file``.
 FILE_COLUMN = {"fts_meta": "path"}
 #: Tables of numbers whose rows add up over the layers, by these columns; a layer has differences.
@@ -70,6 +74,14 @@ PATIENCE = 5.0
 Tables = dict[str, DataFrame]
 
 
+def laid_out(df: DataFrame, table: str) -> DataFrame:
+    """The rows in the order in which the table is written."""
+    keys = LAYOUT[table]
+    if not keys:
+        return df
+    return (df if table in SEGMENTED else df.repartitionByRange(*keys[:2])).sortWithinPartitions(*keys)
+
+
 class NoIndex(Exception):
     """There is no snapshot to read."""
 
@@ -178,11 +190,7 @@ class Store:
         """Write tables into a folder of their own."""
         name = name or f"v{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
         for table, df in tables.items():
-            keys = LAYOUT[table]
-            out = df.select(SCHEMAS[table].names)
-            if keys:
-                out = out.repartitionByRange(*keys[:2]).sortWithinPartitions(*keys)
-            out.write.mode("overwrite").parquet(os.path.join(self.root, name, table))
+            laid_out(df.select(SCHEMAS[table].names), table).write.options(**OPTIONS.get(table, {})).mode("overwrite").parquet(os.path.join(self.root, name, table))
         return name
 
     def commit(self, make: Callable[[View], list[str]]) -> View:

@@ -20,7 +20,7 @@ from tesserae.config import Config, FtsConfig
 from tesserae.functions.globs import any_match
 from tesserae.operators.maintenance import delta, last_events
 from tesserae.plans.blocks import block_postings
-from tesserae.plans.search import line_index, line_statistics, tokenized
+from tesserae.plans.search import line_index, line_statistics
 from tesserae.sources.folder import Folder
 from tesserae.sources.lines import line_counts, lines
 from tesserae.sources.snapshot import Conflict, Store, View, read_index, write_delta
@@ -169,4 +169,4 @@ def write_search(search: Store, changed: DataFrame, contents: DataFrame) -> None
             ls = view.read("lines")
             return {"lines": ls, "fts_meta": view.read("fts_meta")} | line_index(ls)
 
-        search.append({"lines": new, "blocks": block_postings(tokenized(new), new.count()), "fts_meta": meta}, changed, based=statistics, whole=whole)
+        search.append({"lines": new, "blocks": block_postings(new, new.count()), "fts_meta": meta}, changed, based=statistics, whole=whole)

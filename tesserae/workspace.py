@@ -51,7 +51,7 @@ def scratch(spark: SparkSession) -> Iterator[None]:
             _drop(spark, path)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Write a table and read it again; it is dropped when the ``scratch`` around ends, or without one
     when the driver ends."""
     spark = df.sparkSession
@@ -61,5 +61,5 @@ def written(df: DataFrame, name: str) -> DataFrame:
         scopes[-1].append(path)
     else:
         atexit.register(_drop, spark, path)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -11,6 +11,7 @@ from tesserae.plans import blocks, search
 from tesserae.plans.blocks import Layered, block_postings
 from tesserae.plans.match import QuerySyntaxError, parse
 from tesserae.sources.lines import lines
+from tesserae.sources.snapshot import Store, laid_out, read_lines
 from tesserae.workspace import scratch, shared_dir
 
 EXTRA = ["func parse_config(path string) error {", "// TODO: parse config not found", "GetUser getUserName GETX", "Café naïve Straße", "a b c d e f g h i j k l m n o p q r needle s t u v w x y z needle end", "x²y don't ½ Ł"]
@@ -120,6 +121,28 @@ def test_blocks_are_made_by_bounded_tasks(spark, sf, monkeypatch):
     assert blocks.rdd.getNumPartitions() >= 10 and sorted(map(tuple, blocks.collect())) == whole
 
 
+def test_blocks_shuffle_the_text_once(spark, sf, monkeypatch):
+    """No array of terms and no row of a block is shuffled: the text of the lines alone."""
+    monkeypatch.setattr("tesserae.plans.blocks.PART_TOKENS", 2000)
+    found = lines(spark.read.parquet(f"{sf}/documents.parquet"), "doc_id", "text")
+    plan = laid_out(search.line_index(found)["blocks"], "blocks")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1 == plan.count("Exchange hashpartitioning(block")
+    assert "array" not in plan.split("Exchange ")[1].split("Project ")[1].split("\n")[0] and "split(" in plan.split("Exchange ")[0]
+
+
+def test_segments_are_searched_as_one_index(spark, corpus, tmp_path, monkeypatch):
+    """Each file is sorted by term and has blocks of its own."""
+    monkeypatch.setattr("tesserae.plans.blocks.PART_TOKENS", 2000)
+    store = Store(spark, f"file:{tmp_path}/s")
+    store.write({"lines": corpus[0]} | search.line_index(corpus[0]))
+    files = spark.read.parquet(f"{store.current()}/blocks").inputFiles()
+    rows = [[(r["term"], r["block"]) for r in spark.read.parquet(f).select("term", "block").collect()] for f in files]
+    numbers = [{b for _, b in r} for r in rows]
+    assert len(files) > 3 and all(r == sorted(r) for r in rows) and sum(map(len, numbers)) == len(set.union(*numbers))
+    for query in ("the OR needle", "that NOT the", '(to AND the) OR "of the"'):
+        assert rows_of(search.search_index(read_lines(store), query, 20)) == rows_of(search.search_lines(corpus[0], query, 20))
+
+
 def test_block_places(spark):
     toks = spark.createDataFrame([("a", 1, ["x", "y", "x"]), ("a", 2, []), ("b", 1, ["x"])], "file string, line int, toks array<string>")
     rows = {r["term"]: r for r in block_postings(toks, 3).collect()}
